@@ -1,30 +1,57 @@
-"""Corpus clean-up in stages; each is written as Parquet and read again by the next."""
+"""Corpus clean-up in five stages; each is written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from headway.llm.packing import pack
+from headway.llm.quality_rules import keep_good
+from headway.llm.secret_scan import redact
 from headway.llm.shared import table, written
 from headway.llm.simhash_dedup import keep_one_of_each_group
+from headway.llm.suffix_dedup import remove_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id."""
     return keep_one_of_each_group(docs)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without what repeats an earlier string of 100 bytes."""
+    return remove_repeats(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids of each piece."""
+    return pack(docs)
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
 ]
 
-#: SQL can't express the stages; tests hold each against a plain version.
+#: SQL can't express tokenizers; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``; what each keeps is written and reread."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from headway.llm.language_id import op1_language_id
+from headway.llm.packing import op6_packing
+from headway.llm.piece_codec import op3_piece_codec
+from headway.llm.quality_classifier import op7_quality_classifier
+from headway.llm.quality_rules import op8_quality_rules
+from headway.llm.quote_threads import op4_quote_threads
+from headway.llm.secret_scan import op5_secret_scan
 from headway.llm.simhash_dedup import op9_simhash_dedup
+from headway.llm.suffix_dedup import op10_suffix_dedup
+from headway.llm.topk_search import op2_topk_search
 
 QUERIES = {
-    "op9_simhash_dedup": op9_simhash_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_topk_search, op3_piece_codec, op4_quote_threads, op5_secret_scan,
+        op6_packing, op7_quality_classifier, op8_quality_rules, op9_simhash_dedup, op10_suffix_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
