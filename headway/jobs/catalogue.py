@@ -1,6 +1,274 @@
-"""All registered queries of the schedule jobs, and their SQL."""
+"""All registered queries of the schedule jobs, with SQL for the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headway.functions import clock, geo
+from headway.operators import lines, names, patterns, rides, timetable, validate
+from headway.sources.demo_feed import FEED_SQL, DemoFeed
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a function of (feed) with the SQL that goes on after the feed's tables."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(DemoFeed(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        ORACLE_SQL[f.__name__] = FEED_SQL + sql
+        return f
+
+    return add
+
+
+PATHS = """, paths AS (
+  SELECT trip_id, string_agg(stop_id::VARCHAR, '-' ORDER BY stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS stops,
+    string_agg(CASE WHEN pickup THEN '1' ELSE '0' END, '' ORDER BY stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pickups,
+    string_agg(CASE WHEN dropoff THEN '1' ELSE '0' END, '' ORDER BY stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dropoffs
+  FROM stop_times GROUP BY trip_id)"""
+PATTERNS = PATHS + """, patterns AS (
+  SELECT row_number() OVER (ORDER BY route_id, coalesce(direction, ''), stops, pickups, dropoffs, days) - 1 AS pattern_id, *
+  FROM (SELECT route_id, direction, days, stops, pickups, dropoffs, count(*) AS n_trips, count(DISTINCT service_id) AS n_services
+        FROM trips JOIN calendars USING (service_id) JOIN paths USING (trip_id) WHERE days > 0 GROUP BY ALL))"""
+HAVERSINE = "12742000 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+CALLS = """, hops AS (
+  SELECT pattern_id, route_id, position, stop_id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
+  FROM network JOIN stops USING (stop_id) WINDOW w AS (PARTITION BY pattern_id ORDER BY position)),
+calls AS (
+  SELECT pattern_id, route_id, position, stop_id, route_id %% 10 = 0 AS tram,
+    sum(CASE WHEN plat IS NULL THEN 0 ELSE round(%s)::BIGINT END) OVER (PARTITION BY pattern_id ORDER BY position)::BIGINT AS metres
+  FROM hops)""" % HAVERSINE.format(a="p", b="")
+EDGES = """, edges AS (
+  SELECT a.stop_id, b.stop_id AS to_stop, round(%s)::BIGINT AS metres FROM stops a JOIN stops b
+  ON a.stop_id <> b.stop_id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01 WHERE round(%s) <= 500)""" % ((HAVERSINE.format(a="a.", b="b."),) * 2)
+
+
+def calls(feed: DemoFeed) -> DataFrame:
+    """The network's stops with metres and whether the line is a tram."""
+    return geo.chain_metres(feed.network(), feed.stops()).withColumn("tram", F.col("route_id") % 10 == 0)
+
+
+def raw_patterns(feed: DemoFeed) -> DataFrame:
+    return patterns.patterns(feed.trips(), feed.calendars(), feed.stop_times())
+
+
+@query(PATTERNS + " SELECT (SELECT count(*) FROM stops) AS n_stops, (SELECT count(*) FROM patterns) AS n_patterns")
+def feed_summary(feed: DemoFeed) -> DataFrame:
+    n_patterns = raw_patterns(feed).agg(F.count("*").alias("n_patterns"))
+    return feed.stops().agg(F.count("*").alias("n_stops")).crossJoin(n_patterns)
+
+
+@query("""
+SELECT 'unique' AS rule, 'trips' AS table_name, trip_id::VARCHAR AS key, 'trip_id' AS detail FROM trips GROUP BY trip_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'foreign', 'stop_times', trip_id::VARCHAR, 'trip_id' FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM trips)
+UNION ALL SELECT DISTINCT 'foreign', 'stop_times', stop_id::VARCHAR, 'stop_id' FROM stop_times WHERE stop_id NOT IN (SELECT stop_id FROM stops)
+UNION ALL SELECT DISTINCT 'foreign', 'trips', service_id, 'service_id' FROM trips WHERE service_id NOT IN (SELECT service_id FROM calendars WHERE days > 0)
+UNION ALL SELECT 'required', 'trips', trip_id::VARCHAR, 'direction' FROM trips WHERE direction IS NULL
+UNION ALL SELECT 'coordinate', 'stops', stop_id::VARCHAR, 'lat' FROM stops WHERE abs(lat) > 90 OR abs(lon) > 180""")
+def violations(feed: DemoFeed) -> DataFrame:
+    """What breaks the rules, if a service must run and a trip needs a direction."""
+    trips, times = feed.trips(), feed.stop_times()
+    found = validate.repeated_keys(trips, "trips", "trip_id")
+    found = found.union(validate.dangling(times, "stop_times", "trip_id", trips, "trip_id")).union(validate.dangling(times, "stop_times", "stop_id", feed.stops(), "stop_id"))
+    found = found.union(validate.dangling(trips, "trips", "service_id", feed.calendars().where("days > 0"), "service_id"))
+    return found.union(validate.blank_values(trips, "trips", "direction", "trip_id")).union(validate.bad_coordinates(feed.stops(), "stops", "stop_id"))
+
+
+@query(PATHS + " SELECT * FROM paths")
+def ordered_trip_stops(feed: DemoFeed) -> DataFrame:
+    return patterns.trip_paths(feed.stop_times())
+
+
+@query(PATTERNS + " SELECT * FROM patterns")
+def trip_patterns(feed: DemoFeed) -> DataFrame:
+    return raw_patterns(feed)
+
+
+@query(PATTERNS + """ SELECT pattern_id, generate_subscripts(string_split(stops, '-'), 1) - 1 AS position, unnest(string_split(stops, '-'))::BIGINT AS stop_id FROM patterns""")
+def pattern_occurrences(feed: DemoFeed) -> DataFrame:
+    return patterns.occurrences(raw_patterns(feed))
+
+
+@query(" SELECT stop_id, count(DISTINCT pattern_id) AS n_patterns FROM stops LEFT JOIN network USING (stop_id) GROUP BY stop_id")
+def patterns_at_stops(feed: DemoFeed) -> DataFrame:
+    return patterns.patterns_at_stops(feed.stops(), feed.network())
+
+
+@query(PATTERNS + """, occ AS (SELECT pattern_id, generate_subscripts(string_split(stops, '-'), 1) - 1 AS position, unnest(string_split(stops, '-'))::BIGINT AS stop_id FROM patterns)
+SELECT pattern_id, stop_id, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions FROM occ GROUP BY ALL""")
+def stop_positions(feed: DemoFeed) -> DataFrame:
+    return patterns.positions(patterns.occurrences(raw_patterns(feed)))
+
+
+@query(CALLS + " SELECT pattern_id, position, stop_id, metres FROM calls")
+def stop_chain_metres(feed: DemoFeed) -> DataFrame:
+    return calls(feed).select("pattern_id", "position", "stop_id", "metres")
+
+
+@query(EDGES + " SELECT * FROM edges")
+def walking_edges(feed: DemoFeed) -> DataFrame:
+    return geo.walking_edges(feed.stops())
+
+
+KEYS = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f""" SELECT {KEYS.format('name')} AS name_key, {KEYS.format('district')} AS district_key, min_by(name, stop_id) AS name, count(*) AS n_platforms
+FROM stops WHERE stop_id IN (SELECT stop_id FROM network) GROUP BY 1, 2""")
+def stop_catalogue(feed: DemoFeed) -> DataFrame:
+    return names.stop_catalogue(feed.stops(), feed.network())
+
+
+@query(f""", keyed AS (SELECT stop_id, {KEYS.format('name')} AS name_key, {KEYS.format('district')} AS district_key FROM stops WHERE stop_id IN (SELECT stop_id FROM network))
+SELECT district_key, name_key, string_agg(stop_id::VARCHAR, ',' ORDER BY stop_id) AS stop_ids
+FROM (SELECT * FROM keyed WHERE district_key <> '' UNION ALL SELECT stop_id, name_key, '' FROM keyed) WHERE name_key <> '' GROUP BY ALL""")
+def stop_name_index(feed: DemoFeed) -> DataFrame:
+    return names.stop_name_index(feed.stops(), feed.network())
+
+
+@query(f""", keyed AS (SELECT DISTINCT {KEYS.format('name')} AS name_key, {KEYS.format('district')} AS district_key FROM stops WHERE stop_id IN (SELECT stop_id FROM network)),
+asked AS (SELECT DISTINCT p_type AS query, {KEYS.format('p_type')} AS q FROM part UNION SELECT DISTINCT substr(p_name, 1, 3), {KEYS.format('substr(p_name, 1, 3)')} FROM part),
+met AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY NOT starts_with(name_key, q), name_key, district_key) AS rank, name_key, district_key
+  FROM asked JOIN keyed ON trim(query) = '' OR (q <> '' AND contains(name_key, q)))
+SELECT * FROM met WHERE rank <= 12""")
+def stop_search(feed: DemoFeed) -> DataFrame:
+    part = feed.read("part")
+    asked = part.select(F.col("p_type").alias("query")).union(part.select(F.substring("p_name", 1, 3))).distinct()
+    return names.search(asked, names.stop_catalogue(feed.stops(), feed.network()))
+
+
+@query(""" SELECT route_id, short_name AS code, CASE WHEN route_type = 0 THEN 'tram' ELSE 'bus' END AS mode, row_number() OVER (ORDER BY route_id) AS rank
+FROM routes WHERE route_id IN (SELECT route_id FROM trips)""")
+def line_catalogue(feed: DemoFeed) -> DataFrame:
+    return lines.line_catalogue(feed.routes(), feed.trips())
+
+
+VARIANTS = PATTERNS + """, variants AS (
+  SELECT min(pattern_id) AS variant_id, route_id, direction, stops, count(*) AS n_patterns, sum(n_trips)::BIGINT AS n_trips, len(string_split(stops, '-')) AS n_stops,
+    string_split(stops, '-')[1]::BIGINT AS origin, string_split(stops, '-')[-1]::BIGINT AS destination
+  FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs)"""
+
+
+@query(VARIANTS + " SELECT * EXCLUDE (n_trips) FROM variants")
+def line_variants(feed: DemoFeed) -> DataFrame:
+    return lines.variants(raw_patterns(feed))
+
+
+@query(VARIANTS + """ SELECT route_id, direction, variant_id, n_trips, n_stops FROM (
+  SELECT *, row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, n_stops DESC, variant_id) AS place FROM variants) WHERE place = 1""")
+def reference_variants(feed: DemoFeed) -> DataFrame:
+    found = raw_patterns(feed)
+    trips_of = found.groupBy("route_id", "direction", "stops", "pickups", "dropoffs").agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips")).select("variant_id", "n_trips")
+    return lines.reference_variants(lines.variants(found), trips_of)
+
+
+@query(" SELECT pattern_id, days, count(DISTINCT departure) AS n_departures, min(departure) AS first, max(departure) AS last FROM departures GROUP BY ALL")
+def pattern_timetable(feed: DemoFeed) -> DataFrame:
+    return lines.timetable(feed.departures())
+
+
+@query(""" SELECT pattern_id, category, bit_or(days & mask) AS days_covered, count(DISTINCT departure) AS n_departures
+FROM departures, (VALUES ('weekday', 31), ('saturday', 32), ('sunday', 64)) t(category, mask) WHERE days & mask <> 0 GROUP BY ALL""")
+def day_categories(feed: DemoFeed) -> DataFrame:
+    return lines.day_categories(feed.departures())
+
+
+@query(""" SELECT trip_id, lpad((departure // 3600)::VARCHAR, 2, '0') || ':' || lpad((departure // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((departure % 60)::VARCHAR, 2, '0') AS clock,
+  lpad((departure // 3600 % 24)::VARCHAR, 2, '0') || ':' || lpad((departure // 60 % 60)::VARCHAR, 2, '0') || CASE WHEN departure % 60 > 0 THEN ':' || lpad((departure % 60)::VARCHAR, 2, '0') ELSE '' END
+  || CASE WHEN departure >= 86400 THEN ' +' || (departure // 86400)::VARCHAR ELSE '' END AS label, departure AS seconds FROM trips""")
+def display_clock(feed: DemoFeed) -> DataFrame:
+    """Clock text past 24:00, its wall-clock label, and the seconds read back from the text."""
+    text = feed.trips().select("trip_id", clock.clock_text(F.col("departure")).alias("clock"), clock.display_clock(F.col("departure")).alias("label"))
+    return text.withColumn("seconds", clock.clock_seconds(F.col("clock")).cast("long"))
+
+
+@query(""" SELECT request_id, isodow(instant) - 1 AS weekday, isodow(instant) <= 5 AND (s >= 25200 AND s < 34200 OR s >= 59400 AND s < 70200) AS rush
+FROM (SELECT *, hour(instant) * 3600 + minute(instant) * 60 + second(instant) AS s FROM arrival_requests)""")
+def rush_hours(feed: DemoFeed) -> DataFrame:
+    second = F.hour("instant") * 3600 + F.minute("instant") * 60 + F.second("instant")
+    return feed.arrival_requests().select("request_id", F.weekday("instant").alias("weekday"), clock.is_rush_hour(F.weekday("instant"), second).alias("rush"))
+
+
+@query(CALLS + """ SELECT pattern_id, CASE WHEN bool_or(tram) THEN 'tram' WHEN (max(metres) - min(metres)) / (count(*) - 1) >= 600 THEN 'district' ELSE 'city' END AS kind FROM calls GROUP BY pattern_id""")
+def line_kinds(feed: DemoFeed) -> DataFrame:
+    return timetable.line_kinds(calls(feed))
+
+
+TICKS = "(greatest({m}, 0) * CASE WHEN {t} THEN 5 ELSE 6 END + 500 * ({b} - {a}) + 10000)"
+DIRECT = CALLS + f""", direct AS (
+  SELECT request_id, a.pattern_id, a.route_id, a.position AS board, b.position AS alight, b.metres - a.metres AS metres,
+    {TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')} / 2000::DOUBLE AS minutes
+  FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position)"""
+
+
+@query(DIRECT + " SELECT * FROM direct")
+def direct_rides(feed: DemoFeed) -> DataFrame:
+    return rides.direct_rides(feed.journey_requests(), calls(feed))
+
+
+@query(DIRECT + """, best AS (SELECT * FROM direct QUALIFY row_number() OVER (PARTITION BY request_id, route_id ORDER BY minutes, pattern_id, board, alight) = 1)
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY minutes, pattern_id, board, alight) AS rank FROM best QUALIFY rank <= 3""")
+def direct_journeys(feed: DemoFeed) -> DataFrame:
+    """The three best lines of each request, each with its best ride."""
+    return rides.best_distinct(rides.direct_rides(feed.journey_requests(), calls(feed)), "route_id", ["minutes", "pattern_id", "board", "alight"], 3)
+
+
+@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, b.stop_id, b.metres - a.metres AS ride_metres, a.tram
+FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position""")
+def forward_reach(feed: DemoFeed) -> DataFrame:
+    return rides.forward_reach(feed.journey_requests(), calls(feed))
+
+
+@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, a.stop_id, b.metres - a.metres AS ride_metres, a.tram
+FROM journey_requests JOIN calls b ON b.stop_id = destination JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position""")
+def backward_reach(feed: DemoFeed) -> DataFrame:
+    return rides.backward_reach(feed.journey_requests(), calls(feed))
+
+
+@query(CALLS + EDGES + f""", ahead AS (
+  SELECT request_id, a.pattern_id AS first_pattern, b.stop_id, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m1
+  FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
+back AS (
+  SELECT request_id, a.pattern_id AS second_pattern, a.stop_id AS to_stop, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m2
+  FROM journey_requests JOIN calls b ON b.stop_id = destination JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
+steps AS (SELECT DISTINCT stop_id, stop_id AS to_stop, 0 AS walk FROM calls UNION ALL SELECT stop_id, to_stop, metres FROM edges)
+SELECT request_id, first_pattern, second_pattern, min(m1 + m2 + walk * 25) / 2000::DOUBLE AS minutes
+FROM ahead JOIN steps USING (stop_id) JOIN back USING (request_id, to_stop) WHERE first_pattern <> second_pattern GROUP BY ALL""")
+def one_transfer(feed: DemoFeed) -> DataFrame:
+    return rides.one_transfer(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()))
+
+
+ARRIVALS = CALLS + """, kinds AS (
+  SELECT pattern_id, max(position) AS last, CASE WHEN bool_or(tram) THEN 'tram' WHEN (max(metres) - min(metres)) / (count(*) - 1) >= 600 THEN 'district' ELSE 'city' END AS kind FROM calls GROUP BY pattern_id),
+asked AS (
+  SELECT request_id, pattern_id, route_id, back, rush, (isodow(instant) - 1 - back + 7) % 7 AS weekday,
+    hour(instant) * 3600 + minute(instant) * 60 + second(instant) + 86400 * back
+      - metres * 36 // (10 * CASE kind WHEN 'tram' THEN 25 WHEN 'city' THEN CASE WHEN rush THEN 16 ELSE 23 END ELSE CASE WHEN rush THEN 25 ELSE 35 END END) AS low
+  FROM arrival_requests JOIN calls USING (stop_id) JOIN kinds USING (pattern_id), (VALUES (0), (1)) t(back), (VALUES (false), (true)) u(rush) WHERE position < last),
+timed AS (SELECT *, departure % 86400 AS second_of_day FROM departures),
+arrivals AS (
+  SELECT DISTINCT request_id, pattern_id, route_id, back, departure, departure - low AS wait FROM asked JOIN timed USING (pattern_id)
+  WHERE departure BETWEEN low AND low + 3600 AND days & (1 << weekday::INT) <> 0
+    AND rush = ((weekday + departure // 86400) % 7 < 5 AND (second_of_day >= 25200 AND second_of_day < 34200 OR second_of_day >= 59400 AND second_of_day < 70200)))"""
+
+
+@query(ARRIVALS + " SELECT * FROM arrivals")
+def stop_arrivals(feed: DemoFeed) -> DataFrame:
+    return timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures())
+
+
+@query(ARRIVALS + """ SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY wait, route_id, pattern_id, back, departure) AS rank FROM arrivals QUALIFY rank <= 60""")
+def arrival_board(feed: DemoFeed) -> DataFrame:
+    """The next 60 arrivals of each request."""
+    from pyspark.sql import Window
+
+    found = timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures())
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("wait", "route_id", "pattern_id", "back", "departure"))
+    return found.withColumn("rank", rank).where("rank <= 60")
