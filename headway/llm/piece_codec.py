@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import string
 import zlib
 from array import array
 
@@ -16,7 +18,7 @@ from headway.llm.shared import table
 
 SPACE = "▁"
 #: Chunks whose ids a Python worker remembers; only speed depends on it.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 LONGEST_KEY = 40
 
 
@@ -48,35 +50,51 @@ class PieceCodec:
         self.scores = {p: (i, -float(np.log(1 + max(1.0, -s))) if ranked else s) for p, (i, s) in scores.items()}
         self.fallback = min(s for _, s in self.scores.values()) - 10
         self.longest = max(map(len, self.scores))
+        #: every beginning of a piece: (id, score), id -1 where it is no piece itself
+        self.steps: dict[str, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in self.scores for k in range(1, len(p))}
+        self.steps.update(self.scores)
         self.known: dict[str, bytes] = {}
+        self.chunk = self.chunk_pattern()
+        #: text of each id that has one by itself; bytes of longer characters have none
+        byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.texts = [chr(byte_of[i]) if byte_of.get(i, 128) < 128 else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.high = np.zeros(len(self.pieces), dtype=bool)
+        self.high[[i for b, i in self.byte_ids.items() if b >= 128]] = True
 
     def segment(self, chunk: str) -> array:
         """Ids of the best segmentation of ``chunk`` (blanks as SPACE), of equally good ones that with the longest last
         pieces. Streaming: only the last ``longest`` positions are live; ids are committed, and positions behind them
         forgotten, as soon as the paths from all live positions meet in one boundary."""
-        out, n, longest, scores = array("I"), len(chunk), self.longest, self.scores
+        out, n, longest, steps, fallback = array("I"), len(chunk), self.longest, self.steps, self.fallback
         best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # position: score, the one before, id (-1: bytes)
-        done = 0
-        for end in range(1, n + 1):
-            top = None
-            for start in range(max(done, end - longest), end):
-                if start in best and (hit := scores.get(chunk[start:end])):
-                    s = best[start][0] + hit[1]
-                    if top is None or s > top[0]:
-                        top = (s, start, hit[0])
-            if chunk[end - 1] not in scores and end - 1 in best:
-                s = best[end - 1][0] + self.fallback
-                if top is None or s > top[0]:
-                    top = (s, end - 1, -1)
-            if top:
-                best[end] = top
-            if end - done >= 2 * longest or end == n:
-                done = self.commit(chunk, best, done, end, end == n, out)
+        done, look = 0, 2 * longest
+        for start in range(n):
+            if start >= look:  # all pieces that begin before ``start`` are in: positions up to it are final
+                done = self.commit(chunk, best, done, start, out)
+                look = start + longest
+            here = best.get(start)
+            if here is None:
+                continue
+            base = here[0]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                hit = steps.get(chunk[start:end])
+                if hit is None:
+                    if end == start + 1 and (end not in best or base + fallback > best[end][0]):
+                        best[end] = (base + fallback, start, -1)
+                    break
+                if hit[0] >= 0:
+                    score = base + hit[1]
+                    if end not in best or score > best[end][0]:
+                        best[end] = (score, start, hit[0])
+                elif end == start + 1 and (end not in best or base + fallback > best[end][0]):
+                    best[end] = (base + fallback, start, -1)
+        self.commit(chunk, best, done, n, out, last=True)
         return out
 
-    def commit(self, chunk: str, best: dict, done: int, end: int, last: bool, out: array) -> int:
-        """Appends the ids up to the boundary in which all live paths meet; returns that boundary."""
-        live = {end} if last else {p for p in range(max(done, end - self.longest + 1), end + 1) if p in best}
+    def commit(self, chunk: str, best: dict, done: int, end: int, out: array, last: bool = False) -> int:
+        """Appends the ids up to the boundary in which the paths from all live positions meet; returns that boundary.
+        Live are the positions from which a piece can still begin or reach beyond ``end``: ``end`` and what lies behind it."""
+        live = {end} if last else {p for p in best if p >= end}
         at = set(live)
         while len(at) > 1:  # step back from the furthest until one boundary is left
             far = max(at)
@@ -91,75 +109,54 @@ class PieceCodec:
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.byte_ids[b] for b in self.raw(chunk[start:stop]))
+                out.extend(self.byte_ids[b] for b in chunk[start:stop].encode("utf-8", "surrogatepass"))
         for p in [p for p in best if p < boundary]:
             del best[p]
         return boundary
 
-    @staticmethod
-    def raw(chars: str) -> bytes:
-        return chars.replace("\0", SPACE).encode("utf-8", "surrogatepass")
+    def chunk_pattern(self) -> re.Pattern:
+        """Chunks between boundaries that are sure: before a blank that follows another character, around a line break,
+        and before a sign that follows another character, for those signs that no piece joins to what is before."""
+        signs = set(string.punctuation)
+        while bad := {y for p in self.scores for x, y in zip(p, p[1:], strict=False) if y in signs and x not in signs and x != SPACE}:
+            signs -= bad
+        assert not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores)
+        own = re.escape("".join(sorted(signs)))
+        if not own:
+            return re.compile(rf"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+        return re.compile(rf"{SPACE}*[^{SPACE}\n{own}]+|{SPACE}*[{own}]+[^{SPACE}\n{own}]*|\n|{SPACE}+")
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit bytes. A blank is put in front; blanks become SPACE. A text's own U+2581
-        and U+0000 go through bytes, so that decoding restores them. Boundaries before a blank that follows another
-        character are sure (no piece has a blank there), so chunks are segmented, and remembered, on their own."""
+        goes through bytes, so that decoding restores it. Chunks between sure boundaries are segmented, and
+        remembered, on their own."""
         if not text:
             return b""
-        out = []
-        if SPACE in text or "\0" in text:
-            for k, part in enumerate(split_kept(text)):
-                if part in (SPACE, "\0"):
-                    out.append(np.array([self.byte_ids[b] for b in part.encode()], dtype="<u4").tobytes())
-                elif part:
-                    out.append(self.encode_plain(part if k else " " + part))
-                elif not k:
-                    out.append(self.encode_plain(" "))
-            return b"".join(out)
-        return self.encode_plain(" " + text)
+        if SPACE not in text:
+            return self.encode_plain(SPACE + text.replace(" ", SPACE))
+        parts, raw = text.split(SPACE), np.array([self.byte_ids[b] for b in SPACE.encode()], dtype="<u4").tobytes()
+        return raw.join([self.encode_plain((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(parts)])
 
     def encode_plain(self, text: str) -> bytes:
-        known, out, blanks = self.known, [], ""
-        for word in text.split(" ") if not text.startswith(" ") else text[1:].split(" "):
-            chunk = blanks + SPACE + word if out or blanks or text.startswith(" ") else word
-            if not word:
-                blanks = chunk
-                continue
-            blanks = ""
-            ids = known.get(chunk)
-            if ids is None:
-                ids = np.asarray(self.segment(chunk), dtype="<u4").tobytes()
-                if len(chunk) <= LONGEST_KEY:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        if blanks:
-            out.append(np.asarray(self.segment(blanks), dtype="<u4").tobytes())
-        return b"".join(out)
+        chunks = self.chunk.findall(text)
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            for k in [k for k, i in enumerate(ids) if i is None]:
+                ids[k] = self.segment(chunks[k]).tobytes()
+                if len(chunks[k]) <= LONGEST_KEY:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[chunks[k]] = ids[k]
+        return b"".join(ids)
 
     def decode(self, ids) -> str:
         """The text of some ids: the inverse of ``encode``."""
-        parts, raw = [], bytearray()
-        names, byte_of = self.pieces, {i: b for b, i in self.byte_ids.items()}
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "surrogatepass"))
-                raw = bytearray()
-            parts.append(names[i].replace(SPACE, " "))
-        if raw:
-            parts.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(parts)[1:]
-
-
-def split_kept(text: str) -> list[str]:
-    """Parts of ``text`` between U+2581 and U+0000, with these."""
-    import re
-
-    return re.split(f"([{SPACE}\0])", text)
+        at = np.asarray(ids, dtype=np.int64)
+        if not self.high[at].any():
+            return "".join(map(self.texts.__getitem__, at.tolist()))[1:]
+        byte_of = {i: b for b, i in self.byte_ids.items()}
+        whole = b"".join(bytes([byte_of[i]]) if i in byte_of else self.texts[i].encode("utf-8", "surrogatepass") for i in at.tolist())
+        return whole.decode("utf-8", "surrogatepass")[1:]
 
 
 _codecs: dict[str, PieceCodec] = {}
