@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.native import WORD, let, total, words
-from headway.llm.shared import table
+from headway.llm.shared import boxed, table, unboxed
 
 SYMBOL = r"[#*$%&|<>]"
 #: A line with one of these is boilerplate.
@@ -97,8 +97,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the lines that pass as text, and n_chars with it."""
-    columns = docs.columns
-    found = judged(docs).where("rules.kept").withColumn("text", F.col("rules.cleaned"))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(columns)
+    return unboxed(judged(boxed(docs)).where("rules.kept"), docs.columns, F.col("rules.cleaned"))

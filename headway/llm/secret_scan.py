@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.native import let
-from headway.llm.shared import table
+from headway.llm.shared import boxed, table, unboxed
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -95,8 +95,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret span of the text (not endpoints; overlapping spans as one) replaced by ``mark``, and
     n_chars with it. Every row stays; null texts stay null."""
-    columns = docs.columns
-    found = scanned(docs)
+    found = scanned(boxed(docs))
     cut = F.filter("spans", lambda x: x.kind != KINDS.index("endpoint"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -107,7 +106,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     rest = lambda s: F.concat(s.out, F.substring(F.col("text"), (s.at + 1).cast("int"), F.lit(2**31 - 1)))
     text = F.when(F.size(cut) == 0, F.col("text")).otherwise(F.aggregate(cut, begin, add, rest))
-    found = found.withColumn("text", text)
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size(cut) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(columns)
+    return unboxed(found, docs.columns, text)

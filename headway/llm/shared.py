@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where rows must be ordered or joined: a null sorts before every other id.
@@ -40,6 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as ``row``: so these can't clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct("doc_id", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+
+
+def unboxed(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The ``columns`` of boxed rows with a new ``text``; n_chars is counted anew where the text has changed."""
+    field = F.col("row").getField
+    changed = {"text": F.col("new_text")}
+    if "n_chars" in columns:
+        counted = F.length("new_text").cast(found.schema["row"].dataType["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("new_text").eqNullSafe(F.col("text")), field("n_chars")).otherwise(counted)
+    return found.withColumn("new_text", text).select(*(changed[c].alias(c) if c in changed else field(c).alias(c) for c in columns))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long): component is the smallest node reachable.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from headway.llm.shared import NULL_ID, partitions, table, written
+from headway.llm.shared import NULL_ID, boxed, partitions, table, unboxed, written
 
 WINDOW = 100
 GRAM = 32
@@ -421,15 +421,11 @@ def spans_of(stretches: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with text cut by the whole characters that repeat an earlier string of ``window`` bytes, and n_chars with
     it. Every row stays, one that repeats as a whole with an empty text; null texts stay null."""
-    columns = docs.columns
-    keys = keyed(docs)
+    keys = keyed(boxed(docs))
     spans = spans_of(repeated_stretches(keys.select("id", "version", "body"), window))
     found = keys.drop("body").join(spans, ["id", "version"], "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut_text(F.coalesce("text", F.lit("")), "spans"))
-    found = found.withColumn("text", text)
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(columns)
+    return unboxed(found, docs.columns, text)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
