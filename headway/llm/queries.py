@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from headway.llm.language_id import op1_language_id
+from headway.llm.oracle import OP2, OP8, OP10
 from headway.llm.packing import op6_packing
 from headway.llm.piece_codec import op3_piece_codec
 from headway.llm.quality_classifier import op7_quality_classifier
@@ -21,13 +22,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_topk_search": """
-WITH whole AS (
-  SELECT vec_id, min([floor(1024 * x::DOUBLE) for x in embedding]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
-met AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
-  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM met QUALIFY rank <= 10""",
-}
+ORACLE_SQL: dict[str, str] = {"op2_topk_search": OP2, "op8_quality_rules": OP8, "op10_suffix_dedup": OP10}
