@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
-from headway.operators import lines, names, patterns, rides, timetable, validate
+from headway.operators import journeys, lines, names, patterns, rides, timetable, validate, vehicles
 from headway.sources.demo_feed import FEED_SQL, DemoFeed
 
 QUERIES: dict = {}
@@ -272,3 +272,136 @@ def arrival_board(feed: DemoFeed) -> DataFrame:
     found = timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures())
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy("wait", "route_id", "pattern_id", "back", "departure"))
     return found.withColumn("rank", rank).where("rank <= 60")
+
+
+@query(ARRIVALS + """ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY minutes, route_id) AS rank, route_id, minutes
+FROM (SELECT DISTINCT request_id, route_id, (wait + 59) // 60 AS minutes FROM arrivals) QUALIFY rank <= 3""")
+def next_vehicles(feed: DemoFeed) -> DataFrame:
+    return vehicles.next_vehicles(timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures()))
+
+
+@query(ARRIVALS + " SELECT request_id, pattern_id, back, departure, min(wait) AS wait FROM arrivals GROUP BY ALL")
+def vehicle_markers(feed: DemoFeed) -> DataFrame:
+    return vehicles.markers(timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures()))
+
+
+@query(CALLS + """, kinds AS (
+  SELECT pattern_id, max(position) AS last, max(metres) AS total, CASE WHEN bool_or(tram) THEN 'tram' WHEN (max(metres) - min(metres)) / (count(*) - 1) >= 600 THEN 'district' ELSE 'city' END AS kind FROM calls GROUP BY pattern_id),
+asked AS (
+  SELECT DISTINCT request_id, pattern_id, kind, last, total, back, (isodow(instant) - 1 - back + 7) % 7 AS weekday,
+    hour(instant) * 3600 + minute(instant) * 60 + second(instant) + 86400 * back AS high
+  FROM arrival_requests JOIN calls USING (stop_id) JOIN kinds USING (pattern_id), (VALUES (0), (1)) t(back)),
+met AS (
+  SELECT DISTINCT request_id, pattern_id, kind, last, total, back, departure, high - departure AS elapsed, (weekday + departure // 86400) % 7 AS day, departure % 86400 AS s
+  FROM asked JOIN departures USING (pattern_id) WHERE departure BETWEEN high - 40000 AND high AND days & (1 << weekday::INT) <> 0),
+moved AS (
+  SELECT *, elapsed * CASE kind WHEN 'tram' THEN 25 WHEN 'city' THEN CASE WHEN rush THEN 16 ELSE 23 END ELSE CASE WHEN rush THEN 25 ELSE 35 END END * 10 // 36 AS along
+  FROM (SELECT *, day < 5 AND (s >= 25200 AND s < 34200 OR s >= 59400 AND s < 70200) AS rush FROM met)),
+placed AS (
+  SELECT m.request_id, m.pattern_id, back, departure, along, least(count(*) - 1, any_value(last) - 1) AS position
+  FROM moved m JOIN calls c ON c.pattern_id = m.pattern_id AND c.metres <= m.along WHERE along <= total GROUP BY ALL)
+SELECT request_id, p.pattern_id, back, departure, along, p.position, CASE WHEN b.metres > a.metres THEN (along - a.metres) * 1000 // (b.metres - a.metres) ELSE 0 END AS permille
+FROM placed p JOIN calls a ON a.pattern_id = p.pattern_id AND a.position = p.position JOIN calls b ON b.pattern_id = p.pattern_id AND b.position = p.position + 1""")
+def active_vehicles(feed: DemoFeed) -> DataFrame:
+    return vehicles.active_vehicles(feed.arrival_requests(), calls(feed), feed.departures())
+
+
+@query(CALLS + EDGES + """, pairs AS (SELECT DISTINCT origin, destination FROM journey_requests WHERE origin <> destination),
+reach AS (SELECT stop_id, stop_id AS to_stop, 0 AS walk FROM (SELECT DISTINCT stop_id FROM calls) UNION ALL SELECT * FROM edges),
+rides AS (
+  SELECT origin, destination, a.route_id, a.pattern_id, a.position AS board, b.position AS alight, a.tram, o.walk + d.walk AS walk, greatest(b.metres - a.metres, 0) AS metres
+  FROM pairs JOIN reach o ON o.stop_id = origin JOIN reach d ON d.stop_id = destination JOIN calls a ON a.stop_id = o.to_stop
+  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = d.to_stop AND b.position > a.position),
+costed AS (
+  SELECT *, 200000 + 10000 * (alight - board) + metres * CASE WHEN tram THEN t ELSE 120 END + walk * w - CASE WHEN tram THEN bonus ELSE 0 END AS units
+  FROM rides, (VALUES ('fastest', 100, 500, 0), ('fewest_transfers', 100, 500, 0), ('minimal_walking', 100, 2500, 0), ('prefer_tram', 55, 500, 320000)) m(mode, t, w, bonus)),
+best AS (SELECT * FROM costed QUALIFY row_number() OVER (PARTITION BY origin, destination, mode, route_id ORDER BY units, walk, pattern_id, board, alight) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY origin, destination, mode ORDER BY units, walk, pattern_id, board, alight) AS rank FROM best QUALIFY rank <= 3)
+SELECT request_id, mode, rank, route_id, pattern_id, board, alight, walk, units / 40000::DOUBLE AS cost FROM journey_requests JOIN top USING (origin, destination)""")
+def ranked_journeys(feed: DemoFeed) -> DataFrame:
+    return journeys.ranked_journeys(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()))
+
+
+TWO = CALLS + EDGES + f""", pairs AS (SELECT DISTINCT origin, destination FROM journey_requests),
+steps AS (SELECT DISTINCT stop_id, stop_id AS to_stop, 0 AS walk FROM calls UNION ALL SELECT * FROM edges),
+ride AS (
+  SELECT a.pattern_id, a.stop_id, b.stop_id AS out_stop, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m
+  FROM calls a JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
+ahead AS (SELECT origin, destination, pattern_id AS p1, s.to_stop AS spot, min(m + walk * 25) AS m1 FROM pairs JOIN ride r ON r.stop_id = origin JOIN steps s ON s.stop_id = r.out_stop GROUP BY ALL),
+back AS (SELECT origin, destination, pattern_id AS p3, s.stop_id AS spot, min(m + walk * 25) AS m3 FROM pairs JOIN ride r ON r.out_stop = destination JOIN steps s ON s.to_stop = r.stop_id GROUP BY ALL),
+middle AS (SELECT origin, destination, r.pattern_id AS p2, r.out_stop AS spot, min(m1 + m) AS m2 FROM ahead JOIN ride r ON r.stop_id = ahead.spot AND r.pattern_id <> p1 GROUP BY ALL),
+twice AS (SELECT origin, destination, p2, min(m2 + m3) / 2000::DOUBLE AS minutes FROM middle JOIN back USING (origin, destination, spot) WHERE p2 <> p3 GROUP BY ALL)"""
+
+
+@query(TWO + " SELECT request_id, p2 AS middle_pattern, minutes FROM journey_requests JOIN twice USING (origin, destination)")
+def two_transfers(feed: DemoFeed) -> DataFrame:
+    return journeys.two_transfers(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()))
+
+
+@query(TWO + """, once AS (SELECT DISTINCT request_id, p1, p3 FROM journey_requests JOIN (
+    SELECT DISTINCT origin, destination, p1, r.pattern_id AS p3 FROM ahead JOIN ride r ON r.out_stop = destination AND r.stop_id = spot WHERE p1 <> r.pattern_id) USING (origin, destination)),
+direct AS (SELECT request_id FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position)
+SELECT request_id, transfers, count(*) AS n FROM (SELECT request_id, 0 AS transfers FROM direct UNION ALL SELECT request_id, 1 FROM once
+  UNION ALL SELECT request_id, 2 FROM journey_requests JOIN twice USING (origin, destination)) GROUP BY ALL""")
+def journey_counts(feed: DemoFeed) -> DataFrame:
+    asked, on, edges = feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops())
+    return journeys.journey_counts(rides.direct_rides(asked, on), rides.one_transfer(asked, on, edges), journeys.two_transfers(asked, on, edges))
+
+
+@query(DIRECT + """, legs AS (SELECT DISTINCT pattern_id, board, alight FROM direct),
+days AS (SELECT pattern_id, bit_or(days) AS days FROM departures GROUP BY pattern_id),
+own AS (SELECT l.*, any_value(c.route_id) AS route_id, bool_or(c.tram) AS tram, any_value(d.days) AS days, string_agg(c.stop_id::VARCHAR, '-' ORDER BY c.position) AS path, alight - board AS hops
+  FROM legs l JOIN days d USING (pattern_id) JOIN calls c ON c.pattern_id = l.pattern_id AND c.position BETWEEN board AND alight GROUP BY l.pattern_id, board, alight),
+cuts AS (SELECT a.pattern_id, a.route_id, a.tram, h.hops, a.position, string_agg(b.stop_id::VARCHAR, '-' ORDER BY b.position) AS path, count(*) AS n
+  FROM calls a, (SELECT DISTINCT hops FROM own) h JOIN calls b ON b.pattern_id = a.pattern_id AND b.position BETWEEN a.position AND a.position + h.hops GROUP BY ALL HAVING count(*) = h.hops + 1),
+same AS (SELECT own.pattern_id, board, alight, own.route_id, own.days, cuts.route_id AS line, bit_or(d.days) AS all_days
+  FROM own JOIN cuts USING (path, tram) JOIN days d ON d.pattern_id = cuts.pattern_id GROUP BY ALL)
+SELECT pattern_id, board, alight, string_agg(line::VARCHAR, ',' ORDER BY line <> route_id, line) AS lines FROM same WHERE all_days & days = days GROUP BY pattern_id, board, alight""")
+def interchangeable_lines(feed: DemoFeed) -> DataFrame:
+    days = feed.departures().groupBy("pattern_id").agg(F.bit_or("days").alias("days"))
+    return journeys.interchangeable_lines(rides.direct_rides(feed.journey_requests(), calls(feed)), calls(feed), days)
+
+
+@query(""" SELECT trip_id, regexp_matches(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$') AS flagged,
+  nullif(trim(regexp_replace(regexp_replace(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$', ''), '[# ]+$', '')), '') AS note FROM notes""")
+def trip_notes(feed: DemoFeed) -> DataFrame:
+    return lines.cleaned_notes(feed.notes())
+
+
+@query(PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_trips) AS n_trips FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
+refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
+met AS (SELECT v.*, r.variant_id AS reference_id, r.stops AS s, r.pickups AS p, r.dropoffs AS d, string_split(v.stops, '-')[-1]::BIGINT AS last, string_split(r.stops, '-')[-1]::BIGINT AS other
+  FROM variants v JOIN refs r ON v.route_id = r.route_id AND (v.direction = r.direction OR v.direction IS NULL AND v.variant_id = r.variant_id))
+SELECT variant_id, reference_id, CASE WHEN stops <> s AND starts_with(s, stops || '-') THEN 'only_to' WHEN stops <> s AND last <> other THEN 'last_stop' WHEN stops <> s THEN 'other_route'
+  WHEN pickups <> p OR dropoffs <> d THEN 'other_permissions' END AS condition, CASE WHEN condition IN ('only_to', 'last_stop') THEN last::VARCHAR ELSE '' END AS detail FROM met""")
+def variant_conditions(feed: DemoFeed) -> DataFrame:
+    found = raw_patterns(feed)
+    keys = ["route_id", "direction", "stops", "pickups", "dropoffs"]
+    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips"))
+    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_trips"), variants.select("variant_id", "n_trips"))
+    return lines.variant_conditions(variants, references)
+
+
+@query(PATTERNS + """, spots AS (SELECT pattern_id, pickups, dropoffs, unnest(range(0, length(pickups))) AS position FROM patterns)
+SELECT pattern_id, position, concat_ws(', ', CASE WHEN substr(pickups, position + 1, 1) = '0' THEN 'no boarding' END, CASE WHEN substr(dropoffs, position + 1, 1) = '0' THEN 'no alighting' END) AS label
+FROM spots WHERE label <> ''""")
+def stop_restrictions(feed: DemoFeed) -> DataFrame:
+    return lines.restrictions(raw_patterns(feed))
+
+
+@query(f""", catalogue AS (SELECT route_id, short_name AS code, short_name || CASE WHEN route_type = 0 THEN ' tram' ELSE ' bus' END AS line_key, row_number() OVER (ORDER BY route_id) AS rank
+  FROM routes WHERE route_id IN (SELECT route_id FROM trips)),
+asked AS (SELECT DISTINCT query, {KEYS.format('query')} AS q FROM (SELECT p_size::VARCHAR AS query FROM part UNION ALL SELECT upper(substr(p_name, 1, 1)) FROM part) WHERE {KEYS.format('query')} <> '')
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY NOT starts_with(code, q), rank) AS place, route_id FROM asked JOIN catalogue ON contains(line_key, q) QUALIFY place <= 40""")
+def line_search(feed: DemoFeed) -> DataFrame:
+    part = feed.read("part")
+    asked = part.select(F.col("p_size").cast("string").alias("query")).union(part.select(F.upper(F.substring("p_name", 1, 1)))).distinct()
+    return lines.line_search(asked, lines.line_catalogue(feed.routes(), feed.trips()))
+
+
+@query(""", folded AS (SELECT *, translate(message, 'ABCDEFGHIJKLMNOPQRSTUVWXYZİĞÜŞÖÇığüşöç', 'abcdefghijklmnopqrstuvwxyzigusocigusoc') AS f FROM messages),
+spots AS (SELECT *, strpos(f, 'duragindan') AS a, strpos(substr(f, strpos(f, 'duragindan') + 10), 'duragina') AS b FROM folded),
+named AS (SELECT request_id, a > 0 AND b > 0 AS good, trim(substr(message, 1, a - 1), ' .,;:') AS o, trim(substr(message, a + 10, b - 1), ' .,;:') AS d FROM spots)
+SELECT request_id, CASE WHEN good AND o <> '' AND d <> '' THEN o END AS origin_name, CASE WHEN good AND o <> '' AND d <> '' THEN d END AS destination_name FROM named""")
+def trip_requests(feed: DemoFeed) -> DataFrame:
+    return names.trip_requests(feed.messages())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.functions.text import normalised
+
 
 def line_catalogue(routes: DataFrame, trips: DataFrame) -> DataFrame:
     """route_id, code, mode, rank of the routes that have trips: numeric codes first, by number, then by code."""
@@ -44,3 +46,49 @@ def day_categories(departures: DataFrame) -> DataFrame:
     masks = F.array(*(F.struct(F.lit(n).alias("category"), F.lit(m).alias("mask")) for n, m in (("weekday", 31), ("saturday", 32), ("sunday", 64))))
     each = departures.withColumn("c", F.explode(masks)).withColumn("covered", F.col("days").bitwiseAND(F.col("c.mask"))).where("covered <> 0")
     return each.groupBy("pattern_id", "c.category").agg(F.bit_or("covered").alias("days_covered"), F.countDistinct("departure").alias("n_departures"))
+
+
+def cleaned_notes(notes: DataFrame) -> DataFrame:
+    """trip_id, flagged, note: a note that ends in a colour (#rrggbb) flags its trip; colour, signs # and blanks at the end
+    go. A null or empty note gives null."""
+    text = F.rtrim(F.coalesce("note", F.lit("")))
+    flagged = text.rlike("#[0-9A-Fa-f]{6}$")
+    bare = F.regexp_replace(F.regexp_replace(text, "#[0-9A-Fa-f]{6}$", ""), "[# ]+$", "")
+    return notes.select("trip_id", flagged.alias("flagged"), F.nullif(F.trim(bare), F.lit("")).alias("note"))
+
+
+def variant_conditions(variants: DataFrame, references: DataFrame) -> DataFrame:
+    """variant_id, reference_id, condition, detail (the last stop, or ''): how a variant differs from the reference of its route and direction:
+    only_to (its path is a beginning of the reference's), last_stop, other_route, other_permissions, or null.
+
+    variants: variant_id, route_id, direction, stops, pickups, dropoffs; references: the variant_id of the references."""
+    chosen = variants.join(references.select("variant_id"), "variant_id", "left_semi")
+    names = {"variant_id": "reference_id", "route_id": "to_route", "direction": "to_direction", "stops": "to_stops", "pickups": "to_pickups", "dropoffs": "to_dropoffs"}
+    sides = chosen.select(*(F.col(a).alias(b) for a, b in names.items()))
+    own = F.col("direction").isNull() & (F.col("variant_id") == F.col("reference_id"))
+    met = variants.join(sides, (F.col("route_id") == F.col("to_route")) & F.col("direction").eqNullSafe(F.col("to_direction"))).where(F.col("direction").isNotNull() | own)
+    last = lambda c: F.element_at(F.split(c, "-"), -1).cast("long")
+    same = F.col("stops") == F.col("to_stops")
+    condition = (
+        F.when(~same & F.startswith("to_stops", F.concat("stops", F.lit("-"))), "only_to").when(~same & (last("stops") != last("to_stops")), "last_stop")
+        .when(~same, "other_route").when((F.col("pickups") != F.col("to_pickups")) | (F.col("dropoffs") != F.col("to_dropoffs")), "other_permissions")
+    )
+    detail = F.when(condition.isin("only_to", "last_stop"), last("stops").cast("string")).otherwise("")
+    return met.select("variant_id", "reference_id", condition.alias("condition"), detail.alias("detail"))
+
+
+def restrictions(patterns: DataFrame) -> DataFrame:
+    """pattern_id, position, label: stops of a pattern where one can't board, can't alight, or neither."""
+    at = patterns.select("pattern_id", "pickups", "dropoffs", F.explode(F.sequence(F.lit(0), F.length("pickups") - 1)).alias("position"))
+    no = lambda column, label: F.when(F.expr(f"substring({column}, position + 1, 1)") == "0", label)
+    return at.select("pattern_id", "position", F.concat_ws(", ", no("pickups", "no boarding"), no("dropoffs", "no alighting")).alias("label")).where("label <> ''")
+
+
+def line_search(queries: DataFrame, lines: DataFrame, limit: int = 40) -> DataFrame:
+    """query, place, route_id: lines (route_id, code, mode, rank) whose code and mode contain the query, codes that start
+    with it first, then in the order of the catalogue."""
+    asked = queries.select("query", normalised(F.col("query")).alias("q")).where("q <> ''")
+    named = lines.select("route_id", "rank", normalised(F.col("code")).alias("code_key"), normalised(F.concat_ws(" ", "code", "mode")).alias("line_key"))
+    met = asked.join(named, F.col("line_key").contains(F.col("q")))
+    order = Window.partitionBy("query").orderBy(~F.col("code_key").startswith(F.col("q")), "rank")
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query", "place", "route_id")

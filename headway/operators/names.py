@@ -31,3 +31,22 @@ def search(queries: DataFrame, catalogue: DataFrame, limit: int = 12) -> DataFra
     met = asked.join(catalogue, F.col("all") | ((F.col("q") != "") & F.col("name_key").contains(F.col("q"))))
     order = Window.partitionBy("query").orderBy(~F.col("name_key").startswith(F.col("q")), "name_key", "district_key")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "rank", "name_key", "district_key")
+
+
+#: The words behind the two names of a trip request, folded; what may stand around a name.
+FROM_WORD, TO_WORD, AROUND = "duragindan", "duragina", " .,;:"
+LETTERS, FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZİĞÜŞÖÇığüşöç", "abcdefghijklmnopqrstuvwxyzigusocigusoc"
+
+
+def trip_requests(messages: DataFrame) -> DataFrame:
+    """request_id, origin_name, destination_name of messages "<stop> durağından <stop> durağına ..." in any case; both null
+    unless both names are there. Folding keeps lengths, so places in the folded text are places in the message."""
+    folded = F.translate("message", LETTERS, FOLDED)
+    at = messages.withColumn("folded", folded).withColumn("a", F.locate(FROM_WORD, F.col("folded")))
+    at = at.withColumn("b", F.expr(f"locate('{TO_WORD}', folded, a + {len(FROM_WORD)})"))
+    around = F.lit(AROUND)
+    origin = F.btrim(F.expr("substring(message, 1, a - 1)"), around)
+    destination = F.btrim(F.expr(f"substring(message, a + {len(FROM_WORD)}, b - a - {len(FROM_WORD)})"), around)
+    named = at.withColumn("o", F.when(F.col("a") > 0, origin)).withColumn("d", F.when(F.col("b") > 0, destination))
+    good = (F.col("a") > 0) & (F.col("b") > 0) & (F.col("o") != "") & (F.col("d") != "")
+    return named.select("request_id", F.when(good, F.col("o")).alias("origin_name"), F.when(good, F.col("d")).alias("destination_name"))

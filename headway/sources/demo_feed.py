@@ -78,6 +78,26 @@ class DemoFeed:
         """request_id, instant, stop_id."""
         return self.read("events").crossJoin(F.broadcast(self.stop_count())).select(F.col("event_id").alias("request_id"), F.col("ts").alias("instant"), (F.col("user_id") % F.col("n")).alias("stop_id"))
 
+    def notes(self) -> DataFrame:
+        """trip_id, note: some end in a colour, some in a sign, some are null."""
+        k = F.col("o_orderkey")
+        colour = F.concat(F.lit(" #"), F.lower(F.lpad(F.hex(k * 7919 % 16777216), 6, "0")))
+        end = F.when(k % 3 == 0, colour).when(k % 3 == 1, " # ").otherwise("")
+        return self.read("orders").select(k.alias("trip_id"), F.when(k % 7 > 0, F.concat(F.lit("Depot "), F.col("o_custkey").cast("string"), end)).alias("note"))
+
+    def messages(self) -> DataFrame:
+        """request_id, message: requests for a trip in words, some of them incomplete."""
+        named = self.stops().select("stop_id", "name")
+        asked = self.journey_requests().join(named.withColumnsRenamed({"stop_id": "origin", "name": "a"}), "origin").join(named.withColumnsRenamed({"stop_id": "destination", "name": "b"}), "destination")
+        k = F.col("request_id") % 5
+        text = (
+            F.when(k == 0, F.concat("a", F.lit(" durağından "), "b", F.lit(" durağına gitmek istiyorum.")))
+            .when(k == 1, F.concat(F.upper("a"), F.lit(" DURAĞINDAN "), F.upper("b"), F.lit(" DURAĞINA")))
+            .when(k == 2, F.concat("a", F.lit(", duragindan: "), "b", F.lit("; duragina?")))
+            .when(k == 3, F.concat("a", F.lit(" durağından "), "b"))
+        )
+        return asked.select("request_id", text.alias("message"))
+
 
 #: The same tables for DuckDB; a query's SQL goes on with ", name AS (...) SELECT ..." or " SELECT ...".
 FEED_SQL = """
@@ -104,5 +124,12 @@ departures AS (
   SELECT DISTINCT route_id * 2 + direction::INT AS pattern_id, days, departure FROM trips JOIN calendars USING (service_id)
   WHERE direction IS NOT NULL AND days > 0),
 journey_requests AS (SELECT c_custkey AS request_id, c_custkey % n AS origin, (c_custkey * 7 + 3) % n AS destination FROM customer, n),
-arrival_requests AS (SELECT event_id AS request_id, ts AS instant, user_id % n AS stop_id FROM events, n)
+arrival_requests AS (SELECT event_id AS request_id, ts AS instant, user_id % n AS stop_id FROM events, n),
+notes AS (
+  SELECT o_orderkey AS trip_id, CASE WHEN o_orderkey % 7 > 0 THEN 'Depot ' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ' #' || lower(lpad(to_hex(o_orderkey * 7919 % 16777216), 6, '0')) WHEN 1 THEN ' # ' ELSE '' END END AS note
+  FROM orders),
+messages AS (
+  SELECT request_id, CASE request_id % 5 WHEN 0 THEN a.name || ' durağından ' || b.name || ' durağına gitmek istiyorum.' WHEN 1 THEN upper(a.name) || ' DURAĞINDAN ' || upper(b.name) || ' DURAĞINA'
+    WHEN 2 THEN a.name || ', duragindan: ' || b.name || '; duragina?' WHEN 3 THEN a.name || ' durağından ' || b.name END AS message
+  FROM journey_requests JOIN stops a ON a.stop_id = origin JOIN stops b ON b.stop_id = destination)
 """
