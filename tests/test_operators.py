@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo, text
-from headway.operators import patterns, rides, validate
+from headway.operators import journeys, lines, names, patterns, rides, validate
 
 
 def test_loop_pattern_and_permissions(spark):
@@ -47,3 +47,26 @@ def test_direct_ride_on_loop_needs_later_alighting(spark):
     calls = spark.createDataFrame([(0, 5, 0, 1, 0, False), (0, 5, 1, 2, 1000, False), (0, 5, 2, 1, 2000, False)], "pattern_id int, route_id int, position int, stop_id long, metres long, tram boolean")
     asked = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "request_id int, origin long, destination long")
     assert sorted((r.request_id, r.board, r.alight, r.minutes) for r in rides.direct_rides(asked, calls).collect()) == [(1, 1, 2, 8.25), (2, 0, 2, 11.5)]
+
+
+def test_trip_requests(spark):
+    rows = [(1, "Çarşı durağından  Köprü; DURAĞINA lütfen"), (2, None), (3, ""), (4, "durağından B durağına"), (5, "A durağına B durağından"), (6, "A durağından . durağına")]
+    got = {r[0]: (r[1], r[2]) for r in names.trip_requests(spark.createDataFrame(rows, "request_id long, message string")).collect()}
+    assert got == {1: ("Çarşı", "Köprü"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}
+
+
+def test_cleaned_notes(spark):
+    rows = [(1, "Via hill #a1B2c3 "), (2, "Via hill # "), (3, None), (4, "#"), (5, "#12345"), (6, "#123456")]
+    got = {r[0]: (r[1], r[2]) for r in lines.cleaned_notes(spark.createDataFrame(rows, "trip_id long, note string")).collect()}
+    assert got == {1: (True, "Via hill"), 2: (False, "Via hill"), 3: (False, None), 4: (False, None), 5: (False, "#12345"), 6: (True, None)}
+
+
+def test_interchangeable_lines(spark):
+    """Line 2 makes the same ride on all days, line 3 on too few, line 4 as a tram, line 5 by another way."""
+    paths = {1: [7, 8, 9], 2: [6, 7, 8, 9], 3: [7, 8, 9], 4: [7, 8, 9], 5: [7, 5, 9]}
+    calls = [(p, p, p == 4, i, s) for p, stops in paths.items() for i, s in enumerate(stops)]
+    calls = spark.createDataFrame(calls, "pattern_id long, route_id int, tram boolean, position int, stop_id long")
+    days = spark.createDataFrame([(p, 1 if p == 3 else 31) for p in paths], "pattern_id long, days int")
+    legs = spark.createDataFrame([(1, 0, 2), (1, 0, 2)], "pattern_id long, board int, alight int")
+    assert [tuple(r) for r in journeys.interchangeable_lines(legs, calls, days).collect()] == [(1, 0, 2, "1,2")]
+    assert journeys.interchangeable_lines(legs.limit(0), calls, days).count() == 0
