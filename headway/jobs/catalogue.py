@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
-from headway.operators import journeys, lines, names, patterns, rides, timetable, validate, vehicles
+from headway.operators import boarding, conditions, journeys, lines, names, patterns, rides, shapes, timetable, validate, vehicles
 from headway.sources.demo_feed import FEED_SQL, DemoFeed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Registers a function of (feed) with the SQL that goes on after the feed's tables."""
+def query(sql: str | None):
+    """Registers a function of (feed) with the SQL that goes on after the feed's tables (None: SQL can't express it)."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def query(sql: str):
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
-        ORACLE_SQL[f.__name__] = FEED_SQL + sql
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = FEED_SQL + sql
         return f
 
     return add
@@ -285,7 +286,7 @@ def vehicle_markers(feed: DemoFeed) -> DataFrame:
     return vehicles.markers(timetable.arrivals(feed.arrival_requests(), calls(feed), feed.departures()))
 
 
-@query(CALLS + """, kinds AS (
+ACTIVE = CALLS + """, kinds AS (
   SELECT pattern_id, max(position) AS last, max(metres) AS total, CASE WHEN bool_or(tram) THEN 'tram' WHEN (max(metres) - min(metres)) / (count(*) - 1) >= 600 THEN 'district' ELSE 'city' END AS kind FROM calls GROUP BY pattern_id),
 asked AS (
   SELECT DISTINCT request_id, pattern_id, kind, last, total, back, (isodow(instant) - 1 - back + 7) % 7 AS weekday,
@@ -299,8 +300,10 @@ moved AS (
   FROM (SELECT *, day < 5 AND (s >= 25200 AND s < 34200 OR s >= 59400 AND s < 70200) AS rush FROM met)),
 placed AS (
   SELECT m.request_id, m.pattern_id, back, departure, along, least(count(*) - 1, any_value(last) - 1) AS position
-  FROM moved m JOIN calls c ON c.pattern_id = m.pattern_id AND c.metres <= m.along WHERE along <= total GROUP BY ALL)
-SELECT request_id, p.pattern_id, back, departure, along, p.position, CASE WHEN b.metres > a.metres THEN (along - a.metres) * 1000 // (b.metres - a.metres) ELSE 0 END AS permille
+  FROM moved m JOIN calls c ON c.pattern_id = m.pattern_id AND c.metres <= m.along WHERE along <= total GROUP BY ALL)"""
+
+
+@query(ACTIVE + """ SELECT request_id, p.pattern_id, back, departure, along, p.position, CASE WHEN b.metres > a.metres THEN (along - a.metres) * 1000 // (b.metres - a.metres) ELSE 0 END AS permille
 FROM placed p JOIN calls a ON a.pattern_id = p.pattern_id AND a.position = p.position JOIN calls b ON b.pattern_id = p.pattern_id AND b.position = p.position + 1""")
 def active_vehicles(feed: DemoFeed) -> DataFrame:
     return vehicles.active_vehicles(feed.arrival_requests(), calls(feed), feed.departures())
@@ -405,3 +408,132 @@ named AS (SELECT request_id, a > 0 AND b > 0 AS good, trim(substr(message, 1, a
 SELECT request_id, CASE WHEN good AND o <> '' AND d <> '' THEN o END AS origin_name, CASE WHEN good AND o <> '' AND d <> '' THEN d END AS destination_name FROM named""")
 def trip_requests(feed: DemoFeed) -> DataFrame:
     return names.trip_requests(feed.messages())
+
+
+SHAPES = CALLS + """, shape_steps AS (
+  SELECT shape_id, sequence, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM shapes WINDOW w AS (PARTITION BY shape_id ORDER BY sequence, lat, lon)),
+measured AS (
+  SELECT shape_id, sequence, lat, lon, round(sum(CASE WHEN plat IS NULL THEN 0 ELSE %s END) OVER (PARTITION BY shape_id ORDER BY sequence, lat, lon), 3) AS metres FROM shape_steps)""" % HAVERSINE.format(a="p", b="")
+PLACED = SHAPES + """, placed AS (
+  SELECT c.pattern_id, position, stop_id, coalesce(round(m.metres)::BIGINT, c.metres) AS metres, m.metres IS NOT NULL AS usable
+  FROM calls c LEFT JOIN measured m ON m.shape_id = c.pattern_id AND m.sequence = 2 * c.position)"""
+
+
+def shape_of(feed: DemoFeed) -> DataFrame:
+    return feed.network().where("route_id % 2 = 0").select("pattern_id", F.col("pattern_id").alias("shape_id")).distinct()
+
+
+def placed_stops(feed: DemoFeed) -> DataFrame:
+    return shapes.stops_on_shapes(calls(feed), feed.stops(), shapes.shape_metres(feed.shapes()), shape_of(feed))
+
+
+@query(SHAPES + " SELECT * FROM measured")
+def shape_metres(feed: DemoFeed) -> DataFrame:
+    return shapes.shape_metres(feed.shapes())
+
+
+@query(PLACED + " SELECT * FROM placed")
+def stops_on_shapes(feed: DemoFeed) -> DataFrame:
+    """Here the shapes lead through the stops, so that SQL knows the places; tests hold other shapes against a plain search."""
+    return placed_stops(feed)
+
+
+@query(PLACED + """, legs AS (SELECT DISTINCT a.pattern_id, a.position AS board, b.position AS alight FROM journey_requests JOIN calls a ON a.stop_id = origin
+  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position),
+ends AS (SELECT l.*, a.metres AS low, b.metres AS high, a.usable FROM legs l JOIN placed a ON a.pattern_id = l.pattern_id AND a.position = board JOIN placed b ON b.pattern_id = l.pattern_id AND b.position = alight)
+SELECT e.pattern_id, board, alight, CASE WHEN count(sequence) > 0 THEN 'shape' ELSE 'stops' END AS source, CASE WHEN count(sequence) > 0 THEN count(sequence) + 2 ELSE alight - board + 1 END AS n_points, high - low AS path_metres
+FROM ends e LEFT JOIN measured m ON e.usable AND m.shape_id = e.pattern_id AND round(m.metres) BETWEEN low AND high GROUP BY e.pattern_id, board, alight, low, high""")
+def leg_geometry(feed: DemoFeed) -> DataFrame:
+    legs = rides.direct_rides(feed.journey_requests(), calls(feed))
+    return shapes.leg_geometry(legs, placed_stops(feed), shapes.shape_metres(feed.shapes()), shape_of(feed))
+
+
+@query(ACTIVE + """, steps AS (
+  SELECT shape_id, sequence, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM shapes WINDOW w AS (PARTITION BY shape_id ORDER BY sequence, lat, lon)),
+paths AS (
+  SELECT shape_id AS path_id, lat, lon, round(sum(CASE WHEN plat IS NULL THEN 0 ELSE %s END) OVER (PARTITION BY shape_id ORDER BY sequence, lat, lon), 3) AS metres FROM steps
+  UNION ALL SELECT pattern_id, lat, lon, metres::DOUBLE FROM calls JOIN stops USING (stop_id) WHERE route_id %% 2 = 1),
+cuts AS (SELECT *, lead(metres) OVER w AS to_metres, lead(lat) OVER w AS to_lat, lead(lon) OVER w AS to_lon FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY metres, lat, lon)),
+sought AS (SELECT DISTINCT pattern_id AS path_id, along FROM placed),
+held AS (SELECT path_id, along, greatest(low, least(high, along::DOUBLE)) AS m, high FROM sought JOIN (SELECT path_id, min(metres) AS low, max(metres) AS high FROM paths GROUP BY path_id) USING (path_id)),
+spots AS (
+  SELECT path_id, along, round(coalesce(lat + (to_lat - lat) * coalesce((m - metres) / (to_metres - metres), 0), lat), 7) AS lat, round(coalesce(lon + (to_lon - lon) * coalesce((m - metres) / (to_metres - metres), 0), lon), 7) AS lon
+  FROM held JOIN cuts USING (path_id) WHERE metres <= m AND (to_metres > m OR m = high AND metres = high) QUALIFY row_number() OVER (PARTITION BY path_id, along ORDER BY metres, lat, lon) = 1)
+SELECT request_id, pattern_id, back, departure, placed.along, spots.lat, spots.lon FROM placed JOIN spots ON path_id = pattern_id AND spots.along = placed.along""" % HAVERSINE.format(a="p", b=""))
+def vehicle_points(feed: DemoFeed) -> DataFrame:
+    """Where on the map the active vehicles are."""
+    on = calls(feed)
+    moving = vehicles.active_vehicles(feed.arrival_requests(), on, feed.departures()).select("request_id", F.col("pattern_id").alias("path_id"), "back", "departure", "along")
+    drawn = shapes.shape_metres(feed.shapes()).select(F.col("shape_id").alias("path_id"), "metres", "lat", "lon")
+    plain = on.where("route_id % 2 = 1").join(feed.stops(), "stop_id").select(F.col("pattern_id").alias("path_id"), F.col("metres").cast("double"), "lat", "lon")
+    return shapes.points_along(moving, drawn.union(plain)).withColumnRenamed("path_id", "pattern_id")
+
+
+ANCHORED = """, near AS (
+  SELECT rule_id, side, span, pattern_id, position, c.stop_id <> landmark AS other, CASE WHEN c.stop_id = landmark THEN 0 ELSE round(%s)::BIGINT END AS metres
+  FROM network c JOIN boarding_rules USING (route_id, direction) JOIN stops a ON a.stop_id = c.stop_id JOIN stops b ON b.stop_id = landmark),
+anchors AS (SELECT rule_id, pattern_id, side, span, position AS anchor FROM near WHERE NOT other OR metres <= 800 QUALIFY row_number() OVER (PARTITION BY rule_id, pattern_id ORDER BY other, metres, position) = 1)""" % HAVERSINE.format(a="a.", b="b.")
+
+
+@query(ANCHORED + " SELECT * FROM anchors")
+def rule_anchors(feed: DemoFeed) -> DataFrame:
+    return boarding.anchors(feed.boarding_rules(), feed.network(), feed.stops())
+
+
+@query(ANCHORED + """, taken AS (SELECT pattern_id, position, side FROM network JOIN anchors USING (pattern_id)
+  WHERE CASE span WHEN 'before' THEN position < anchor WHEN 'through' THEN position <= anchor WHEN 'from' THEN position >= anchor ELSE position > anchor END)
+SELECT pattern_id, position, stop_id, NOT coalesce(bool_or(side = 'board'), false) AS pickup, NOT coalesce(bool_or(side = 'alight'), false) AS dropoff
+FROM network LEFT JOIN taken USING (pattern_id, position) GROUP BY ALL""")
+def boarding_permissions(feed: DemoFeed) -> DataFrame:
+    on = feed.network().withColumn("pickup", F.lit(True)).withColumn("dropoff", F.lit(True))
+    return boarding.permissions(on, boarding.anchors(feed.boarding_rules(), feed.network(), feed.stops()))
+
+
+CONDITIONS = PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_trips) AS n_trips FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
+refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
+met AS (SELECT v.*, r.variant_id AS reference_id, r.stops AS s, r.pickups AS p, r.dropoffs AS d, string_split(v.stops, '-')[-1] AS last, string_split(r.stops, '-')[-1] AS other
+  FROM variants v JOIN refs r ON v.route_id = r.route_id AND (v.direction = r.direction OR v.direction IS NULL AND v.variant_id = r.variant_id)),
+differ AS (SELECT variant_id, reference_id, CASE WHEN stops <> s AND starts_with(s, stops || '-') THEN 'only to ' || last WHEN stops <> s AND last <> other THEN 'last stop ' || last WHEN stops <> s THEN 'other route'
+  WHEN pickups <> p OR dropoffs <> d THEN 'other permissions' END AS path FROM met),
+clean AS (SELECT trip_id, regexp_matches(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$') AS flagged,
+  nullif(trim(regexp_replace(regexp_replace(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$', ''), '[# ]+$', '')), '') AS note FROM notes),
+own AS (SELECT t.trip_id, variant_id, t.route_id, t.direction, service_id, departure, flagged, note FROM trips t JOIN calendars USING (service_id) JOIN paths USING (trip_id)
+  JOIN variants v ON v.route_id = t.route_id AND v.direction IS NOT DISTINCT FROM t.direction AND v.stops = paths.stops AND v.pickups = paths.pickups AND v.dropoffs = paths.dropoffs
+  JOIN clean USING (trip_id) WHERE days > 0),
+told AS (SELECT *, count(*) FILTER (NOT flagged) OVER (PARTITION BY variant_id) AS plain FROM own WHERE variant_id IN (SELECT variant_id FROM refs)),
+common AS (SELECT variant_id AS reference_id, coalesce(note, '') AS common FROM told WHERE plain = 0 OR NOT flagged GROUP BY variant_id, coalesce(note, '')
+  QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY count(*) DESC, min(trip_id)) = 1),
+labelled AS (SELECT own.*, concat_ws(' · ', CASE WHEN flagged OR coalesce(note, '') <> coalesce(common, '') THEN note END, path) AS label FROM own JOIN differ USING (variant_id) LEFT JOIN common USING (reference_id)),
+used AS (SELECT route_id, coalesce(direction, '') AS side, label, min((departure, trip_id)) AS first FROM labelled WHERE label <> '' GROUP BY ALL),
+ids AS (SELECT route_id, side, label, row_number() OVER (PARTITION BY route_id, side ORDER BY first) AS condition_id FROM used)"""
+
+
+def labelled_trips(feed: DemoFeed) -> DataFrame:
+    """The trips of running services with their variant, clean note and label."""
+    found = raw_patterns(feed)
+    keys = ["route_id", "direction", "stops", "pickups", "dropoffs"]
+    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips"))
+    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_trips"), variants.select("variant_id", "n_trips"))
+    hashed = F.sha2(F.concat_ws("|", F.col("route_id").cast("string"), F.coalesce("direction", F.lit("")), "stops", "pickups", "dropoffs"), 256).alias("path")
+    runs = feed.trips().join(F.broadcast(feed.calendars()), "service_id").where("days > 0").join(patterns.trip_paths(feed.stop_times()), "trip_id")
+    runs = runs.select("trip_id", "route_id", "direction", "service_id", "departure", hashed).join(variants.select("variant_id", hashed), "path").drop("path")
+    own = runs.join(lines.cleaned_notes(feed.notes()), "trip_id")
+    return conditions.trip_conditions(own, lines.variant_conditions(variants, references), conditions.common_notes(own, references))
+
+
+@query(CONDITIONS + " SELECT trip_id, variant_id, label FROM labelled")
+def trip_conditions(feed: DemoFeed) -> DataFrame:
+    return labelled_trips(feed).select("trip_id", "variant_id", "label")
+
+
+@query(CONDITIONS + " SELECT * FROM ids")
+def condition_ids(feed: DemoFeed) -> DataFrame:
+    return conditions.condition_ids(labelled_trips(feed))
+
+
+@query(CONDITIONS + """, once AS (SELECT route_id, coalesce(direction, '') AS side, service_id, departure, coalesce(condition_id, 0) AS condition_id, variant_id, max(trip_id) AS trip_id
+  FROM labelled l LEFT JOIN ids i USING (route_id, label) WHERE i.side IS NULL OR i.side = coalesce(direction, '') GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY route_id, side, service_id ORDER BY departure, variant_id, condition_id) AS place FROM once""")
+def direction_timetable(feed: DemoFeed) -> DataFrame:
+    labelled = labelled_trips(feed)
+    return conditions.direction_timetable(labelled, conditions.condition_ids(labelled))

@@ -5,7 +5,7 @@ over the stops, two directions each) serves journeys and timetables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROUTES = 40
@@ -98,6 +98,30 @@ class DemoFeed:
         )
         return asked.select("request_id", text.alias("message"))
 
+    def shapes(self) -> DataFrame:
+        """shape_id (pattern), sequence, lat, lon for lines of even number: their stops, and a point beside the middle of each hop."""
+        at = self.network().where("route_id % 2 = 0").join(self.stops().select("stop_id", "lat", "lon"), "stop_id")
+        order = Window.partitionBy("pattern_id").orderBy("position")
+        hops = at.select("pattern_id", "position", "lat", "lon", F.lead("lat").over(order).alias("x"), F.lead("lon").over(order).alias("y"))
+        here = F.struct((F.col("position") * 2).alias("sequence"), "lat", "lon")
+        beside = F.struct((F.col("position") * 2 + 1).alias("sequence"), ((F.col("lat") + F.col("x")) / 2 + 0.0002).alias("lat"), ((F.col("lon") + F.col("y")) / 2).alias("lon"))
+        return hops.select(F.col("pattern_id").alias("shape_id"), F.inline(F.array(here, beside))).where("lat is not null")
+
+    def boarding_rules(self) -> DataFrame:
+        """rule_id, route_id, direction, landmark, side, span for every third line."""
+        r, d = F.col("route_id"), F.col("d")
+        lines = self.routes().where("route_id % 3 = 0").select("route_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).crossJoin(F.broadcast(self.stop_count()))
+        span = F.element_at(F.array(*map(F.lit, ("before", "through", "from", "after"))), (F.floor(r / 3) % 4 + 1).cast("int"))
+        landmark = ((7 * r + 5) % F.col("n")).cast("long").alias("landmark")
+        return lines.select((r * 2 + d).alias("rule_id"), "route_id", d.cast("string").alias("direction"), landmark, F.when((r + d) % 2 == 0, "board").otherwise("alight").alias("side"), span.alias("span"))
+
+    def stop_queries(self) -> DataFrame:
+        """request_id, district, name: names of stops as people type them, some with a letter missing or a word more."""
+        k, name = F.col("p_partkey"), F.col("p_name")
+        typed = F.when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100))).when(k % 4 == 2, F.concat_ws(" ", name, F.lit("durak"))).otherwise(F.col("p_type"))
+        nations = self.read("nation").select(F.col("n_nationkey").alias("nation"), "n_name")
+        return self.read("part").withColumn("nation", (k % 25).cast("int")).join(nations, "nation").select(k.alias("request_id"), F.when(k % 3 == 0, "").otherwise(F.col("n_name")).alias("district"), typed.alias("name"))
+
 
 #: The same tables for DuckDB; a query's SQL goes on with ", name AS (...) SELECT ..." or " SELECT ...".
 FEED_SQL = """
@@ -131,5 +155,15 @@ notes AS (
 messages AS (
   SELECT request_id, CASE request_id % 5 WHEN 0 THEN a.name || ' durağından ' || b.name || ' durağına gitmek istiyorum.' WHEN 1 THEN upper(a.name) || ' DURAĞINDAN ' || upper(b.name) || ' DURAĞINA'
     WHEN 2 THEN a.name || ', duragindan: ' || b.name || '; duragina?' WHEN 3 THEN a.name || ' durağından ' || b.name END AS message
-  FROM journey_requests JOIN stops a ON a.stop_id = origin JOIN stops b ON b.stop_id = destination)
+  FROM journey_requests JOIN stops a ON a.stop_id = origin JOIN stops b ON b.stop_id = destination),
+shape_hops AS (
+  SELECT pattern_id, position, lat, lon, lead(lat) OVER w AS x, lead(lon) OVER w AS y FROM network JOIN stops USING (stop_id) WHERE route_id % 2 = 0
+  WINDOW w AS (PARTITION BY pattern_id ORDER BY position)),
+shapes AS (
+  SELECT pattern_id AS shape_id, position * 2 AS sequence, lat, lon FROM shape_hops
+  UNION ALL SELECT pattern_id, position * 2 + 1, (lat + x) / 2 + 0.0002::DOUBLE, (lon + y) / 2 FROM shape_hops WHERE x IS NOT NULL),
+boarding_rules AS (
+  SELECT route_id * 2 + d AS rule_id, route_id, d::VARCHAR AS direction, (7 * route_id + 5) % n AS landmark, CASE WHEN (route_id + d) % 2 = 0 THEN 'board' ELSE 'alight' END AS side,
+    ['before', 'through', 'from', 'after'][(route_id // 3 % 4 + 1)::INT] AS span
+  FROM routes, (VALUES (0), (1)) t(d), n WHERE route_id % 3 = 0)
 """

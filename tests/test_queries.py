@@ -20,7 +20,7 @@ def rows(pdf):
     return sorted(tuple(plain(x) for x in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
