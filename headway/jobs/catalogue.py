@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
-from headway.operators import boarding, conditions, journeys, lines, names, patterns, rides, shapes, timetable, validate, vehicles
+from headway.operators import boarding, conditions, journeys, lines, names, patterns, resolve, rides, rounds, shapes, timetable, validate, vehicles
 from headway.sources.demo_feed import FEED_SQL, DemoFeed
 
 QUERIES: dict = {}
@@ -537,3 +537,45 @@ SELECT *, row_number() OVER (PARTITION BY route_id, side, service_id ORDER BY de
 def direction_timetable(feed: DemoFeed) -> DataFrame:
     labelled = labelled_trips(feed)
     return conditions.direction_timetable(labelled, conditions.condition_ids(labelled))
+
+
+def rounds_sql(n: int = 4, width: int = 10) -> str:
+    """SQL of the search in rounds: one table of ways a ride, one after the walk."""
+    best = "origin, stop_id, lines, days, min({'ticks': ticks, 'walk': walk, 'steps': steps}) AS best"
+    top = f"QUALIFY row_number() OVER (PARTITION BY origin, stop_id ORDER BY ticks, walk, lines, days) <= {width}"
+    flat = "origin, stop_id, lines, days, best.ticks AS ticks, best.walk AS walk, best.steps AS steps"
+    walk = "SELECT origin, to_stop AS stop_id, lines, days, ticks + metres * 25 AS ticks, walk + metres AS walk, steps || 'w' || to_stop || ';' AS steps FROM {0} JOIN edges USING (stop_id)"
+    sql = CALLS + EDGES + """, running AS (SELECT pattern_id, bit_or(days) AS runs FROM departures GROUP BY pattern_id),
+pairs AS (SELECT DISTINCT origin, destination AS stop_id FROM journey_requests WHERE origin <> destination),
+seeds AS (SELECT DISTINCT origin, origin AS stop_id, '-' AS lines, 127 AS days, 0::BIGINT AS ticks, 0::BIGINT AS walk, '' AS steps FROM pairs),
+ways0 AS (SELECT * FROM seeds UNION ALL """ + walk.format("seeds") + ")"
+    for r in range(1, n + 1):
+        ride = TICKS.format(m="b.metres - a.metres", t="a.tram", a="a.position", b="b.position")
+        sql += f""", rode{r} AS MATERIALIZED (SELECT {flat} FROM (SELECT {best} FROM (
+  SELECT origin, b.stop_id, lines || a.route_id || '-' AS lines, days & runs AS days, ticks + {ride} AS ticks, walk, steps || a.pattern_id || ':' || a.position || ':' || b.position || ';' AS steps
+  FROM ways{r - 1} w JOIN calls a ON a.stop_id = w.stop_id JOIN running USING (pattern_id) JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position
+  WHERE NOT contains(lines, '-' || a.route_id || '-') AND days & runs <> 0) GROUP BY origin, stop_id, lines, days)),
+kept{r} AS (SELECT * FROM rode{r} {top}),
+ways{r} AS MATERIALIZED (SELECT * FROM (SELECT {flat} FROM (SELECT {best} FROM (SELECT * FROM kept{r} UNION ALL {walk.format(f'kept{r}')}) GROUP BY origin, stop_id, lines, days)) {top})"""
+    ends = " UNION ALL ".join(f"SELECT *, {r} AS rides FROM (SELECT * FROM rode{r} UNION ALL {walk.format(f'rode{r}')}) SEMI JOIN pairs USING (origin, stop_id)" for r in range(1, n + 1))
+    return sql + f""", ends AS ({ends}),
+top AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY best.ticks, best.walk, lines) AS rank
+  FROM (SELECT origin, stop_id AS destination, rides, lines, min({{'ticks': ticks, 'walk': walk, 'days': days, 'steps': steps}}) AS best FROM ends GROUP BY ALL) QUALIFY rank <= 3)
+SELECT request_id, rank, rides, lines, best.days AS days, best.steps AS steps, best.walk AS walk, best.ticks / 2000::DOUBLE AS minutes FROM journey_requests JOIN top USING (origin, destination)"""
+
+
+@query(rounds_sql())
+def journey_search(feed: DemoFeed) -> DataFrame:
+    """Journeys of up to four rides."""
+    days = feed.departures().groupBy("pattern_id").agg(F.bit_or("days").alias("days"))
+    return rounds.journeys(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()), days)
+
+
+@query(None)
+def resolved_stops(feed: DemoFeed) -> DataFrame:
+    return resolve.resolved_with_retry(feed.stop_queries(), feed.stops(), feed.network(), ["durak"])
+
+
+@query(None)
+def stop_suggestions(feed: DemoFeed) -> DataFrame:
+    return resolve.suggestions(feed.stop_queries(), feed.stops(), feed.network())

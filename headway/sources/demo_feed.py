@@ -118,7 +118,7 @@ class DemoFeed:
     def stop_queries(self) -> DataFrame:
         """request_id, district, name: names of stops as people type them, some with a letter missing or a word more."""
         k, name = F.col("p_partkey"), F.col("p_name")
-        typed = F.when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100))).when(k % 4 == 2, F.concat_ws(" ", name, F.lit("durak"))).otherwise(F.col("p_type"))
+        typed = F.when(k % 7 == 3, F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100), F.lit(", beside the large old market"))).when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100))).when(k % 4 == 2, F.concat_ws(" ", name, F.lit("durak"))).otherwise(F.col("p_type"))
         nations = self.read("nation").select(F.col("n_nationkey").alias("nation"), "n_name")
         return self.read("part").withColumn("nation", (k % 25).cast("int")).join(nations, "nation").select(k.alias("request_id"), F.when(k % 3 == 0, "").otherwise(F.col("n_name")).alias("district"), typed.alias("name"))
 
