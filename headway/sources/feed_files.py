@@ -20,7 +20,7 @@ BUILD = "1"
 
 
 def feed_files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Path by name of the files in ``folder``; only names are read."""
+    """Path by name of the files in ``folder``; only names are read. Files without a byte don't count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path").collect()  # a dozen of files
     return {r.path.rpartition("/")[2]: r.path for r in files}
 

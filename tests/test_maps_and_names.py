@@ -146,7 +146,7 @@ def test_feed_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         feed_files.locate(files, "trips")
     with pytest.raises(ValueError, match="empty"):
-        feed_files.read_table(spark, files["empty.txt"])
+        feed_files.read_table(spark, str(feed / "empty.txt"))
     with pytest.raises(Exception, match="too many values"):
         feed_files.read_table(spark, files["bad.txt"]).collect()
 
