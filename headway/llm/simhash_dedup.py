@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -17,8 +19,10 @@ SEED = 42
 QUERY_TAU, QUERY_WORDS, QUERY_PARTS = 4, 4, 4
 #: The pipeline's rule: five-word shingles, Jaccard similarity; candidates by fingerprints of the words.
 SHINGLE_WORDS, SIMILARITY, WORD_TAU, WORD_PARTS = 5, 0.8, 8, 5
-#: Documents of a component that meet in one task.
-COMPONENT_BLOCK = 500
+#: Documents of a shingle, or partners of a document, that meet in one task.
+SHINGLE_BLOCK = 500
+#: The exact join: bits of a parity bitmap; documents that the order of shingles is fitted on, and most shingles put last.
+BITMAP, ORDER_DOCS, ORDER_MOST = 1024, 20_000, 50_000
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -82,67 +86,124 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified_links(members: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, tau: int = WORD_TAU) -> DataFrame:
-    """Links (a, b) that connect the same documents as all pairs of one component with at most ``tau`` differing bits and
-    at least ``similarity`` between their shingle sets do. ``members``: doc_id, text, fp, component_id.
-
-    A component of many documents is dealt into blocks, and each pair of blocks meets in a group of its own, so that a
-    task holds two blocks at most; a pair that earlier links of the group connect isn't compared again."""
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1")
-    n = F.ceil(F.col("size") / COMPONENT_BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("n"))
-    dealt = members.join(sizes, "component_id").withColumn("n", n).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        "component_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "text", "fp"
-    )
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-        ids, fp, block = pdf["doc_id"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["block"].to_numpy()
-        sets = [frozenset(shingle_hashes(t, words).tolist()) for t in pdf["text"]]
-        root, out = list(range(len(ids))), []
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        across = key[1] != key[2]
-        for i in range(len(ids)):
-            near = np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= tau
-            if across:
-                near &= block[i + 1 :] != block[i]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    common = len(sets[i] & sets[j])
-                    if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
-                        root[max(a, b)] = min(a, b)
-                        out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("component_id", "low", "high").applyInPandas(verify, "a long, b long")
+def common_shingles(base: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The shingles that most of about ORDER_DOCS documents share, sorted. They only come last in the order that prefixes
+    follow: what links doesn't depend on them, only the work."""
+
+    @F.pandas_udf("array<long>")
+    def distinct(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in text], dtype=object)
+
+    every = max(1, base.count() // ORDER_DOCS)
+    some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(distinct("text")).alias("shingle"))
+    often = some.groupBy("shingle").count().where("count >= 20").orderBy(F.desc("count"), "shingle").limit(ORDER_MOST)
+    return np.sort(np.array([r.shingle for r in often.collect()], dtype=np.int64).view(np.uint64))
+
+
+def sketch(common: np.ndarray, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS):
+    """UDF of a text: number of distinct shingles, prefix, parity bitmap. Of two sets of at least ``similarity`` the
+    prefixes (the first shingles of one order of all) share a shingle; their bitmaps differ in no more bits than the sets
+    in shingles."""
+
+    @F.pandas_udf("size int, prefix array<long>, bits array<long>")
+    def of(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            h = np.unique(shingle_hashes(t, words))
+            late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), dtype=bool)
+            n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1 if len(h) else 0
+            odd = np.bincount((h % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+            out.append((len(h), h[np.argsort(late, kind="stable")[:n]].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+        return pd.DataFrame(out, columns=["size", "prefix", "bits"])
+
+    return of
+
+
+def may_be_similar(similarity: float = SIMILARITY) -> Column:
+    """False only for rows x, y (size, bits, component) that are already connected or can't reach ``similarity``."""
+    x, y = F.col("x.size"), F.col("y.size")
+    differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITMAP // 64)), F.lit(0))
+    enough = (x + y - differ) / 2 >= similarity / (1 + similarity) * (x + y) - 1e-6
+    return (F.col("x.component") != F.col("y.component")) & (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & enough
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose shingle sets in ``texts`` (doc_id, text) are at least ``similarity`` similar.
+    The pairs of one a are dealt into parts."""
+
+    @F.pandas_udf("boolean")
+    def similar(one: pd.Series, other: pd.Series) -> pd.Series:
+        out, last, a = [], None, frozenset()
+        for s, t in zip(one, other, strict=True):
+            if s != last:
+                last, a = s, frozenset(shingle_hashes(s, words).tolist())
+            b = frozenset(shingle_hashes(t, words).tolist())
+            common = len(a & b)
+            out.append(common >= similarity * (len(a) + len(b) - common))
+        return pd.Series(out, dtype=bool)
+
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHINGLE_BLOCK).cast("int").alias("n"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
+    ones = counts.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").select("a", "one", parts)
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("part"))
+    others = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    return others.join(ones, ["a", "part"]).where(similar("one", "other")).select("a", "b")
+
+
+def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (doc_id, ...) with the component of ``links``; a node without links is its own."""
+    found = connected_components(links).withColumnRenamed("node", "doc_id")
+    return nodes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same documents as all pairs of shingle sets of at least 0.8 similarity do.
+
+    ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text. Only documents whose prefixes share a
+    shingle can be similar. Among these, links near in fingerprint and pairs with the smallest document of a shared
+    shingle come first; then all pairs of a shared shingle that these don't connect."""
+    sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
+    sketches = written(docs.join(sketches, ["doc_id", "digest"]).dropDuplicates(["doc_id"]), "sketches")
+    same = Window.partitionBy("shingle")
+    shared = sketches.select("doc_id", F.explode("prefix").alias("shingle"))
+    shared = written(shared.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last"), "shared")
+    nodes = written(sketches.drop("prefix").join(shared.select("doc_id").distinct(), "doc_id"), "nodes")
+    texts = written(base.join(nodes.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
+
+    alone = nodes.select("doc_id", "size", "bits", F.col("doc_id").alias("component"))
+    stars = shared.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = hamming_links.links(nodes.groupBy("fp").agg(F.min("doc_id").alias("node")), WORD_TAU, WORD_PARTS)
+    early = stars.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    early = early.join(alone.alias("x"), F.col("a") == F.col("x.doc_id")).join(alone.alias("y"), F.col("b") == F.col("y.doc_id"))
+    early = written(early.where(may_be_similar()).select("a", "b"), "early")
+    links = written(similar_pairs(early, texts), "links")
+
+    placed = written(with_components(nodes.select("doc_id", "size", "bits"), links), "placed")
+    rest = shared.select("doc_id", "shingle").join(placed.select("doc_id", "component"), "doc_id")
+    rest = rest.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).withColumn("n", F.ceil(F.count("*").over(same) / SHINGLE_BLOCK).cast("int"))
+    rest = rest.where("low < high").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n"))).select("doc_id", "shingle", "n", "block")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    rest = written(rest.drop("n", "other").join(placed, "doc_id"), "rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
+    once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
+    pairs = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return links.union(similar_pairs(written(pairs, "pairs"), texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id of its group) for every distinct doc_id of ``docs`` (doc_id, text).
 
-    Two documents link if their texts are equal, or if the fingerprints of their words differ in at most WORD_TAU bits
-    and their sets of five-word shingles are at least 0.8 similar. Texts without words link to nothing but equal texts.
-    Rows that share a doc_id count as the one with the smallest text; null doc_ids are left out."""
+    Two documents link if their texts are equal, or if their sets of five-word shingles are at least 0.8 similar. Texts
+    without words link to nothing but equal texts. Rows that share a doc_id count as the one with the smallest text; null
+    doc_ids are left out."""
     base = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("digest", F.sha2("text", 256))
     marks = F.struct("digest", word_fingerprint("text").alias("fp"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
     prints = written(base.select("doc_id", marks.alias("m")), "prints").groupBy("doc_id").agg(F.min("m").alias("m")).select("doc_id", "m.*")
     firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"))
     named = written(prints.join(firsts, "digest"), "copies")
-    candidates = components_of(named.where("doc_id = first and words").select("doc_id", "digest", "fp"), WORD_TAU, WORD_PARTS)
-    crowded = candidates.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    candidates = written(candidates.join(crowded, "component_id").select("doc_id", "digest", "fp", "component_id"), "candidates")
-    members = base.join(candidates, ["doc_id", "digest"]).select("doc_id", "text", "fp", "component_id")
-    found = connected_components(verified_links(members))
+    found = connected_components(exact_links(named.where("doc_id = first and words").select("doc_id", "digest", "fp"), base))
     groups = found.select(F.col("node").alias("first"), "component")
     return named.join(groups, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
 

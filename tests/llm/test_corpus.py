@@ -145,6 +145,46 @@ def test_links_are_exact(spark):
         assert {x.node: x.component for x in found.collect()} == {k: c for k, c in enumerate(root) if root.count(c) > 1}
 
 
+def test_near_duplicates_are_exact(spark):
+    """Every pair of 0.8 or more, whatever the edit; among them are pairs beyond the bits of the word fingerprints."""
+    r, rows = random.Random(11), []
+    common = [f"c{k}" for k in range(40)]
+
+    def fresh(n):
+        return [f"w{r.getrandbits(40):x}" for _ in range(n)]
+
+    for n in (30, 60, 100, 184, 500):
+        for share in (0.04, 0.1, 0.15, 0.2, 0.25):
+            for _ in range(4):
+                words, k = fresh(n), max(1, int(n * share))
+                at = r.randrange(n)
+                spot = r.randrange(n - 4)
+                for copy in (words, words + fresh(k), words[:at] + fresh(k) + words[at:], words[k:], words[:spot] + fresh(1) + words[spot + 1 :], words + common):
+                    rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + k, t) for k, t in enumerate(["", None, "  ", "a b", "A  b", "a b c", " ".join(common), " ".join(common[:37])])]
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    holders, links, beyond = collections.defaultdict(list), [], 0
+    for d, s in enumerate(sets):
+        for h in s:
+            holders[h].append(d)
+    fps = [simhash_dedup.majority(np.array([simhash_dedup.xxhash.xxh64_intdigest(w, 42) for w in set(simhash_dedup.normal_words(t))], dtype=np.uint64)) for _, t in rows]
+    for i, s in enumerate(sets):
+        for j in sorted({j for h in s for j in holders[h] if j > i}):
+            common_n = len(s & sets[j])
+            if common_n >= 0.8 * (len(s) + len(sets[j]) - common_n):
+                links.append((i, j))
+                beyond += ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() > simhash_dedup.WORD_TAU
+    empty = [d for d, t in rows if not t]
+    links += [(empty[0], d) for d in empty[1:]]
+    want = list(range(len(rows)))
+    for i, j in links:
+        a, b = sorted((want[i], want[j]))
+        want = [a if x == b else x for x in want]
+    assert beyond > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash_dedup.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+
 def test_top_k(spark, folder):
     rows = {i: np.floor(1024 * np.array([float(((i * 7 + k * 3) % 11) - 5) / 8 for k in range(4)])).astype(int) for i in range(230)} | {700: np.zeros(4, dtype=int)}
     out = QUERIES["op2_topk_search"](spark, folder).toPandas()
