@@ -40,6 +40,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this part of the rows is joined by broadcast: there are at most so many such keys.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys of ``counts`` (key, n) that hold more than 1 / HOT of ``total`` rows: fewer than HOT rows, so small enough to be
+    broadcast whatever the input."""
+    return counts.where(F.col("n") * HOT > total).select(key)
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``found`` (unique by ``key``). Rows with a key of ``hot`` (see ``hot_keys``) meet it where they are,
+    so a key that a third of the rows share is no task's work; only the others are shuffled. how: inner or left."""
+    often = F.broadcast(hot.join(found, key, how))
+    rare = rows.join(F.broadcast(hot), key, "left_anti").join(found, key, how)
+    return rows.join(often, key).unionByName(rare)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the other columns as ``row``: so these can't clash with an operator's own."""
     return docs.select("doc_id", "text", F.struct("doc_id", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
@@ -59,14 +77,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long): component is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, jumps the pointers twice and contracts the edges, so the
-    number of roots at least halves; a round is a handful of shuffles of the edges that are left. Nothing is gathered on
-    the driver. Self-loops and nulls are ignored; an empty input gives an empty result."""
+    number of roots at least halves; a round is a handful of shuffles of the edges that are left. The edges of a hub aren't
+    gathered in one task, nor anything on the driver. Self-loops and nulls are ignored; an empty input gives an empty result."""
     left = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     left, labels = written(left.distinct(), "edges"), None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up"))
-        up = written(up, "hooks")
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"), F.count("*").alias("n"))
+        up = written(up.select("node", F.least("node", "up").alias("up"), "n"), "hooks")
+        hubs = written(hot_keys(up, "node", left.count()), "hubs")
+        up = up.drop("n")
         for _ in range(2):
             next_up = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
             up = up.join(next_up, "up").select("node", F.col("over").alias("up"))
@@ -78,7 +98,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         labels = written(labels, "labels")
         for end in ("a", "b"):
-            left = left.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")), end)
+            left = spread_join(left, up.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")), end, hubs.withColumnRenamed("node", end))
         left = left.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).where("a <> b")
         left = written(left.distinct(), "edges")
     if labels is None:
