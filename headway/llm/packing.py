@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ LONGEST_KEY = 40
 #: Texts tokenized together.
 TOGETHER = 500
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, place long, ids array<int>"
+#: sequence_id: the bucket from this bit on, the task from the other, the place in the task's share of the bucket below.
+BUCKET_BIT, TASK_BIT = 58, 32
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,8 +33,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Signs at which a word ends and that end before a word.
-SIGN = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+#: Latin-1 but for letters, numbers, white space and the apostrophe: the tokenizer makes one word of a run of these, and
+#: cuts it from a letter or number on either side. White space here is what the tokenizer drops.
+SIGN = r"""\x00-\x08\x0e-\x1f!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\x7f-\x84\x86-\x9f¡-©«-±´¶-¸»¿×÷"""
 #: Words (with the apostrophes that belong to them), and runs of signs (with theirs).
 PIECE = re.compile(rf"[^{SIGN}' \n]+(?:'(?!'*[{SIGN}])[^{SIGN}' \n]*)*|'*[{SIGN}][{SIGN}']*|(?:'(?!'*[{SIGN}])[^{SIGN}' \n]*)+")
 PLAIN_PIECE = re.compile(rf"[^{SIGN} \n]+|[{SIGN}]+")
@@ -42,8 +46,8 @@ class ChunkEncoder:
 
     The tokenizer drops white space before its merges, and neither its normaliser, its added tokens nor its words reach
     across a blank or a line break; so the ids of a text are those of its chunks, and chunks are remembered. A text of
-    Latin-1 without the start of an added token is lower-cased first (as the tokenizer would) and also cut between words
-    and signs, where the tokenizer's words always end; so fewer chunks are new."""
+    Latin-1 without the start of an added token is lower-cased first (as the tokenizer would; NFC leaves it as it is) and
+    also cut between words and runs of signs, where the tokenizer's words always end; so fewer chunks are new."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -102,13 +106,15 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
     """The pieces of ``docs`` (doc_id, text), in the columns of PIECES.
 
     A document is its token ids and END_ID; it is cut into pieces whose lengths are powers of two, at most ``sequence``
-    (itself a power of two). Each piece is a sequence of its own; sequences of one length make up a bucket, so batches of
-    a bucket have no padding. sequence_id is unique and depends on the input's partitions only, not on retries. A null or
-    empty text is the piece of END_ID alone; a null doc_id stays null; repeated rows are packed each."""
+    (itself a power of two). Each piece is a sequence of its own and goes to the bucket of its length (bucket: the length's
+    logarithm), at a place in its task's share of that bucket; sequence_id puts bucket, task and place together, so that
+    its order is bucket by bucket, and depends on the input's partitions only, not on retries. Batches of a bucket have no
+    padding; see ``write_buckets``. A null or empty text is the piece of END_ID alone; a null doc_id stays null; repeated
+    rows are packed each."""
     path = path or tokenizer_path()
 
     def cut(batches):
-        encode = encoder(path).encode
+        encode, task, filled = encoder(path).encode, TaskContext.get().partitionId(), [0] * (sequence.bit_length() + 1)
         for whole in batches:
             for low in range(0, len(whole), TOGETHER):
                 pdf = whole.iloc[low : low + TOGETHER]
@@ -118,13 +124,24 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
                     body += END_ID.to_bytes(4, "little")
                     at, tokens = 0, len(body) // 4
                     for n in binary_lengths(tokens, sequence):
-                        ids = body[4 * at : 4 * (at + n)]
-                        out.append((None if doc != doc else doc, at, n, zlib.crc32(ids), tokens, np.frombuffer(ids, dtype="<i4")))
+                        ids, bucket = body[4 * at : 4 * (at + n)], n.bit_length() - 1
+                        place = filled[bucket]
+                        filled[bucket] += 1
+                        out.append((None if doc != doc else doc, at, n, zlib.crc32(ids), tokens, bucket << BUCKET_BIT | task << TASK_BIT | place, 0, bucket, place, np.frombuffer(ids, dtype="<i4")))
                         at += n
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64", "bucket": "int32"})
 
-    pieces = docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+
+
+COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+
+
+def write_buckets(pieces: DataFrame, path: str, files: int) -> None:
+    """The sequences of ``pack`` as Parquet in one folder for each bucket, dealt over at most ``files`` files each by a hash
+    of the sequence, so that a long bucket isn't the work of one task. A reader of one folder gets equal lengths only."""
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(files)))
+    dealt.repartition(files, "bucket", "part").drop("part").write.partitionBy("bucket").parquet(path)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
