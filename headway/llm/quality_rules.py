@@ -11,13 +11,16 @@ from headway.llm.native import WORD, let, total, words
 from headway.llm.shared import boxed, table, unboxed
 
 SYMBOL = r"[#*$%&|<>]"
-#: A line with one of these is boilerplate.
+#: A line with one of these is boilerplate (English, German, French and Spanish).
 BOILERPLATE = (
     r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript"
     r"|subscribe to our|sign up for our newsletter|click here|share this|skip to (?:main )?content"
+    r"|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|cookies akzeptieren|hier klicken|zum inhalt springen"
+    r"|tous droits réservés|conditions d.utilisation|politique de confidentialité|accepter les cookies|cliquez ici|aller au contenu"
+    r"|todos los derechos reservados|términos y condiciones|política de privacidad|aceptar las cookies|haga clic aquí|saltar al contenido"
 )
-#: A short line of nothing but links between bars, bullets or arrows.
-NAVIGATION = r"^\s*[^|»›•>]{1,40}(?:\s[|»›•>]\s[^|»›•>]{1,40}){2,}\s*[|»›•>]?\s*$"
+#: What stands between the links of a navigation line, and the most characters of a link.
+MARK, LINK = "[|»›•>]", 40
 #: Exclamation and question marks in runs, at word after word.
 SHOUTING = r"[!?]{2,}"
 
@@ -34,6 +37,21 @@ class LineRules:
     least_words: int = 50
 
 
+def navigates(line: Column) -> Column:
+    """Whether a line is three or more short links, with blanks and a bar, bullet or arrow between them, and perhaps a mark at
+    the end. The line is cut at the marks and each part judged by itself: a pattern for the whole line would recurse once a
+    link, and a line of thousands of links would overflow the stack."""
+
+    def judge(parts: Column) -> Column:
+        first, inner, last = (rf"^{head}[\s\S]{{1,{LINK}}}{tail}\z" for head, tail in ((r"\s*", r"\s"), (r"\s", r"\s"), (r"\s", r"\s*")))
+        fit = lambda x, k, n: F.when(k == 0, x.rlike(first)).when(k == n - 1, x.rlike(last)).otherwise(x.rlike(inner))
+        every = lambda some: (F.size(some) >= 3) & F.forall(F.transform(some, lambda x, k: fit(x, k, F.size(some))), lambda good: good)
+        ended = F.element_at(parts, -1).rlike(r"^\s*\z")
+        return every(parts) | (ended & let(F.slice(parts, 1, F.size(parts) - 1), every))
+
+    return (F.regexp_count(line, F.lit(MARK)) >= 2) & let(F.split(line, MARK, -1), judge)
+
+
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line with a word breaks a rule of punctuation, navigation or boilerplate."""
     n = F.regexp_count(line, F.lit(WORD))
@@ -43,25 +61,35 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         (F.regexp_count(line, F.lit(SYMBOL)) > n * rules.symbols_a_word)
         | (F.regexp_count(line, F.lit(SHOUTING)) > n * rules.shouts_a_word)
         | ((n >= rules.upper_words) & (capitals > letters * rules.upper_share))
-        | line.rlike(NAVIGATION)
+        | navigates(line)
         | line.rlike(BOILERPLATE)
     )
 
 
 def repeated_words(w: Column) -> Column:
-    """Words in three-word windows that occur twice or more. Windows are compared by a 64-bit hash."""
+    """Words in three-word windows that occur twice or more. Windows meet by a 64-bit hash; where a hash occurs twice, the
+    words themselves are compared too."""
     n = F.size(w)
-    window = lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    none = F.lit(0).cast("long")
+    word = lambda i, k: F.element_at(w, i + k)
 
     def covered(keys: Column) -> Column:
-        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        again = lambda p: F.filter(p, lambda e, j: (F.get(p, j - 1).k == e.k) | (F.get(p, j + 1).k == e.k))
-        at = let(pairs, lambda p: F.sort_array(F.transform(again(p), lambda e: e.i)))
+        full = F.transform(keys, lambda k, i: F.struct(k.alias("k"), word(i, 1).alias("x"), word(i, 2).alias("y"), word(i, 3).alias("z"), i.alias("i")))
+        same = lambda e, o: (o.k == e.k) & (o.x == e.x) & (o.y == e.y) & (o.z == e.z)
+        again = lambda p: F.filter(p, lambda e, j: same(e, F.get(p, j - 1)) | same(e, F.get(p, j + 1)))
+        at = let(F.sort_array(full), lambda p: F.sort_array(F.transform(again(p), lambda e: e.i)))
         steps = lambda a: total(F.transform(a, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(a, j + 1), x + 3) - x)))
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0).cast("long")).otherwise(let(at, steps))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), none).otherwise(let(at, steps))
+
+    some = let(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2))), covered)
+    return F.when(n >= 3, some).otherwise(none)
+
 
-    some = let(F.transform(F.sequence(F.lit(1), n - 2), window), covered)
-    return F.when(n >= 3, some).otherwise(F.lit(0).cast("long"))
+def once(lines: Column) -> Column:
+    """``lines`` without those with a word that equal an earlier one; blank lines all stay. The marks in front keep blank
+    lines apart, so that one hash set does for all."""
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike(WORD), F.concat(F.lit("="), x)).otherwise(F.concat(i.cast("string"), F.lit("="), x)))
+    return F.transform(F.array_distinct(marked), lambda x: F.substring(x, F.locate("=", x) + 1, F.length(x)))
 
 
 def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -69,7 +97,7 @@ def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     kept, and ``cleaned``, the lines that pass.
 
     A null text has no words and fails. Lines without a word are neither judged nor counted, and stay in ``cleaned``.
-    A line equal to an earlier one of its document (from the second copy on) counts as lost too."""
+    A line equal to an earlier one of its document fails too: it counts as lost, and is not in ``cleaned``."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_lines(lines: Column) -> Column:
@@ -85,7 +113,7 @@ def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     failed = (F.col("_w.n_words") < rules.least_words) | (100 * F.col("_w.n_repeat_words") > 50 * F.col("_w.n_words"))
     found = F.struct(
         "_w.n_words", "_w.word_chars", F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"), "_l.n_dup_lines", "_w.n_repeat_words",
-        failed.alias("base_failed"), (~failed & (left >= F.col("_w.word_chars") * rules.least_kept)).alias("kept"), F.array_join("_l.passed", "\n").alias("cleaned"),
+        failed.alias("base_failed"), (~failed & (left >= F.col("_w.word_chars") * rules.least_kept)).alias("kept"), F.array_join(once(F.col("_l.passed")), "\n").alias("cleaned"),
     )
     return marks.withColumn("rules", found).drop("_w", "_l")
 
