@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from headway.llm.shared import table
+from headway.llm.shared import table, written
 
 #: Bytes of an n-gram of lower-cased UTF-8, runs of anything but letters as blanks.
 GRAM = 4
 #: Slots of the filter, and slots of an n-gram.
 SLOTS, HASHES = 1 << 20, 2
-#: Bounds of the fit: rows learned from (about, chosen by a hash of doc_id), languages, n-grams of a language.
-FIT_ROWS, MOST_LANGUAGES, MOST_GRAMS = 20_000, 63, 100_000
+#: Bound of the fit: rows learned from for each language, about, chosen by a hash of doc_id.
+FIT_ROWS = 10_000
+#: Languages whose bits share a 64-bit word of a slot, and slots that one row brings to the driver.
+WORD, RANGE = 63, 1 << 14
 #: An n-gram is a language's if it is there at least so often, and at least so frequent as a share of where it is most so.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
 #: Bytes looked up at once.
@@ -27,10 +29,15 @@ BUFFER = 1 << 20
 FOLD = np.full(256, 32, dtype=np.uint8)
 FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 FOLD[128:] = np.arange(128, 256)
-LETTER = re.compile(r"[^\W\d_]")
+COMMON_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter: of category L, so no number such as ½ or Ⅷ."""
+    return bool(COMMON_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def folded(text: str) -> np.ndarray:
     return FOLD[np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)]
 
@@ -51,7 +58,8 @@ def slots(gram: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """slots[s] has bit l if an n-gram of language l falls there; false_rate[l]: how often a foreign n-gram meets it."""
+    """slots[w, s] has bit l of word w if an n-gram of language w * WORD + l falls there; false_rate[l]: how often a foreign
+    n-gram meets language l."""
 
     languages: list[str]
     slots: np.ndarray
@@ -59,11 +67,15 @@ class LanguageFilters:
 
     @classmethod
     def of(cls, languages: list[str], owned: list[np.ndarray]) -> LanguageFilters:
-        table = np.zeros(SLOTS, dtype=np.uint64)
-        for bit, own in enumerate(owned):
+        table = np.zeros((max(1, -(-len(languages) // WORD)), SLOTS), dtype=np.uint64)
+        for number, own in enumerate(owned):
             for s in slots(own.astype(np.uint64)):
-                table[s] |= np.uint64(1 << bit)
-        fill = np.array([((table >> np.uint64(bit)) & np.uint64(1)).mean() for bit in range(len(languages))])
+                table[number // WORD, s] |= np.uint64(1 << number % WORD)
+        return cls.filled(languages, table)
+
+    @classmethod
+    def filled(cls, languages: list[str], table: np.ndarray) -> LanguageFilters:
+        fill = np.array([((table[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(languages))])
         return cls(languages, table, fill**HASHES)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -71,7 +83,7 @@ class LanguageFilters:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.languages:
             return out
-        at = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        at = [k for k, t in enumerate(texts) if t and has_letter(t)]
         while at:
             blocks, size = [], 0
             while at and (not blocks or size < BUFFER):
@@ -85,17 +97,18 @@ class LanguageFilters:
         blank = np.full(1, 32, dtype=np.uint8)
         after = np.full(GRAM, 32, dtype=np.uint8)
         data = np.concatenate([x for _, d in blocks for x in (blank, d, after)])
-        found = self.slots[(where := slots(grams(data)))[0]]
+        where = slots(grams(data))
+        found = self.slots[:, where[0]]
         for s in where[1:]:
-            found &= self.slots[s]
+            found &= self.slots[:, s]
         ends = np.cumsum([len(d) + 1 + GRAM for _, d in blocks])
         starts = np.r_[0, ends[:-1]]
-        inside = np.stack([starts, np.minimum(ends - GRAM + 1, len(found))], 1)  # n-grams that reach no other text
+        inside = np.stack([starts, np.minimum(ends - GRAM + 1, found.shape[1])], 1)  # n-grams that reach no other text
         edges = inside.ravel()
         n = (inside[:, 1] - inside[:, 0]).astype(float)
         scores = np.zeros((len(self.languages), len(blocks)))
         for bit in range(len(self.languages)):
-            hits = np.r_[0, np.cumsum((found >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
+            hits = np.r_[0, np.cumsum((found[bit // WORD] >> np.uint64(bit % WORD)) & np.uint64(1), dtype=np.int64)]
             counted = (hits[edges[1::2]] - hits[edges[::2]]).astype(float)
             scores[bit] = np.maximum(0, counted - n * self.false_rate[bit]) / (1 - self.false_rate[bit])
         best, sums = scores.argmax(0), scores.sum(0)
@@ -110,11 +123,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
-    """Filters learned from ``docs`` (doc_id, text, lang), of which at most about ``rows`` rows are read. Counts are
-    summed on the executors; the driver gets at most MOST_GRAMS n-grams of each language."""
+    """Filters learned from ``docs`` (doc_id, text, lang), of which about ``rows`` rows of each language are read. Counts and
+    bits are put together on the executors; the driver gets the languages and SLOTS words for each WORD of them."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = known.select("doc_id").count()
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / max(n, 1)) * (1 << 30)))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(sizes)
+    if not languages:
+        return LanguageFilters.of([], [])
+    share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, rows / sizes[k]) * (1 << 30)))))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def count(batches):
         for pdf in batches:
@@ -126,23 +143,43 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
                     yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
 
     counted = some.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") >= LEAST_COUNT)
-    from pyspark.sql import Window
+    counted = written(counted.where(F.col("n") >= LEAST_COUNT), "grams")
+    totals = {r.lang: r.all for r in counted.groupBy("lang").agg(F.sum("n").alias("all")).collect()}
+    languages = sorted(totals)
+    if not languages:
+        return LanguageFilters.of([], [])
+    look = lambda of: F.create_map(*(F.lit(x) for k in languages for x in (k, of(k))))[F.col("lang")]
+    rated = counted.select("gram", look(languages.index).alias("number"), (F.col("n") / look(lambda k: float(totals[k]))).alias("rate"))
+    best = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("number", "rate")).alias("all"))
+    own = best.select("gram", F.transform(F.filter("all", lambda x: x.rate >= LEAST_SHARE * F.col("most")), lambda x: x.number).alias("numbers"))
+
+    def place(batches):
+        for pdf in batches:
+            lists = [np.asarray(x, dtype=np.int64) for x in pdf["numbers"]]
+            if not lists:
+                continue
+            number, of = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            for at in slots(pdf["gram"].to_numpy(np.int64).astype(np.uint64)):
+                yield pd.DataFrame({"word": number // WORD, "slot": at[of], "bits": np.int64(1) << (number % WORD)})
+
+    bits = own.mapInPandas(place, "word int, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits"))
+
+    def dense(key, pdf):
+        part = np.zeros(RANGE, dtype=np.int64)
+        part[pdf["slot"].to_numpy(np.int64) % RANGE] = pdf["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"word": [key[0]], "at": [key[1]], "part": [part.tobytes()]})
 
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = counted.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).join(F.broadcast(sizes), "lang")
-    pdf = kept.select("lang", "gram", (F.col("n") / F.col("all")).alias("rate")).toPandas()
-    most = pdf.groupby("gram")["rate"].transform("max")
-    pdf = pdf[pdf["rate"] >= LEAST_SHARE * most]
-    languages = sorted(pdf["lang"].unique())
-    return LanguageFilters.of(languages, [pdf.loc[pdf["lang"] == x, "gram"].to_numpy(np.int64) for x in languages])
+    parts = bits.groupBy("word", F.floor(F.col("slot") / RANGE).alias("at")).applyInPandas(dense, "word int, at long, part binary").collect()
+    table = np.zeros((-(-len(languages) // WORD), SLOTS), dtype=np.uint64)
+    for r in parts:
+        table[r.word, r.at * RANGE : (r.at + 1) * RANGE] = np.frombuffer(r.part, dtype=np.uint64)
+    return LanguageFilters.filled(languages, table)
 
 
 def predicted(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone. A null text, or one without a letter, is ``und`` with
     score 0; of equal languages the alphabetically first counts; if nothing was learned, all texts are ``und``."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each WORD languages, whatever the input
 
     @F.pandas_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     def predict(text: pd.Series) -> pd.DataFrame:
