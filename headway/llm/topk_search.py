@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headway.llm.shared import table
+from headway.llm.shared import partitions, table, written
 
 K = 10
 SCALE = 1024
-#: Rows of a block of candidates and of queries, about.
-CANDIDATES, QUERIES = 8192, 512
+#: Rows of a block of candidates, about; and vectors of it held at once as queries.
+CANDIDATES, TOGETHER = 32768, 1024
 #: Entries read from each list before the first look at the bound; twice as many before each further one.
 STEP = 64
 
@@ -40,8 +40,9 @@ class SortedLists:
             return (self.floats[at] @ query.astype(np.float64)).astype(np.int64)
         return self.rows[at] @ query
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best rows, best first, but for the row with id ``own``.
+    def top(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows, best first, but for the row with id ``own``; of rows with less than
+        ``least`` some or all may be left out.
 
         Each list is read from the end that the query favours. No row that is still unread can score more than the
         products at the places reached add up to; once that bound is less than the kth score, the rest can't matter
@@ -69,40 +70,68 @@ class SortedLists:
             keep = np.lexsort((best, -scores))[:k]
             best, scores = best[keep], scores[keep]
             bound = int((self.rows[read[-1], used] * query[used]).sum())
-            if len(best) == k and bound < scores[-1] or seen.all():
+            if len(best) == k and bound < scores[-1] or least is not None and bound < least or seen.all():
                 break
             low, step = low + step, 2 * step
         return best, scores
 
 
+def block_tops(vectors: DataFrame, queries: DataFrame, k: int):
+    """(query_id, vec_id, score): the ``k`` best of each block of ``vectors`` (dims, block, id, vec) for each of ``queries``
+    (dims, block, id, vec, least: null, or a score that k rows are known to reach).
+
+    A block's vectors come first and are sorted into lists once; then the queries stream by, so a task holds a block and a
+    batch, however many queries there are."""
+    columns = ["dims", "block", "asks", "id", "vec", "least"]
+    there = vectors.select("dims", "block", F.lit(False).alias("asks"), "id", "vec", F.lit(None).cast("long").alias("least"))
+    dealt = there.union(queries.select("dims", "block", F.lit(True).alias("asks"), "id", "vec", "least")).select(columns)
+
+    def meet(batches):
+        at, rows, lists = None, [], None
+        for whole in batches:
+            for low in range(0, len(whole), TOGETHER):
+                for key, part in whole.iloc[low : low + TOGETHER].groupby(["dims", "block"]):
+                    if key != at:
+                        at, rows, lists = key, [], None
+                    asks = part["asks"].to_numpy(bool)
+                    if not asks.all():
+                        own = part[~asks]
+                        rows.append((own["id"].to_numpy(np.int64), np.stack(own["vec"].tolist()).astype(np.int64)))
+                    if asks.any() and rows:
+                        lists = lists or SortedLists(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+                        out = []
+                        for own, query, least in part.loc[asks, ["id", "vec", "least"]].itertuples(index=False):
+                            place, scores = lists.top(np.asarray(query, dtype=np.int64), own, k, None if pd.isna(least) else int(least))
+                            out.append(pd.DataFrame({"query_id": own, "vec_id": lists.ids[place], "score": scores}))
+                        yield pd.concat(out)
+
+    n = partitions(vectors.sparkSession)
+    sorted_blocks = dealt.repartition(n, "dims", "block").sortWithinPartitions("dims", "block", "asks")
+    return sorted_blocks.mapInPandas(meet, "query_id long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` its k best of ``vectors`` (both: id long, unique; vec:
     array of long), without the row of the same id; fewer if there aren't so many. Only vectors of one length meet.
 
-    Queries and candidates are dealt into blocks by a hash of the id, and each pair of blocks meets in a task; a block's
-    k best of each query go on to the window."""
-    n, m = vectors.count(), queries.count()
-    n_blocks, m_blocks = -(-n // CANDIDATES) or 1, -(-m // QUERIES) or 1
-    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    kept = ["id", "vec", F.size("vec").alias("dims")]
-    asked = queries.select(*kept, F.lit(True).alias("asks"), deal(m_blocks).alias("qb"), every(n_blocks).alias("cb"))
-    there = vectors.select(*kept, F.lit(False).alias("asks"), every(m_blocks).alias("qb"), deal(n_blocks).alias("cb"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        out = []
-        if asks.any() and not asks.all():
-            rows = np.stack(pdf.loc[~asks, "vec"].tolist()).astype(np.int64)
-            lists = SortedLists(pdf.loc[~asks, "id"].to_numpy(np.int64), rows)
-            for own, query in zip(pdf.loc[asks, "id"].tolist(), pdf.loc[asks, "vec"], strict=True):
-                at, scores = lists.top(np.asarray(query, dtype=np.int64), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": lists.ids[at], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    met = asked.union(there).groupBy("dims", "qb", "cb").applyInPandas(meet, "query_id long, vec_id long, score long")
+    Candidates are dealt into blocks by a hash of the id, each held by one task; queries visit every block. They visit the
+    first block alone, and take the score of the kth best there along to the others, where lists then end early; rows under it
+    go no further. A block's k best of each query go on to the window."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda met: met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = -(-vectors.count() // CANDIDATES) or 1
+    dealt = vectors.select(F.size("vec").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vec")
+    asked = queries.select(F.size("vec").alias("dims"), "id", "vec")
+    none = F.lit(None).cast("long").alias("least")
+    first = block_tops(dealt.where("block = 0"), asked.select("dims", F.lit(0).alias("block"), "id", "vec", none), k)
+    if blocks == 1:
+        return best(first)
+    first = written(first, "first-block")
+    known = first.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    known = known.select("id", F.when(F.col("n") == k, F.col("low")).alias("least"))
+    rest = asked.join(known, "id", "left").select("dims", F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))).alias("block"), "id", "vec", "least")
+    others = block_tops(dealt.where("block > 0"), rest, k).join(known.withColumnRenamed("id", "query_id"), "query_id", "left")
+    return best(first.union(others.where("least is null or score >= least").select("query_id", "vec_id", "score")))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +140,5 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with a null vec_id take no part; rows that share a vec_id count as one, the smallest vector; empty vectors meet
     only each other, with score 0. Scores are exact while they fit into 64 bits."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vec"))
-    vectors = vectors.where("id is not null and vec is not null").groupBy("id").agg(F.min("vec").alias("vec"))
+    vectors = written(vectors.where("id is not null and vec is not null").groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     return top_k(vectors, vectors.where("id % 100 = 0"))
