@@ -4,8 +4,8 @@ Every window of ``window`` bytes has one anchor: the leftmost of its ``GRAM``-by
 windows have equal anchors at equal offsets, so whatever repeats meets at its anchor's hash, and only one position in
 about 35 takes part. The windows of an anchor are a stretch of the document.
 
-1. Anchors are found in Arrow batches. Of anchors of one task whose stretches are equal (hash of the stretch, its
-   window offsets) only the earliest goes on; the windows of the others repeat, and go on as removed stretches.
+1. Anchors are found in Arrow batches. Of anchors of one task whose stretches are equal (two hashes of the stretch, one of
+   them polynomial and one, XXH3, that has nothing in common with it; its window offsets) only the earliest goes on; the windows of the others repeat, and go on as removed stretches.
 2. Anchors meet by hash. Equal stretches repeat as before. Where different stretches have one anchor, the earliest of
    each asks for its bytes.
 3. These stretches are cut from the documents, meet by the anchor's hash and are sorted as suffixes, forwards and
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -100,7 +101,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hash
     return of[lo], low, high, anchor, key[anchor], hasher.hashes(prefix, low, high + window)
 
 
-ANCHORS = "gram long, stretch long, before int, after int, id long, version long, start int"
+ANCHORS = "gram long, stretch long, check long, before int, after int, id long, version long, start int"
+#: What equal stretches have in common.
+SAME = ["gram", "stretch", "check", "before", "after"]
 
 
 def find_anchors(window: int):
@@ -123,9 +126,9 @@ def find_anchors(window: int):
             found = pd.concat([p for p in parts if p is not None]) if any(p is not None for p in parts) else None
             if found is None or found.empty:
                 continue
-            order = np.lexsort((found["start"], found["version"], found["id"], found["after"], found["before"], found["stretch"], found["gram"]))
+            order = np.lexsort([found[c] for c in ("start", "version", "id", *SAME[::-1])])
             found = found.iloc[order]
-            same = (found[["gram", "stretch", "before", "after"]].to_numpy()[1:] == found[["gram", "stretch", "before", "after"]].to_numpy()[:-1]).all(1)
+            same = np.logical_and.reduce([(v := found[c].to_numpy())[1:] == v[:-1] for c in SAME])
             again = np.r_[False, same]
             yield found[~again]
             gone = found[again]
@@ -149,13 +152,16 @@ def stretch_table(bodies, ids, versions, hasher, window) -> pd.DataFrame | None:
 
 
 def stretch_part(cuts, ids, versions, hasher, window) -> pd.DataFrame:
-    data = np.frombuffer(b"".join(c[2] for c in cuts), dtype=np.uint8)
+    joined = b"".join(c[2] for c in cuts)
+    data = np.frombuffer(joined, dtype=np.uint8)
     ends = np.cumsum([len(c[2]) for c in cuts])
     starts = np.r_[0, ends[:-1]]
     of, low, high, anchor, gram, stretch = anchors(data, starts, ends, hasher, window)
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(joined)
+    check = np.fromiter((digest(view[s:e]) for s, e in zip(low.tolist(), (high + window).tolist(), strict=True)), dtype=np.uint64, count=len(low))
     text, shift = np.array([c[0] for c in cuts])[of], np.array([c[1] for c in cuts])[of] - starts[of]
     return pd.DataFrame(
-        {"gram": gram.view(np.int64), "stretch": stretch.view(np.int64), "before": (anchor - low).astype(np.int32), "after": (anchor - high).astype(np.int32),
+        {"gram": gram.view(np.int64), "stretch": stretch.view(np.int64), "check": check.view(np.int64), "before": (anchor - low).astype(np.int32), "after": (anchor - high).astype(np.int32),
          "id": ids[text], "version": versions[text], "start": (low + shift).astype(np.int32)}
     )
 
@@ -170,7 +176,7 @@ def removed(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     hi = np.r_[lo[1:], len(ids)] - 1
     gram = mixed(start[lo].astype(np.uint64) ^ ids[lo].view(np.uint64)).view(np.int64)
     return pd.DataFrame(
-        {"gram": gram, "stretch": np.int64(0), "before": (end[hi] - start[lo]).astype(np.int32), "after": np.int32(-1), "id": ids[lo], "version": versions[lo], "start": start[lo].astype(np.int32)}
+        {"gram": gram, "stretch": np.int64(0), "check": np.int64(0), "before": (end[hi] - start[lo]).astype(np.int32), "after": np.int32(-1), "id": ids[lo], "version": versions[lo], "start": start[lo].astype(np.int32)}
     )
 
 
@@ -185,12 +191,13 @@ def meet_anchors(window: int):
             rows = rows[~gone]
         if rows.empty:
             return
-        columns = [rows[c].to_numpy() for c in ("gram", "stretch", "before", "after", "id", "version", "start")]
+        columns = [rows[c].to_numpy() for c in (*SAME, "id", "version", "start")]
         order = np.lexsort(columns[::-1])
-        gram, stretch, before, after, ids, version, start = (c[order] for c in columns)
+        *alike, ids, version, start = (c[order] for c in columns)
+        gram = alike[0]
         rows = rows.iloc[order]
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, (stretch[1:] != stretch[:-1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])]
+        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in alike])]
         repeated = ~new & np.r_[False, (ids[1:] == ids[:-1]) & (version[1:] == version[:-1]) & (start[1:] == start[:-1])]
         if (~new & ~repeated).any():
             yield removed(rows[~new & ~repeated], window)
