@@ -27,6 +27,8 @@ BLOCK = 8192
 SLICE = 2_000_000
 #: Fingerprints on which bit groups are fitted; a bounded sample, the links don't depend on it.
 FIT_SAMPLE = 20_000
+#: Fingerprints from which one group of bits fewer is used: then a bucket of 64 / 4 bits would hold hundreds of them.
+MANY = 1 << 24
 #: Weight of a probe against a candidate, in the choice of thresholds.
 PROBE_COST = 2.0
 
@@ -136,9 +138,11 @@ def linked(bucket: np.ndarray, kind: np.ndarray, fp: np.ndarray, node: np.ndarra
 
 def links(fingerprints: DataFrame, tau: int, parts: int) -> DataFrame:
     """Links (a, b) that connect the same nodes as all pairs of ``fingerprints`` (node: long, unique; fp: long, unique)
-    at a distance of at most ``tau`` do. Rows with a null are left out; an empty input gives no links."""
+    at a distance of at most ``tau`` do. Rows with a null are left out; an empty input gives no links. From MANY fingerprints
+    on there is one group of bits less, and so are there fewer candidates in a bucket; the links don't depend on it."""
     spark = fingerprints.sparkSession
     fps = fingerprints.where("node is not null and fp is not null").select("node", "fp")
+    parts = max(3, parts - 1) if fps.count() > MANY else parts
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(FIT_SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     groups = correlated_groups(sample, parts)
     widths = [len(g) for g in groups]

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from headway.llm import hamming_links
-from headway.llm.shared import connected_components, table, written
+from headway.llm.shared import connected_components, hot_keys, spread_join, table, written
 
 SEED = 42
-#: The link rule of the query: differing bits, words of a shingle, groups of bits.
+#: The link rule of the query: differing bits, words of a shingle, groups of bits (fewer for very many fingerprints).
 QUERY_TAU, QUERY_WORDS, QUERY_PARTS = 4, 4, 4
 #: The pipeline's rule: five-word shingles, Jaccard similarity; candidates by fingerprints of the words.
 SHINGLE_WORDS, SIMILARITY, WORD_TAU, WORD_PARTS = 5, 0.8, 8, 5
@@ -69,11 +69,12 @@ def components_of(fingerprinted: DataFrame, tau: int, parts: int) -> DataFrame:
     """``fingerprinted`` (doc_id, fp, ...) with component_id: the smallest doc_id reachable over links of at most ``tau``
     bits. Copies of a fingerprint meet once, as the smallest doc_id that has it. A row with a null doc_id belongs to its
     fingerprint's component, and to none (null) if no row with an id has it."""
-    reps = fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    edges = hamming_links.links(reps, tau, parts)
+    reps = written(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "representatives")
+    edges = hamming_links.links(reps.drop("n"), tau, parts)
     found = connected_components(edges)
     per_fp = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fingerprinted.join(per_fp, "fp", "left")
+    hot = written(hot_keys(reps, "fp", fingerprinted.count()), "hot")
+    return spread_join(fingerprinted, per_fp, "fp", hot)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +202,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = base.withColumn("digest", F.sha2("text", 256))
     marks = F.struct("digest", word_fingerprint("text").alias("fp"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
     prints = written(base.select("doc_id", marks.alias("m")), "prints").groupBy("doc_id").agg(F.min("m").alias("m")).select("doc_id", "m.*")
-    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = written(prints.join(firsts, "digest"), "copies")
+    prints = written(prints, "marks")
+    firsts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
+    hot = written(hot_keys(firsts, "digest", prints.count()), "hot")
+    named = written(spread_join(prints, firsts.drop("n"), "digest", hot), "copies")
     found = connected_components(exact_links(named.where("doc_id = first and words").select("doc_id", "digest", "fp"), base))
     groups = found.select(F.col("node").alias("first"), "component")
     return named.join(groups, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
