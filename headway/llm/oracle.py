@@ -23,10 +23,12 @@ judged AS (
   SELECT *, length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) > n * 0.5 OR len(regexp_extract_all(line, '[!?]{2,}')) > n * 0.25
     OR n >= 4 AND length(regexp_replace(line, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(line, '[^\p{L}]+', '', 'g')) * 0.7
     OR regexp_matches(line, '^[\x20\x09-\x0D]*[^|»›•>]{1,40}(?:[\x20\x09-\x0D][|»›•>][\x20\x09-\x0D][^|»›•>]{1,40}){2,}[\x20\x09-\x0D]*[|»›•>]?[\x20\x09-\x0D]*$')
-    OR regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|subscribe to our|sign up for our newsletter|click here|share this|skip to (?:main )?content'
-    || '|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|cookies akzeptieren|hier klicken|zum inhalt springen'
-    || '|tous droits réservés|conditions d.utilisation|politique de confidentialité|accepter les cookies|cliquez ici|aller au contenu'
-    || '|todos los derechos reservados|términos y condiciones|política de privacidad|aceptar las cookies|haga clic aquí|saltar al contenido') AS fails
+    OR len([p for p in [
+      'all rights reserved', 'terms of use', 'terms of service', 'privacy policy', 'cookie policy', 'accept cookies', 'accept all cookies',
+      'enable javascript', 'subscribe to our', 'sign up for our newsletter', 'click here', 'share this', 'skip to content', 'skip to main content',
+      'alle rechte vorbehalten', 'allgemeine geschäftsbedingungen', 'datenschutzerklärung', 'cookies akzeptieren', 'hier klicken', 'zum inhalt springen', 'tous droits réservés',
+      'conditions d''utilisation', 'conditions d’utilisation', 'politique de confidentialité', 'accepter les cookies', 'cliquez ici', 'aller au contenu', 'todos los derechos reservados',
+      'términos y condiciones', 'política de privacidad', 'aceptar las cookies', 'haga clic aquí', 'saltar al contenido'] if contains(lower(line), p)]) > 0 AS fails
   FROM lines WHERE n > 0),
 kept_lines AS (
   SELECT r, sum(copies - 1)::BIGINT AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) END) AS stays FROM judged GROUP BY r),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,14 @@ from headway.llm.native import WORD, let, total, words
 from headway.llm.shared import boxed, table, unboxed
 
 SYMBOL = r"[#*$%&|<>]"
-#: A line with one of these is boilerplate (English, German, French and Spanish).
+#: A line with one of these, in either case, is boilerplate (English, German, French, Spanish).
 BOILERPLATE = (
-    r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript"
-    r"|subscribe to our|sign up for our newsletter|click here|share this|skip to (?:main )?content"
-    r"|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|cookies akzeptieren|hier klicken|zum inhalt springen"
-    r"|tous droits réservés|conditions d.utilisation|politique de confidentialité|accepter les cookies|cliquez ici|aller au contenu"
-    r"|todos los derechos reservados|términos y condiciones|política de privacidad|aceptar las cookies|haga clic aquí|saltar al contenido"
-)
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "accept all cookies", "enable javascript",
+    "subscribe to our", "sign up for our newsletter", "click here", "share this", "skip to content", "skip to main content",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "conditions d'utilisation", "conditions d’utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "términos y condiciones", "política de privacidad", "aceptar las cookies", "haga clic aquí", "saltar al contenido",
+)
 #: What stands between the links of a navigation line, and the most characters of a link.
 MARK, LINK = "[|»›•>]", 40
 #: Exclamation and question marks in runs, at word after word.
@@ -52,8 +54,14 @@ def navigates(line: Column) -> Column:
     return (F.regexp_count(line, F.lit(MARK)) >= 2) & let(F.split(line, MARK, -1), judge)
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line with a word breaks a rule of punctuation, navigation or boilerplate."""
+def boilerplate(text: Column) -> Column:
+    """Whether a phrase of BOILERPLATE is there."""
+    return let(F.lower(text), lambda low: reduce(or_, (low.contains(x) for x in BOILERPLATE)))
+
+
+def line_fails(line: Column, rules: LineRules, suspect: Column) -> Column:
+    """Whether a line with a word breaks a rule of punctuation, navigation or boilerplate. suspect: whether its text may have
+    boilerplate."""
     n = F.regexp_count(line, F.lit(WORD))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
@@ -62,7 +70,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         | (F.regexp_count(line, F.lit(SHOUTING)) > n * rules.shouts_a_word)
         | ((n >= rules.upper_words) & (capitals > letters * rules.upper_share))
         | navigates(line)
-        | line.rlike(BOILERPLATE)
+        | (suspect & boilerplate(line))
     )
 
 
@@ -100,15 +108,15 @@ def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     A line equal to an earlier one of its document fails too: it counts as lost, and is not in ``cleaned``."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def of_lines(lines: Column) -> Column:
+    def of_lines(lines: Column, suspect: Column) -> Column:
         worded = F.filter(lines, lambda x: x.rlike(WORD))
-        passed = F.filter(lines, lambda x: ~(x.rlike(WORD) & line_fails(x, rules)))
+        passed = F.filter(lines, lambda x: ~(x.rlike(WORD) & line_fails(x, rules, suspect)))
         return F.struct((F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"), passed.alias("passed"))
 
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
 
-    marks = docs.withColumn("_w", let(words(text), of_words)).withColumn("_l", let(F.split(text, "\n", -1), of_lines))
+    marks = docs.withColumn("_w", let(words(text), of_words)).withColumn("_l", let(boilerplate(text), lambda b: let(F.split(text, "\n", -1), lambda x: of_lines(x, b))))
     left = total(F.transform(F.array_distinct("_l.passed"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", ""))))
     failed = (F.col("_w.n_words") < rules.least_words) | (100 * F.col("_w.n_repeat_words") > 50 * F.col("_w.n_words"))
     found = F.struct(

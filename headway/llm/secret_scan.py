@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,20 +54,13 @@ def near(x: Column, *kinds: Column) -> Column:
         ahead = F.get(spots, count_below(spots, x.end, lambda y: y.start)).start
         return let(at, lambda k: back(k - 1) | back(k - 2)) | F.coalesce(ahead - x.end <= SCOPE, F.lit(False))
 
-    return any_of(*map(beside, kinds))
+    return reduce(or_, map(beside, kinds))
 
 
 def overlaps(x: Column, *kinds: Column) -> Column:
     """Whether span x overlaps a span of one of ``kinds`` (sorted, without overlaps): the last that starts before x ends."""
     last = lambda spots: F.get(spots, count_below(spots, x.end, lambda y: y.start) - 1).end
-    return any_of(*(F.coalesce(last(k) > x.start, F.lit(False)) for k in kinds))
-
-
-def any_of(*conditions: Column) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    return reduce(or_, (F.coalesce(last(k) > x.start, F.lit(False)) for k in kinds))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
