@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -16,3 +17,13 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="headway-checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with dense numbers from 0 in the given order: rows are dealt by ranges and numbered in each part; only the sizes
+    of the parts meet in one place."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    parts = durable(dealt.withColumn("_part", F.shiftright("_m", 33)).withColumn("_m", F.col("_m").bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return parts.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_m")).drop("_part", "_m", "_offset")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
+from headway.functions.durable import durable
 from headway.operators import boarding, conditions, journeys, lines, names, patterns, resolve, rides, rounds, shapes, timetable, validate, vehicles
 from headway.sources.demo_feed import FEED_SQL, DemoFeed
 
@@ -34,30 +35,48 @@ PATHS = """, paths AS (
     string_agg(CASE WHEN pickup THEN '1' ELSE '0' END, '' ORDER BY stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pickups,
     string_agg(CASE WHEN dropoff THEN '1' ELSE '0' END, '' ORDER BY stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dropoffs
   FROM stop_times GROUP BY trip_id)"""
-PATTERNS = PATHS + """, patterns AS (
-  SELECT row_number() OVER (ORDER BY route_id, coalesce(direction, ''), stops, pickups, dropoffs, days) - 1 AS pattern_id, *
-  FROM (SELECT route_id, direction, days, stops, pickups, dropoffs, count(*) AS n_trips, count(DISTINCT service_id) AS n_services
-        FROM trips JOIN calendars USING (service_id) JOIN paths USING (trip_id) WHERE days > 0 GROUP BY ALL))"""
+PATTERNS = PATHS + """, clean AS (SELECT trip_id, regexp_matches(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$') AS flagged,
+  nullif(trim(regexp_replace(regexp_replace(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$', ''), '[# ]+$', '')), '') AS note FROM notes),
+patterns AS (
+  SELECT row_number() OVER (ORDER BY route_id, coalesce(direction, ''), [x::BIGINT for x in string_split(stops, '-')], pickups, dropoffs, [d for d in range(7) if days & (1 << d::INT) <> 0]) - 1 AS pattern_id, *
+  FROM (SELECT route_id, direction, days, stops, pickups, dropoffs, count(*) AS n_trips, count(DISTINCT service_id) AS n_services, count(*) FILTER (NOT flagged) AS n_plain
+        FROM trips JOIN calendars USING (service_id) JOIN paths USING (trip_id) JOIN clean USING (trip_id) WHERE days > 0 GROUP BY ALL))"""
 HAVERSINE = "12742000 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
-CALLS = """, hops AS (
+ANCHORED = """, near AS (
+  SELECT rule_id, side, span, pattern_id, position, c.stop_id <> landmark AS other, CASE WHEN c.stop_id = landmark THEN 0 ELSE round(%s)::BIGINT END AS metres
+  FROM network c JOIN boarding_rules USING (route_id, direction) JOIN stops a ON a.stop_id = c.stop_id JOIN stops b ON b.stop_id = landmark),
+anchors AS (SELECT rule_id, pattern_id, side, span, position AS anchor FROM near WHERE NOT other OR metres <= 800 QUALIFY row_number() OVER (PARTITION BY rule_id, pattern_id ORDER BY other, metres, position) = 1)""" % HAVERSINE.format(a="a.", b="b.")
+PERMITTED = ANCHORED + """, taken AS (SELECT pattern_id, position, side FROM network JOIN anchors USING (pattern_id)
+  WHERE CASE span WHEN 'before' THEN position < anchor WHEN 'through' THEN position <= anchor WHEN 'from' THEN position >= anchor ELSE position > anchor END),
+permitted AS (
+  SELECT pattern_id, position, stop_id, pickup AND NOT coalesce(bool_or(side = 'board'), false) AS pickup, dropoff AND NOT coalesce(bool_or(side = 'alight'), false) AS dropoff
+  FROM network n LEFT JOIN taken t USING (pattern_id, position) GROUP BY pattern_id, position, stop_id, pickup, dropoff)"""
+CALLS = PERMITTED + """, hops AS (
   SELECT pattern_id, route_id, position, stop_id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
   FROM network JOIN stops USING (stop_id) WINDOW w AS (PARTITION BY pattern_id ORDER BY position)),
+running AS (SELECT pattern_id, bit_or(days) AS days FROM departures GROUP BY pattern_id),
 calls AS (
-  SELECT pattern_id, route_id, position, stop_id, route_id %% 10 = 0 AS tram,
-    sum(CASE WHEN plat IS NULL THEN 0 ELSE round(%s)::BIGINT END) OVER (PARTITION BY pattern_id ORDER BY position)::BIGINT AS metres
-  FROM hops)""" % HAVERSINE.format(a="p", b="")
+  SELECT h.pattern_id, route_id, h.position, h.stop_id, route_id %% 10 = 0 AS tram, pickup, dropoff, coalesce(days, 0) AS days,
+    sum(CASE WHEN plat IS NULL THEN 0 ELSE round(%s)::BIGINT END) OVER (PARTITION BY h.pattern_id ORDER BY h.position)::BIGINT AS metres
+  FROM hops h JOIN permitted p USING (pattern_id, position) LEFT JOIN running USING (pattern_id))""" % HAVERSINE.format(a="p", b="").replace("plat", "h.plat").replace("plon", "h.plon")
 EDGES = """, edges AS (
   SELECT a.stop_id, b.stop_id AS to_stop, round(%s)::BIGINT AS metres FROM stops a JOIN stops b
   ON a.stop_id <> b.stop_id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01 WHERE round(%s) <= 500)""" % ((HAVERSINE.format(a="a.", b="b."),) * 2)
 
 
 def calls(feed: DemoFeed) -> DataFrame:
-    """The network's stops with metres and whether the line is a tram."""
-    return geo.chain_metres(feed.network(), feed.stops()).withColumn("tram", F.col("route_id") % 10 == 0)
+    """The network's stops with metres, permissions (rules of boarding included), the days of the pattern (bits) and whether the
+    line is a tram; kept, as jobs use it several times."""
+    network = feed.network()
+    allowed = boarding.permissions(network, boarding.anchors(feed.boarding_rules(), network, feed.stops())).select("pattern_id", "position", "pickup", "dropoff")
+    days = feed.departures().groupBy("pattern_id").agg(F.bit_or("days").alias("days"))
+    on = geo.chain_metres(network.drop("pickup", "dropoff"), feed.stops()).withColumn("tram", F.col("route_id") % 10 == 0)
+    return durable(on.join(allowed, ["pattern_id", "position"]).join(days, "pattern_id", "left").withColumn("days", F.coalesce("days", F.lit(0))))
 
 
 def raw_patterns(feed: DemoFeed) -> DataFrame:
-    return patterns.patterns(feed.trips(), feed.calendars(), feed.stop_times())
+    flags = lines.cleaned_notes(feed.notes()).select("trip_id", "flagged")
+    return patterns.patterns(feed.trips().join(flags, "trip_id"), feed.calendars(), feed.stop_times())
 
 
 @query(PATTERNS + " SELECT (SELECT count(*) FROM stops) AS n_stops, (SELECT count(*) FROM patterns) AS n_patterns")
@@ -152,21 +171,21 @@ def line_catalogue(feed: DemoFeed) -> DataFrame:
 
 
 VARIANTS = PATTERNS + """, variants AS (
-  SELECT min(pattern_id) AS variant_id, route_id, direction, stops, count(*) AS n_patterns, sum(n_trips)::BIGINT AS n_trips, len(string_split(stops, '-')) AS n_stops,
+  SELECT min(pattern_id) AS variant_id, route_id, direction, stops, count(*) AS n_patterns, sum(n_plain)::BIGINT AS n_plain, len(string_split(stops, '-')) AS n_stops,
     string_split(stops, '-')[1]::BIGINT AS origin, string_split(stops, '-')[-1]::BIGINT AS destination
   FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs)"""
 
 
-@query(VARIANTS + " SELECT * EXCLUDE (n_trips) FROM variants")
+@query(VARIANTS + " SELECT * EXCLUDE (n_plain) FROM variants")
 def line_variants(feed: DemoFeed) -> DataFrame:
     return lines.variants(raw_patterns(feed))
 
 
-@query(VARIANTS + """ SELECT route_id, direction, variant_id, n_trips, n_stops FROM (
-  SELECT *, row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, n_stops DESC, variant_id) AS place FROM variants) WHERE place = 1""")
+@query(VARIANTS + """ SELECT route_id, direction, variant_id, n_plain, n_stops FROM (
+  SELECT *, row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_plain DESC, n_stops DESC, variant_id) AS place FROM variants) WHERE place = 1""")
 def reference_variants(feed: DemoFeed) -> DataFrame:
     found = raw_patterns(feed)
-    trips_of = found.groupBy("route_id", "direction", "stops", "pickups", "dropoffs").agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips")).select("variant_id", "n_trips")
+    trips_of = found.groupBy("route_id", "direction", "stops", "pickups", "dropoffs").agg(F.min("pattern_id").alias("variant_id"), F.sum("n_plain").alias("n_plain")).select("variant_id", "n_plain")
     return lines.reference_variants(lines.variants(found), trips_of)
 
 
@@ -206,7 +225,7 @@ TICKS = "(greatest({m}, 0) * CASE WHEN {t} THEN 5 ELSE 6 END + 500 * ({b} - {a})
 DIRECT = CALLS + f""", direct AS (
   SELECT request_id, a.pattern_id, a.route_id, a.position AS board, b.position AS alight, b.metres - a.metres AS metres,
     {TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')} / 2000::DOUBLE AS minutes
-  FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position)"""
+  FROM journey_requests JOIN calls a ON a.stop_id = origin AND a.pickup JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position AND b.dropoff)"""
 
 
 @query(DIRECT + " SELECT * FROM direct")
@@ -221,27 +240,27 @@ def direct_journeys(feed: DemoFeed) -> DataFrame:
     return rides.best_distinct(rides.direct_rides(feed.journey_requests(), calls(feed)), "route_id", ["minutes", "pattern_id", "board", "alight"], 3)
 
 
-@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, b.stop_id, b.metres - a.metres AS ride_metres, a.tram
-FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position""")
+@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, b.stop_id, b.metres - a.metres AS ride_metres, a.tram, a.days
+FROM journey_requests JOIN calls a ON a.stop_id = origin AND a.pickup JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position AND b.dropoff""")
 def forward_reach(feed: DemoFeed) -> DataFrame:
     return rides.forward_reach(feed.journey_requests(), calls(feed))
 
 
-@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, a.stop_id, b.metres - a.metres AS ride_metres, a.tram
-FROM journey_requests JOIN calls b ON b.stop_id = destination JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position""")
+@query(CALLS + """ SELECT request_id, a.pattern_id, a.position AS board, b.position AS alight, a.stop_id, b.metres - a.metres AS ride_metres, a.tram, a.days
+FROM journey_requests JOIN calls b ON b.stop_id = destination AND b.dropoff JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position AND a.pickup""")
 def backward_reach(feed: DemoFeed) -> DataFrame:
     return rides.backward_reach(feed.journey_requests(), calls(feed))
 
 
 @query(CALLS + EDGES + f""", ahead AS (
-  SELECT request_id, a.pattern_id AS first_pattern, b.stop_id, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m1
-  FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
+  SELECT request_id, a.pattern_id AS first_pattern, b.stop_id, a.days AS d1, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m1
+  FROM journey_requests JOIN calls a ON a.stop_id = origin AND a.pickup JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position AND b.dropoff GROUP BY ALL),
 back AS (
-  SELECT request_id, a.pattern_id AS second_pattern, a.stop_id AS to_stop, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m2
-  FROM journey_requests JOIN calls b ON b.stop_id = destination JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
+  SELECT request_id, a.pattern_id AS second_pattern, a.stop_id AS to_stop, a.days AS d2, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m2
+  FROM journey_requests JOIN calls b ON b.stop_id = destination AND b.dropoff JOIN calls a ON b.pattern_id = a.pattern_id AND b.position > a.position AND a.pickup GROUP BY ALL),
 steps AS (SELECT DISTINCT stop_id, stop_id AS to_stop, 0 AS walk FROM calls UNION ALL SELECT stop_id, to_stop, metres FROM edges)
 SELECT request_id, first_pattern, second_pattern, min(m1 + m2 + walk * 25) / 2000::DOUBLE AS minutes
-FROM ahead JOIN steps USING (stop_id) JOIN back USING (request_id, to_stop) WHERE first_pattern <> second_pattern GROUP BY ALL""")
+FROM ahead JOIN steps USING (stop_id) JOIN back USING (request_id, to_stop) WHERE first_pattern <> second_pattern AND d1 & d2 <> 0 GROUP BY ALL""")
 def one_transfer(feed: DemoFeed) -> DataFrame:
     return rides.one_transfer(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()))
 
@@ -313,8 +332,8 @@ def active_vehicles(feed: DemoFeed) -> DataFrame:
 reach AS (SELECT stop_id, stop_id AS to_stop, 0 AS walk FROM (SELECT DISTINCT stop_id FROM calls) UNION ALL SELECT * FROM edges),
 rides AS (
   SELECT origin, destination, a.route_id, a.pattern_id, a.position AS board, b.position AS alight, a.tram, o.walk + d.walk AS walk, greatest(b.metres - a.metres, 0) AS metres
-  FROM pairs JOIN reach o ON o.stop_id = origin JOIN reach d ON d.stop_id = destination JOIN calls a ON a.stop_id = o.to_stop
-  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = d.to_stop AND b.position > a.position),
+  FROM pairs JOIN reach o ON o.stop_id = origin JOIN reach d ON d.stop_id = destination JOIN calls a ON a.stop_id = o.to_stop AND a.pickup
+  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = d.to_stop AND b.position > a.position AND b.dropoff),
 costed AS (
   SELECT *, 200000 + 10000 * (alight - board) + metres * CASE WHEN tram THEN t ELSE 120 END + walk * w - CASE WHEN tram THEN bonus ELSE 0 END AS units
   FROM rides, (VALUES ('fastest', 100, 500, 0), ('fewest_transfers', 100, 500, 0), ('minimal_walking', 100, 2500, 0), ('prefer_tram', 55, 500, 320000)) m(mode, t, w, bonus)),
@@ -328,12 +347,12 @@ def ranked_journeys(feed: DemoFeed) -> DataFrame:
 TWO = CALLS + EDGES + f""", pairs AS (SELECT DISTINCT origin, destination FROM journey_requests),
 steps AS (SELECT DISTINCT stop_id, stop_id AS to_stop, 0 AS walk FROM calls UNION ALL SELECT * FROM edges),
 ride AS (
-  SELECT a.pattern_id, a.stop_id, b.stop_id AS out_stop, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m
-  FROM calls a JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position GROUP BY ALL),
-ahead AS (SELECT origin, destination, pattern_id AS p1, s.to_stop AS spot, min(m + walk * 25) AS m1 FROM pairs JOIN ride r ON r.stop_id = origin JOIN steps s ON s.stop_id = r.out_stop GROUP BY ALL),
-back AS (SELECT origin, destination, pattern_id AS p3, s.stop_id AS spot, min(m + walk * 25) AS m3 FROM pairs JOIN ride r ON r.out_stop = destination JOIN steps s ON s.to_stop = r.stop_id GROUP BY ALL),
-middle AS (SELECT origin, destination, r.pattern_id AS p2, r.out_stop AS spot, min(m1 + m) AS m2 FROM ahead JOIN ride r ON r.stop_id = ahead.spot AND r.pattern_id <> p1 GROUP BY ALL),
-twice AS (SELECT origin, destination, p2, min(m2 + m3) / 2000::DOUBLE AS minutes FROM middle JOIN back USING (origin, destination, spot) WHERE p2 <> p3 GROUP BY ALL)"""
+  SELECT a.pattern_id, a.stop_id, b.stop_id AS out_stop, a.days, min({TICKS.format(m='b.metres - a.metres', t='a.tram', a='a.position', b='b.position')}) AS m
+  FROM calls a JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position AND a.pickup AND b.dropoff GROUP BY ALL),
+ahead AS (SELECT origin, destination, pattern_id AS p1, days AS d1, s.to_stop AS spot, min(m + walk * 25) AS m1 FROM pairs JOIN ride r ON r.stop_id = origin JOIN steps s ON s.stop_id = r.out_stop GROUP BY ALL),
+back AS (SELECT origin, destination, pattern_id AS p3, days AS d3, s.stop_id AS spot, min(m + walk * 25) AS m3 FROM pairs JOIN ride r ON r.out_stop = destination JOIN steps s ON s.to_stop = r.stop_id GROUP BY ALL),
+middle AS (SELECT origin, destination, r.pattern_id AS p2, r.out_stop AS spot, d1 & days AS d2, min(m1 + m) AS m2 FROM ahead JOIN ride r ON r.stop_id = ahead.spot AND r.pattern_id <> p1 AND d1 & days <> 0 GROUP BY ALL),
+twice AS (SELECT origin, destination, p2, min(m2 + m3) / 2000::DOUBLE AS minutes FROM middle JOIN back USING (origin, destination, spot) WHERE p2 <> p3 AND d2 & d3 <> 0 GROUP BY ALL)"""
 
 
 @query(TWO + " SELECT request_id, p2 AS middle_pattern, minutes FROM journey_requests JOIN twice USING (origin, destination)")
@@ -342,8 +361,8 @@ def two_transfers(feed: DemoFeed) -> DataFrame:
 
 
 @query(TWO + """, once AS (SELECT DISTINCT request_id, p1, p3 FROM journey_requests JOIN (
-    SELECT DISTINCT origin, destination, p1, r.pattern_id AS p3 FROM ahead JOIN ride r ON r.out_stop = destination AND r.stop_id = spot WHERE p1 <> r.pattern_id) USING (origin, destination)),
-direct AS (SELECT request_id FROM journey_requests JOIN calls a ON a.stop_id = origin JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position)
+    SELECT DISTINCT origin, destination, p1, r.pattern_id AS p3 FROM ahead JOIN ride r ON r.out_stop = destination AND r.stop_id = spot WHERE p1 <> r.pattern_id AND d1 & days <> 0) USING (origin, destination)),
+direct AS (SELECT request_id FROM journey_requests JOIN calls a ON a.stop_id = origin AND a.pickup JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position AND b.dropoff)
 SELECT request_id, transfers, count(*) AS n FROM (SELECT request_id, 0 AS transfers FROM direct UNION ALL SELECT request_id, 1 FROM once
   UNION ALL SELECT request_id, 2 FROM journey_requests JOIN twice USING (origin, destination)) GROUP BY ALL""")
 def journey_counts(feed: DemoFeed) -> DataFrame:
@@ -352,11 +371,12 @@ def journey_counts(feed: DemoFeed) -> DataFrame:
 
 
 @query(DIRECT + """, legs AS (SELECT DISTINCT pattern_id, board, alight FROM direct),
-days AS (SELECT pattern_id, bit_or(days) AS days FROM departures GROUP BY pattern_id),
+days AS (SELECT * FROM running),
 own AS (SELECT l.*, any_value(c.route_id) AS route_id, bool_or(c.tram) AS tram, any_value(d.days) AS days, string_agg(c.stop_id::VARCHAR, '-' ORDER BY c.position) AS path, alight - board AS hops
   FROM legs l JOIN days d USING (pattern_id) JOIN calls c ON c.pattern_id = l.pattern_id AND c.position BETWEEN board AND alight GROUP BY l.pattern_id, board, alight),
 cuts AS (SELECT a.pattern_id, a.route_id, a.tram, h.hops, a.position, string_agg(b.stop_id::VARCHAR, '-' ORDER BY b.position) AS path, count(*) AS n
-  FROM calls a, (SELECT DISTINCT hops FROM own) h JOIN calls b ON b.pattern_id = a.pattern_id AND b.position BETWEEN a.position AND a.position + h.hops GROUP BY ALL HAVING count(*) = h.hops + 1),
+  FROM calls a, (SELECT DISTINCT hops FROM own) h JOIN calls b ON b.pattern_id = a.pattern_id AND b.position BETWEEN a.position AND a.position + h.hops WHERE a.pickup
+  GROUP BY ALL HAVING count(*) = h.hops + 1 AND arg_max(b.dropoff, b.position)),
 same AS (SELECT own.pattern_id, board, alight, own.route_id, own.days, cuts.route_id AS line, bit_or(d.days) AS all_days
   FROM own JOIN cuts USING (path, tram) JOIN days d ON d.pattern_id = cuts.pattern_id GROUP BY ALL)
 SELECT pattern_id, board, alight, string_agg(line::VARCHAR, ',' ORDER BY line <> route_id, line) AS lines FROM same WHERE all_days & days = days GROUP BY pattern_id, board, alight""")
@@ -371,8 +391,8 @@ def trip_notes(feed: DemoFeed) -> DataFrame:
     return lines.cleaned_notes(feed.notes())
 
 
-@query(PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_trips) AS n_trips FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
-refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
+@query(PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_plain) AS n_plain FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
+refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_plain DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
 met AS (SELECT v.*, r.variant_id AS reference_id, r.stops AS s, r.pickups AS p, r.dropoffs AS d, string_split(v.stops, '-')[-1]::BIGINT AS last, string_split(r.stops, '-')[-1]::BIGINT AS other
   FROM variants v JOIN refs r ON v.route_id = r.route_id AND (v.direction = r.direction OR v.direction IS NULL AND v.variant_id = r.variant_id))
 SELECT variant_id, reference_id, CASE WHEN stops <> s AND starts_with(s, stops || '-') THEN 'only_to' WHEN stops <> s AND last <> other THEN 'last_stop' WHEN stops <> s THEN 'other_route'
@@ -380,8 +400,8 @@ SELECT variant_id, reference_id, CASE WHEN stops <> s AND starts_with(s, stops |
 def variant_conditions(feed: DemoFeed) -> DataFrame:
     found = raw_patterns(feed)
     keys = ["route_id", "direction", "stops", "pickups", "dropoffs"]
-    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips"))
-    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_trips"), variants.select("variant_id", "n_trips"))
+    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_plain").alias("n_plain"))
+    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_plain"), variants.select("variant_id", "n_plain"))
     return lines.variant_conditions(variants, references)
 
 
@@ -414,9 +434,23 @@ SHAPES = CALLS + """, shape_steps AS (
   SELECT shape_id, sequence, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM shapes WINDOW w AS (PARTITION BY shape_id ORDER BY sequence, lat, lon)),
 measured AS (
   SELECT shape_id, sequence, lat, lon, round(sum(CASE WHEN plat IS NULL THEN 0 ELSE %s END) OVER (PARTITION BY shape_id ORDER BY sequence, lat, lon), 3) AS metres FROM shape_steps)""" % HAVERSINE.format(a="p", b="")
-PLACED = SHAPES + """, placed AS (
-  SELECT c.pattern_id, position, stop_id, coalesce(round(m.metres)::BIGINT, c.metres) AS metres, m.metres IS NOT NULL AS usable
-  FROM calls c LEFT JOIN measured m ON m.shape_id = c.pattern_id AND m.sequence = 2 * c.position)"""
+PLACED = SHAPES + """, segments AS (
+  SELECT shape_id, sequence AS seg, lat, lon, metres, lead(lat) OVER w AS to_lat, lead(lon) OVER w AS to_lon, lead(metres) OVER w AS to_metres FROM measured WINDOW w AS (PARTITION BY shape_id ORDER BY sequence, lat, lon)),
+local AS (
+  SELECT pattern_id, position, seg, metres, to_metres, (s.lat - t.lat) * 111195 AS ax, (s.lon - t.lon) * 111195 * cos(radians(t.lat)) AS ay, (to_lat - s.lat) * 111195 AS vx, (to_lon - s.lon) * 111195 * cos(radians(t.lat)) AS vy
+  FROM (SELECT pattern_id, position, stop_id FROM calls) JOIN stops t USING (stop_id) JOIN segments s ON s.shape_id = pattern_id WHERE to_lat IS NOT NULL),
+parts AS (SELECT *, greatest(0, least(1, -(ax * vx + ay * vy) / greatest(vx * vx + vy * vy, 1e-12))) AS t FROM local),
+spots AS MATERIALIZED (SELECT pattern_id, position, seg, round(metres + t * (to_metres - metres), 3) AS along, round(pow(ax + t * vx, 2) + pow(ay + t * vy, 2), 6) AS off FROM parts),
+walked AS (
+  WITH RECURSIVE steps(pattern_id, position, best) AS (
+    SELECT pattern_id, position, min({'off': off, 'along': along, 'seg': seg}) FROM spots WHERE position = 0 GROUP BY ALL
+    UNION ALL SELECT s.pattern_id, s.position, min({'off': s.off, 'along': s.along, 'seg': s.seg}) FROM steps p JOIN spots s ON s.pattern_id = p.pattern_id AND s.position = p.position + 1 AND s.seg >= p.best.seg GROUP BY ALL)
+  SELECT * FROM steps),
+checked AS (SELECT w.pattern_id, best.off AS off, best.along - lag(best.along) OVER o AS hop, c.metres - lag(c.metres) OVER o AS chain FROM walked w JOIN calls c USING (pattern_id, position) WINDOW o AS (PARTITION BY w.pattern_id ORDER BY w.position)),
+good AS (SELECT pattern_id FROM checked GROUP BY pattern_id HAVING max(off) <= 1000000 AND NOT bool_or(coalesce(hop < 0.8 * chain, false))),
+placed AS (
+  SELECT c.pattern_id, position, stop_id, CASE WHEN g.pattern_id IS NULL THEN c.metres ELSE round(best.along)::BIGINT END AS metres, g.pattern_id IS NOT NULL AS usable
+  FROM calls c LEFT JOIN good g USING (pattern_id) LEFT JOIN walked w USING (pattern_id, position))"""
 
 
 def shape_of(feed: DemoFeed) -> DataFrame:
@@ -434,18 +468,33 @@ def shape_metres(feed: DemoFeed) -> DataFrame:
 
 @query(PLACED + " SELECT * FROM placed")
 def stops_on_shapes(feed: DemoFeed) -> DataFrame:
-    """Here the shapes lead through the stops, so that SQL knows the places; tests hold other shapes against a plain search."""
     return placed_stops(feed)
 
 
-@query(PLACED + """, legs AS (SELECT DISTINCT a.pattern_id, a.position AS board, b.position AS alight FROM journey_requests JOIN calls a ON a.stop_id = origin
-  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position),
-ends AS (SELECT l.*, a.metres AS low, b.metres AS high, a.usable FROM legs l JOIN placed a ON a.pattern_id = l.pattern_id AND a.position = board JOIN placed b ON b.pattern_id = l.pattern_id AND b.position = alight)
-SELECT e.pattern_id, board, alight, CASE WHEN count(sequence) > 0 THEN 'shape' ELSE 'stops' END AS source, CASE WHEN count(sequence) > 0 THEN count(sequence) + 2 ELSE alight - board + 1 END AS n_points, high - low AS path_metres
-FROM ends e LEFT JOIN measured m ON e.usable AND m.shape_id = e.pattern_id AND round(m.metres) BETWEEN low AND high GROUP BY e.pattern_id, board, alight, low, high""")
+@query(PLACED + """, legs AS (SELECT DISTINCT a.pattern_id, a.position AS board, b.position AS alight FROM journey_requests JOIN calls a ON a.stop_id = origin AND a.pickup
+  JOIN calls b ON b.pattern_id = a.pattern_id AND b.stop_id = destination AND b.position > a.position AND b.dropoff),
+ends AS (SELECT l.*, a.metres AS low, b.metres AS high, a.usable FROM legs l JOIN placed a ON a.pattern_id = l.pattern_id AND a.position = board JOIN placed b ON b.pattern_id = l.pattern_id AND b.position = alight),
+inside AS (SELECT e.pattern_id, board, alight, round(m.metres)::BIGINT AS k, sequence, lat, lon FROM ends e JOIN measured m ON e.usable AND m.shape_id = e.pattern_id AND round(m.metres) BETWEEN low AND high),
+drawn AS (SELECT DISTINCT pattern_id, board, alight FROM inside),
+points AS (
+  SELECT *, 'shape' AS source FROM inside
+  UNION ALL SELECT d.*, CASE WHEN position = board THEN -1 ELSE 1::BIGINT << 61 END, 0, lat, lon, 'shape' FROM drawn d JOIN calls c ON c.pattern_id = d.pattern_id AND position IN (board, alight) JOIN stops USING (stop_id)
+  UNION ALL SELECT e.pattern_id, board, alight, position, 0, lat, lon, 'stops' FROM ends e ANTI JOIN drawn d ON d.pattern_id = e.pattern_id AND d.board = e.board AND d.alight = e.alight
+    JOIN calls c ON c.pattern_id = e.pattern_id AND position BETWEEN board AND alight JOIN stops USING (stop_id))
+SELECT pattern_id, board, alight, source, row_number() OVER (PARTITION BY pattern_id, board, alight ORDER BY k, sequence, lat, lon) AS place, lat, lon FROM points""")
 def leg_geometry(feed: DemoFeed) -> DataFrame:
-    legs = rides.direct_rides(feed.journey_requests(), calls(feed))
-    return shapes.leg_geometry(legs, placed_stops(feed), shapes.shape_metres(feed.shapes()), shape_of(feed))
+    on = calls(feed)
+    measured = shapes.shape_metres(feed.shapes())
+    placed = shapes.stops_on_shapes(on, feed.stops(), measured, shape_of(feed))
+    return shapes.leg_geometry(rides.direct_rides(feed.journey_requests(), on), placed, feed.stops(), measured, shape_of(feed))
+
+
+@query(PLACED + """, drawn AS (SELECT DISTINCT pattern_id FROM placed WHERE usable), points AS (
+  SELECT pattern_id, 'shape' AS source, sequence::BIGINT AS k, lat, lon FROM drawn JOIN measured ON shape_id = pattern_id
+  UNION ALL SELECT pattern_id, 'stops', position, lat, lon FROM calls ANTI JOIN drawn USING (pattern_id) JOIN stops USING (stop_id))
+SELECT pattern_id, source, row_number() OVER (PARTITION BY pattern_id ORDER BY k, lat, lon) AS place, lat, lon FROM points""")
+def pattern_geometry(feed: DemoFeed) -> DataFrame:
+    return shapes.pattern_geometry(placed_stops(feed), feed.stops(), shapes.shape_metres(feed.shapes()), shape_of(feed))
 
 
 @query(ACTIVE + """, steps AS (
@@ -469,34 +518,22 @@ def vehicle_points(feed: DemoFeed) -> DataFrame:
     return shapes.points_along(moving, drawn.union(plain)).withColumnRenamed("path_id", "pattern_id")
 
 
-ANCHORED = """, near AS (
-  SELECT rule_id, side, span, pattern_id, position, c.stop_id <> landmark AS other, CASE WHEN c.stop_id = landmark THEN 0 ELSE round(%s)::BIGINT END AS metres
-  FROM network c JOIN boarding_rules USING (route_id, direction) JOIN stops a ON a.stop_id = c.stop_id JOIN stops b ON b.stop_id = landmark),
-anchors AS (SELECT rule_id, pattern_id, side, span, position AS anchor FROM near WHERE NOT other OR metres <= 800 QUALIFY row_number() OVER (PARTITION BY rule_id, pattern_id ORDER BY other, metres, position) = 1)""" % HAVERSINE.format(a="a.", b="b.")
-
-
 @query(ANCHORED + " SELECT * FROM anchors")
 def rule_anchors(feed: DemoFeed) -> DataFrame:
     return boarding.anchors(feed.boarding_rules(), feed.network(), feed.stops())
 
 
-@query(ANCHORED + """, taken AS (SELECT pattern_id, position, side FROM network JOIN anchors USING (pattern_id)
-  WHERE CASE span WHEN 'before' THEN position < anchor WHEN 'through' THEN position <= anchor WHEN 'from' THEN position >= anchor ELSE position > anchor END)
-SELECT pattern_id, position, stop_id, NOT coalesce(bool_or(side = 'board'), false) AS pickup, NOT coalesce(bool_or(side = 'alight'), false) AS dropoff
-FROM network LEFT JOIN taken USING (pattern_id, position) GROUP BY ALL""")
+@query(PERMITTED + " SELECT * FROM permitted")
 def boarding_permissions(feed: DemoFeed) -> DataFrame:
-    on = feed.network().withColumn("pickup", F.lit(True)).withColumn("dropoff", F.lit(True))
-    return boarding.permissions(on, boarding.anchors(feed.boarding_rules(), feed.network(), feed.stops()))
+    return boarding.permissions(feed.network(), boarding.anchors(feed.boarding_rules(), feed.network(), feed.stops()))
 
 
-CONDITIONS = PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_trips) AS n_trips FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
-refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_trips DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
+CONDITIONS = PATTERNS + """, variants AS (SELECT min(pattern_id) AS variant_id, route_id, direction, stops, pickups, dropoffs, sum(n_plain) AS n_plain FROM patterns GROUP BY route_id, direction, stops, pickups, dropoffs),
+refs AS (SELECT * FROM variants QUALIFY row_number() OVER (PARTITION BY route_id, direction, CASE WHEN direction IS NULL THEN variant_id END ORDER BY n_plain DESC, len(string_split(stops, '-')) DESC, variant_id) = 1),
 met AS (SELECT v.*, r.variant_id AS reference_id, r.stops AS s, r.pickups AS p, r.dropoffs AS d, string_split(v.stops, '-')[-1] AS last, string_split(r.stops, '-')[-1] AS other
   FROM variants v JOIN refs r ON v.route_id = r.route_id AND (v.direction = r.direction OR v.direction IS NULL AND v.variant_id = r.variant_id)),
 differ AS (SELECT variant_id, reference_id, CASE WHEN stops <> s AND starts_with(s, stops || '-') THEN 'only to ' || last WHEN stops <> s AND last <> other THEN 'last stop ' || last WHEN stops <> s THEN 'other route'
   WHEN pickups <> p OR dropoffs <> d THEN 'other permissions' END AS path FROM met),
-clean AS (SELECT trip_id, regexp_matches(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$') AS flagged,
-  nullif(trim(regexp_replace(regexp_replace(rtrim(coalesce(note, '')), '#[0-9A-Fa-f]{6}$', ''), '[# ]+$', '')), '') AS note FROM notes),
 own AS (SELECT t.trip_id, variant_id, t.route_id, t.direction, service_id, departure, flagged, note FROM trips t JOIN calendars USING (service_id) JOIN paths USING (trip_id)
   JOIN variants v ON v.route_id = t.route_id AND v.direction IS NOT DISTINCT FROM t.direction AND v.stops = paths.stops AND v.pickups = paths.pickups AND v.dropoffs = paths.dropoffs
   JOIN clean USING (trip_id) WHERE days > 0),
@@ -510,15 +547,15 @@ ids AS (SELECT route_id, side, label, row_number() OVER (PARTITION BY route_id,
 
 def labelled_trips(feed: DemoFeed) -> DataFrame:
     """The trips of running services with their variant, clean note and label."""
-    found = raw_patterns(feed)
+    found = durable(raw_patterns(feed))
     keys = ["route_id", "direction", "stops", "pickups", "dropoffs"]
-    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_trips").alias("n_trips"))
-    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_trips"), variants.select("variant_id", "n_trips"))
+    variants = found.groupBy(*keys).agg(F.min("pattern_id").alias("variant_id"), F.sum("n_plain").alias("n_plain"))
+    references = lines.reference_variants(variants.withColumn("n_stops", F.size(F.split("stops", "-"))).drop("n_plain"), variants.select("variant_id", "n_plain"))
     hashed = F.sha2(F.concat_ws("|", F.col("route_id").cast("string"), F.coalesce("direction", F.lit("")), "stops", "pickups", "dropoffs"), 256).alias("path")
-    runs = feed.trips().join(F.broadcast(feed.calendars()), "service_id").where("days > 0").join(patterns.trip_paths(feed.stop_times()), "trip_id")
+    runs = feed.trips().join(feed.calendars(), "service_id").where("days > 0").join(patterns.trip_paths(feed.stop_times()), "trip_id")
     runs = runs.select("trip_id", "route_id", "direction", "service_id", "departure", hashed).join(variants.select("variant_id", hashed), "path").drop("path")
-    own = runs.join(lines.cleaned_notes(feed.notes()), "trip_id")
-    return conditions.trip_conditions(own, lines.variant_conditions(variants, references), conditions.common_notes(own, references))
+    own = durable(runs.join(lines.cleaned_notes(feed.notes()), "trip_id"))
+    return durable(conditions.trip_conditions(own, lines.variant_conditions(variants, references), conditions.common_notes(own, references)))
 
 
 @query(CONDITIONS + " SELECT trip_id, variant_id, label FROM labelled")
@@ -539,38 +576,6 @@ def direction_timetable(feed: DemoFeed) -> DataFrame:
     return conditions.direction_timetable(labelled, conditions.condition_ids(labelled))
 
 
-def rounds_sql(n: int = 4, width: int = 10) -> str:
-    """SQL of the search in rounds: one table of ways a ride, one after the walk."""
-    best = "origin, stop_id, lines, days, min({'ticks': ticks, 'walk': walk, 'steps': steps}) AS best"
-    top = f"QUALIFY row_number() OVER (PARTITION BY origin, stop_id ORDER BY ticks, walk, lines, days) <= {width}"
-    flat = "origin, stop_id, lines, days, best.ticks AS ticks, best.walk AS walk, best.steps AS steps"
-    walk = "SELECT origin, to_stop AS stop_id, lines, days, ticks + metres * 25 AS ticks, walk + metres AS walk, steps || 'w' || to_stop || ';' AS steps FROM {0} JOIN edges USING (stop_id)"
-    sql = CALLS + EDGES + """, running AS (SELECT pattern_id, bit_or(days) AS runs FROM departures GROUP BY pattern_id),
-pairs AS (SELECT DISTINCT origin, destination AS stop_id FROM journey_requests WHERE origin <> destination),
-seeds AS (SELECT DISTINCT origin, origin AS stop_id, '-' AS lines, 127 AS days, 0::BIGINT AS ticks, 0::BIGINT AS walk, '' AS steps FROM pairs),
-ways0 AS (SELECT * FROM seeds UNION ALL """ + walk.format("seeds") + ")"
-    for r in range(1, n + 1):
-        ride = TICKS.format(m="b.metres - a.metres", t="a.tram", a="a.position", b="b.position")
-        sql += f""", rode{r} AS MATERIALIZED (SELECT {flat} FROM (SELECT {best} FROM (
-  SELECT origin, b.stop_id, lines || a.route_id || '-' AS lines, days & runs AS days, ticks + {ride} AS ticks, walk, steps || a.pattern_id || ':' || a.position || ':' || b.position || ';' AS steps
-  FROM ways{r - 1} w JOIN calls a ON a.stop_id = w.stop_id JOIN running USING (pattern_id) JOIN calls b ON b.pattern_id = a.pattern_id AND b.position > a.position
-  WHERE NOT contains(lines, '-' || a.route_id || '-') AND days & runs <> 0) GROUP BY origin, stop_id, lines, days)),
-kept{r} AS (SELECT * FROM rode{r} {top}),
-ways{r} AS MATERIALIZED (SELECT * FROM (SELECT {flat} FROM (SELECT {best} FROM (SELECT * FROM kept{r} UNION ALL {walk.format(f'kept{r}')}) GROUP BY origin, stop_id, lines, days)) {top})"""
-    ends = " UNION ALL ".join(f"SELECT *, {r} AS rides FROM (SELECT * FROM rode{r} UNION ALL {walk.format(f'rode{r}')}) SEMI JOIN pairs USING (origin, stop_id)" for r in range(1, n + 1))
-    return sql + f""", ends AS ({ends}),
-top AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY best.ticks, best.walk, lines) AS rank
-  FROM (SELECT origin, stop_id AS destination, rides, lines, min({{'ticks': ticks, 'walk': walk, 'days': days, 'steps': steps}}) AS best FROM ends GROUP BY ALL) QUALIFY rank <= 3)
-SELECT request_id, rank, rides, lines, best.days AS days, best.steps AS steps, best.walk AS walk, best.ticks / 2000::DOUBLE AS minutes FROM journey_requests JOIN top USING (origin, destination)"""
-
-
-@query(rounds_sql())
-def journey_search(feed: DemoFeed) -> DataFrame:
-    """Journeys of up to four rides."""
-    days = feed.departures().groupBy("pattern_id").agg(F.bit_or("days").alias("days"))
-    return rounds.journeys(feed.journey_requests(), calls(feed), geo.walking_edges(feed.stops()), days)
-
-
 @query(None)
 def resolved_stops(feed: DemoFeed) -> DataFrame:
     return resolve.resolved_with_retry(feed.stop_queries(), feed.stops(), feed.network(), ["durak"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.operators.rides import DWELL, TICKS, WAIT, WALK, backward_reach, forward_reach, ride_ticks
+from headway.operators.rides import DWELL, TICKS, WAIT, WALK, alightings, backward_reach, boardings, forward_reach, ride_ticks
 
 #: Costs are counted in twentieths of a tick, in which the discount of trams is whole too.
 UNITS = 20 * TICKS
@@ -31,8 +31,8 @@ def ranked_journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, k:
 
     Requests share few pairs of ends, so each pair is searched once. Ties go to the shorter walk, then to the lower ids."""
     pairs = requests.select("origin", "destination").where("origin <> destination").distinct()
-    on = calls.select("pattern_id", "route_id", "tram", F.col("stop_id").alias("origin_stop"), F.col("position").alias("board"), F.col("metres").alias("a"))
-    off = calls.select("pattern_id", F.col("stop_id").alias("destination_stop"), F.col("position").alias("alight"), F.col("metres").alias("b"))
+    on = boardings(calls, route_id="route_id", tram="tram", stop_id="origin_stop", position="board", metres="a")
+    off = alightings(calls, stop_id="destination_stop", position="alight", metres="b")
     ends = walked(walked(pairs, edges, "origin"), edges, "destination")
     rides = ends.join(on, "origin_stop").join(off, ["pattern_id", "destination_stop"]).where("board < alight")
     rides = rides.withColumn("metres", F.greatest(F.col("b") - F.col("a"), F.lit(0))).withColumn("walk", F.col("origin_walk") + F.col("destination_walk"))
@@ -52,44 +52,45 @@ def ranked_journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, k:
 
 def two_transfers(requests: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
     """request_id, middle_pattern, minutes: the fastest journeys of three rides, by the ride in the middle, which differs
-    from both others (these may be of one pattern). Between rides lies a stop or one walk.
+    from both others (these may be of one pattern); all three share a day. Between rides lies a stop or one walk.
 
-    Each pair of ends is searched once. At a stop only the two best patterns on each side can matter, for the middle ride
-    rules out one at most; so hubs don't multiply."""
+    Each pair of ends is searched once. At a stop only the two best patterns of each set of days can matter on each side, for
+    the middle ride rules out one at most; so hubs don't multiply."""
     pairs = requests.select("origin", "destination").distinct().withColumn("request_id", F.struct("origin", "destination"))
     ticks = ride_ticks("ride_metres", "board", "alight", "tram")
     here = calls.select("stop_id").distinct().select("stop_id", F.col("stop_id").alias("to_stop"), F.lit(0).cast("long").alias("walk"))
     steps = here.union(edges.select("stop_id", "to_stop", F.col("metres").alias("walk")))
 
     def best_two(reach: DataFrame, stop: str, other: str) -> DataFrame:
-        rides = reach.groupBy("request_id", "pattern_id", "stop_id").agg(F.min(ticks).alias("ticks")).withColumnRenamed("stop_id", stop)
-        met = rides.join(steps, stop).groupBy("request_id", "pattern_id", other).agg(F.min(F.col("ticks") + F.col("walk") * WALK).alias("ticks"))
-        place = F.row_number().over(Window.partitionBy("request_id", other).orderBy("ticks", "pattern_id"))
+        rides = reach.groupBy("request_id", "pattern_id", "days", "stop_id").agg(F.min(ticks).alias("ticks")).withColumnRenamed("stop_id", stop)
+        met = rides.join(steps, stop).groupBy("request_id", "pattern_id", "days", other).agg(F.min(F.col("ticks") + F.col("walk") * WALK).alias("ticks"))
+        place = F.row_number().over(Window.partitionBy("request_id", other, "days").orderBy("ticks", "pattern_id"))
         return met.withColumn("place", place).where("place <= 2").drop("place").withColumnRenamed(other, "at")
 
-    ahead = best_two(forward_reach(pairs, calls), "stop_id", "to_stop").withColumnsRenamed({"pattern_id": "first", "ticks": "m1", "at": "into"})
-    back = best_two(backward_reach(pairs, calls), "to_stop", "stop_id").withColumnsRenamed({"pattern_id": "last", "ticks": "m3", "at": "out"})
-    into = calls.select(F.col("pattern_id").alias("middle_pattern"), "tram", F.col("stop_id").alias("into"), F.col("position").alias("board"), F.col("metres").alias("a"))
-    out = calls.select(F.col("pattern_id").alias("middle_pattern"), F.col("stop_id").alias("out"), F.col("position").alias("alight"), F.col("metres").alias("b"))
-    middle = ahead.join(into, "into").where("first <> middle_pattern").groupBy("request_id", "middle_pattern", "tram", "board", "a").agg(F.min("m1").alias("m1"))
+    ahead = best_two(forward_reach(pairs, calls), "stop_id", "to_stop").withColumnsRenamed({"pattern_id": "first", "ticks": "m1", "at": "into", "days": "d1"})
+    back = best_two(backward_reach(pairs, calls), "to_stop", "stop_id").withColumnsRenamed({"pattern_id": "last", "ticks": "m3", "at": "out", "days": "d3"})
+    into = boardings(calls, tram="tram", days="days", stop_id="into", position="board", metres="a").withColumnRenamed("pattern_id", "middle_pattern")
+    out = alightings(calls, stop_id="out", position="alight", metres="b").withColumnRenamed("pattern_id", "middle_pattern")
+    middle = ahead.join(into, "into").where("first <> middle_pattern").withColumn("d2", F.col("d1").bitwiseAND(F.col("days"))).where("d2 <> 0")
+    middle = middle.groupBy("request_id", "middle_pattern", "tram", "board", "a", "d2").agg(F.min("m1").alias("m1"))
     rides = middle.join(out, "middle_pattern").where("alight > board").withColumn("ride_metres", F.col("b") - F.col("a"))
-    rides = rides.groupBy("request_id", "middle_pattern", "out").agg(F.min(F.col("m1") + ticks).alias("m2"))
-    met = rides.join(back, ["request_id", "out"]).where("last <> middle_pattern")
+    rides = rides.groupBy("request_id", "middle_pattern", "out", "d2").agg(F.min(F.col("m1") + ticks).alias("m2"))
+    met = rides.join(back, ["request_id", "out"]).where("last <> middle_pattern and (d2 & d3) <> 0")
     best = met.groupBy("request_id", "middle_pattern").agg((F.min(F.col("m2") + F.col("m3")) / TICKS).alias("minutes")).select("request_id.*", "middle_pattern", "minutes")
     return requests.join(best, ["origin", "destination"]).select("request_id", "middle_pattern", "minutes")
 
 
 def interchangeable_lines(legs: DataFrame, calls: DataFrame, days: DataFrame) -> DataFrame:
     """pattern_id, board, alight, lines (text): for each distinct ride of ``legs`` the lines that make the same ride, with
-    the same stops and mode, on all days of its own pattern; its own line first, then by number. days: pattern_id, days."""
-    stops = calls.groupBy("pattern_id", "route_id", "tram").agg(F.array_sort(F.collect_list(F.struct("position", "stop_id"))).alias("stops"))
-    paths = stops.join(days, "pattern_id").withColumn("stops", F.transform("stops", lambda x: x.stop_id))
+    the same stops and mode, where one may board and alight, on all days of its own pattern; its own line first, then by number. days: pattern_id, days."""
+    stops = calls.groupBy("pattern_id", "route_id", "tram").agg(F.array_sort(F.collect_list(F.struct("position", "stop_id", "dropoff"))).alias("at"))
+    paths = stops.join(days, "pattern_id").select("pattern_id", "route_id", "tram", "days", F.col("at.stop_id").alias("stops"), F.col("at.dropoff").alias("offs"))
     own = legs.select("pattern_id", "board", "alight").distinct().join(paths, "pattern_id")
-    own = own.withColumn("path", F.expr("slice(stops, board + 1, alight - board + 1)")).drop("stops")
-    on = calls.select(F.col("pattern_id").alias("other"), "tram", F.col("stop_id").alias("from_stop"), F.col("position").alias("other_board"))
+    own = own.withColumn("path", F.expr("slice(stops, board + 1, alight - board + 1)")).drop("stops", "offs")
+    on = calls.where("pickup").select(F.col("pattern_id").alias("other"), "tram", F.col("stop_id").alias("from_stop"), F.col("position").alias("other_board"))
     met = own.withColumn("from_stop", F.get("path", F.lit(0))).join(on, ["from_stop", "tram"])
-    others = paths.select(F.col("pattern_id").alias("other"), F.col("route_id").alias("line"), F.col("stops").alias("other_stops"), F.col("days").alias("other_days"))
-    same = met.join(others, "other").where("slice(other_stops, other_board + 1, size(path)) = path")
+    others = paths.select(F.col("pattern_id").alias("other"), F.col("route_id").alias("line"), F.col("stops").alias("other_stops"), F.col("offs").alias("other_offs"), F.col("days").alias("other_days"))
+    same = met.join(others, "other").where("slice(other_stops, other_board + 1, size(path)) = path and get(other_offs, other_board + size(path) - 1)")
     codes = same.groupBy("pattern_id", "board", "alight", "route_id", "days", "line").agg(F.bit_or("other_days").alias("all_days")).where("(all_days & days) = days")
     order = F.array_sort(F.collect_list(F.struct((F.col("line") != F.col("route_id")).alias("other"), "line")))
     return codes.groupBy("pattern_id", "board", "alight").agg(F.array_join(F.transform(order, lambda x: x.line.cast("string")), ",").alias("lines"))

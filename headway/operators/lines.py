@@ -28,12 +28,12 @@ def variants(patterns: DataFrame) -> DataFrame:
 
 
 def reference_variants(found: DataFrame, trips_of: DataFrame) -> DataFrame:
-    """route_id, direction, variant_id: of each route and direction the variant with the most trips, then the most stops,
-    then the lowest id; without a direction every variant is its own group."""
+    """route_id, direction, variant_id, n_plain, n_stops: of each route and direction the variant with the most trips without a
+    flag, then the most stops, then the lowest id; without a direction every variant is its own group."""
     group = F.when(F.col("direction").isNull(), F.col("variant_id"))
-    order = Window.partitionBy("route_id", "direction", "grp").orderBy(F.desc("n_trips"), F.desc("n_stops"), "variant_id")
+    order = Window.partitionBy("route_id", "direction", "grp").orderBy(F.desc("n_plain"), F.desc("n_stops"), "variant_id")
     ranked = found.join(trips_of, "variant_id").withColumn("grp", group).withColumn("at", F.row_number().over(order))
-    return ranked.where("at = 1").select("route_id", "direction", "variant_id", "n_trips", "n_stops")
+    return ranked.where("at = 1").select("route_id", "direction", "variant_id", "n_plain", "n_stops")
 
 
 def timetable(departures: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions.durable import numbered
+
 
 def ordered_trip_stops(stop_times: DataFrame) -> DataFrame:
     """trip_id, calls: (stop_id, pickup, dropoff) by (stop_sequence, ordinal). One shuffle by trip."""
@@ -25,19 +27,18 @@ def trip_paths(stop_times: DataFrame) -> DataFrame:
 
 
 def patterns(trips: DataFrame, calendars: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """pattern_id, route_id, direction, days, stops, pickups, dropoffs, n_trips, n_services.
+    """pattern_id, route_id, direction, days, stops, pickups, dropoffs, n_trips, n_services, n_plain (trips without a flag).
 
-    Trips without stop times or days are dropped. Ids are dense, in the order of the columns (no direction first): a
-    window for each route and direction, and the offsets of these few groups."""
-    runs = trips.join(F.broadcast(calendars), "service_id").where("days > 0").join(trip_paths(stop_times), "trip_id")
+    Trips without stop times or days are dropped. Ids are dense, by route, direction (none first), stops (as numbers, in
+    order), permissions and days (Monday first). trips: trip_id, route_id, service_id, direction, flagged (optional)."""
+    flagged = F.col("flagged") if "flagged" in trips.columns else F.lit(False)
+    runs = trips.withColumn("flagged", flagged).join(calendars, "service_id").where("days > 0").join(trip_paths(stop_times), "trip_id")
     keys = ["route_id", "direction", "days", "stops", "pickups", "dropoffs"]
-    grouped = runs.groupBy(*keys).agg(F.count("*").alias("n_trips"), F.countDistinct("service_id").alias("n_services")).withColumn("side", F.coalesce("direction", F.lit("")))
-    sizes = grouped.groupBy("route_id", "side").agg(F.count("*").alias("size"))
-    before = Window.orderBy("route_id", "side").rowsBetween(Window.unboundedPreceding, -1)  # a row for each route and direction
-    offsets = sizes.select("route_id", "side", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("route_id", "side").orderBy("stops", "pickups", "dropoffs", "days")
-    numbered = grouped.withColumn("rank", F.row_number().over(order)).join(offsets, ["route_id", "side"])
-    return numbered.select((F.col("offset") + F.col("rank") - 1).alias("pattern_id"), *keys, "n_trips", "n_services")
+    grouped = runs.groupBy(*keys).agg(F.count("*").alias("n_trips"), F.countDistinct("service_id").alias("n_services"), F.count_if(~F.col("flagged")).alias("n_plain"))
+    path = F.transform(F.split("stops", "-"), lambda x: x.cast("long"))
+    days = F.expr("filter(sequence(0, 6), d -> (days & shiftleft(1, d)) <> 0)")
+    found = numbered(grouped, "pattern_id", "route_id", F.coalesce("direction", F.lit("")), path, "pickups", "dropoffs", days)
+    return found.select("pattern_id", *keys, "n_trips", "n_services", "n_plain")
 
 
 def occurrences(found: DataFrame) -> DataFrame:

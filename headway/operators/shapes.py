@@ -25,29 +25,31 @@ def shape_metres(points: DataFrame) -> DataFrame:
 
 
 def on_shape(lat: np.ndarray, lon: np.ndarray, chain: np.ndarray, x: np.ndarray, y: np.ndarray, metres: np.ndarray) -> np.ndarray | None:
-    """Metres along the shape (x: lat, y: lon) of stops in travel order; None if the shape is of no use."""
+    """Metres along the shape (x: lat, y: lon) of stops in travel order; None if the shape is of no use. Degrees are metres at
+    the stop's own latitude; of equally near places the first counts, errors rounded to a thousandth of a millimetre."""
     if len(x) < 2 or np.isnan(lat).any() or np.isnan(lon).any():
         return None
-    across = DEGREE * np.cos(np.radians(lat.mean()))
-    px, py, dx, dy = x[:-1] * DEGREE, y[:-1] * across, np.diff(x) * DEGREE, np.diff(y) * across
-    squared = np.maximum(dx * dx + dy * dy, 1e-12)
-    found, at, last = np.zeros(len(lat)), 0, 0.0
+    found, at = np.zeros(len(lat)), 0
+    dx = np.diff(x) * DEGREE
     for k in range(len(lat)):
-        sx, sy = lat[k] * DEGREE, lon[k] * across
+        across = DEGREE * np.cos(np.radians(lat[k]))
+        dy = np.diff(y) * across
+        px, py = (x[:-1] - lat[k]) * DEGREE, (y[:-1] - lon[k]) * across
+        squared = np.maximum(dx * dx + dy * dy, 1e-12)
         best = None
         for low, high in ((at, at + AHEAD), (at + AHEAD, len(px))):
             part = slice(low, min(high, len(px)))
             if low >= len(px) or (best is not None and best[0] <= FAR**2):
                 break
-            t = np.clip(((sx - px[part]) * dx[part] + (sy - py[part]) * dy[part]) / squared[part], 0, 1)
-            along = np.maximum(np.round(metres[:-1][part] + t * np.diff(metres)[part], 3), last)
-            off = np.round((px[part] + t * dx[part] - sx) ** 2 + (py[part] + t * dy[part] - sy) ** 2, 6)
+            t = np.clip(-(px[part] * dx[part] + py[part] * dy[part]) / squared[part], 0, 1)
+            along = np.round(metres[:-1][part] + t * np.diff(metres)[part], 3)
+            off = np.round((px[part] + t * dx[part]) ** 2 + (py[part] + t * dy[part]) ** 2, 6)
             first = np.lexsort((along, off))[0]
             if best is None or off[first] < best[0]:
                 best = (off[first], along[first], low + int(first))
         if best is None or best[0] > LOST**2:
             return None
-        found[k], last, at = best[1], best[1], best[2]
+        found[k], at = best[1], best[2]
     return None if (np.diff(found) < SHORT * np.diff(chain)).any() else found
 
 
@@ -97,17 +99,33 @@ def points_along(places: DataFrame, paths: DataFrame) -> DataFrame:
     return places.join(found, ["path_id", "along"], "left").select(*places.columns, "p.lat", "p.lon")
 
 
-def leg_geometry(legs: DataFrame, placed: DataFrame, shapes: DataFrame, shape_of: DataFrame) -> DataFrame:
-    """pattern_id, board, alight, source, n_points, path_metres: the piece of the path of each distinct ride. It has the two
-    end stops and the shape's points between them (source shape), or, where there are none or the shape can't be used, the
-    stops between (source stops). placed: as of ``stops_on_shapes``."""
+def leg_geometry(legs: DataFrame, placed: DataFrame, stops: DataFrame, shapes: DataFrame, shape_of: DataFrame) -> DataFrame:
+    """pattern_id, board, alight, source, place, lat, lon: the points of the path of each distinct ride, in order. They are the
+    two end stops and the shape's points between them (source shape), or, where there are none or the shape can't be used, the
+    stops from one end to the other (source stops). Points without coordinates are left out. placed: as of
+    ``stops_on_shapes``."""
     rides = legs.select("pattern_id", "board", "alight").distinct()
+    located = placed.join(stops.select("stop_id", "lat", "lon"), "stop_id", "left")
     end = lambda p, m: placed.select("pattern_id", F.col("position").alias(p), F.col("metres").alias(m), "usable")
     ends = rides.join(end("board", "a"), ["pattern_id", "board"]).join(end("alight", "b").drop("usable"), ["pattern_id", "alight"])
-    points = shape_of.join(shapes, "shape_id").select("pattern_id", F.round("metres").cast("long").alias("metres"))
-    inside = ends.where("usable").join(points, "pattern_id").where("metres between a and b").groupBy("pattern_id", "board", "alight").agg(F.count("*").alias("inside"))
-    on_shape = F.col("inside").isNotNull()
-    n = F.when(on_shape, F.col("inside") + 2).otherwise((F.col("alight") - F.col("board") + 1).cast("long"))
-    return ends.join(inside, ["pattern_id", "board", "alight"], "left").select(
-        "pattern_id", "board", "alight", F.when(on_shape, "shape").otherwise("stops").alias("source"), n.alias("n_points"), (F.col("b") - F.col("a")).alias("path_metres")
-    )
+    points = shape_of.join(shapes, "shape_id").select("pattern_id", F.round("metres").cast("long").alias("m"), "sequence", "lat", "lon")
+    keys = ["pattern_id", "board", "alight"]
+    inside = ends.where("usable").join(points, "pattern_id").where("m between a and b").select(*keys, F.col("m").alias("order"), F.col("sequence").cast("long").alias("next"), "lat", "lon")
+    drawn = ends.join(inside.select(*keys).distinct(), keys, "left_semi")
+    plain = ends.join(inside.select(*keys).distinct(), keys, "left_anti")
+    on = located.select("pattern_id", "position", "lat", "lon")
+    tips = drawn.join(on, "pattern_id").where("position in (board, alight)").select(*keys, F.when(F.col("position") == F.col("board"), -1).otherwise(2**62).cast("long").alias("order"), F.lit(0).cast("long").alias("next"), "lat", "lon")
+    between = plain.join(on, "pattern_id").where("position between board and alight").select(*keys, F.col("position").cast("long").alias("order"), F.lit(0).cast("long").alias("next"), "lat", "lon")
+    every = inside.union(tips).withColumn("source", F.lit("shape")).union(between.withColumn("source", F.lit("stops"))).where("lat is not null and lon is not null")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "next", "lat", "lon"))
+    return every.withColumn("place", place).select(*keys, "source", "place", "lat", "lon")
+
+
+def pattern_geometry(placed: DataFrame, stops: DataFrame, shapes: DataFrame, shape_of: DataFrame) -> DataFrame:
+    """pattern_id, source, place, lat, lon: the whole shape of each pattern if it can be used, else its located stops."""
+    usable = placed.groupBy("pattern_id").agg(F.bool_or("usable").alias("usable"))
+    drawn = usable.where("usable").join(shape_of, "pattern_id").join(shapes, "shape_id").select("pattern_id", F.lit("shape").alias("source"), F.col("sequence").cast("long").alias("order"), "lat", "lon")
+    plain = usable.where("not usable").join(placed.drop("usable"), "pattern_id").join(stops.select("stop_id", "lat", "lon"), "stop_id").where("lat is not null and lon is not null")
+    every = drawn.union(plain.select("pattern_id", F.lit("stops").alias("source"), F.col("position").cast("long").alias("order"), "lat", "lon"))
+    place = F.row_number().over(Window.partitionBy("pattern_id").orderBy("order", "lat", "lon"))
+    return every.withColumn("place", place).select("pattern_id", "source", "place", "lat", "lon")

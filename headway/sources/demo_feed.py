@@ -1,14 +1,14 @@
 """A schedule feed derived from the test tables by integer arithmetic, so that its size grows with them.
 
-The raw feed (trips from ``orders``, stop times from ``lineitem``) serves grouping and reports; the network feed (40 lines
-over the stops, two directions each) serves journeys and timetables."""
+The raw feed (trips from ``orders``, stop times from ``lineitem``) serves grouping and reports; the network feed (a line for
+each LINE_STOPS stops and LEAST_LINES more, two directions each, starting all over the stops) serves journeys and timetables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROUTES = 40
+LEAST_LINES, LINE_STOPS = 40, 20
 #: Days of each order priority as bits, Monday first.
 SERVICE_DAYS = {"1-URGENT": 31, "2-HIGH": 32, "3-MEDIUM": 64, "4-NOT SPECIFIED": 127, "5-LOW": 0}
 
@@ -19,8 +19,10 @@ class DemoFeed:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.read = spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def stop_count(self) -> DataFrame:
-        return self.read("supplier").agg(F.count("*").alias("n"))
+    def sizes(self) -> DataFrame:
+        """One row: n stops, r lines."""
+        n = F.count("*")
+        return F.broadcast(self.read("supplier").agg(n.alias("n"), (F.lit(LEAST_LINES) + F.floor(n / LINE_STOPS)).alias("r")))
 
     def stops(self) -> DataFrame:
         """stop_id, name, lat, lon, district."""
@@ -33,7 +35,8 @@ class DemoFeed:
     def routes(self) -> DataFrame:
         """route_id, route_type, short_name."""
         r = F.col("id").cast("int")
-        return self.spark.range(ROUTES).select(r.alias("route_id"), F.when(r % 10 == 0, 0).otherwise(3).alias("route_type"), F.col("id").cast("string").alias("short_name"))
+        each = self.sizes().select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("id"))
+        return each.select(r.alias("route_id"), F.when(r % 10 == 0, 0).otherwise(3).alias("route_type"), F.col("id").cast("string").alias("short_name"))
 
     def calendars(self) -> DataFrame:
         """service_id, days."""
@@ -42,8 +45,8 @@ class DemoFeed:
     def trips(self) -> DataFrame:
         """trip_id, route_id, service_id, direction, departure (seconds of the service day)."""
         status = F.col("o_orderstatus")
-        return self.read("orders").select(
-            F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % ROUTES).cast("int").alias("route_id"), F.col("o_orderpriority").alias("service_id"),
+        return self.read("orders").crossJoin(self.sizes()).select(
+            F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % F.col("r")).cast("int").alias("route_id"), F.col("o_orderpriority").alias("service_id"),
             F.when(status == "F", "0").when(status == "O", "1").alias("direction"), (F.col("o_orderkey") * 397 % 100000).alias("departure"),
         )
 
@@ -56,27 +59,31 @@ class DemoFeed:
         )
 
     def network(self) -> DataFrame:
-        """pattern_id, route_id, direction, position, stop_id of the network's lines."""
+        """pattern_id, route_id, direction, position, stop_id, pickup, dropoff of the network's lines."""
         r = F.col("route_id")
         size = (8 + r % 13).cast("int")
-        lines = self.routes().select("route_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).crossJoin(F.broadcast(self.stop_count()))
+        lines = self.routes().select("route_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).crossJoin(self.sizes())
         at = lines.withColumn("position", F.explode(F.sequence(F.lit(0), size - 1)))
         j: Column = F.when(F.col("d") == 0, F.col("position")).otherwise(size - 1 - F.col("position"))
-        return at.select((r * 2 + F.col("d")).alias("pattern_id"), "route_id", F.col("d").cast("string").alias("direction"), "position", ((7 * r + (1 + r % 3) * j) % F.col("n")).cast("long").alias("stop_id"))
+        start = F.expr("route_id * n div r")
+        return at.select(
+            (r * 2 + F.col("d")).alias("pattern_id"), "route_id", F.col("d").cast("string").alias("direction"), "position", ((start + (1 + r % 3) * j) % F.col("n")).cast("long").alias("stop_id"),
+            ((r + 5 * F.col("position")) % 11 > 0).alias("pickup"), ((r + 3 * F.col("position")) % 13 > 0).alias("dropoff"),
+        )
 
     def departures(self) -> DataFrame:
         """pattern_id, days, departure: distinct departures of the network's patterns on running services."""
-        trips = self.trips().where("direction is not null").join(F.broadcast(self.calendars()), "service_id").where("days > 0")
+        trips = self.trips().where("direction is not null").join(self.calendars(), "service_id").where("days > 0")
         return trips.select((F.col("route_id") * 2 + F.col("direction").cast("int")).alias("pattern_id"), "days", "departure").distinct()
 
     def journey_requests(self) -> DataFrame:
         """request_id, origin, destination."""
         k = F.col("c_custkey")
-        return self.read("customer").crossJoin(F.broadcast(self.stop_count())).select(k.alias("request_id"), (k % F.col("n")).alias("origin"), ((k * 7 + 3) % F.col("n")).alias("destination"))
+        return self.read("customer").crossJoin(self.sizes()).select(k.alias("request_id"), (k % F.col("n")).alias("origin"), ((k * 7 + 3) % F.col("n")).alias("destination"))
 
     def arrival_requests(self) -> DataFrame:
         """request_id, instant, stop_id."""
-        return self.read("events").crossJoin(F.broadcast(self.stop_count())).select(F.col("event_id").alias("request_id"), F.col("ts").alias("instant"), (F.col("user_id") % F.col("n")).alias("stop_id"))
+        return self.read("events").crossJoin(self.sizes()).select(F.col("event_id").alias("request_id"), F.col("ts").alias("instant"), (F.col("user_id") % F.col("n")).alias("stop_id"))
 
     def notes(self) -> DataFrame:
         """trip_id, note: some end in a colour, some in a sign, some are null."""
@@ -104,15 +111,15 @@ class DemoFeed:
         order = Window.partitionBy("pattern_id").orderBy("position")
         hops = at.select("pattern_id", "position", "lat", "lon", F.lead("lat").over(order).alias("x"), F.lead("lon").over(order).alias("y"))
         here = F.struct((F.col("position") * 2).alias("sequence"), "lat", "lon")
-        beside = F.struct((F.col("position") * 2 + 1).alias("sequence"), ((F.col("lat") + F.col("x")) / 2 + 0.0002).alias("lat"), ((F.col("lon") + F.col("y")) / 2).alias("lon"))
+        beside = F.struct((F.col("position") * 2 + 1).alias("sequence"), ((F.col("lat") + F.col("x")) / 2).alias("lat"), ((F.col("lon") + F.col("y")) / 2 + 0.0002).alias("lon"))
         return hops.select(F.col("pattern_id").alias("shape_id"), F.inline(F.array(here, beside))).where("lat is not null")
 
     def boarding_rules(self) -> DataFrame:
         """rule_id, route_id, direction, landmark, side, span for every third line."""
         r, d = F.col("route_id"), F.col("d")
-        lines = self.routes().where("route_id % 3 = 0").select("route_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).crossJoin(F.broadcast(self.stop_count()))
+        lines = self.routes().where("route_id % 3 = 0").select("route_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).crossJoin(self.sizes())
         span = F.element_at(F.array(*map(F.lit, ("before", "through", "from", "after"))), (F.floor(r / 3) % 4 + 1).cast("int"))
-        landmark = ((7 * r + 5) % F.col("n")).cast("long").alias("landmark")
+        landmark = ((F.expr("route_id * n div r") + 5) % F.col("n")).cast("long").alias("landmark")
         return lines.select((r * 2 + d).alias("rule_id"), "route_id", d.cast("string").alias("direction"), landmark, F.when((r + d) % 2 == 0, "board").otherwise("alight").alias("side"), span.alias("span"))
 
     def stop_queries(self) -> DataFrame:
@@ -125,24 +132,25 @@ class DemoFeed:
 
 #: The same tables for DuckDB; a query's SQL goes on with ", name AS (...) SELECT ..." or " SELECT ...".
 FEED_SQL = """
-WITH n AS (SELECT count(*) AS n FROM supplier),
+WITH n AS (SELECT count(*) AS n, 40 + count(*) // 20 AS r FROM supplier),
 stops AS (
   SELECT s_suppkey AS stop_id, p_name AS name, 40.70::DOUBLE + 0.003::DOUBLE * (s_suppkey % 20) AS lat,
          29.85::DOUBLE + 0.003::DOUBLE * (s_suppkey // 20) AS lon, n_name AS district
   FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey),
-routes AS (SELECT i AS route_id, CASE WHEN i % 10 = 0 THEN 0 ELSE 3 END AS route_type, i::VARCHAR AS short_name FROM range(40) t(i)),
+routes AS (SELECT i AS route_id, CASE WHEN i % 10 = 0 THEN 0 ELSE 3 END AS route_type, i::VARCHAR AS short_name FROM (SELECT unnest(range(r))::INT AS i FROM n)),
 calendars AS (SELECT * FROM (VALUES ('1-URGENT', 31), ('2-HIGH', 32), ('3-MEDIUM', 64), ('4-NOT SPECIFIED', 127), ('5-LOW', 0)) t(service_id, days)),
 trips AS (
-  SELECT o_orderkey AS trip_id, o_custkey % 40 AS route_id, o_orderpriority AS service_id,
+  SELECT o_orderkey AS trip_id, (o_custkey % r)::INT AS route_id, o_orderpriority AS service_id,
          CASE o_orderstatus WHEN 'F' THEN '0' WHEN 'O' THEN '1' END AS direction, o_orderkey * 397 % 100000 AS departure
-  FROM orders),
+  FROM orders, n),
 stop_times AS (
   SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, l_linenumber AS stop_sequence, l_partkey, l_suppkey, l_quantity, l_extendedprice,
          l_returnflag <> 'N' AS pickup, l_quantity >= 5 AS dropoff
   FROM lineitem),
 network AS (
   SELECT route_id * 2 + d AS pattern_id, route_id, d::VARCHAR AS direction, position,
-         (7 * route_id + (1 + route_id % 3) * CASE WHEN d = 0 THEN position ELSE 7 + route_id % 13 - position END) % n AS stop_id
+         (route_id * n // r + (1 + route_id % 3) * CASE WHEN d = 0 THEN position ELSE 7 + route_id % 13 - position END) % n AS stop_id,
+         (route_id + 5 * position) % 11 > 0 AS pickup, (route_id + 3 * position) % 13 > 0 AS dropoff
   FROM routes, (VALUES (0), (1)) t(d), range(21) u(position), n WHERE position < 8 + route_id % 13),
 departures AS (
   SELECT DISTINCT route_id * 2 + direction::INT AS pattern_id, days, departure FROM trips JOIN calendars USING (service_id)
@@ -161,9 +169,9 @@ shape_hops AS (
   WINDOW w AS (PARTITION BY pattern_id ORDER BY position)),
 shapes AS (
   SELECT pattern_id AS shape_id, position * 2 AS sequence, lat, lon FROM shape_hops
-  UNION ALL SELECT pattern_id, position * 2 + 1, (lat + x) / 2 + 0.0002::DOUBLE, (lon + y) / 2 FROM shape_hops WHERE x IS NOT NULL),
+  UNION ALL SELECT pattern_id, position * 2 + 1, (lat + x) / 2, (lon + y) / 2 + 0.0002::DOUBLE FROM shape_hops WHERE x IS NOT NULL),
 boarding_rules AS (
-  SELECT route_id * 2 + d AS rule_id, route_id, d::VARCHAR AS direction, (7 * route_id + 5) % n AS landmark, CASE WHEN (route_id + d) % 2 = 0 THEN 'board' ELSE 'alight' END AS side,
+  SELECT route_id * 2 + d AS rule_id, route_id, d::VARCHAR AS direction, (route_id * n // r + 5) % n AS landmark, CASE WHEN (route_id + d) % 2 = 0 THEN 'board' ELSE 'alight' END AS side,
     ['before', 'through', 'from', 'after'][(route_id // 3 % 4 + 1)::INT] AS span
   FROM routes, (VALUES (0), (1)) t(d), n WHERE route_id % 3 = 0)
 """
