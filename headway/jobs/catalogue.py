@@ -584,3 +584,6 @@ def resolved_stops(feed: DemoFeed) -> DataFrame:
 @query(None)
 def stop_suggestions(feed: DemoFeed) -> DataFrame:
     return resolve.suggestions(feed.stop_queries(), feed.stops(), feed.network())
+
+
+from headway.jobs import journey_jobs  # noqa: E402, F401  (registers its queries)

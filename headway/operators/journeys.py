@@ -9,13 +9,15 @@ from headway.operators.rides import DWELL, TICKS, WAIT, WALK, alightings, backwa
 
 #: Costs are counted in twentieths of a tick, in which the discount of trams is whole too.
 UNITS = 20 * TICKS
-#: Fixed values, in units: a metre by bus, by tram, on foot, and the bonus for a first tram.
+#: Fixed values, in units: a metre by bus, by tram, on foot, the bonus for a first tram, a change.
 MODES = {
-    "fastest": (120, 100, 500, 0),
-    "fewest_transfers": (120, 100, 500, 0),
-    "minimal_walking": (120, 100, 2500, 0),
-    "prefer_tram": (120, 55, 500, 320_000),
+    "fastest": (120, 100, 500, 0, 0),
+    "fewest_transfers": (120, 100, 500, 0, 400_000_000),
+    "minimal_walking": (120, 100, 2500, 0, 80_000),
+    "prefer_tram": (120, 55, 500, 320_000, 80_000),
 }
+#: In this mode fewer changes come before less cost.
+FEWEST = "fewest_transfers"
 
 
 def walked(pairs: DataFrame, edges: DataFrame, end: str) -> DataFrame:
@@ -37,7 +39,7 @@ def ranked_journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, k:
     rides = ends.join(on, "origin_stop").join(off, ["pattern_id", "destination_stop"]).where("board < alight")
     rides = rides.withColumn("metres", F.greatest(F.col("b") - F.col("a"), F.lit(0))).withColumn("walk", F.col("origin_walk") + F.col("destination_walk"))
 
-    def cost(bus: int, tram: int, walk: int, bonus: int) -> Column:
+    def cost(bus: int, tram: int, walk: int, bonus: int, change: int) -> Column:
         fixed = F.lit(20 * WAIT) + 20 * DWELL * (F.col("alight") - F.col("board"))
         return (fixed + F.col("metres") * F.when(F.col("tram"), tram).otherwise(bus) + F.col("walk") * walk - F.when(F.col("tram"), bonus).otherwise(0)).cast("long")
 

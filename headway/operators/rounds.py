@@ -1,78 +1,168 @@
-"""Journeys of up to four rides, searched in rounds from all requested origins at once."""
+"""Journeys of up to four rides, searched in rounds from all requested origins at once, in four modes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.durable import durable
-from headway.operators.rides import TICKS, WALK, ride_ticks
+from headway.operators.journeys import FEWEST, MODES, UNITS
+from headway.operators.rides import DWELL, WAIT, alightings, boardings
 
 RIDES, ALL_DAYS = 4, 127
-#: Ways to reach a stop that go on to the next round: a parameter of the search, like ``k``.
-WIDTH = 10
-KEYS = ["origin", "stop_id", "lines", "days"]
+KEYS = ["mode", "origins", "stop_id", "lines", "days"]
+#: A ride on past where one left it is a shortcut if it is at most so many times the journey's metres, and so many more.
+DETOUR, SLACK = 1.3, 300
+
+
+def width_for(k: int) -> int:
+    """Ways to reach a stop that go on to the next round, for ``k`` answers (fixed values)."""
+    return max(10, min(2 * k, 20))
+
+
+def by_mode(of: int) -> Column:
+    """Entry ``of`` of the row's mode in MODES."""
+    return F.create_map(*(F.lit(x) for name, v in MODES.items() for x in (name, v[of])))[F.col("mode")].cast("long")
+
+
+def text(c: str) -> Column:
+    return F.col(c).cast("string")
 
 
 def best_ways(ways: DataFrame) -> DataFrame:
-    """The fastest of the ways that reach a stop by the same lines on the same days."""
-    best = F.min(F.struct("ticks", "walk", "steps")).alias("best")
+    """The cheapest of the ways that reach a stop by the same lines on the same days."""
+    best = F.min(F.struct("cost", "walk", "steps", "tram")).alias("best")
     return ways.groupBy(*KEYS).agg(best).select(*KEYS, "best.*")
 
 
-def best_of_stop(ways: DataFrame, width: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("origin", "stop_id").orderBy("ticks", "walk", "lines", "days"))
+def best_of_stop(ways: DataFrame, width: int | None) -> DataFrame:
+    if width is None:
+        return ways
+    place = F.row_number().over(Window.partitionBy("mode", "origins", "stop_id").orderBy("cost", "walk", "lines", "days"))
     return ways.withColumn("place", place).where(F.col("place") <= width).drop("place")
 
 
 def walked(ways: DataFrame, edges: DataFrame) -> DataFrame:
     """Where one walk leads from where the ways end."""
-    steps = edges.select("stop_id", "to_stop", "metres")
-    return ways.join(steps, "stop_id").select(
-        "origin", F.col("to_stop").alias("stop_id"), "lines", "days", (F.col("ticks") + F.col("metres") * WALK).alias("ticks"), (F.col("walk") + F.col("metres")).alias("walk"),
-        F.concat("steps", F.lit("w"), F.col("to_stop").cast("string"), F.lit(";")).alias("steps"),
+    step = F.concat_ws(":", F.lit("w"), text("stop_id"), text("to_stop"), text("metres"))
+    return ways.join(edges.select("stop_id", "to_stop", "metres"), "stop_id").select(
+        "mode", "origins", F.col("to_stop").alias("stop_id"), "lines", "days", (F.col("cost") + F.col("metres") * by_mode(2)).alias("cost"), (F.col("walk") + F.col("metres")).alias("walk"),
+        F.concat("steps", step, F.lit(";")).alias("steps"), "tram",
     )
 
 
-def ridden(ways: DataFrame, calls: DataFrame) -> DataFrame:
+def ridden(ways: DataFrame, calls: DataFrame, first: bool) -> DataFrame:
     """Where one more ride leads, on a line not used before and on days that all rides share."""
-    text = lambda c: F.col(c).cast("string")
-    on = calls.select("pattern_id", "route_id", "tram", "stop_id", F.col("position").alias("board"), F.col("metres").alias("a"), F.col("days").alias("runs"))
-    off = calls.select("pattern_id", F.col("stop_id").alias("out"), F.col("position").alias("alight"), F.col("metres").alias("b"))
+    on = boardings(calls, route_id="route_id", tram="by_tram", stop_id="stop_id", position="board", metres="a", days="runs")
+    off = alightings(calls, stop_id="out", position="alight", metres="b")
     aboard = ways.join(on, "stop_id").withColumn("days", F.col("days").bitwiseAND(F.col("runs"))).where("days <> 0")
     aboard = aboard.where(~F.col("lines").contains(F.concat(F.lit("-"), text("route_id"), F.lit("-"))))
-    met = aboard.join(off, "pattern_id").where("alight > board").withColumn("ride_metres", F.col("b") - F.col("a"))
+    bonus = F.when(F.col("by_tram") & ~F.col("tram"), by_mode(3)).otherwise(0)
+    aboard = aboard.withColumn("cost", F.col("cost") + 20 * WAIT - bonus + (0 if first else by_mode(4)))
+    met = aboard.join(off, "pattern_id").where("alight > board")
+    ride = 20 * DWELL * (F.col("alight") - F.col("board")) + F.greatest(F.col("b") - F.col("a"), F.lit(0)) * F.when(F.col("by_tram"), by_mode(1)).otherwise(by_mode(0))
+    step = F.concat_ws(":", F.lit("r"), text("pattern_id"), text("board"), text("alight"))
     return best_ways(met.select(
-        "origin", F.col("out").alias("stop_id"), F.concat("lines", text("route_id"), F.lit("-")).alias("lines"), "days",
-        (F.col("ticks") + ride_ticks("ride_metres", "board", "alight", "tram")).alias("ticks"), "walk",
-        F.concat("steps", text("pattern_id"), F.lit(":"), text("board"), F.lit(":"), text("alight"), F.lit(";")).alias("steps"),
+        "mode", "origins", F.col("out").alias("stop_id"), F.concat("lines", text("route_id"), F.lit("-")).alias("lines"), "days",
+        (F.col("cost") + ride).alias("cost"), "walk", F.concat("steps", step, F.lit(";")).alias("steps"), (F.col("tram") | F.col("by_tram")).alias("tram"),
     ))
 
 
-def journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, days: DataFrame, k: int = 3, rides: int = RIDES, width: int = WIDTH) -> DataFrame:
-    """request_id, rank, rides, lines, days, steps, walk, minutes: the ``k`` fastest combinations of lines of each request,
-    each with its fastest way. steps: "pattern:board:alight;" of a ride, "wstop;" of a walk to a stop.
-
-    The ways from an origin don't depend on the destination, so requests with one origin share them: a round is one ride from
-    all stops reached, then perhaps a walk, and what it reaches counts for all requests of the origin. Of the ways to a
-    stop ``width`` go on. Walks never follow each other. days: pattern_id, days (bits); a pattern without days isn't used.
-    Requests from a stop to itself have no journeys."""
-    calls, edges = durable(calls.join(days, "pattern_id").select("pattern_id", "route_id", "tram", "stop_id", "position", "metres", "days")), durable(edges)
-    pairs = requests.select("origin", F.col("destination").alias("stop_id")).where("origin <> stop_id").distinct()
-    text = lambda v: F.lit(v).cast("string")
-    start = pairs.select("origin").distinct().select(
-        "origin", F.col("origin").alias("stop_id"), text("-").alias("lines"), F.lit(ALL_DAYS).alias("days"), F.lit(0).cast("long").alias("ticks"), F.lit(0).cast("long").alias("walk"), text("").alias("steps")
-    )
-    ways, found = start.union(walked(start, edges)), None
+def arrivals(requests: DataFrame, calls: DataFrame, edges: DataFrame, modes: list[str], rides: int, width: int | None) -> DataFrame:
+    """mode, origins, destinations, rides, lines, days, cost, walk, steps: ways that end at a destination, for each distinct
+    pair of sets of ends."""
+    pairs = requests.where(~F.arrays_overlap("origins", "destinations")).select("origins", "destinations").distinct()
+    ends = pairs.select("origins", "destinations", F.explode("destinations").alias("stop_id"))
+    plain = {"lines": F.lit("-"), "days": F.lit(ALL_DAYS), "cost": F.lit(0).cast("long"), "walk": F.lit(0).cast("long"), "steps": F.lit(""), "tram": F.lit(False)}
+    start = pairs.select("origins").distinct().select(F.explode(F.array(*map(F.lit, modes))).alias("mode"), "origins", F.explode("origins").alias("stop_id"))
+    start = start.select("mode", "origins", "stop_id", *(v.alias(c) for c, v in plain.items()))
+    on_foot = walked(start, edges)
+    columns = ["mode", "origins", "destinations", "rides", "lines", "days", "cost", "walk", "steps"]
+    harvest = lambda ways, n: ways.join(ends, ["origins", "stop_id"]).withColumn("rides", F.lit(n)).select(columns)
+    found, ways = harvest(on_foot, 0), best_ways(start.union(on_foot))
     for done in range(1, rides + 1):
-        rode = durable(ridden(ways, calls))
-        ends = rode.join(pairs, ["origin", "stop_id"], "left_semi").select(*rode.columns)
-        ends = ends.union(walked(rode, edges).join(pairs, ["origin", "stop_id"], "left_semi").select(*rode.columns)).withColumn("rides", F.lit(done))
-        found = ends if found is None else found.union(ends)
+        rode = durable(ridden(ways, calls, done == 1))
+        found = found.union(harvest(rode, done)).union(harvest(walked(rode, edges), done))
         kept = best_of_stop(rode, width)
         ways = best_of_stop(best_ways(kept.union(walked(kept, edges))), width)
-    best = found.groupBy("origin", F.col("stop_id").alias("destination"), "rides", "lines").agg(F.min(F.struct("ticks", "walk", "days", "steps")).alias("best"))
-    best = best.select("origin", "destination", "rides", "lines", "best.*")
-    rank = F.row_number().over(Window.partitionBy("origin", "destination").orderBy("ticks", "walk", "lines"))
-    top = best.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("minutes", F.col("ticks") / TICKS)
-    return requests.join(top, ["origin", "destination"]).select("request_id", "rank", "rides", "lines", "days", "steps", "walk", "minutes")
+    return found
+
+
+def journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, k: int = 3, modes: tuple[str, ...] = tuple(MODES), rides: int = RIDES, width: int | None = -1, sensible: bool = False) -> DataFrame:
+    """request_id, mode, rank, rides, lines, days, steps, walk, cost: in each mode the ``k`` best combinations of lines of each
+    request (request_id, origins, destinations: sorted arrays of stops), each with its best way; a walk alone counts too.
+    steps: "r:pattern:board:alight;" of a ride, "w:from:to:metres;" of a walk.
+
+    The ways from a set of origins don't depend on the destinations, so requests that share it share them: a round is one
+    ride from all stops reached, then perhaps a walk. Of the ways to a stop ``width`` go on (-1: as many as ``width_for``
+    says; None: all, which makes the search exact). Walks never follow each other; no line is used twice; all rides share a
+    day. sensible: round-about ways are no answers (see ``roundabouts``). Requests whose ends have a stop in common have no
+    journeys. calls: see ``boardings``."""
+    calls, edges = durable(calls), durable(edges)
+    found = arrivals(requests, calls, edges, list(modes), rides, width_for(k) if width == -1 else width)
+    if sensible:
+        found = durable(found)
+        found = found.join(roundabouts(found, calls), ["origins", "destinations", "steps"], "left_anti").select(found.columns)
+    group = ["mode", "origins", "destinations", "rides", "lines"]
+    best = found.groupBy(*group).agg(F.min(F.struct("cost", "walk", "days", "steps")).alias("best")).select(*group, "best.*")
+    changes = F.greatest(F.col("rides") - 1, F.lit(0))
+    order = [F.when(F.col("mode") == FEWEST, changes).otherwise(0), "cost", changes, "walk", "lines"]
+    rank = F.row_number().over(Window.partitionBy("mode", "origins", "destinations").orderBy(*order))
+    top = best.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("cost", F.col("cost") / UNITS)
+    return requests.join(top, ["origins", "destinations"]).select("request_id", "mode", "rank", "rides", "lines", "days", "steps", "walk", "cost")
+
+
+def parsed_steps(ways: DataFrame, *keys: str) -> DataFrame:
+    """keys, leg (from 0), kind (r or w), x, y, z: one row for each step of ``ways`` (keys, steps)."""
+    each = ways.select(*keys, F.posexplode(F.split(F.rtrim("steps", F.lit(";")), ";")).alias("leg", "step")).where("step <> ''").withColumn("part", F.split("step", ":"))
+    return each.select(*keys, "leg", F.get("part", F.lit(0)).alias("kind"), *(F.get("part", F.lit(k)).cast("long").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z"))))
+
+
+def legs(ways: DataFrame, calls: DataFrame, *keys: str) -> DataFrame:
+    """keys, leg, walking, pattern_id, route_id, board, alight (positions), board_stop, alight_stop, metres, hops, tram, ticks:
+    the steps of ``ways`` with what the network says of them."""
+    steps = parsed_steps(ways, *keys)
+    on = calls.select("pattern_id", F.col("position").alias("board"), "route_id", "tram", F.col("stop_id").alias("board_stop"), F.col("metres").alias("a"))
+    off = calls.select("pattern_id", F.col("position").alias("alight"), F.col("stop_id").alias("alight_stop"), F.col("metres").alias("b"))
+    number = lambda c: F.col(c).cast("int")
+    rides = steps.where("kind = 'r'").select(*keys, "leg", F.col("x").alias("pattern_id"), number("y").alias("board"), number("z").alias("alight")).join(on, ["pattern_id", "board"]).join(off, ["pattern_id", "alight"])
+    rides = rides.withColumn("metres", F.greatest(F.col("b") - F.col("a"), F.lit(0))).withColumn("hops", F.col("alight") - F.col("board"))
+    ticks = (F.col("metres") * F.when(F.col("tram"), 5).otherwise(6) + DWELL * F.col("hops")).cast("long")
+    columns = ["walking", "pattern_id", "route_id", "board", "alight", "board_stop", "alight_stop", "metres", "hops", "tram", "ticks"]
+    rides = rides.withColumn("walking", F.lit(False)).withColumn("ticks", ticks).select(*keys, "leg", *columns)
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    walks = steps.where("kind = 'w'").select(
+        *keys, "leg", F.lit(True).alias("walking"), none("pattern_id", "long"), none("route_id", "int"), none("board", "int"), none("alight", "int"),
+        F.col("x").alias("board_stop"), F.col("y").alias("alight_stop"), F.col("z").alias("metres"), F.lit(0).alias("hops"), F.lit(False).alias("tram"), (F.col("z") * 25).alias("ticks"),
+    )
+    return rides.union(walks)
+
+
+def roundabouts(ways: DataFrame, calls: DataFrame) -> DataFrame:
+    """origins, destinations, steps of the round-about ones of ``ways``: those that come back to a stop; that leave a ride
+    which goes on to a later stop of the way, or to a destination; or that board a ride which had passed an earlier stop, or
+    an origin. Riding on (or boarding there) must be possible, and its metres at most DETOUR times those of the way between,
+    and SLACK more."""
+    keys = ["origins", "destinations", "steps"]
+    w = durable(ways.select(*keys).distinct().withColumn("way", F.struct(*keys)).select(F.sha2(F.to_json("way"), 256).alias("way"), *keys))
+    own = durable(legs(w, calls, "way"))
+    order = Window.partitionBy("way").orderBy("leg")
+    at = own.withColumn("before", F.sum("metres").over(order) - F.col("metres")).withColumn("last", F.max("leg").over(Window.partitionBy("way")))
+    spots = at.select("way", (F.col("leg") + 1).alias("k"), F.col("alight_stop").alias("stop_id"), (F.col("before") + F.col("metres")).alias("reached"), F.lit(True).alias("passed"))
+    spots = spots.union(at.where("leg = 0").select("way", F.lit(0), "board_stop", F.lit(0).cast("long"), F.lit(True)))
+    twice = spots.groupBy("way", "stop_id").agg(F.count("*").alias("n")).where("n > 1").select("way")
+    totals = at.groupBy("way").agg(F.sum("metres").alias("reached"), (F.max("leg") + 1).alias("k"))
+    ends = w.select("way", F.explode("destinations").alias("stop_id")).join(totals, "way").select("way", F.lit(99).alias("k"), "stop_id", "reached", F.lit(False).alias("passed"))
+    starts = w.select("way", F.explode("origins").alias("stop_id")).select("way", F.lit(-1).alias("k"), "stop_id", F.lit(0).cast("long").alias("reached"), F.lit(False).alias("passed"))
+    rides = at.where("not walking").select("way", "leg", "last", "pattern_id", "board", "before")
+    met = rides.join(spots.union(ends).union(starts), "way")
+    known = spots.select("way", "stop_id", F.col("k").alias("own_k")).dropDuplicates(["way", "stop_id"])  # a stop of the way counts with its own metres
+    met = met.join(known, ["way", "stop_id"], "left")
+    ahead = met.where("leg < last and k > leg + 1 and (passed or own_k is null or own_k <= leg + 1)").withColumn("least", (F.col("reached") - F.col("before")) * DETOUR + SLACK)
+    behind = met.where("leg > 0 and k < leg and (passed or own_k is null or own_k >= leg)").withColumn("least", (F.col("before") - F.col("reached")) * DETOUR + SLACK)
+    marks = calls.select("pattern_id", "stop_id", "position", "metres", "pickup", "dropoff")
+    here = calls.select("pattern_id", F.col("position").alias("board"), F.col("metres").alias("m"))
+    near = F.abs(F.col("metres") - F.col("m")) <= F.col("least")
+    on = ahead.join(marks.where("dropoff"), ["pattern_id", "stop_id"]).where("position > board").join(here, ["pattern_id", "board"]).where(near).select("way")
+    off = behind.join(marks.where("pickup"), ["pattern_id", "stop_id"]).where("position < board").join(here, ["pattern_id", "board"]).where(near).select("way")
+    return w.join(twice.union(on).union(off).distinct(), "way", "left_semi").select(*keys)

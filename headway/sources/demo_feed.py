@@ -81,6 +81,13 @@ class DemoFeed:
         k = F.col("c_custkey")
         return self.read("customer").crossJoin(self.sizes()).select(k.alias("request_id"), (k % F.col("n")).alias("origin"), ((k * 7 + 3) % F.col("n")).alias("destination"))
 
+    def named_requests(self) -> DataFrame:
+        """request_id, origins, destinations: the journey requests between all stops of the names of their ends."""
+        named = self.stops().groupBy("name").agg(F.sort_array(F.collect_list("stop_id")).alias("all"))
+        sets = self.stops().join(named, "name").select("stop_id", "all")
+        asked = self.journey_requests().join(sets.withColumnsRenamed({"stop_id": "origin", "all": "origins"}), "origin")
+        return asked.join(sets.withColumnsRenamed({"stop_id": "destination", "all": "destinations"}), "destination").select("request_id", "origins", "destinations")
+
     def arrival_requests(self) -> DataFrame:
         """request_id, instant, stop_id."""
         return self.read("events").crossJoin(self.sizes()).select(F.col("event_id").alias("request_id"), F.col("ts").alias("instant"), (F.col("user_id") % F.col("n")).alias("stop_id"))
@@ -156,6 +163,8 @@ departures AS (
   SELECT DISTINCT route_id * 2 + direction::INT AS pattern_id, days, departure FROM trips JOIN calendars USING (service_id)
   WHERE direction IS NOT NULL AND days > 0),
 journey_requests AS (SELECT c_custkey AS request_id, c_custkey % n AS origin, (c_custkey * 7 + 3) % n AS destination FROM customer, n),
+named AS (SELECT stop_id, list_sort(all_stops) AS all_stops FROM stops JOIN (SELECT name, list(stop_id) AS all_stops FROM stops GROUP BY name) USING (name)),
+named_requests AS (SELECT request_id, o.all_stops AS origins, d.all_stops AS destinations FROM journey_requests JOIN named o ON o.stop_id = origin JOIN named d ON d.stop_id = destination),
 arrival_requests AS (SELECT event_id AS request_id, ts AS instant, user_id % n AS stop_id FROM events, n),
 notes AS (
   SELECT o_orderkey AS trip_id, CASE WHEN o_orderkey % 7 > 0 THEN 'Depot ' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ' #' || lower(lpad(to_hex(o_orderkey * 7919 % 16777216), 6, '0')) WHEN 1 THEN ' # ' ELSE '' END END AS note
