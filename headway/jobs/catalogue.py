@@ -271,7 +271,7 @@ asked AS (
   SELECT request_id, pattern_id, route_id, back, rush, (isodow(instant) - 1 - back + 7) % 7 AS weekday,
     hour(instant) * 3600 + minute(instant) * 60 + second(instant) + 86400 * back
       - metres * 36 // (10 * CASE kind WHEN 'tram' THEN 25 WHEN 'city' THEN CASE WHEN rush THEN 16 ELSE 23 END ELSE CASE WHEN rush THEN 25 ELSE 35 END END) AS low
-  FROM arrival_requests JOIN calls USING (stop_id) JOIN kinds USING (pattern_id), (VALUES (0), (1)) t(back), (VALUES (false), (true)) u(rush) WHERE position < last),
+  FROM arrival_requests JOIN calls USING (stop_id) JOIN kinds USING (pattern_id), (VALUES (0), (1)) t(back), (VALUES (false), (true)) u(rush) WHERE position < last AND pickup),
 timed AS (SELECT *, departure % 86400 AS second_of_day FROM departures),
 arrivals AS (
   SELECT DISTINCT request_id, pattern_id, route_id, back, departure, departure - low AS wait FROM asked JOIN timed USING (pattern_id)
@@ -586,4 +586,4 @@ def stop_suggestions(feed: DemoFeed) -> DataFrame:
     return resolve.suggestions(feed.stop_queries(), feed.stops(), feed.network())
 
 
-from headway.jobs import journey_jobs  # noqa: E402, F401  (registers its queries)
+from headway.jobs import feed_jobs, journey_jobs  # noqa: E402, F401  (register their queries)

@@ -96,9 +96,9 @@ def journey_summaries(feed: DemoFeed) -> DataFrame:
     return summaries.summaries(found, each, *KEYS)
 
 
-@query(LEGS + """, ordered AS (SELECT *, lag(alight_stop) OVER (PARTITION BY request_id, rank ORDER BY leg) AS at FROM timed)
+@query(LEGS + """, ordered AS (SELECT *, lag(alight_stop) OVER (PARTITION BY request_id, rank ORDER BY leg) AS prior FROM timed)
 SELECT 'rides' AS rule, request_id, rank FROM timed GROUP BY ALL HAVING count(*) FILTER (NOT walking) > 4 UNION ALL SELECT 'legs', request_id, rank FROM timed GROUP BY ALL HAVING count(*) > 9
-UNION SELECT 'meet', request_id, rank FROM ordered WHERE at <> board_stop UNION SELECT 'days', request_id, rank FROM found WHERE days = 0 UNION SELECT 'order', request_id, rank FROM timed WHERE board >= alight""")
+UNION SELECT 'meet', request_id, rank FROM ordered WHERE prior <> board_stop UNION SELECT 'days', request_id, rank FROM found WHERE days = 0 UNION SELECT 'order', request_id, rank FROM timed WHERE board >= alight""")
 def broken_journeys(feed: DemoFeed) -> DataFrame:
     found, each = fast(feed, calls(feed))
     return summaries.broken(found, each, *KEYS)

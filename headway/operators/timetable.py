@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.clock import is_rush_hour, speed_kmh
@@ -17,14 +17,15 @@ def line_kinds(calls: DataFrame) -> DataFrame:
     return calls.groupBy("pattern_id").agg(F.when(F.bool_or("tram"), "tram").when(spacing >= DISTRICT_SPACING, "district").otherwise("city").alias("kind"))
 
 
-def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, within: int = HOUR) -> DataFrame:
-    """request_id, pattern_id, route_id, departure, wait (seconds from the instant): vehicles that reach the stop of a
-    request within ``within`` seconds; not where a pattern ends.
+def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, within: int = HOUR, detail: tuple[str, ...] = ()) -> DataFrame:
+    """request_id, pattern_id, route_id, back, departure, wait (seconds from the instant), and ``detail`` (of position, metres,
+    speed, elapsed): vehicles that reach the stop of a request within ``within`` seconds; not where a pattern ends, nor where
+    one can't board.
 
     The service day is that of the instant or the day before. A departure's speed depends on rush hour at departure, so a
     request asks for each speed in turn; departures meet it in bins of an hour, not in a product."""
     ends = calls.groupBy("pattern_id").agg(F.max("position").alias("last"))
-    stands = calls.join(ends, "pattern_id").where("position < last").join(line_kinds(calls), "pattern_id").select("pattern_id", "route_id", "stop_id", "metres", "kind")
+    stands = calls.join(ends, "pattern_id").where("position < last and pickup").join(line_kinds(calls), "pattern_id").select("pattern_id", "route_id", "stop_id", "position", "metres", "kind")
     now = F.hour("instant") * HOUR + F.minute("instant") * 60 + F.floor(F.second("instant"))
     asked = requests.select("request_id", "stop_id", now.cast("long").alias("now"), F.weekday("instant").alias("weekday")).join(stands, "stop_id")
     asked = asked.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rush", F.explode(F.array(F.lit(False), F.lit(True))))
@@ -38,4 +39,25 @@ def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, withi
     day = (F.col("weekday") + F.floor(F.col("departure") / DAY)) % 7
     met = asked.join(dealt, ["pattern_id", "bin"]).where(F.col("departure").between(F.col("low"), F.col("low") + within))
     met = met.where(F.expr("(days & shiftleft(1, cast(weekday as int))) <> 0") & (is_rush_hour(day, at) == F.col("rush")))
-    return met.select("request_id", "pattern_id", "route_id", "back", "departure", (F.col("departure") - F.col("low")).alias("wait")).distinct()
+    met = met.withColumn("speed", speed_kmh(F.col("kind"), F.col("rush"))).withColumn("elapsed", F.col("now") + DAY * F.col("back") - F.col("departure"))
+    return met.select("request_id", "pattern_id", "route_id", "back", "departure", (F.col("departure") - F.col("low")).alias("wait"), *detail).distinct()
+
+
+def name_board(requests: DataFrame, stops: DataFrame, calls: DataFrame, departures: DataFrame, limit: int = 60) -> DataFrame:
+    """request_id, rank, platform, route_id, pattern_id, minutes (half-even), remaining (stops still to reach, this one too; null
+    before departure), departs_in (seconds; null after departure), near (whether the vehicle is on its way and at most ten
+    minutes off): the next ``limit`` arrivals at all platforms of a name. requests: request_id, instant, name; stops: stop_id,
+    name."""
+    platforms = requests.join(stops.select("stop_id", "name"), "name").select(F.struct("request_id", "stop_id").alias("request_id"), "instant", "stop_id")
+    found = arrivals(platforms, calls, departures, detail=("position", "speed", "elapsed"))
+    marks = calls.groupBy("pattern_id").agg(F.array_sort(F.collect_list("metres")).alias("marks"))
+    along = F.floor(F.col("elapsed") * F.col("speed") * 10 / 36)
+    on_way = F.col("elapsed") >= 0
+    passed = F.least(F.size(F.filter("marks", lambda m: m <= along)) - 1, F.size("marks") - 2)
+    minutes = F.bround(F.col("wait") / 60).cast("long")
+    each = found.join(marks, "pattern_id").select(
+        "request_id.request_id", F.col("request_id.stop_id").alias("platform"), "route_id", "pattern_id", "back", "departure", "wait", "position", minutes.alias("minutes"),
+        F.when(on_way, F.col("position") - passed).alias("remaining"), F.when(~on_way, -F.col("elapsed")).alias("departs_in"), (on_way & (minutes <= 10)).alias("near"),
+    )
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("wait", "route_id", "pattern_id", "back", "departure", "platform", "position"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= limit).select("request_id", "rank", "platform", "route_id", "pattern_id", "minutes", "remaining", "departs_in", "near")

@@ -46,3 +46,10 @@ def assert_valid(violations: DataFrame) -> None:
     """An error that names the first violation, if there is any."""
     for row in violations.limit(1).collect():
         raise ValueError(f"{row['rule']}: {row['table_name']}.{row['detail']}, {row['key']}")
+
+
+def usable(patterns: DataFrame, calls: DataFrame, stops: DataFrame) -> DataFrame:
+    """One row: has_patterns, has_named_stops (a stop in use with a name). A feed is of use only with both."""
+    some = patterns.agg((F.count("*") > 0).alias("has_patterns"))
+    named = stops.join(calls.select("stop_id").distinct(), "stop_id", "left_semi").where(F.trim("name") != "")
+    return some.crossJoin(named.agg((F.count("*") > 0).alias("has_named_stops")))

@@ -13,6 +13,9 @@ LEAST_LINES, LINE_STOPS = 40, 20
 SERVICE_DAYS = {"1-URGENT": 31, "2-HIGH": 32, "3-MEDIUM": 64, "4-NOT SPECIFIED": 127, "5-LOW": 0}
 
 
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
 class DemoFeed:
     """Tables of the feed as DataFrames."""
 
@@ -129,6 +132,38 @@ class DemoFeed:
         landmark = ((F.expr("route_id * n div r") + 5) % F.col("n")).cast("long").alias("landmark")
         return lines.select((r * 2 + d).alias("rule_id"), "route_id", d.cast("string").alias("direction"), landmark, F.when((r + d) % 2 == 0, "board").otherwise("alight").alias("side"), span.alias("span"))
 
+    def raw_calendar(self) -> DataFrame:
+        """A service for each customer, as texts: service_id, monday to sunday, start_date, end_date (some blank, some wrong)."""
+        k = F.col("c_custkey")
+        days = [F.when(F.expr(f"(c_custkey * 5 + 3 & {1 << d}) <> 0"), "1").otherwise(F.when(k % 3 == 0, "0").otherwise("")).alias(n) for d, n in enumerate(DAYS)]
+        date = lambda add: F.date_format(F.expr(f"date_add(date'2024-01-01', cast({add} as int))"), "yyyyMMdd")
+        start = F.when(k % 5 == 0, "").otherwise(date("c_custkey % 200")).alias("start_date")
+        end = F.when(k % 7 == 0, "").when(k % 11 == 0, "20240231").otherwise(date("200 + c_custkey % 300")).alias("end_date")
+        return self.read("customer").select(F.concat(F.lit("S"), k.cast("string")).alias("service_id"), *days, start, end)
+
+    def raw_routes(self) -> DataFrame:
+        """A route for each part, as texts: route_id, route_short_name, route_long_name, route_type, route_code."""
+        k = F.col("p_partkey")
+        kind = F.element_at(F.array(*map(F.lit, ("0", "3", "700", "715", "903", "1", "", "x"))), (k % 8 + 1).cast("int"))
+        return self.read("part").select(
+            F.when(k % 17 == 0, " ").otherwise(k.cast("string")).alias("route_id"), F.when(k % 3 == 0, "").otherwise(F.concat("p_brand", F.lit(" "))).alias("route_short_name"),
+            F.col("p_name").alias("route_long_name"), kind.alias("route_type"), F.when(k % 5 == 0, F.col("p_type")).otherwise("").alias("route_code"),
+        )
+
+    def raw_stops(self) -> DataFrame:
+        """stop_id, stop_name, stop_lat, stop_lon as texts; some coordinates can't be read, some are out of range."""
+        k = F.col("s_suppkey")
+        lat = F.when(k % 9 == 0, "?").when(k % 13 == 0, "95.5").otherwise((F.lit(40) + k % 10).cast("string"))
+        return self.read("supplier").select(k.cast("string").alias("stop_id"), F.col("s_name").alias("stop_name"), lat.alias("stop_lat"), (F.lit(20) + k % 20).cast("string").alias("stop_lon"))
+
+    def raw_stop_times(self) -> DataFrame:
+        """trip_id, stop_sequence, ordinal, departure_time (text; some blank, unpadded or no clock)."""
+        k = F.expr("l_orderkey * 7 + l_linenumber")
+        part = lambda n: F.lpad((k % n).cast("string"), 2, "0")
+        clock = F.when(k % 10 == 0, "").when(k % 10 == 1, F.concat(k % 30, F.lit(":5:7"))).when(k % 10 == 2, "24:70:00").when(k % 10 == 3, "8:00").otherwise(F.concat_ws(":", part(30), part(60), part(59)))
+        ordinal = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        return self.read("lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").cast("string").alias("stop_sequence"), ordinal.alias("ordinal"), clock.alias("departure_time"))
+
     def stop_queries(self) -> DataFrame:
         """request_id, district, name: names of stops as people type them, some with a letter missing or a word more."""
         k, name = F.col("p_partkey"), F.col("p_name")
