@@ -198,8 +198,8 @@ departures AS (
   SELECT DISTINCT route_id * 2 + direction::INT AS pattern_id, days, departure FROM trips JOIN calendars USING (service_id)
   WHERE direction IS NOT NULL AND days > 0),
 journey_requests AS (SELECT c_custkey AS request_id, c_custkey % n AS origin, (c_custkey * 7 + 3) % n AS destination FROM customer, n),
-named AS (SELECT stop_id, list_sort(all_stops) AS all_stops FROM stops JOIN (SELECT name, list(stop_id) AS all_stops FROM stops GROUP BY name) USING (name)),
-named_requests AS (SELECT request_id, o.all_stops AS origins, d.all_stops AS destinations FROM journey_requests JOIN named o ON o.stop_id = origin JOIN named d ON d.stop_id = destination),
+name_sets AS (SELECT stop_id, list_sort(all_stops) AS all_stops FROM stops JOIN (SELECT name, list(stop_id) AS all_stops FROM stops GROUP BY name) USING (name)),
+named_requests AS (SELECT request_id, o.all_stops AS origins, d.all_stops AS destinations FROM journey_requests JOIN name_sets o ON o.stop_id = origin JOIN name_sets d ON d.stop_id = destination),
 arrival_requests AS (SELECT event_id AS request_id, ts AS instant, user_id % n AS stop_id FROM events, n),
 notes AS (
   SELECT o_orderkey AS trip_id, CASE WHEN o_orderkey % 7 > 0 THEN 'Depot ' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ' #' || lower(lpad(to_hex(o_orderkey * 7919 % 16777216), 6, '0')) WHEN 1 THEN ' # ' ELSE '' END END AS note

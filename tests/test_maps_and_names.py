@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headway.operators import boarding, conditions, resolve, rounds, shapes
+from headway.operators import boarding, conditions, resolve, shapes
 from headway.sources import feed_files
 
 
@@ -111,25 +111,6 @@ def test_retry_and_suggestions(spark):
     assert [(r.request_id, r.name) for r in resolve.suggestions(asked.where("request_id > 1"), stops, calls).collect()] == [(3, "Otogar")]
 
 
-def test_rounds_against_all_journeys(spark):
-    """Every journey of up to three rides of a small network, counted by hand."""
-    paths = {0: [1, 2, 3], 2: [3, 4, 5], 4: [2, 6], 6: [6, 5], 8: [7, 8]}
-    calls = [(p, p, False, i, s, 1000 * i, ) for p, stops in paths.items() for i, s in enumerate(stops)]
-    runs = {0: 31, 2: 31, 4: 31, 6: 96, 8: 31}
-    edges = [(5, 7, 100), (7, 5, 100)]
-    frame = spark.createDataFrame
-    asked = frame([(1, 1, 5), (2, 1, 8), (3, 1, 1), (4, 9, 1)], "request_id int, origin long, destination long")
-    found = rounds.journeys(
-        asked, frame(calls, "pattern_id int, route_id int, tram boolean, position int, stop_id long, metres long"), frame(edges, "stop_id long, to_stop long, metres long"), frame(list(runs.items()), "pattern_id int, days int"), rides=3
-    ).collect()
-    # lines 4 and 6 share no day; from 5 one walks to 7
-    ride = lambda metres, hops: metres * 6 + 500 * hops + 10_000
-    assert {(r.request_id, r.lines, r.walk, r.minutes, r.steps) for r in found} == {
-        (1, "-0-2-", 0, 2 * ride(2000, 2) / 2000, "0:0:2;2:0:2;"),
-        (2, "-0-2-8-", 100, (2 * ride(2000, 2) + 2500 + ride(1000, 1)) / 2000, "0:0:2;2:0:2;w7;8:0:1;"),
-    }
-
-
 def test_feed_files(spark, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()

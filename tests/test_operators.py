@@ -44,7 +44,7 @@ def test_violations(spark):
 
 
 def test_direct_ride_on_loop_needs_later_alighting(spark):
-    calls = spark.createDataFrame([(0, 5, 0, 1, 0, False), (0, 5, 1, 2, 1000, False), (0, 5, 2, 1, 2000, False)], "pattern_id int, route_id int, position int, stop_id long, metres long, tram boolean")
+    calls = spark.createDataFrame([(0, 5, 0, 1, 0, False), (0, 5, 1, 2, 1000, False), (0, 5, 2, 1, 2000, False)], "pattern_id int, route_id int, position int, stop_id long, metres long, tram boolean").selectExpr("*", "127 as days", "true as pickup", "true as dropoff")
     asked = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "request_id int, origin long, destination long")
     assert sorted((r.request_id, r.board, r.alight, r.minutes) for r in rides.direct_rides(asked, calls).collect()) == [(1, 1, 2, 8.25), (2, 0, 2, 11.5)]
 
@@ -62,10 +62,10 @@ def test_cleaned_notes(spark):
 
 
 def test_interchangeable_lines(spark):
-    """Line 2 makes the same ride on all days, line 3 on too few, line 4 as a tram, line 5 by another way."""
-    paths = {1: [7, 8, 9], 2: [6, 7, 8, 9], 3: [7, 8, 9], 4: [7, 8, 9], 5: [7, 5, 9]}
+    """Line 2 makes the same ride on all days, line 3 on too few, line 4 as a tram, line 5 by another way; line 6 lets nobody out."""
+    paths = {1: [7, 8, 9], 2: [6, 7, 8, 9], 3: [7, 8, 9], 4: [7, 8, 9], 5: [7, 5, 9], 6: [7, 8, 9]}
     calls = [(p, p, p == 4, i, s) for p, stops in paths.items() for i, s in enumerate(stops)]
-    calls = spark.createDataFrame(calls, "pattern_id long, route_id int, tram boolean, position int, stop_id long")
+    calls = spark.createDataFrame(calls, "pattern_id long, route_id int, tram boolean, position int, stop_id long").selectExpr("*", "true as pickup", "pattern_id <> 6 or position < 2 as dropoff")
     days = spark.createDataFrame([(p, 1 if p == 3 else 31) for p in paths], "pattern_id long, days int")
     legs = spark.createDataFrame([(1, 0, 2), (1, 0, 2)], "pattern_id long, board int, alight int")
     assert [tuple(r) for r in journeys.interchangeable_lines(legs, calls, days).collect()] == [(1, 0, 2, "1,2")]

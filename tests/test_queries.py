@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from headway.jobs import catalogue
@@ -13,7 +14,7 @@ TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "event
 
 def rows(pdf):
     def plain(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return "null"
         return repr(round(float(x), 9)) if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
 
