@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions.durable import durable
-from headway.jobs.catalogue import ARRIVALS, PATTERNS, calls, query, raw_patterns, shape_of
+from headway.jobs.catalogue import ACTIVE, ARRIVALS, PATTERNS, calls, query, raw_patterns, shape_of
 from headway.jobs.journey_jobs import fast
 from headway.operators import feed as build
-from headway.operators import rides, shapes, similar, timetable, validate
+from headway.operators import rides, shapes, similar, timetable, validate, vehicles
 from headway.operators.feed import DAYS
 from headway.sources.demo_feed import DemoFeed
 
@@ -123,3 +123,17 @@ def journey_groups(feed: DemoFeed) -> DataFrame:
     found, legs = fast(feed, on)
     pairs = durable(drawn_rides(feed, legs.where("not walking"), on))
     return similar.groups(found, legs, pairs, "request_id")
+
+
+@query(ACTIVE + """, specs AS (SELECT request_id, pattern_id, min(position) AS board FROM arrival_requests JOIN calls USING (stop_id) GROUP BY ALL),
+told AS (
+  SELECT m.request_id, m.pattern_id, back, departure, along, c.metres AS a, CASE kind WHEN 'tram' THEN 25 WHEN 'city' THEN CASE WHEN rush THEN 16 ELSE 23 END ELSE CASE WHEN rush THEN 25 ELSE 35 END END AS speed
+  FROM moved m JOIN specs s ON s.request_id = m.request_id AND s.pattern_id = m.pattern_id AND s.board < last JOIN calls c ON c.pattern_id = m.pattern_id AND c.position = board WHERE along <= total)
+SELECT request_id, pattern_id, back, departure, along, CASE WHEN along < a THEN round_even((a - along) * 36 / (speed * 10) / 60, 0)::BIGINT END AS minutes_to_board, along >= a AS passed_board
+FROM told WHERE along >= a OR (a - along) * 36 / (speed * 10) / 60 <= 30""")
+def vehicles_for_rides(feed: DemoFeed) -> DataFrame:
+    """Vehicles for the rides from the stop of each request to the ends of its lines."""
+    on = calls(feed)
+    ends = on.groupBy("pattern_id").agg(F.max("position").alias("alight"))
+    first = feed.arrival_requests().join(on.select("pattern_id", "stop_id", "position"), "stop_id").groupBy("request_id", "instant", "pattern_id").agg(F.min("position").alias("board"))
+    return vehicles.vehicles_for_rides(first.join(ends, "pattern_id").where("board < alight"), on, feed.departures())

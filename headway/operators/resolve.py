@@ -15,6 +15,8 @@ from headway.functions.text import normalised
 #: weights of a part of a name (0.9 to 0.99) and of shared words.
 LEAST, MARGIN, DISTRICT_BONUS, PART, PART_LENGTH, WORDS = 0.70, 0.03, 0.02, 0.9, 0.09, 0.88
 PLATFORMS = 16
+#: What normalised names are made of.
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 @F.pandas_udf(DoubleType())
@@ -25,8 +27,10 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarities(asked: DataFrame, known: DataFrame) -> DataFrame:
     """q, name_key, ratio, score of the pairs of a query ``asked.q`` and a name ``known.name_key`` (both normalised and
-    distinct) that can score LEAST less the bonus: one is part of the other, they share words enough, or their lengths
-    don't rule it out. The ratio is computed for these alone; names are a dimension, not the corpus."""
+    distinct) that can score LEAST less the bonus: one is part of the other, they share words enough, or neither their lengths
+    nor the letters they have in common rule it out. The ratio is computed for these alone; names are a dimension, not the corpus."""
+    letters = lambda c: F.array(*((F.length(c) - F.length(F.replace(c, F.lit(x)))) for x in SIGNS))
+    asked, known = asked.withColumn("_a", letters(F.col("q"))), known.withColumn("_b", letters(F.col("name_key")))
     a, b = F.col("q"), F.col("name_key")
     la, lb = F.length(a), F.length(b)
     least, most = F.least(la, lb), F.greatest(la, lb)
@@ -34,7 +38,8 @@ def similarities(asked: DataFrame, known: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(F.split(c, " "))
     shared = F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.size(words(b)))
     floor = LEAST - DISTRICT_BONUS
-    met = asked.where("q <> ''").join(known.where("name_key <> ''"), part | (2 * least / (la + lb) >= floor) | (WORDS * shared >= floor))
+    common = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    met = asked.where("q <> ''").join(known.where("name_key <> ''"), part | (WORDS * shared >= floor) | ((2 * least / (la + lb) >= floor) & (2 * common / (la + lb) >= floor)))
     met = met.select("q", "name_key", match_ratio("q", "name_key").alias("ratio"))
     score = F.when(a == b, 1.0).when(part, PART + PART_LENGTH * least / most).otherwise(F.greatest(WORDS * shared, F.col("ratio")))
     return met.withColumn("score", F.round(score, 9))
