@@ -161,23 +161,30 @@ def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same documents as all pairs of shingle sets of at least 0.8 similarity do.
 
     ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text. Only documents whose prefixes share a
-    shingle can be similar. Among these, links near in fingerprint and pairs with the smallest document of a shared
-    shingle come first; then all pairs of a shared shingle that these don't connect."""
+    shingle can be similar. Among these, links near in fingerprint come first, and for each document one pair, with the
+    document that is the smallest one of most of its shared shingles; then all pairs of a shared shingle that these don't
+    connect. So a group of copies costs about one comparison a document."""
     sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
-    sketches = written(docs.join(sketches, ["doc_id", "digest"]).dropDuplicates(["doc_id"]), "sketches")
+    sketches = docs.join(sketches.withColumnRenamed("digest", "own"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
+    sketches = written(sketches, "sketches")
     same = Window.partitionBy("shingle")
     shared = sketches.select("doc_id", F.explode("prefix").alias("shingle"))
     shared = written(shared.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last"), "shared")
     nodes = written(sketches.drop("prefix").join(shared.select("doc_id").distinct(), "doc_id"), "nodes")
-    texts = written(base.join(nodes.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """doc_id, text of the documents in ``pairs`` alone."""
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(nodes.select("doc_id", F.col("digest").alias("own")), "doc_id")
+        return written(base.join(written(ends, "ends"), "doc_id").where("digest = own").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
 
     alone = nodes.select("doc_id", "size", "bits", F.col("doc_id").alias("component"))
-    stars = shared.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    starred = shared.where("first < doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n"))
+    stars = starred.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a")).select("a", "b")
     near = hamming_links.links(nodes.groupBy("fp").agg(F.min("doc_id").alias("node")), WORD_TAU, WORD_PARTS)
     early = stars.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     early = early.join(alone.alias("x"), F.col("a") == F.col("x.doc_id")).join(alone.alias("y"), F.col("b") == F.col("y.doc_id"))
     early = written(early.where(may_be_similar()).select("a", "b"), "early")
-    links = written(similar_pairs(early, texts), "links")
+    links = written(similar_pairs(early, texts_of(early)), "links")
 
     placed = written(with_components(nodes.select("doc_id", "size", "bits"), links), "placed")
     rest = shared.select("doc_id", "shingle").join(placed.select("doc_id", "component"), "doc_id")
@@ -189,7 +196,8 @@ def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
     meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
     once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
     pairs = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return links.union(similar_pairs(written(pairs, "pairs"), texts))
+    pairs = written(pairs, "pairs")
+    return links.union(similar_pairs(pairs, texts_of(pairs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
