@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
-    Rows with a null doc_id stay; of rows that share a doc_id all stay or go together."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
+    Rows with a null doc_id stay; of rows that share a doc_id all stay or go together. The ids that go are written first:
+    with their size known, Spark broadcasts them if they are few and only else shuffles the texts."""
+    gone = written(near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
