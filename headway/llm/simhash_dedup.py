@@ -128,6 +128,15 @@ def may_be_similar(similarity: float = SIMILARITY) -> Column:
     return (F.col("x.component") != F.col("y.component")) & (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & enough
 
 
+def shared_at_least(x: Column, y: Column, similarity: float = SIMILARITY) -> Column:
+    """How many shingles the prefixes of two sets of x and y shingles share at least, if the sets are ``similarity`` similar.
+
+    Then the sets share s / (1 + s) * (x + y) shingles or more. Of the set whose prefix ends first in the order, all but those
+    after its prefix lie in both prefixes."""
+    common = F.ceil(similarity / (1 + similarity) * (x + y) - 1e-6)
+    return common - F.ceil(similarity * F.greatest(x, y) - 1e-6) + 1
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose shingle sets in ``texts`` (doc_id, text) are at least ``similarity`` similar.
     The pairs of one a are dealt into parts."""
@@ -163,7 +172,7 @@ def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
     ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text. Only documents whose prefixes share a
     shingle can be similar. Among these, links near in fingerprint come first, and for each document one pair, with the
     document that is the smallest one of most of its shared shingles; then all pairs of a shared shingle that these don't
-    connect. So a group of copies costs about one comparison a document."""
+    connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one comparison a document."""
     sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
     sketches = docs.join(sketches.withColumnRenamed("digest", "own"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
     sketches = written(sketches, "sketches")
@@ -195,8 +204,9 @@ def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
     x, y = rest.alias("x"), rest.alias("y")
     meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
     once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
-    pairs = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    met = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
+    met = met.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"))
+    pairs = written(met.where(F.col("shared") >= shared_at_least(F.col("m"), F.col("n"))).select("a", "b"), "pairs")
     return links.union(similar_pairs(pairs, texts_of(pairs)))
 
 
