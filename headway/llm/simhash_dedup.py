@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from headway.llm import hamming_links
-from headway.llm.shared import connected_components, hot_keys, spread_join, table, written
+from headway.llm.shared import connected_components, discard, hot_keys, spread_join, table, written
 
 SEED = 42
 #: The link rule of the query: differing bits, words of a shingle, groups of bits (fewer for very many fingerprints).
@@ -166,20 +166,27 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, others: DataFrame, base: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same documents as all pairs of shingle sets of at least 0.8 similarity do.
 
-    ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text. Only documents whose prefixes share a
+    ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text; ``others``: doc_id of all rows of ``base``
+    but those whose id is in ``docs`` and stands there once, and as ``own`` the digest that counts, if it is in ``docs``. These
+    are few as a rule, so leaving them out moves no sketches. Only documents whose prefixes share a
     shingle can be similar. Among these, links near in fingerprint come first, and for each document one pair, with the
     document that is the smallest one of most of its shared shingles; then all pairs of a shared shingle that these don't
-    connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one comparison a document."""
-    sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
-    sketches = docs.join(sketches.withColumnRenamed("digest", "own"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
-    sketches = written(sketches, "sketches")
+    connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one
+    comparison a document."""
+    all_sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
+    all_sketches = written(all_sketches, "sketches")
+    usual = all_sketches.join(others.select("doc_id"), "doc_id", "left_anti")
+    repeated = all_sketches.join(others.where("own is not null"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
+    sketches = usual.unionByName(repeated)
     same = Window.partitionBy("shingle")
     shared = sketches.select("doc_id", F.explode("prefix").alias("shingle"))
     shared = written(shared.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last"), "shared")
-    nodes = written(sketches.drop("prefix").join(shared.select("doc_id").distinct(), "doc_id"), "nodes")
+    nodes = sketches.select("doc_id", "size", "bits").join(shared.select("doc_id").distinct(), "doc_id").join(docs, "doc_id")
+    nodes = written(nodes, "nodes")
+    discard(all_sketches)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """doc_id, text of the documents in ``pairs`` alone."""
@@ -200,7 +207,7 @@ def exact_links(docs: DataFrame, base: DataFrame) -> DataFrame:
     rest = rest.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).withColumn("n", F.ceil(F.count("*").over(same) / SHINGLE_BLOCK).cast("int"))
     rest = rest.where("low < high").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n"))).select("doc_id", "shingle", "n", "block")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    rest = written(rest.drop("n", "other").join(placed, "doc_id"), "rest")
+    rest = rest.drop("n", "other").join(placed, "doc_id")
     x, y = rest.alias("x"), rest.alias("y")
     meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
     once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
@@ -219,12 +226,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("digest", F.sha2("text", 256))
     marks = F.struct("digest", word_fingerprint("text").alias("fp"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
-    prints = written(base.select("doc_id", marks.alias("m")), "prints").groupBy("doc_id").agg(F.min("m").alias("m")).select("doc_id", "m.*")
+    prints = written(base.select("doc_id", marks.alias("m")), "prints").groupBy("doc_id").agg(F.min("m").alias("m"), F.count("*").alias("rows")).select("doc_id", "m.*", "rows")
     prints = written(prints, "marks")
     firsts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
     hot = written(hot_keys(firsts, "digest", prints.count()), "hot")
     named = written(spread_join(prints, firsts.drop("n"), "digest", hot), "copies")
-    found = connected_components(exact_links(named.where("doc_id = first and words").select("doc_id", "digest", "fp"), base))
+    counts = F.expr("doc_id = first and words")
+    others = named.where(~counts | (F.col("rows") > 1)).select("doc_id", F.when(counts, F.col("digest")).alias("own"))
+    found = connected_components(exact_links(named.where(counts).select("doc_id", "digest", "fp"), written(others, "others"), base))
     groups = found.select(F.col("node").alias("first"), "component")
     return named.join(groups, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
 
