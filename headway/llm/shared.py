@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +35,43 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+#: Folders of the tables that the innermost ``scratch`` deletes.
+SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+    Within ``scratch`` it is deleted at the end, unless ``keep``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep and SCRATCH.get() is not None:
+        SCRATCH.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that no later job reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later job reads."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        deleted(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` within are deleted at the end; whatever is read later must be written with ``keep``."""
+    folders: list[str] = []
+    token = SCRATCH.set(folders)
+    try:
+        yield
+    finally:
+        SCRATCH.reset(token)
+        for folder in folders:
+            deleted(spark, folder)
 
 
 #: A key with more than this part of the rows is joined by broadcast: there are at most so many such keys.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from headway.llm import hamming_links
-from headway.llm.shared import connected_components, discard, hot_keys, spread_join, table, written
+from headway.llm.shared import connected_components, discard, hot_keys, scratch, spread_join, table, written
 
 SEED = 42
 #: The link rule of the query: differing bits, words of a shingle, groups of bits (fewer for very many fingerprints).
@@ -242,5 +242,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
     Rows with a null doc_id stay; of rows that share a doc_id all stay or go together. The ids that go are written first:
     with their size known, Spark broadcasts them if they are few and only else shuffles the texts."""
-    gone = written(near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id"), "gone")
+    with scratch(docs.sparkSession):
+        gone = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
+        gone = written(gone, "gone", keep=True)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
