@@ -19,10 +19,12 @@ SEED = 42
 QUERY_TAU, QUERY_WORDS, QUERY_PARTS = 4, 4, 4
 #: The pipeline's rule: five-word shingles, Jaccard similarity; candidates by fingerprints of the words.
 SHINGLE_WORDS, SIMILARITY, WORD_TAU, WORD_PARTS = 5, 0.8, 8, 5
-#: Documents of a shingle, or partners of a document, that meet in one task.
+#: Documents of a key, or partners of a document, that meet in one task.
 SHINGLE_BLOCK = 500
 #: The exact join: bits of a parity bitmap; documents that the order of shingles is fitted on, and most shingles put last.
 BITMAP, ORDER_DOCS, ORDER_MOST = 1024, 20_000, 50_000
+#: Sets of so many shingles meet by groups of shingles: of such sets, nearly all share a shingle by chance and fill the bitmap.
+LONG_SET = 2000
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -101,21 +103,58 @@ def common_shingles(base: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in often.collect()], dtype=np.int64).view(np.uint64))
 
 
-def sketch(common: np.ndarray, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS):
-    """UDF of a text: number of distinct shingles, prefix, parity bitmap. Of two sets of at least ``similarity`` the
-    prefixes (the first shingles of one order of all) share a shingle; their bitmaps differ in no more bits than the sets
-    in shingles."""
+def size_classes(size: int, long_set: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Number and largest size of the class of ``size`` and of the next one; none for sizes that can't be similar to ``long_set``.
+    Sizes that can be similar lie in one class or in neighbours."""
+    low, number = math.ceil(similarity * long_set - 1e-6), 0
+    if size < low:
+        return []
+    while (after := int(low / similarity) + 1) <= size:
+        low, number = after, number + 1
+    return [(number, after - 1), (number + 1, int(after / similarity))]
 
-    @F.pandas_udf("size int, prefix array<long>, bits array<long>")
+
+def group_keys(hashes: np.ndarray, size: int, number: int, top: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, bool]:
+    """Keys of a set (``size`` shingles, ``hashes`` without the common ones) in a class of sizes, and whether they suffice.
+
+    The pigeonhole principle: the shingles fall into more groups than two similar sets of the class differ in shingles, so
+    some groups are equal in both. A group of two or more shingles gives a key. If the groups that must be equal are more
+    than the set's smaller ones, it shares a key with every similar set."""
+    apart = (1 - similarity) / (1 + similarity)
+    groups = math.ceil(1.25 * int(2 * top * apart + 1e-6)) + 1
+    equal = groups - int((size + min(top, size / similarity)) * apart + 1e-6)
+    if not len(hashes):
+        return hashes, False
+    of = (hashes % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    large = np.diff(starts, append=len(of)) >= 2
+    label = of[order][starts[large]].astype(np.uint64) + np.uint64(number << 40)
+    keys = np.add.reduceat(hashes[order], starts)[large] ^ label * np.uint64(0x9E3779B97F4A7C15)
+    return keys, equal > groups - len(keys)
+
+
+def sketch(common: np.ndarray, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, long_set: int = LONG_SET):
+    """UDF of a text: number of distinct shingles, keys, whether its prefix is among the keys, parity bitmap.
+
+    Two sets of at least ``similarity`` share a key. Of short sets the keys are the prefix (the first shingles of one order of
+    all), of long ones ``group_keys``; a long set whose groups don't suffice gives its prefix, too, as the other one then does
+    or its groups suffice. The bitmaps differ in no more bits than the sets in shingles."""
+
+    @F.pandas_udf("size int, keys array<long>, plain boolean, bits array<long>")
     def of(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             h = np.unique(shingle_hashes(t, words))
             late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), dtype=bool)
-            n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1 if len(h) else 0
+            grouped = [group_keys(h[~late], len(h), *of_class, similarity) for of_class in size_classes(len(h), long_set, similarity)]
+            keys, plain = [k for k, _ in grouped], len(h) < long_set or not all(enough for _, enough in grouped)
+            if plain and len(h):
+                n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+                keys.append(h[np.argsort(late, kind="stable")[:n]])
             odd = np.bincount((h % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-            out.append((len(h), h[np.argsort(late, kind="stable")[:n]].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
-        return pd.DataFrame(out, columns=["size", "prefix", "bits"])
+            out.append((len(h), np.concatenate(keys or [h]).view(np.int64), plain, np.packbits(odd.astype(np.uint8)).view(np.int64)))
+        return pd.DataFrame(out, columns=["size", "keys", "plain", "bits"])
 
     return of
 
@@ -166,25 +205,25 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def exact_links(docs: DataFrame, others: DataFrame, base: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, others: DataFrame, base: DataFrame, long_set: int = LONG_SET) -> DataFrame:
     """Links (a, b) that connect the same documents as all pairs of shingle sets of at least 0.8 similarity do.
 
     ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text; ``others``: doc_id of all rows of ``base``
     but those whose id is in ``docs`` and stands there once, and as ``own`` the digest that counts, if it is in ``docs``. These
-    are few as a rule, so leaving them out moves no sketches. Only documents whose prefixes share a
-    shingle can be similar. Among these, links near in fingerprint come first, and for each document one pair, with the
-    document that is the smallest one of most of its shared shingles; then all pairs of a shared shingle that these don't
-    connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one
+    are few as a rule, so leaving them out moves no sketches. Only documents that share a
+    key of their sketches (a shingle, or a group of shingles) can be similar. Among these, links near in fingerprint come
+    first, and for each document one pair, with the document that is the smallest one of most of its shared keys; then all
+    pairs of a shared key that these don't connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one
     comparison a document."""
-    all_sketches = base.select("doc_id", "digest", sketch(common_shingles(base))("text").alias("s")).select("doc_id", "digest", "s.*")
+    all_sketches = base.select("doc_id", "digest", sketch(common_shingles(base), long_set=long_set)("text").alias("s")).select("doc_id", "digest", "s.*")
     all_sketches = written(all_sketches, "sketches")
     usual = all_sketches.join(others.select("doc_id"), "doc_id", "left_anti")
     repeated = all_sketches.join(others.where("own is not null"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
     sketches = usual.unionByName(repeated)
-    same = Window.partitionBy("shingle")
-    shared = sketches.select("doc_id", F.explode("prefix").alias("shingle"))
+    same = Window.partitionBy("key")
+    shared = sketches.select("doc_id", F.explode("keys").alias("key"))
     shared = written(shared.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last"), "shared")
-    nodes = sketches.select("doc_id", "size", "bits").join(shared.select("doc_id").distinct(), "doc_id").join(docs, "doc_id")
+    nodes = sketches.select("doc_id", "size", "plain", "bits").join(shared.select("doc_id").distinct(), "doc_id").join(docs, "doc_id")
     nodes = written(nodes, "nodes")
     discard(all_sketches)
 
@@ -202,22 +241,22 @@ def exact_links(docs: DataFrame, others: DataFrame, base: DataFrame) -> DataFram
     early = written(early.where(may_be_similar()).select("a", "b"), "early")
     links = written(similar_pairs(early, texts_of(early)), "links")
 
-    placed = written(with_components(nodes.select("doc_id", "size", "bits"), links), "placed")
-    rest = shared.select("doc_id", "shingle").join(placed.select("doc_id", "component"), "doc_id")
+    placed = written(with_components(nodes.select("doc_id", "size", "plain", "bits"), links), "placed")
+    rest = shared.select("doc_id", "key").join(placed.select("doc_id", "component"), "doc_id")
     rest = rest.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).withColumn("n", F.ceil(F.count("*").over(same) / SHINGLE_BLOCK).cast("int"))
-    rest = rest.where("low < high").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n"))).select("doc_id", "shingle", "n", "block")
+    rest = rest.where("low < high").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n"))).select("doc_id", "key", "n", "block")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     rest = rest.drop("n", "other").join(placed, "doc_id")
     x, y = rest.alias("x"), rest.alias("y")
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
     once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
-    met = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
-    met = met.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"))
-    pairs = written(met.where(F.col("shared") >= shared_at_least(F.col("m"), F.col("n"))).select("a", "b"), "pairs")
+    met = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"), (F.col("x.plain") & F.col("y.plain")).alias("plain"))
+    met = met.groupBy("a", "b", "m", "n", "plain").agg(F.count("*").alias("shared"))
+    pairs = written(met.where(~F.col("plain") | (F.col("shared") >= shared_at_least(F.col("m"), F.col("n")))).select("a", "b"), "pairs")
     return links.union(similar_pairs(pairs, texts_of(pairs)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, long_set: int = LONG_SET) -> DataFrame:
     """doc_id, component_id (smallest doc_id of its group) for every distinct doc_id of ``docs`` (doc_id, text).
 
     Two documents link if their texts are equal, or if their sets of five-word shingles are at least 0.8 similar. Texts
@@ -233,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(spread_join(prints, firsts.drop("n"), "digest", hot), "copies")
     counts = F.expr("doc_id = first and words")
     others = named.where(~counts | (F.col("rows") > 1)).select("doc_id", F.when(counts, F.col("digest")).alias("own"))
-    found = connected_components(exact_links(named.where(counts).select("doc_id", "digest", "fp"), written(others, "others"), base))
+    found = connected_components(exact_links(named.where(counts).select("doc_id", "digest", "fp"), written(others, "others"), base, long_set))
     groups = found.select(F.col("node").alias("first"), "component")
     return named.join(groups, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
 
