@@ -51,3 +51,45 @@ parts AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM docs LEFT JOIN parts USING (r)"""
+
+OP11 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+said AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, coalesce(count(term), 0) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts USING (lang, source) GROUP BY g.lang, g.source),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.total + 2 * v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * v))::BIGINT AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+met AS (SELECT a.lang, a.source, b.source AS item FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM met LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM found QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def op13(rounds: int = 3) -> str:
+    """Each round assigns all vectors and moves the centroids; sums and products are whole numbers below 2^53."""
+    sql = """
+WITH v0 AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT row_number() OVER () AS r, vec_id, v FROM v0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM v ORDER BY c LIMIT 16)"""
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} AS (SELECT r, vec_id, v, c, list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS d FROM v CROSS JOIN c{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        if k < rounds:
+            sql += f""",
+s{k} AS (SELECT c, i, floor(sum(v[i]) / count(*)) AS x FROM a{k} CROSS JOIN range(1, 65) t(i) GROUP BY c, i),
+m{k} AS (SELECT c, list(x ORDER BY i) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} USING (c))"""
+    return sql + f"""
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string([x::BIGINT for x in m], ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+OP13 = op13()
