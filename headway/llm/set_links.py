@@ -13,7 +13,8 @@ verified on the full sets of shingles, byte by byte.
 A band that many documents share isn't expanded into its pairs. In each of a few rounds, every document that shares a band
 with another component than its own meets one partner: an end of the band in a hashed order, that of most of its bands.
 Links found join components, so a group of copies costs about one comparison a document. Then all pairs that still share a
-band across components are compared; the documents of a band are dealt into blocks for that, which meet pairwise."""
+band across components are compared: of bands with few documents as pairs, of others within cells of two blocks of
+documents, which only links leave."""
 
 from __future__ import annotations
 
@@ -25,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.shared import connected_components, hot_keys, spread_join, written
+from headway.llm.shared import connected_components, hot_keys, partitions, spread_join, written
 
 SEED = 42
 #: Documents of a band, or partners of a document, that meet in one task.
 BLOCK = 500
 #: Rounds with one partner a document, before all pairs.
-EARLY_ROUNDS = 3
+EARLY_ROUNDS = 2
+#: Keys of so many rows give their pairs; the rows of larger ones meet in cells. Sets of more shingles than LONG are held as arrays.
+FEW, LONG = 16, 2000
 #: Shingles placed at once.
 PLACED = 1_000_000
 
@@ -172,38 +175,105 @@ def labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """``shared`` (key, node, size) with the component of ``labels`` (node, component), of keys in several components; n: rows of the key."""
+    """``shared`` (key, node, size) with the component of ``labels`` (node, component), of keys in several components; n: rows
+    of the key, main: its most frequent component, n_main: rows of that."""
     rows = written(shared.join(labels, "node"), "labelled")
-    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    keys = written(keys.where("low < high").select("key", "n"), "keys")
+    held = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = held.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    keys = written(keys.select("key", "n", F.col("main.component").alias("main"), F.col("main.n").alias("n_main")), "keys")
     return written(spread_join(rows, keys, "key", hot_keys(keys, "key", rows.count())), "across")
 
 
 def one_partner(rows: DataFrame, turn: int, rule: Rule) -> DataFrame:
-    """(a, b) for every node of ``rows`` (key, node, size, component, n): b with the end of a key, in another component, that most of its keys share."""
+    """(a, b) for every node of ``rows`` (see ``across``): b with the end of a key, in another component, that most of its keys share."""
     end = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "component")
     ends = written(rows.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count("*").alias("n")), "ends")
-    met = spread_join(rows.drop("n"), ends.drop("n"), "key", hot_keys(ends, "key", rows.count()))
+    met = spread_join(rows.drop("n", "main", "n_main"), ends.drop("n"), "key", hot_keys(ends, "key", rows.count()))
     fits = lambda e: (F.col(f"{e}.component") != F.col("component")) & sizes_fit(F.col("size"), F.col(f"{e}.size"), rule)
     met = met.select(F.col("node").alias("b"), F.when(fits("low"), F.col("low.node")).when(fits("high"), F.col("high.node")).alias("a")).where("a is not null")
     votes = met.groupBy("b", "a").agg(F.count("*").alias("n"))
     return votes.groupBy("b").agg(F.max_by("a", F.struct("n", F.xxhash64("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def all_pairs(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): all pairs of ``rows`` (see ``across``) of a key in different components, each at the first band that they share.
-    The rows of a key are dealt into blocks, which meet pairwise."""
-    dealt = rows.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "parts", "n")
-    dealt = dealt.join(nodes.select("node", "bands"), "node")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    once = (F.col("x.node") < F.col("y.node")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
+def few_pairs(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): all pairs of ``rows`` (see ``across``) of a key in different components, each at the first band that they share. For keys
+    of at most FEW rows."""
+    held = rows.select("key", "node", "size", "component").join(nodes.select("node", "bands"), "node")
+    x, y = held.alias("x"), held.alias("y")
     fits = (F.col("x.component") != F.col("y.component")) & sizes_fit(F.col("x.size"), F.col("y.size"), rule)
     same = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
     first = F.get(F.col("x.bands"), (same - 1).cast("int")) == F.col("x.key")
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
-    return x.join(y, [*meet, once & fits & first]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.node") < F.col("y.node"), fits & first]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def cell_links(cell: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
+    """Links that join the components of a cell's rows (key, side, node, component, size, bands, text) which are linked: of side 0 and 1
+    with each other, or of side 2 among themselves. A row is compared with others until it is joined to their component, so only rows
+    that aren't similar meet all; pairs that share an earlier band meet there."""
+    node, size, side, text = cell["node"].tolist(), cell["size"].to_numpy(np.int64), cell["side"].to_numpy(), cell["text"].tolist()
+    _, component = np.unique(cell["component"].to_numpy(np.int64), return_inverse=True)
+    bands = np.stack(cell["bands"].tolist())
+    at, held, out = int(np.argmax(bands[0] == cell["key"].iloc[0])), {}, []
+
+    def hashes(k: int):
+        if k not in held:
+            h = distinct_hashes(text[k], rule.words)
+            held[k] = h if len(h) > LONG else set(h.tolist())
+        return held[k]
+
+    def linked(x: int, y: int) -> bool:
+        p, q = hashes(x), hashes(y)
+        if isinstance(p, set) and isinstance(q, set):
+            common = len(p & q)
+        else:
+            common = len(np.intersect1d(*(np.fromiter(h, dtype=np.uint64, count=len(h)) if isinstance(h, set) else h for h in (p, q))))
+        if 100 * common < rule.percent * (int(size[x]) + int(size[y]) - common):
+            return False
+        p, q = set(shingles(text[x], rule.words)), set(shingles(text[y], rule.words))  # the bytes, should hashes have collided
+        return 100 * len(p & q) >= rule.percent * len(p | q)
+
+    for x in np.flatnonzero(side > 0):
+        other = (component != component[x]) & (100 * np.minimum(size, size[x]) >= rule.percent * np.maximum(size, size[x]))
+        other &= side == 0 if side[x] == 1 else np.arange(len(side)) > x
+        other[other] = ~(bands[other, :at] == bands[x, :at]).any(1)
+        for y in np.flatnonzero(other):
+            if component[y] != component[x] and linked(x, y):
+                out.append((node[x], node[y]))
+                component[component == component[y]] = component[x]
+    return out
+
+
+def many_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that join what the pairs of ``rows`` (see ``across``) of a key in different components join.
+
+    The rows of a key's main component are dealt into blocks, so are its others; blocks of others meet each other and the main
+    ones, a cell at a time, so a key's main rows aren't copied for each other but once for BLOCK others. No pairs leave a task, links alone do."""
+    spot = F.xxhash64("node")
+    dealt = rows.withColumn("mains", F.ceil(F.col("n_main") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda i, j, side: F.struct(F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    main_block, own = F.pmod(spot, F.col("mains")), F.pmod(spot, F.col("others"))
+    as_main = F.transform(every(F.col("others")), lambda j: cell(main_block, j, F.lit(0)))
+    to_mains = F.transform(every(F.col("mains")), lambda i: cell(i, own, F.lit(1)))
+    to_others = F.transform(every(F.col("others")), lambda j: cell(-1 - F.least(j, own), F.greatest(j, own), F.when(j == own, 2).otherwise(F.when(own < j, 0).otherwise(1))))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(F.concat(to_mains, to_others))))
+    cells = cells.select("key", "cell.*", "node", "component").join(nodes.select("node", "size", "bands"), "node").join(texts, "node")
+
+    def meet(batches):
+        open_rows = None
+        for pdf in batches:
+            for _, part in pdf.groupby(["key", "i", "j"], sort=False):
+                if open_rows is not None and (open_rows[0][["key", "i", "j"]].iloc[0] == part[["key", "i", "j"]].iloc[0]).all():
+                    open_rows.append(part)
+                    continue
+                if open_rows is not None:
+                    yield pd.DataFrame(cell_links(pd.concat(open_rows), rule), columns=["a", "b"])
+                open_rows = [part]
+        if open_rows is not None:
+            yield pd.DataFrame(cell_links(pd.concat(open_rows), rule), columns=["a", "b"])
+
+    n = partitions(rows.sparkSession)
+    return cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(meet, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, texts, rule: Rule, links: DataFrame | None = None) -> DataFrame | None:
@@ -219,10 +289,12 @@ def similar_links(nodes: DataFrame, texts, rule: Rule, links: DataFrame | None =
     own = written(texts(near.select("node")), "texts")
     for turn in range(EARLY_ROUNDS + 1):
         labels = written(labelled(near.select("node"), links), "labels")
-        shared = across(shared, labels) if turn == 0 else across(shared.drop("component", "n"), labels)
+        shared = across(shared, labels) if turn == 0 else across(shared.drop("component", "n", "main", "n_main"), labels)
         if shared.isEmpty():
             break
-        pairs = one_partner(shared, turn, rule) if turn < EARLY_ROUNDS else all_pairs(shared, near, rule)
+        pairs = one_partner(shared, turn, rule) if turn < EARLY_ROUNDS else few_pairs(shared.where(F.col("n") <= FEW), near, rule)
         found = verified(written(pairs, "pairs"), own, rule)
+        if turn == EARLY_ROUNDS:
+            found = found.union(many_links(shared.where(F.col("n") > FEW), near, own, rule))
         links = written(found if links is None else links.union(found), "links")
     return links
