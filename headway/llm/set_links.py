@@ -276,20 +276,26 @@ def many_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule)
     return cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(meet, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, texts, rule: Rule, links: DataFrame | None = None) -> DataFrame | None:
+def similar_links(nodes: DataFrame, texts, rule: Rule, first: DataFrame | None = None) -> DataFrame | None:
     """Links (a, b) that connect the same nodes as all links by ``rule`` do, but for pairs that share no band. ``nodes``: node
-    (long, unique), size, bands; ``texts``: function of a table (node) that gives (node, text) of these; ``links``: known already.
-    None without any. An empty set links to nothing. Within ``scratch``, intermediate tables are deleted."""
+    (long, unique), size, bands; ``texts``: function of a table (node) that gives (node, text) of these; ``first``: pairs (a, b), about as
+    many as nodes, that are compared before all others. An empty set links to nothing. Within ``scratch``, intermediate
+    tables are deleted."""
     shared = nodes.select("node", "size", F.explode("bands").alias("key"))
     keys = written(shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
     shared = written(spread_join(shared, keys.drop("n"), "key", hot_keys(keys, "key", total)), "shared")
     near = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "size", "bands")
     near = written(near, "near")
-    own = written(texts(near.select("node")), "texts")
+    own, links = written(texts(near.select("node")), "texts"), None
+    if first is not None:
+        for end in ("a", "b"):
+            first = first.join(near.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size")), end)
+        first = first.where((F.col("a") != F.col("b")) & sizes_fit(F.col("a_size"), F.col("b_size"), rule)).select("a", "b").distinct()
+        links = written(verified(written(first, "first"), own, rule), "links")
     for turn in range(EARLY_ROUNDS + 1):
         labels = written(labelled(near.select("node"), links), "labels")
-        shared = across(shared, labels) if turn == 0 else across(shared.drop("component", "n", "main", "n_main"), labels)
+        shared = across(shared.select("key", "node", "size"), labels)
         if shared.isEmpty():
             break
         pairs = one_partner(shared, turn, rule) if turn < EARLY_ROUNDS else few_pairs(shared.where(F.col("n") <= FEW), near, rule)

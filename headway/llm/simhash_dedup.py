@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from headway.llm import hamming_links
-from headway.llm.shared import connected_components, discard, hot_keys, scratch, spread_join, table, written
+from headway.llm.set_links import FIVE_WORDS_80, labelled, normal_words, similar_links, sketch_of
+from headway.llm.shared import NULL_ID, connected_components, hot_keys, scratch, spread_join, table, written
 
 SEED = 42
 #: The link rule of the query: differing bits, words of a shingle, groups of bits (fewer for very many fingerprints).
 QUERY_TAU, QUERY_WORDS, QUERY_PARTS = 4, 4, 4
-#: The pipeline's rule: five-word shingles, Jaccard similarity; candidates by fingerprints of the words.
-SHINGLE_WORDS, SIMILARITY, WORD_TAU, WORD_PARTS = 5, 0.8, 8, 5
-#: Documents of a key, or partners of a document, that meet in one task.
-SHINGLE_BLOCK = 500
-#: The exact join: bits of a parity bitmap; documents that the order of shingles is fitted on, and most shingles put last.
-BITMAP, ORDER_DOCS, ORDER_MOST = 1024, 20_000, 50_000
-#: Sets of so many shingles meet by groups of shingles: of such sets, nearly all share a shingle by chance and fill the bitmap.
-LONG_SET = 2000
-
-
-def normal_words(text: str | None) -> list[bytes]:
-    """Words of ``[^\\x20\\x09-\\x0D]+`` as UTF-8, A-Z lower-cased; bytes.lower and bytes.split know ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: Bits and groups of the fingerprints of words, by which the pipeline's stage finds its first candidates.
+WORD_TAU, WORD_PARTS = 8, 5
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -89,199 +77,54 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def common_shingles(base: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The shingles that most of about ORDER_DOCS documents share, sorted. They only come last in the order that prefixes
-    follow: what links doesn't depend on them, only the work."""
-
-    @F.pandas_udf("array<long>")
-    def distinct(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in text], dtype=object)
-
-    every = max(1, base.count() // ORDER_DOCS)
-    some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(distinct("text")).alias("shingle"))
-    often = some.groupBy("shingle").count().where("count >= 20").orderBy(F.desc("count"), "shingle").limit(ORDER_MOST)
-    return np.sort(np.array([r.shingle for r in often.collect()], dtype=np.int64).view(np.uint64))
-
-
-def size_classes(size: int, long_set: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Number and largest size of the class of ``size`` and of the next one; none for sizes that can't be similar to ``long_set``.
-    Sizes that can be similar lie in one class or in neighbours."""
-    low, number = math.ceil(similarity * long_set - 1e-6), 0
-    if size < low:
-        return []
-    while (after := int(low / similarity) + 1) <= size:
-        low, number = after, number + 1
-    return [(number, after - 1), (number + 1, int(after / similarity))]
-
-
-def group_keys(hashes: np.ndarray, size: int, number: int, top: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, bool]:
-    """Keys of a set (``size`` shingles, ``hashes`` without the common ones) in a class of sizes, and whether they suffice.
-
-    The pigeonhole principle: the shingles fall into more groups than two similar sets of the class differ in shingles, so
-    some groups are equal in both. A group of two or more shingles gives a key. If the groups that must be equal are more
-    than the set's smaller ones, it shares a key with every similar set."""
-    apart = (1 - similarity) / (1 + similarity)
-    groups = math.ceil(1.25 * int(2 * top * apart + 1e-6)) + 1
-    equal = groups - int((size + min(top, size / similarity)) * apart + 1e-6)
-    if not len(hashes):
-        return hashes, False
-    of = (hashes % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
-    large = np.diff(starts, append=len(of)) >= 2
-    label = of[order][starts[large]].astype(np.uint64) + np.uint64(number << 40)
-    keys = np.add.reduceat(hashes[order], starts)[large] ^ label * np.uint64(0x9E3779B97F4A7C15)
-    return keys, equal > groups - len(keys)
-
-
-def sketch(common: np.ndarray, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, long_set: int = LONG_SET):
-    """UDF of a text: number of distinct shingles, keys, whether its prefix is among the keys, parity bitmap.
-
-    Two sets of at least ``similarity`` share a key. Of short sets the keys are the prefix (the first shingles of one order of
-    all), of long ones ``group_keys``; a long set whose groups don't suffice gives its prefix, too, as the other one then does
-    or its groups suffice. The bitmaps differ in no more bits than the sets in shingles."""
-
-    @F.pandas_udf("size int, keys array<long>, plain boolean, bits array<long>")
-    def of(text: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in text:
-            h = np.unique(shingle_hashes(t, words))
-            late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), dtype=bool)
-            grouped = [group_keys(h[~late], len(h), *of_class, similarity) for of_class in size_classes(len(h), long_set, similarity)]
-            keys, plain = [k for k, _ in grouped], len(h) < long_set or not all(enough for _, enough in grouped)
-            if plain and len(h):
-                n = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
-                keys.append(h[np.argsort(late, kind="stable")[:n]])
-            odd = np.bincount((h % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-            out.append((len(h), np.concatenate(keys or [h]).view(np.int64), plain, np.packbits(odd.astype(np.uint8)).view(np.int64)))
-        return pd.DataFrame(out, columns=["size", "keys", "plain", "bits"])
-
-    return of
-
-
-def may_be_similar(similarity: float = SIMILARITY) -> Column:
-    """False only for rows x, y (size, bits, component) that are already connected or can't reach ``similarity``."""
-    x, y = F.col("x.size"), F.col("y.size")
-    differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITMAP // 64)), F.lit(0))
-    enough = (x + y - differ) / 2 >= similarity / (1 + similarity) * (x + y) - 1e-6
-    return (F.col("x.component") != F.col("y.component")) & (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & enough
-
-
-def shared_at_least(x: Column, y: Column, similarity: float = SIMILARITY) -> Column:
-    """How many shingles the prefixes of two sets of x and y shingles share at least, if the sets are ``similarity`` similar.
-
-    Then the sets share s / (1 + s) * (x + y) shingles or more. Of the set whose prefix ends first in the order, all but those
-    after its prefix lie in both prefixes."""
-    common = F.ceil(similarity / (1 + similarity) * (x + y) - 1e-6)
-    return common - F.ceil(similarity * F.greatest(x, y) - 1e-6) + 1
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose shingle sets in ``texts`` (doc_id, text) are at least ``similarity`` similar.
-    The pairs of one a are dealt into parts."""
-
-    @F.pandas_udf("boolean")
-    def similar(one: pd.Series, other: pd.Series) -> pd.Series:
-        out, last, a = [], None, frozenset()
-        for s, t in zip(one, other, strict=True):
-            if s != last:
-                last, a = s, frozenset(shingle_hashes(s, words).tolist())
-            b = frozenset(shingle_hashes(t, words).tolist())
-            common = len(a & b)
-            out.append(common >= similarity * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
-
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHINGLE_BLOCK).cast("int").alias("n"))
-    parts = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
-    ones = counts.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").select("a", "one", parts)
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("part"))
-    others = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    return others.join(ones, ["a", "part"]).where(similar("one", "other")).select("a", "b")
-
-
-def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (doc_id, ...) with the component of ``links``; a node without links is its own."""
-    found = connected_components(links).withColumnRenamed("node", "doc_id")
-    return nodes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def exact_links(docs: DataFrame, others: DataFrame, base: DataFrame, long_set: int = LONG_SET) -> DataFrame:
-    """Links (a, b) that connect the same documents as all pairs of shingle sets of at least 0.8 similarity do.
-
-    ``docs``: doc_id, digest, fp of different texts; ``base``: doc_id, digest, text; ``others``: doc_id of all rows of ``base``
-    but those whose id is in ``docs`` and stands there once, and as ``own`` the digest that counts, if it is in ``docs``. These
-    are few as a rule, so leaving them out moves no sketches. Only documents that share a
-    key of their sketches (a shingle, or a group of shingles) can be similar. Among these, links near in fingerprint come
-    first, and for each document one pair, with the document that is the smallest one of most of its shared keys; then all
-    pairs of a shared key that these don't connect and that share as many shingles of their prefixes as similar sets must. So a group of copies costs about one
-    comparison a document."""
-    all_sketches = base.select("doc_id", "digest", sketch(common_shingles(base), long_set=long_set)("text").alias("s")).select("doc_id", "digest", "s.*")
-    all_sketches = written(all_sketches, "sketches")
-    usual = all_sketches.join(others.select("doc_id"), "doc_id", "left_anti")
-    repeated = all_sketches.join(others.where("own is not null"), "doc_id").where("digest = own").drop("own").dropDuplicates(["doc_id"])
-    sketches = usual.unionByName(repeated)
-    same = Window.partitionBy("key")
-    shared = sketches.select("doc_id", F.explode("keys").alias("key"))
-    shared = written(shared.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last"), "shared")
-    nodes = sketches.select("doc_id", "size", "plain", "bits").join(shared.select("doc_id").distinct(), "doc_id").join(docs, "doc_id")
-    nodes = written(nodes, "nodes")
-    discard(all_sketches)
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """doc_id, text of the documents in ``pairs`` alone."""
-        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(nodes.select("doc_id", F.col("digest").alias("own")), "doc_id")
-        return written(base.join(written(ends, "ends"), "doc_id").where("digest = own").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-
-    alone = nodes.select("doc_id", "size", "bits", F.col("doc_id").alias("component"))
-    starred = shared.where("first < doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n"))
-    stars = starred.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a")).select("a", "b")
-    near = hamming_links.links(nodes.groupBy("fp").agg(F.min("doc_id").alias("node")), WORD_TAU, WORD_PARTS)
-    early = stars.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    early = early.join(alone.alias("x"), F.col("a") == F.col("x.doc_id")).join(alone.alias("y"), F.col("b") == F.col("y.doc_id"))
-    early = written(early.where(may_be_similar()).select("a", "b"), "early")
-    links = written(similar_pairs(early, texts_of(early)), "links")
-
-    placed = written(with_components(nodes.select("doc_id", "size", "plain", "bits"), links), "placed")
-    rest = shared.select("doc_id", "key").join(placed.select("doc_id", "component"), "doc_id")
-    rest = rest.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).withColumn("n", F.ceil(F.count("*").over(same) / SHINGLE_BLOCK).cast("int"))
-    rest = rest.where("low < high").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n"))).select("doc_id", "key", "n", "block")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    rest = rest.drop("n", "other").join(placed, "doc_id")
-    x, y = rest.alias("x"), rest.alias("y")
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
-    once = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
-    met = x.join(y, [*meet, once & may_be_similar()]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"), (F.col("x.plain") & F.col("y.plain")).alias("plain"))
-    met = met.groupBy("a", "b", "m", "n", "plain").agg(F.count("*").alias("shared"))
-    pairs = written(met.where(~F.col("plain") | (F.col("shared") >= shared_at_least(F.col("m"), F.col("n")))).select("a", "b"), "pairs")
-    return links.union(similar_pairs(pairs, texts_of(pairs)))
-
-
-def near_duplicates(docs: DataFrame, long_set: int = LONG_SET) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of its group) for every distinct doc_id of ``docs`` (doc_id, text).
-
-    Two documents link if their texts are equal, or if their sets of five-word shingles are at least 0.8 similar. Texts
-    without words link to nothing but equal texts. Rows that share a doc_id count as the one with the smallest text; null
-    doc_ids are left out."""
-    base = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("digest", F.sha2("text", 256))
-    marks = F.struct("digest", word_fingerprint("text").alias("fp"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"))
-    prints = written(base.select("doc_id", marks.alias("m")), "prints").groupBy("doc_id").agg(F.min("m").alias("m"), F.count("*").alias("rows")).select("doc_id", "m.*", "rows")
-    prints = written(prints, "marks")
-    firsts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
-    hot = written(hot_keys(firsts, "digest", prints.count()), "hot")
-    named = written(spread_join(prints, firsts.drop("n"), "digest", hot), "copies")
-    counts = F.expr("doc_id = first and words")
-    others = named.where(~counts | (F.col("rows") > 1)).select("doc_id", F.when(counts, F.col("digest")).alias("own"))
-    found = connected_components(exact_links(named.where(counts).select("doc_id", "digest", "fp"), written(others, "others"), base, long_set))
-    groups = found.select(F.col("node").alias("first"), "component")
-    return named.join(groups, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text), one row for each doc_id that has it: id (NULL_ID for null), digest, rows, component, and
+    whether it ``stays``.
+
+    Two texts link if they are equal, or if their sets of five-word shingles are at least 0.8 similar. Texts without words link to
+    nothing but equal texts. Each text is judged by itself, also where several share a doc_id. Of a component the row with
+    the smallest doc_id stays (ties: the smaller digest); one without a doc_id only if none has one.
+
+    Fingerprints of the distinct words that differ in at most WORD_TAU bits are compared first; what lies beyond these bits, such as a
+    copy with a new paragraph, is found by the bands of ``set_links``, and every link is verified on the full sets."""
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    prints = base.select("id", "digest", word_fingerprint("text").alias("fp"), sketch_of(FIVE_WORDS_80)("text").alias("s")).select("id", "digest", "fp", "s.*")
+    prints = written(prints, "prints")
+    rows = written(prints.groupBy("digest", "id").agg(F.count("*").alias("rows")), "rows")
+    order = F.struct((F.col("id") == NULL_ID).alias("none"), "id")
+    alike = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).select("digest", "first", F.col("first.id").alias("id"), "n")
+    alike = written(alike.withColumn("node", F.monotonically_increasing_id()), "alike")  # numbers stay as they are written
+    nodes = prints.where("size > 0").join(alike.select("digest", "id", "node"), ["digest", "id"]).dropDuplicates(["node"])
+    nodes = written(nodes.select("node", "size", "bands", "fp"), "nodes")
+
+    def texts(some: DataFrame) -> DataFrame:
+        ends = written(some.join(alike.select("node", "id", "digest"), "node"), "ends")
+        return base.join(ends, ["id", "digest"]).dropDuplicates(["node"]).select("node", "text")
+
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "representatives")
+    same = spread_join(nodes.select("node", "fp"), reps.select("fp", F.col("node").alias("a")), "fp", hot_keys(reps, "fp", nodes.count()))
+    close = hamming_links.links(reps.select("fp", "node"), WORD_TAU, WORD_PARTS)
+    close = close.union(same.where("a < node").select("a", F.col("node").alias("b")))
+    links = similar_links(nodes.drop("fp"), texts, FIVE_WORDS_80, close)
+
+    named = labelled(alike.select("node", "digest", "first", "n"), links)
+    first = F.struct("first", "digest")
+    stays = named.groupBy("component").agg(F.min(first).alias("stays"))
+    named = written(named.join(stays, "component").select("digest", "component", "stays", "n"), "components")
+    found = spread_join(rows, named.drop("n"), "digest", hot_keys(named, "digest", rows.count()))
+    return found.select("id", "digest", "rows", "component", ((F.col("stays.digest") == F.col("digest")) & (F.col("stays.first.id") == F.col("id"))).alias("stays"))
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
-    Rows with a null doc_id stay; of rows that share a doc_id all stay or go together. The ids that go are written first:
-    with their size known, Spark broadcasts them if they are few and only else shuffles the texts."""
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest doc_id stays, see ``near_duplicates``;
+    of rows that repeat it with its doc_id and text any one. What goes is written first: with its size known, Spark
+    broadcasts it if it is small and only else shuffles the texts."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     with scratch(docs.sparkSession):
-        gone = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
-        gone = written(gone, "gone", keep=True)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        marks = near_duplicates(docs.select("doc_id", "text")).where("not stays or rows > 1").select(F.struct("id", "digest").alias("key"), "stays")
+        marks = written(marks, "marks", keep=True)
+    there = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    once = there.join(marks.select("key"), "key", "left_anti")
+    again = there.join(marks.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return once.union(again).select("row.*")

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -183,32 +182,23 @@ def test_near_duplicates_are_exact(spark):
         want = [a if x == b else x for x in want]
     assert beyond > 30
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for long_set in (simhash_dedup.LONG_SET, 60):
-        assert {x.doc_id: x.component_id for x in simhash_dedup.near_duplicates(docs, long_set).collect()} == dict(enumerate(want))
-
-
-def test_similar_sets_share_a_key():
-    """Pairs of sets just above 0.8, with and without common members, on both sides of the bound of long sets."""
-    r, pairs, grouped = np.random.default_rng(5), 0, 0
-    for _ in range(3000):
-        long_set = int(r.choice([30, 60, 200, 1000]))
-        n = int(r.integers(long_set * 7 // 10, long_set * 4))
-        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
-        y = np.unique(np.r_[r.permutation(x)[int(r.integers(0, n // 5 + 1)) :], r.integers(0, 2**63, int(r.integers(0, n // 4 + 1)), dtype=np.uint64)])
-        both = len(np.intersect1d(x, y))
-        if both < 0.8 * (len(x) + len(y) - both):
-            continue
-        common = np.sort(r.permutation(x)[: int(n * r.choice([0, 0.1, 0.5]))])
-        keys, plain = [], []
-        for h in (x, y):
-            late = np.isin(h, common)
-            found = [simhash_dedup.group_keys(h[~late], len(h), *c) for c in simhash_dedup.size_classes(len(h), long_set)]
-            plain.append(len(h) < long_set or not all(enough for _, enough in found))
-            prefix = h[np.argsort(late, kind="stable")][: len(h) - math.ceil(0.8 * len(h) - 1e-6) + 1]
-            keys.append(np.concatenate([k for k, _ in found] + [prefix] * plain[-1]))
-        pairs, grouped = pairs + 1, grouped + (not all(plain))
-        assert len(np.intersect1d(*keys)) > 0
-    assert grouped > 300 and pairs - grouped > 300
+    found = {x.id: x for x in simhash_dedup.near_duplicates(docs).collect()}
+    first = {}
+    for d in range(len(rows)):
+        first.setdefault(found[d].component, d)
+    assert {d: first[x.component] for d, x in found.items()} == dict(enumerate(want))
+    assert {d for d, x in found.items() if x.stays} == set(want)
+
+
+def test_each_text_of_an_id_is_judged(spark):
+    """Null and repeated ids, repeated rows, two texts under one id: of each group of texts one row stays, clean ones do."""
+    near = prose(1, 80).rsplit(" ", 1)[0] + " end"
+    rows = [(1, prose(1, 80)), (1, prose(1, 80)), (None, prose(1, 80)), (None, prose(1, 80)), (2, near), (3, near), (1, prose(2, 80)), (7, prose(3, 80)), (7, near), (7, prose(3, 80))]
+    rows += [(None, prose(4, 80)), (None, prose(4, 80)), (9, ""), (8, None), (None, ""), (4, prose(5, 80)), (4, prose(6, 80))]
+    docs = spark.createDataFrame([(i, t, "en", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, digest int")
+    got = sorted(((r.doc_id, r.text) for r in simhash_dedup.keep_one_of_each_group(docs).collect()), key=str)
+    want = [(1, prose(1, 80)), (1, prose(2, 80)), (7, prose(3, 80)), (None, prose(4, 80)), (8, None), (4, prose(5, 80)), (4, prose(6, 80))]
+    assert got == sorted(want, key=str)
 
 
 def test_top_k(spark, folder):
