@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions import geo
 from headway.functions.durable import durable
 from headway.jobs.catalogue import ACTIVE, ARRIVALS, PATTERNS, calls, query, raw_patterns, shape_of
 from headway.jobs.journey_jobs import fast
 from headway.operators import feed as build
-from headway.operators import rides, shapes, similar, timetable, validate, vehicles
+from headway.operators import grouped, rides, shapes, similar, timetable, validate, vehicles
 from headway.operators.feed import DAYS
 from headway.sources.demo_feed import DemoFeed
 
@@ -103,17 +104,18 @@ def name_board(feed: DemoFeed) -> DataFrame:
     return timetable.name_board(named, feed.stops(), calls(feed), feed.departures())
 
 
-def drawn_rides(feed: DemoFeed, found: DataFrame, on: DataFrame) -> DataFrame:
+def drawn(feed: DemoFeed, on: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The paths of the patterns on the map, and their stops where these can be used."""
     measured = shapes.shape_metres(feed.shapes())
     placed = shapes.stops_on_shapes(on, feed.stops(), measured, shape_of(feed)).where("usable").select("pattern_id", "position", "metres")
-    return similar.similar_rides(found, on, shape_of(feed).join(measured, "shape_id").select("pattern_id", "metres", "lat", "lon"), placed)
+    return shape_of(feed).join(measured, "shape_id").select("pattern_id", "metres", "lat", "lon"), placed
 
 
 @query(None)
 def similar_rides(feed: DemoFeed) -> DataFrame:
-    """Pairs of direct rides that are one ride to a traveller."""
+    """Links between direct rides that are one ride to a traveller: to the first of their class, and between these."""
     on = calls(feed)
-    return drawn_rides(feed, durable(rides.direct_rides(feed.journey_requests(), on)), on)
+    return similar.similar_rides(durable(rides.direct_rides(feed.journey_requests(), on)), on, *drawn(feed, on))
 
 
 @query(None)
@@ -121,8 +123,15 @@ def journey_groups(feed: DemoFeed) -> DataFrame:
     """The best journey of the request to which each of the fastest ones is the same."""
     on = calls(feed)
     found, legs = fast(feed, on)
-    pairs = durable(drawn_rides(feed, legs.where("not walking"), on))
-    return similar.groups(found, legs, pairs, "request_id")
+    facts = durable(similar.ride_facts(legs.where("not walking"), on, *drawn(feed, on)))
+    return similar.first_groups(legs, facts, 3, "request_id")
+
+
+@query(None)
+def grouped_journeys(feed: DemoFeed) -> DataFrame:
+    """The three best groups of the fastest journeys of up to two rides, without round-about ones."""
+    on = calls(feed)
+    return grouped.grouped_journeys(feed.named_requests(), on, geo.walking_edges(feed.stops()), *drawn(feed, on), modes=("fastest",), rides=2, stops=feed.stops())
 
 
 @query(ACTIVE + """, specs AS (SELECT request_id, pattern_id, min(position) AS board FROM arrival_requests JOIN calls USING (stop_id) GROUP BY ALL),

@@ -42,7 +42,7 @@ found AS (SELECT request_id, mode, rank, rides, lines, best.days AS days, best.s
 
 
 def searched(feed: DemoFeed, on: DataFrame, **options) -> DataFrame:
-    return rounds.journeys(feed.named_requests(), on, geo.walking_edges(feed.stops()), **options)
+    return rounds.journeys(feed.named_requests(), on, geo.walking_edges(feed.stops()), stops=feed.stops(), **options)
 
 
 for _mode in MODES:

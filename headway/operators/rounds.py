@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.durable import durable
+from headway.functions.geo import haversine
 from headway.operators.journeys import FEWEST, MODES, UNITS
 from headway.operators.rides import DWELL, WAIT, alightings, boardings
 
@@ -13,6 +14,8 @@ RIDES, ALL_DAYS = 4, 127
 KEYS = ["mode", "origins", "stop_id", "lines", "days"]
 #: A ride on past where one left it is a shortcut if it is at most so many times the journey's metres, and so many more.
 DETOUR, SLACK = 1.3, 300
+#: Of a straight line so much, less so many metres, is never more than the whole metres of a journey.
+DIRECT, NEAR = 0.98, 100
 
 
 def width_for(k: int) -> int:
@@ -29,10 +32,10 @@ def text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def best_ways(ways: DataFrame) -> DataFrame:
-    """The cheapest of the ways that reach a stop by the same lines on the same days."""
+def best_ways(ways: DataFrame, *more: str) -> DataFrame:
+    """The cheapest of the ways that reach a stop by the same lines on the same days (and with the same ``more``)."""
     best = F.min(F.struct("cost", "walk", "steps", "tram")).alias("best")
-    return ways.groupBy(*KEYS).agg(best).select(*KEYS, "best.*")
+    return ways.groupBy(*KEYS, *more).agg(best).select(*KEYS, *more, "best.*")
 
 
 def best_of_stop(ways: DataFrame, width: int | None) -> DataFrame:
@@ -52,7 +55,7 @@ def walked(ways: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ridden(ways: DataFrame, calls: DataFrame, first: bool) -> DataFrame:
-    """Where one more ride leads, on a line not used before and on days that all rides share."""
+    """Where one more ride leads, on a line not used before and on days that all rides share: the cheapest way by each pattern."""
     on = boardings(calls, route_id="route_id", tram="by_tram", stop_id="stop_id", position="board", metres="a", days="runs")
     off = alightings(calls, stop_id="out", position="alight", metres="b")
     aboard = ways.join(on, "stop_id").withColumn("days", F.col("days").bitwiseAND(F.col("runs"))).where("days <> 0")
@@ -63,52 +66,111 @@ def ridden(ways: DataFrame, calls: DataFrame, first: bool) -> DataFrame:
     ride = 20 * DWELL * (F.col("alight") - F.col("board")) + F.greatest(F.col("b") - F.col("a"), F.lit(0)) * F.when(F.col("by_tram"), by_mode(1)).otherwise(by_mode(0))
     step = F.concat_ws(":", F.lit("r"), text("pattern_id"), text("board"), text("alight"))
     return best_ways(met.select(
-        "mode", "origins", F.col("out").alias("stop_id"), F.concat("lines", text("route_id"), F.lit("-")).alias("lines"), "days",
+        "mode", "origins", "pattern_id", F.col("out").alias("stop_id"), F.concat("lines", text("route_id"), F.lit("-")).alias("lines"), "days",
         (F.col("cost") + ride).alias("cost"), "walk", F.concat("steps", step, F.lit(";")).alias("steps"), (F.col("tram") | F.col("by_tram")).alias("tram"),
-    ))
+    ), "pattern_id")
 
 
-def arrivals(requests: DataFrame, calls: DataFrame, edges: DataFrame, modes: list[str], rides: int, width: int | None) -> DataFrame:
-    """mode, origins, destinations, rides, lines, days, cost, walk, steps: ways that end at a destination, for each distinct
-    pair of sets of ends."""
-    pairs = requests.where(~F.arrays_overlap("origins", "destinations")).select("origins", "destinations").distinct()
+ANSWER = ["mode", "origins", "destinations"]
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best combinations of lines of each mode and pair of sets of ends, each with its best way, and their rank."""
+    group = [*ANSWER, "rides", "lines"]
+    best = found.groupBy(*group).agg(F.min(F.struct("cost", "walk", "days", "steps")).alias("best")).select(*group, "best.*")
+    changes = F.greatest(F.col("rides") - 1, F.lit(0))
+    order = [F.when(F.col("mode") == FEWEST, changes).otherwise(0), "cost", changes, "walk", "lines"]
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*ANSWER).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def budgets(answers: DataFrame, pairs: DataFrame, modes: list[str], k: int, done: int) -> DataFrame:
+    """mode, origins, destinations, budget of the pairs that a further ride can still improve: the cost of the kth answer; null
+    where there are fewer. With changes first, later rounds are never better than k answers of earlier ones."""
+    held = answers.groupBy(*ANSWER).agg(F.count("*").alias("n"), F.max("cost").alias("budget"))
+    every = pairs.select(F.explode(F.array(*map(F.lit, modes))).alias("mode"), "origins", "destinations").join(held, ANSWER, "left")
+    full, by_changes = F.coalesce(F.col("n") == k, F.lit(False)), F.col("mode") == FEWEST
+    closed = full & by_changes & F.lit(done > 0)
+    return every.where(~closed).select(*ANSWER, F.when(full & ~by_changes, F.col("budget")).alias("budget"))
+
+
+def hopeful(ways: DataFrame, open_pairs: DataFrame, stops: DataFrame | None) -> DataFrame:
+    """``ways`` that, after one more ride, can still beat the kth answer of some pair of their origins.
+
+    A further ride costs its wait and change, and the straight line to the nearest destination at the cheapest rate of the
+    mode, as no ride or walk is shorter than that (DIRECT and NEAR allow for whole metres). stops: stop_id, lat, lon; without them, or
+    if a stop has no coordinates, distances count nothing."""
+    rate = F.least(by_mode(0), by_mode(1))
+    least = F.col("cost") + 20 * WAIT + by_mode(4) - by_mode(3)
+    per = open_pairs.groupBy("mode", "origins").agg(F.bool_or(F.col("budget").isNull()).alias("free"), F.max("budget").alias("most"))
+    if stops is None:
+        return ways.join(per, ["mode", "origins"]).where(F.col("free") | (least <= F.col("most"))).select(ways.columns)
+    kept = ways.join(per, ["mode", "origins"])
+    spots = kept.where("not free").select("mode", "origins", "stop_id").distinct().join(stops.select("stop_id", "lat", "lon"), "stop_id")
+    ends = open_pairs.select(*ANSWER, "budget", F.explode("destinations").alias("end")).join(stops.select(F.col("stop_id").alias("end"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), "end")
+    line = F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")) * DIRECT - NEAR, F.lit(0.0))
+    allowed = spots.join(ends, ["mode", "origins"]).groupBy("mode", "origins", "stop_id").agg(F.max(F.col("budget") - F.coalesce(line, F.lit(0.0)) * rate).alias("allowed"))
+    kept = kept.join(allowed, ["mode", "origins", "stop_id"], "left")
+    return kept.where(F.col("free") | (least <= F.coalesce("allowed", "most"))).select(ways.columns)
+
+
+def best_journeys(pairs: DataFrame, calls: DataFrame, edges: DataFrame, k: int, modes: list[str], rides: int, width: int | None, sensible: bool, stops: DataFrame | None, bounded: bool) -> DataFrame:
+    """The ``ranked`` answers of ``pairs`` (origins, destinations); see ``journeys``."""
     ends = pairs.select("origins", "destinations", F.explode("destinations").alias("stop_id"))
     plain = {"lines": F.lit("-"), "days": F.lit(ALL_DAYS), "cost": F.lit(0).cast("long"), "walk": F.lit(0).cast("long"), "steps": F.lit(""), "tram": F.lit(False)}
     start = pairs.select("origins").distinct().select(F.explode(F.array(*map(F.lit, modes))).alias("mode"), "origins", F.explode("origins").alias("stop_id"))
     start = start.select("mode", "origins", "stop_id", *(v.alias(c) for c, v in plain.items()))
-    on_foot = walked(start, edges)
-    columns = ["mode", "origins", "destinations", "rides", "lines", "days", "cost", "walk", "steps"]
+    columns = [*ANSWER, "rides", "lines", "days", "cost", "walk", "steps"]
     harvest = lambda ways, n: ways.join(ends, ["origins", "stop_id"]).withColumn("rides", F.lit(n)).select(columns)
-    found, ways = harvest(on_foot, 0), best_ways(start.union(on_foot))
+
+    def offered(found: DataFrame, answers: DataFrame | None, still: DataFrame | None) -> DataFrame:
+        """The answers with those of ``found`` that they leave room for and that are no round-about ways."""
+        if sensible:
+            if still is not None:
+                found = found.join(still, ANSWER).where("budget is null or cost <= budget").select(columns)
+            found = durable(found)
+            found = found.join(roundabouts(found, calls), ["origins", "destinations", "steps"], "left_anti").select(columns)
+        return durable(ranked(found if answers is None else answers.select(columns).union(found), k))
+
+    on_foot = walked(start, edges)
+    ways, still = best_ways(start.union(on_foot)), None
+    answers = offered(harvest(on_foot, 0), None, None)
     for done in range(1, rides + 1):
-        rode = durable(ridden(ways, calls, done == 1))
-        found = found.union(harvest(rode, done)).union(harvest(walked(rode, edges), done))
+        by_pattern = durable(ridden(ways, calls, done == 1))
+        rode = best_ways(by_pattern)
+        offers = by_pattern.drop("pattern_id") if sensible else rode
+        answers = offered(harvest(offers, done).union(harvest(walked(offers, edges), done)), answers, still)
+        if done == rides:
+            break
         kept = best_of_stop(rode, width)
         ways = best_of_stop(best_ways(kept.union(walked(kept, edges))), width)
-    return found
-
-
-def journeys(requests: DataFrame, calls: DataFrame, edges: DataFrame, k: int = 3, modes: tuple[str, ...] = tuple(MODES), rides: int = RIDES, width: int | None = -1, sensible: bool = False) -> DataFrame:
+        if bounded:
+            still = durable(budgets(answers, pairs, modes, k, done))
+            ways = durable(hopeful(ways, still, stops))
+            if ways.isEmpty():
+                break
+    return answers
+
+
+def journeys(
+    requests: DataFrame, calls: DataFrame, edges: DataFrame, k: int = 3, modes: tuple[str, ...] = tuple(MODES), rides: int = RIDES, width: int | None = -1,
+    sensible: bool = False, stops: DataFrame | None = None, bounded: bool = True,
+) -> DataFrame:
     """request_id, mode, rank, rides, lines, days, steps, walk, cost: in each mode the ``k`` best combinations of lines of each
     request (request_id, origins, destinations: sorted arrays of stops), each with its best way; a walk alone counts too.
     steps: "r:pattern:board:alight;" of a ride, "w:from:to:metres;" of a walk.
 
     The ways from a set of origins don't depend on the destinations, so requests that share it share them: a round is one
     ride from all stops reached, then perhaps a walk. Of the ways to a stop ``width`` go on (-1: as many as ``width_for``
-    says; None: all, which makes the search exact). Walks never follow each other; no line is used twice; all rides share a
-    day. sensible: round-about ways are no answers (see ``roundabouts``). Requests whose ends have a stop in common have no
-    journeys. calls: see ``boardings``."""
+    says; None: all, which makes the search exact). bounded: of these, only ways go on that can still be better than the kth answer found
+    so far, of any destination (see ``hopeful``; stops: stop_id, lat, lon sharpens that); the answers are the same without. Walks never follow each other; no line is used twice; all rides share a
+    day. sensible: round-about ways (see ``roundabouts``) are no answers; each way that ends with another pattern is judged before
+    the best of its lines is taken. Requests whose ends have a stop in common have no journeys. calls: see ``boardings``."""
     calls, edges = durable(calls), durable(edges)
-    found = arrivals(requests, calls, edges, list(modes), rides, width_for(k) if width == -1 else width)
-    if sensible:
-        found = durable(found)
-        found = found.join(roundabouts(found, calls), ["origins", "destinations", "steps"], "left_anti").select(found.columns)
-    group = ["mode", "origins", "destinations", "rides", "lines"]
-    best = found.groupBy(*group).agg(F.min(F.struct("cost", "walk", "days", "steps")).alias("best")).select(*group, "best.*")
-    changes = F.greatest(F.col("rides") - 1, F.lit(0))
-    order = [F.when(F.col("mode") == FEWEST, changes).otherwise(0), "cost", changes, "walk", "lines"]
-    rank = F.row_number().over(Window.partitionBy("mode", "origins", "destinations").orderBy(*order))
-    top = best.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("cost", F.col("cost") / UNITS)
+    if stops is not None:
+        stops = None if stops.where("lat is null or lon is null").limit(1).count() else durable(stops.select("stop_id", "lat", "lon"))
+    pairs = durable(requests.where(~F.arrays_overlap("origins", "destinations")).select("origins", "destinations").distinct())
+    top = best_journeys(pairs, calls, edges, k, list(modes), rides, width_for(k) if width == -1 else width, sensible, stops, bounded)
+    top = top.withColumn("cost", F.col("cost") / UNITS)
     return requests.join(top, ["origins", "destinations"]).select("request_id", "mode", "rank", "rides", "lines", "days", "steps", "walk", "cost")
 
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headway.operators import feed, rides, rounds, similar, summaries
+from headway.functions import geo
+from headway.operators import feed, grouped, rides, rounds, similar, summaries
 from headway.operators.journeys import FEWEST, MODES
 
 CALLS = "pattern_id long, route_id int, tram boolean, position int, stop_id long, metres long, pickup boolean, dropoff boolean, days int"
@@ -151,12 +152,116 @@ def test_similar_rides_and_groups(spark):
     line = [(p, 1000.0 * i, 40 + 0.01 * i, 30.0 + (0.01 * i * (3 - i) if p == 4 else 0)) for p in (0, 3, 4) for i in range(4)]
     usable = [(p, i, 1000.0 * i * (1 if p != 4 else 1.5)) for p in (0, 3, 4) for i in range(len(paths[p]))]
     frame = spark.createDataFrame
-    pairs = similar.similar_rides(frame(legs, "pattern_id long, board int, alight int"), calls, frame(line, "pattern_id long, metres double, lat double, lon double"), frame(usable, "pattern_id long, position int, metres double"))
+    maps = frame(line, "pattern_id long, metres double, lat double, lon double"), frame(usable, "pattern_id long, position int, metres double")
+    pairs = similar.similar_rides(frame(legs, "pattern_id long, board int, alight int"), calls, *maps)
     assert {(r.pattern_id, r.other) for r in pairs.collect()} == {(0, 1), (0, 2), (1, 2), (0, 3)}
     steps = [(7, 1, "w:9:1:50;r:0:0:3;"), (7, 2, "w:9:1:50;r:4:0:2;"), (7, 3, "w:9:1:50;r:1:1:4;"), (7, 4, "r:2:0:2;"), (7, 5, "w:9:1:50;r:2:0:2;")]
     ways = frame(steps, "request_id int, rank int, steps string")
     each = rounds.legs(ways, calls, "request_id", "rank")
-    assert {(r.rank, r.anchor) for r in similar.groups(ways, each, pairs, "request_id").collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 1)}
+    facts = similar.ride_facts(each.where("not walking"), calls, *maps)
+    assert {(r.rank, r.anchor) for r in similar.first_groups(each, facts, 5, "request_id").collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 1)}
+
+
+def test_equal_rides_are_a_class(spark):
+    """Thirty equal rides give a link each, no pairs; the one that is alike is linked with the first of them."""
+    paths = {p: [1, 2, 3, 4] for p in range(30)} | {30: [1, 2, 4], 31: [1, 9, 4]}
+    frame = spark.createDataFrame
+    calls = frame([(p, p, False, i, s, 1000 * i, True, True, 127) for p, stops in paths.items() for i, s in enumerate(stops)], CALLS)
+    none = frame([], "pattern_id long, metres double, lat double, lon double"), frame([], "pattern_id long, position int, metres double")
+    found = similar.similar_rides(frame([(p, 0, len(s) - 1) for p, s in paths.items()], "pattern_id long, board int, alight int"), calls, *none)
+    assert {(r.pattern_id, r.other) for r in found.collect()} == {(0, p) for p in range(1, 31)}
+
+
+def replayed(calls, edges, origins, destinations, mode, most):
+    """All arrivals at destinations of a search that keeps the cheapest way to each stop by the same lines on the same days."""
+    bus, tram_metre, on_foot, bonus, change = MODES[mode]
+    offers = []
+
+    def walks(ways):
+        return [(b, (lines, days), (cost + m * on_foot, walk + m, steps + f"w:{a}:{b}:{m};", tram)) for (stop, lines, days), (cost, walk, steps, tram) in ways for a, b, m in edges if a == stop]
+
+    def least(rows):
+        out = {}
+        for stop, key, way in rows:
+            at = (stop, *key)
+            out[at] = min(out.get(at, way), way)
+        return out
+
+    start = [(o, ("-", 127), (0, 0, "", False)) for o in origins]
+    on_foot_first = walks([((o, *key), way) for o, key, way in start])
+    offers += [(0, stop, key, way) for stop, key, way in on_foot_first]
+    ways = least(start + on_foot_first)
+    for done in range(most):
+        by_pattern = {}
+        for (stop, lines, days), (cost, walk, steps, tram) in ways.items():
+            for p, line, is_tram, i, at_stop, at, pickup, _, runs in calls:
+                if at_stop != stop or not pickup or f"-{line}-" in lines or not days & runs:
+                    continue
+                for q, _, _, j, out, to, _, dropoff, _ in calls:
+                    if q == p and j > i and dropoff:
+                        c = cost + 200_000 + 10_000 * (j - i) + max(0, to - at) * (tram_metre if is_tram else bus) - (bonus if is_tram and not tram else 0) + (change if done else 0)
+                        key, way = (p, out, lines + f"{line}-", days & runs), (c, walk, steps + f"r:{p}:{i}:{j};", tram or is_tram)
+                        by_pattern[key] = min(by_pattern.get(key, way), way)
+        rode = [(out, (lines, days), way) for (_, out, lines, days), way in by_pattern.items()]
+        offers += [(done + 1, stop, key, way) for stop, key, way in rode + walks([((stop, *key), way) for stop, key, way in rode])]
+        kept = least(rode)
+        ways = least([(k[0], k[1:], w) for k, w in kept.items()] + walks(list(kept.items())))
+    return [(n, key, way) for n, stop, key, way in offers if stop in destinations]
+
+
+@pytest.mark.parametrize("seed", [4, 11])
+def test_search_without_roundabouts(spark, seed):
+    """Each arrival is judged before the best of its lines is taken, as in a plain replay; bounds change nothing."""
+    calls, edges = network(seed)
+    asked = [(k, [a], [b]) for k, (a, b) in enumerate(itertools.permutations(range(7), 2)) if k % 5 == 0] + [(100, [0, 2], [5, 6])]
+    frame = spark.createDataFrame
+    tables = frame(asked, "request_id long, origins array<long>, destinations array<long>"), frame(calls, CALLS), frame(edges, "stop_id long, to_stop long, metres long")
+    modes = ("fastest", FEWEST, "prefer_tram")
+    got = {}
+    for r in rounds.journeys(*tables, k=2, modes=modes, rides=3, width=None, sensible=True).collect():
+        got.setdefault((r.request_id, r.mode), []).append((r.rank, r.rides, r.lines, r.cost, r.walk))
+    hidden = 0
+    for request, origins, destinations in asked:
+        for mode in modes:
+            best, first = {}, {}
+            for n, (lines, days), (cost, walk, steps, _) in replayed(calls, edges, origins, destinations, mode, 3):
+                first[lines] = min(first.get(lines, (cost, walk, days, steps)), (cost, walk, days, steps))
+                if not is_roundabout(steps, calls, origins, destinations):
+                    best[lines] = min(best.get(lines, (cost, walk, days, steps, n)), (cost, walk, days, steps, n))
+            hidden += sum(is_roundabout(first[lines][3], calls, origins, destinations) for lines in best)
+            order = sorted((max(n - 1, 0) if mode == FEWEST else 0, cost, max(n - 1, 0), walk, lines, n) for lines, (cost, walk, _, _, n) in best.items())[:2]
+            assert sorted(got.get((request, mode), [])) == [(k + 1, n, lines, cost / 40_000, walk) for k, (_, cost, _, walk, lines, n) in enumerate(order)]
+    assert hidden > 0
+
+
+def test_bounds_by_distance(spark):
+    """The same answers with straight lines as bounds, from fewer ways."""
+    r, frame = random.Random(8), spark.createDataFrame
+    stops = frame([(s, 40.7 + 0.01 * (s % 6), 29.8 + 0.01 * (s // 6)) for s in range(36)], "stop_id long, lat double, lon double")
+    lines = [(p, p, p % 4 == 0, i, s) for p in range(14) for i, s in enumerate(r.sample(range(36), 7))]
+    chain = geo.chain_metres(frame(lines, "pattern_id long, route_id int, tram boolean, position int, stop_id long"), stops)
+    calls = chain.withColumns({"pickup": F.lit(True), "dropoff": F.lit(True), "days": F.lit(127)})
+    requests = frame([(k, [r.randrange(18)], [18 + r.randrange(18)]) for k in range(12)], "request_id long, origins array<long>, destinations array<long>")
+    ask = lambda **more: {tuple(x) for x in rounds.journeys(requests, calls, geo.walking_edges(stops), k=2, rides=3, width=None, **more).collect()}
+    want = ask(bounded=False)
+    assert ask(stops=stops) == want and len(want) > 60
+    modes, pairs = ["fastest"], requests.select("origins", "destinations")
+    ways = frame([("fastest", [x], s, "-", 127, 10_000_000, 0, "", False) for s in range(36) for x in range(18)], "mode string, origins array<long>, stop_id long, lines string, days int, cost long, walk long, steps string, tram boolean")
+    answers = pairs.select(F.lit("fastest").alias("mode"), "origins", "destinations", F.lit(10_400_000).cast("long").alias("cost"))
+    still = rounds.budgets(answers, pairs.distinct(), modes, 1, 1)
+    assert 0 < rounds.hopeful(ways, still, stops).count() < rounds.hopeful(ways, still, None).count()
+
+
+def test_k_counts_groups(spark):
+    """Thirty equal lines and one by another way: the second group is the other way, though thirty lines rank before it."""
+    paths = {p: [1, 2, 3] for p in range(30)} | {30: [1, 8, 9, 3]}
+    frame = spark.createDataFrame
+    calls = frame([(p, p, False, i, s, 1000 * i, True, True, 127) for p, stops in paths.items() for i, s in enumerate(stops)], CALLS)
+    edges = frame([], "stop_id long, to_stop long, metres long")
+    none = frame([], "pattern_id long, metres double, lat double, lon double"), frame([], "pattern_id long, position int, metres double")
+    requests = frame([(1, [1], [3]), (2, [1], [3]), (3, [3], [1])], "request_id int, origins array<long>, destinations array<long>")
+    got = grouped.grouped_journeys(requests, calls, edges, *none, k=2, modes=("fastest",), rides=2).collect()
+    assert {(r.request_id, r.group, r.rank, r.anchor) for r in got} == {(q, *x) for q in (1, 2) for x in [*((1, k, 1) for k in range(1, 31)), (2, 31, 31)]}
 
 
 def test_equal_and_unequal_paths():
