@@ -104,6 +104,23 @@ def name_board(feed: DemoFeed) -> DataFrame:
     return timetable.name_board(named, feed.stops(), calls(feed), feed.departures())
 
 
+@query(ARRIVALS + RAW + """, dated AS (
+  SELECT DISTINCT route_id * 2 + direction::INT AS pattern_id, c.days, departure, s.start_date, s.end_date FROM trips JOIN calendars c USING (service_id) JOIN orders ON o_orderkey = trip_id JOIN services s ON s.service_id = 'S' || o_custkey
+  WHERE direction IS NOT NULL AND c.days > 0),
+met AS (
+  SELECT DISTINCT request_id, a.pattern_id, route_id, back, departure, departure - low AS wait FROM asked a JOIN arrival_requests USING (request_id) JOIN dated d USING (pattern_id)
+  WHERE departure BETWEEN low AND low + 3600 AND days & (1 << weekday::INT) <> 0 AND (start_date IS NULL OR instant::DATE - back >= start_date) AND (end_date IS NULL OR instant::DATE - back <= end_date)
+    AND rush = ((weekday + departure // 86400) % 7 < 5 AND (departure % 86400 >= 25200 AND departure % 86400 < 34200 OR departure % 86400 >= 59400 AND departure % 86400 < 70200)))
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY wait, route_id, pattern_id, back, departure) AS rank FROM met QUALIFY rank <= 60""")
+def dated_board(feed: DemoFeed) -> DataFrame:
+    """The next 60 arrivals of each request, of departures that are valid on the day of service."""
+    from pyspark.sql import Window
+
+    found = timetable.arrivals(feed.arrival_requests(), calls(feed), feed.dated_departures())
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("wait", "route_id", "pattern_id", "back", "departure"))
+    return found.withColumn("rank", rank).where("rank <= 60")
+
+
 def drawn(feed: DemoFeed, on: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The paths of the patterns on the map, and their stops where these can be used."""
     measured = shapes.shape_metres(feed.shapes())

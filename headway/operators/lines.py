@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import normalised
+from headway.operators.name_index import containing
 
 
 def line_catalogue(routes: DataFrame, trips: DataFrame) -> DataFrame:
@@ -89,6 +90,7 @@ def line_search(queries: DataFrame, lines: DataFrame, limit: int = 40) -> DataFr
     with it first, then in the order of the catalogue."""
     asked = queries.select("query", normalised(F.col("query")).alias("q")).where("q <> ''")
     named = lines.select("route_id", "rank", normalised(F.col("code")).alias("code_key"), normalised(F.concat_ws(" ", "code", "mode")).alias("line_key"))
-    met = asked.join(named, F.col("line_key").contains(F.col("q")))
+    found = containing(asked.select(F.col("q").alias("part")), named.select(F.col("line_key").alias("whole"))).select(F.col("part").alias("q"), F.col("whole").alias("line_key"))
+    met = asked.join(found, "q").join(named, "line_key")
     order = Window.partitionBy("query").orderBy(~F.col("code_key").startswith(F.col("q")), "rank")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query", "place", "route_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import normalised
+from headway.operators.name_index import containing
 
 
 def stop_catalogue(stops: DataFrame, calls: DataFrame) -> DataFrame:
@@ -26,9 +27,12 @@ def stop_name_index(stops: DataFrame, calls: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, catalogue: DataFrame, limit: int = 12) -> DataFrame:
     """query, rank, name_key, district_key: names that contain the query, those that start with it first. A blank query
-    finds all; one of signs only finds none. The catalogue is a dimension and is broadcast only if Spark finds it small."""
+    finds all; one of signs only finds none. Queries meet names by a common gram (see ``name_index``)."""
     asked = queries.select("query", normalised(F.col("query")).alias("q"), (F.trim("query") == "").alias("all"))
-    met = asked.join(catalogue, F.col("all") | ((F.col("q") != "") & F.col("name_key").contains(F.col("q"))))
+    first = catalogue.orderBy("name_key", "district_key").limit(limit)  # what every blank query finds
+    found = containing(asked.select(F.col("q").alias("part")), catalogue.select(F.col("name_key").alias("whole"))).select(F.col("part").alias("q"), F.col("whole").alias("name_key"))
+    met = asked.where("not all").join(found, "q").join(catalogue, "name_key").select("query", "q", "name_key", "district_key")
+    met = met.union(asked.where("all").crossJoin(F.broadcast(first)).select("query", "q", "name_key", "district_key"))
     order = Window.partitionBy("query").orderBy(~F.col("name_key").startswith(F.col("q")), "name_key", "district_key")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "rank", "name_key", "district_key")
 

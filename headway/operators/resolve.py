@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from headway.functions.text import normalised
+from headway.operators.name_index import containing, sharing_letters, sharing_words
 
 #: The least score, what may lie between the best score and another, the bonus of the right district, and the
 #: weights of a part of a name (0.9 to 0.99) and of shared words.
@@ -28,7 +29,8 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similarities(asked: DataFrame, known: DataFrame) -> DataFrame:
     """q, name_key, ratio, score of the pairs of a query ``asked.q`` and a name ``known.name_key`` (both normalised and
     distinct) that can score LEAST less the bonus: one is part of the other, they share words enough, or neither their lengths
-    nor the letters they have in common rule it out. The ratio is computed for these alone; names are a dimension, not the corpus."""
+    nor the letters they have in common rule it out. They meet by parts, words and letters (see ``name_index``); the ratio
+    is computed for these alone."""
     letters = lambda c: F.array(*((F.length(c) - F.length(F.replace(c, F.lit(x)))) for x in SIGNS))
     asked, known = asked.withColumn("_a", letters(F.col("q"))), known.withColumn("_b", letters(F.col("name_key")))
     a, b = F.col("q"), F.col("name_key")
@@ -39,8 +41,12 @@ def similarities(asked: DataFrame, known: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.size(words(b)))
     floor = LEAST - DISTRICT_BONUS
     common = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    met = asked.where("q <> ''").join(known.where("name_key <> ''"), part | (WORDS * shared >= floor) | ((2 * least / (la + lb) >= floor) & (2 * common / (la + lb) >= floor)))
-    met = met.select("q", "name_key", match_ratio("q", "name_key").alias("ratio"))
+    asks, names = asked.select("q").where("q <> ''"), known.select("name_key").where("name_key <> ''")
+    inside = containing(asks.select(F.col("q").alias("part")), names.select(F.col("name_key").alias("whole"))).select(F.col("part").alias("q"), F.col("whole").alias("name_key"))
+    around = containing(names.select(F.col("name_key").alias("part")), asks.select(F.col("q").alias("whole"))).select(F.col("whole").alias("q"), F.col("part").alias("name_key"))
+    met = inside.union(around).union(sharing_words(asks, names)).union(sharing_letters(asks, names, floor)).distinct()
+    met = met.join(asked, "q").join(known, "name_key")
+    met = met.where(part | (WORDS * shared >= floor) | ((2 * least / (la + lb) >= floor) & (2 * common / (la + lb) >= floor))).select("q", "name_key", match_ratio("q", "name_key").alias("ratio"))
     score = F.when(a == b, 1.0).when(part, PART + PART_LENGTH * least / most).otherwise(F.greatest(WORDS * shared, F.col("ratio")))
     return met.withColumn("score", F.round(score, 9))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.clock import is_rush_hour, speed_kmh
 
 DAY, HOUR = 86_400, 3_600
 DISTRICT_SPACING = 600
+#: Days of a term, in which service days and spans of validity meet.
+TERM = 91
 
 
 def line_kinds(calls: DataFrame) -> DataFrame:
@@ -17,27 +19,47 @@ def line_kinds(calls: DataFrame) -> DataFrame:
     return calls.groupBy("pattern_id").agg(F.when(F.bool_or("tram"), "tram").when(spacing >= DISTRICT_SPACING, "district").otherwise("city").alias("kind"))
 
 
+def term(day: Column) -> Column:
+    """The number of the stretch of TERM days that a date lies in."""
+    return F.floor(F.unix_date(day) / TERM)
+
+
+def in_terms(services: DataFrame, days: DataFrame) -> DataFrame:
+    """``services`` (start_date, end_date, null: open, ...) with first_day and last_day, cut to the range of ``days`` (day) and the day
+    before its first, in a row for each term that they reach into; without those that lie outside."""
+    span = days.agg(F.date_sub(F.min("day"), 1).alias("least"), F.max("day").alias("most"))  # one row
+    cut = services.crossJoin(F.broadcast(span)).withColumn("first_day", F.greatest("start_date", "least")).withColumn("last_day", F.least("end_date", "most"))
+    cut = cut.where("first_day <= last_day").drop("least", "most", "start_date", "end_date")
+    return cut.withColumn("term", F.explode(F.sequence(term(F.col("first_day")), term(F.col("last_day")))))
+
+
 def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, within: int = HOUR, detail: tuple[str, ...] = ()) -> DataFrame:
     """request_id, pattern_id, route_id, back, departure, wait (seconds from the instant), and ``detail`` (of position, metres,
     speed, elapsed): vehicles that reach the stop of a request within ``within`` seconds; not where a pattern ends, nor where
     one can't board.
 
     The service day is that of the instant or the day before. A departure's speed depends on rush hour at departure, so a
-    request asks for each speed in turn; departures meet it in bins of an hour, not in a product."""
+    request asks for each speed in turn; departures meet it in bins of an hour, not in a product. Departures with start_date and end_date
+    (null: open) count on service days between these, both included; a vehicle after midnight belongs to the day before."""
     ends = calls.groupBy("pattern_id").agg(F.max("position").alias("last"))
     stands = calls.join(ends, "pattern_id").where("position < last and pickup").join(line_kinds(calls), "pattern_id").select("pattern_id", "route_id", "stop_id", "position", "metres", "kind")
     now = F.hour("instant") * HOUR + F.minute("instant") * 60 + F.floor(F.second("instant"))
-    asked = requests.select("request_id", "stop_id", now.cast("long").alias("now"), F.weekday("instant").alias("weekday")).join(stands, "stop_id")
+    asked = requests.select("request_id", "stop_id", now.cast("long").alias("now"), F.weekday("instant").alias("weekday"), F.to_date("instant").alias("date")).join(stands, "stop_id")
     asked = asked.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rush", F.explode(F.array(F.lit(False), F.lit(True))))
     asked = asked.withColumn("weekday", (F.col("weekday") - F.col("back") + 7) % 7)
     offset = F.floor(F.col("metres") * 36 / (speed_kmh(F.col("kind"), F.col("rush")) * 10)).cast("long")
     low = F.col("now") + DAY * F.col("back") - F.col("offset")
     asked = asked.withColumn("offset", offset).withColumn("low", low).where(F.col("low") + within >= 0)
     asked = asked.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.col("low"), F.lit(0)) / HOUR), F.floor((F.col("low") + within) / HOUR))))
-    dealt = departures.withColumn("bin", F.floor(F.col("departure") / HOUR))
+    dealt, keys = departures.withColumn("bin", F.floor(F.col("departure") / HOUR)), ["pattern_id", "bin"]
+    if "start_date" in departures.columns:
+        asked = asked.withColumn("day", F.expr("date_sub(date, back)")).withColumn("term", term(F.col("day")))
+        dealt, keys = in_terms(dealt, requests.select(F.to_date("instant").alias("day"))), [*keys, "term"]
     at = F.col("departure") % DAY
     day = (F.col("weekday") + F.floor(F.col("departure") / DAY)) % 7
-    met = asked.join(dealt, ["pattern_id", "bin"]).where(F.col("departure").between(F.col("low"), F.col("low") + within))
+    met = asked.join(dealt, keys).where(F.col("departure").between(F.col("low"), F.col("low") + within))
+    if "start_date" in departures.columns:
+        met = met.where(F.col("day").between(F.col("first_day"), F.col("last_day")))
     met = met.where(F.expr("(days & shiftleft(1, cast(weekday as int))) <> 0") & (is_rush_hour(day, at) == F.col("rush")))
     met = met.withColumn("speed", speed_kmh(F.col("kind"), F.col("rush"))).withColumn("elapsed", F.col("now") + DAY * F.col("back") - F.col("departure"))
     return met.select("request_id", "pattern_id", "route_id", "back", "departure", (F.col("departure") - F.col("low")).alias("wait"), *detail).distinct()

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headway.operators.feed import calendars
+
 LEAST_LINES, LINE_STOPS = 40, 20
 #: Days of each order priority as bits, Monday first.
 SERVICE_DAYS = {"1-URGENT": 31, "2-HIGH": 32, "3-MEDIUM": 64, "4-NOT SPECIFIED": 127, "5-LOW": 0}
@@ -79,6 +81,13 @@ class DemoFeed:
         trips = self.trips().where("direction is not null").join(self.calendars(), "service_id").where("days > 0")
         return trips.select((F.col("route_id") * 2 + F.col("direction").cast("int")).alias("pattern_id"), "days", "departure").distinct()
 
+    def dated_departures(self) -> DataFrame:
+        """pattern_id, days, departure, start_date, end_date: departures, each valid on the dates of the service of its customer."""
+        services = calendars(self.raw_calendar()).select("service_id", "start_date", "end_date")
+        owner = self.read("orders").select(F.col("o_orderkey").alias("trip_id"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("service_id"))
+        trips = self.trips().where("direction is not null").join(self.calendars(), "service_id").where("days > 0").drop("service_id").join(owner, "trip_id").join(services, "service_id")
+        return trips.select((F.col("route_id") * 2 + F.col("direction").cast("int")).alias("pattern_id"), "days", "departure", "start_date", "end_date").distinct()
+
     def journey_requests(self) -> DataFrame:
         """request_id, origin, destination."""
         k = F.col("c_custkey")

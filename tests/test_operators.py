@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.functions import clock, geo, text
-from headway.operators import journeys, lines, names, patterns, rides, validate
+from headway.operators import journeys, lines, name_index, names, patterns, rides, timetable, validate
 
 
 def test_loop_pattern_and_permissions(spark):
@@ -70,3 +70,43 @@ def test_interchangeable_lines(spark):
     legs = spark.createDataFrame([(1, 0, 2), (1, 0, 2)], "pattern_id long, board int, alight int")
     assert [tuple(r) for r in journeys.interchangeable_lines(legs, calls, days).collect()] == [(1, 0, 2, "1,2")]
     assert journeys.interchangeable_lines(legs.limit(0), calls, days).count() == 0
+
+
+def test_departures_count_on_valid_days(spark):
+    """A service day before midnight counts for the vehicle after it; both ends of the span are included, open ends have none."""
+    frame = spark.createDataFrame
+    calls = frame([(1, 5, False, i, i, 500 * i, True, True, 127) for i in range(4)], "pattern_id long, route_id int, tram boolean, position int, stop_id long, metres long, pickup boolean, dropoff boolean, days int")
+    spans = [("2024-03-01", "2024-03-01"), ("2024-02-01", None), (None, "2024-02-29"), ("2024-03-02", "2025-12-31"), (None, None)]
+    departures = frame([(1, 127, 86_350 + k, *s) for k, s in enumerate(spans)], "pattern_id long, days int, departure int, start_date string, end_date string")
+    departures = departures.withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
+    asked = frame([(d, f"2024-{d} 23:50:00", 1) for d in ("02-29", "03-01", "03-02")] + [("late", "2024-03-02 00:00:10", 1)], "request_id string, instant string, stop_id long").withColumn("instant", F.to_timestamp("instant"))
+    got = {}
+    for r in timetable.arrivals(asked, calls, departures).collect():
+        got.setdefault(r.request_id, set()).add(r.departure - 86_350)
+    assert got == {"02-29": {1, 2, 4}, "03-01": {0, 1, 4}, "03-02": {1, 3, 4}, "late": {0, 1, 4}}
+
+
+def test_parts_and_letters(spark):
+    """Joins by grams, words and letters find what comparing all pairs finds."""
+    import itertools
+    import random
+
+    r = random.Random(4)
+    names = ["".join(r.choice("abc ") for _ in range(r.randint(1, 9))).strip() or "a" for _ in range(60)]
+    asks = ["".join(r.choice("abcz ") for _ in range(r.randint(1, 6))).strip() or "b" for _ in range(60)]
+    q, n = spark.createDataFrame([(x,) for x in set(asks)], "q string"), spark.createDataFrame([(x,) for x in set(names)], "name_key string")
+    pairs = list(itertools.product(set(asks), set(names)))
+    got = {tuple(x) for x in name_index.containing(q.select(F.col("q").alias("part")), n.select(F.col("name_key").alias("whole"))).collect()}
+    assert got == {(a, b) for a, b in pairs if a in b}
+    assert {tuple(x) for x in name_index.sharing_words(q, n).collect()} == {(a, b) for a, b in pairs if set(a.split()) & set(b.split())}
+    common = lambda a, b: sum(min(a.count(c), b.count(c)) for c in set(a))
+    found = {tuple(x) for x in name_index.sharing_letters(q, n, 0.68).collect()}
+    assert {(a, b) for a, b in pairs if 2 * common(a, b) >= 0.68 * (len(a) + len(b))} <= found < set(pairs)
+    plan = names_search_plan(spark)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def names_search_plan(spark) -> str:
+    known = spark.createDataFrame([(1, "14", "bus", 1)], "route_id int, code string, mode string, rank int")
+    found = lines.line_search(spark.createDataFrame([("4",)], "query string"), known)
+    return found._jdf.queryExecution().toString()
