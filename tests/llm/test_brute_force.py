@@ -113,12 +113,12 @@ def test_quotes_meet_their_messages(spark):
     messages, of_conv, every = [], collections.defaultdict(list), []
     for c in range(25):
         for t in range(r.randint(1, 9)):
-            body = "\n\n".join("\n".join(" ".join(r.choice(sentences) for _ in range(r.randint(1, 2))) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 2)))
+            body = "\n\n".join("\n".join(" ".join(r.choice(sentences) for _ in range(r.randint(1, 2))) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 3)))
             text, pool = body, of_conv[c] if of_conv[c] and r.random() < 0.7 else every
             if pool and r.random() < 0.8:
                 lines = r.choice(pool).split("\n")
-                i = r.randrange(len(lines))
-                text = ("On Monday X wrote:\n" if r.random() < 0.5 else "") + "\n".join("> " * r.choice([1, 1, 2]) + x for x in lines[i : i + r.randint(1, 3)]) + "\n" + body
+                i, marks = r.randrange(len(lines)), r.choice([[1], [2], [1, 1, 2]])
+                text = ("On Monday X wrote:\n" if r.random() < 0.5 else "") + "\n".join("> " * r.choice(marks) + x for x in lines[i : i + r.choice([1, 2, 3, 6, 8, 11])]) + "\n" + body
                 text += "\nYou said “" + r.choice(sentences) + "” yes" if r.random() < 0.3 else ""
             messages.append((c, t, "user", text))
             of_conv[c].append(body)
@@ -128,12 +128,14 @@ def test_quotes_meet_their_messages(spark):
     for c, t, own, _ in plain:
         lines = own.split("\n")
         some = [own, *re.split(r"\n\s*\n", own), *re.split(quote_threads.SENTENCE, own), *("\n".join(lines[i : i + n]) for n in range(1, 5) for i in range(len(lines)))]
-        units[c, t] = {normal(x) for x in some} - {""}
+        full = [normal(x) for x in lines if normal(x)]
+        units[c, t] = ({normal(x) for x in some} | {"\n".join(full[i:j]) for j in range(len(full) + 1) for i in range(j)}) - {""}
     want, linked = {}, 0
     for c, t, own, quotes in plain:
         links = []
         for k, (level, passage) in enumerate(quotes):
-            holders = [at for at in units if normal(passage) and normal(passage) in units[at]]
+            forms = {normal(passage), "\n".join(normal(x) for x in passage.split("\n") if normal(x))} - {""}
+            holders = [at for at in units if forms & units[at]]
             inside, high = min((x for x in holders if x[0] == c), default=None), max((x[0] for x in holders), default=None)
             if inside and inside[1] < t:
                 links.append((level, k, *inside))
@@ -142,7 +144,7 @@ def test_quotes_meet_their_messages(spark):
                 links += [(level, k, *pick)] if pick[0] != c else []
         want[c, t] = (own, len(quotes), len(links), *(min(links)[2:] if links else (None, None)))
         linked += len(links)
-    assert linked > 50
+    assert linked > 50 and sum(p.count("\n") > 6 for _, _, _, quotes in plain for _, p in quotes) > 10
     docs = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     out = quote_threads.threads(docs).collect()
     assert {(x.conv_id, x.turn): (x.body, x.n_quotes, x.n_linked, x.reply_conv, x.reply_turn) for x in out} == want
@@ -158,6 +160,10 @@ def test_long_quotes(spark):
     rows = [(1, 0, "u", ">" * 20_000 + " x\ny"), (1, 1, "u", "> a line here\nb\n" * 50_000), (1, 2, "u", None)]
     out = {x.turn: x for x in quote_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [out[k].n_quotes for k in range(3)] == [1, 50_000, 0] and out[0].body == "y"
+    plain = [(1, 0, "u", "same words\n" * 20_000), (1, 1, "u", "> same words\n" * 9_000), (1, 2, "u", "> same words\n" * 20_001), (2, 0, "u", "a b\nc\n\nd e\nf\ng\nh i\nj\nk")]
+    plain += [(2, 1, "u", "> c\n> d e\n> f\n>\n> g\n> h i"), (2, 2, "u", "> c\n> d e\n> f\n> g\n> h j"), (2, 3, "u", "I like “h i” most"), (2, 4, "u", "> c\n> d e f\n> g\n> h i\n> j")]
+    out = {(x.conv_id, x.turn): x.reply_turn for x in quote_threads.threads(spark.createDataFrame(plain, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {(1, 0): None, (1, 1): 0, (1, 2): None, (2, 0): None, (2, 1): 0, (2, 2): None, (2, 3): 0, (2, 4): None}
 
 
 def test_fingerprints_and_components(spark, tmp_path):
