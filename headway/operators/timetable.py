@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.clock import is_rush_hour, speed_kmh
+from headway.functions.text import normalised
 
 DAY, HOUR = 86_400, 3_600
 DISTRICT_SPACING = 600
@@ -68,9 +69,10 @@ def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, withi
 def name_board(requests: DataFrame, stops: DataFrame, calls: DataFrame, departures: DataFrame, limit: int = 60) -> DataFrame:
     """request_id, rank, platform, route_id, pattern_id, minutes (half-even), remaining (stops still to reach, this one too; null
     before departure), departs_in (seconds; null after departure), near (whether the vehicle is on its way and at most ten
-    minutes off): the next ``limit`` arrivals at all platforms of a name. requests: request_id, instant, name; stops: stop_id,
-    name."""
-    platforms = requests.join(stops.select("stop_id", "name"), "name").select(F.struct("request_id", "stop_id").alias("request_id"), "instant", "stop_id")
+    minutes off): the next ``limit`` arrivals at all platforms of a name; names are compared normalised, one without letter or
+    digit has no platforms. requests: request_id, instant, name; stops: stop_id, name."""
+    named = stops.select("stop_id", normalised(F.col("name")).alias("key"))
+    platforms = requests.withColumn("key", normalised(F.col("name"))).where("key <> ''").join(named, "key").select(F.struct("request_id", "stop_id").alias("request_id"), "instant", "stop_id")
     found = arrivals(platforms, calls, departures, detail=("position", "speed", "elapsed"))
     marks = calls.groupBy("pattern_id").agg(F.array_sort(F.collect_list("metres")).alias("marks"))
     along = F.floor(F.col("elapsed") * F.col("speed") * 10 / 36)

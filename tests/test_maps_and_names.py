@@ -1,12 +1,17 @@
 """Shapes, boarding rules, conditions, name resolution, searches in rounds and feed files on small feeds."""
 
 import itertools
+import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from headway.functions.text import normalised
 from headway.operators import boarding, conditions, resolve, shapes
 from headway.sources import feed_files
 
@@ -68,6 +73,20 @@ def test_trip_conditions(spark):
     assert {r.trip_id: r.label for r in found.collect()} == {1: "", 2: "", 3: "a", 4: "b", 5: "only to 9", 6: ""}
 
 
+def test_notes_and_headsigns_are_compared_normalised(spark):
+    """Notes, headsigns and labels that differ in case, signs and accents are one; a label is told as first used."""
+    rows = [(1, 1, False, "Okul günü", "Sahil", 60), (2, 1, False, "OKUL  GÜNÜ!", "SAHİL", 61), (3, 1, False, "Hafta-sonu", "sahil", 62), (4, 1, False, "hafta sonu", None, 50), (5, 1, True, "", "Otogar", 70), (6, 1, False, "okul gunu", "OTOGAR", 65)]
+    trips = spark.createDataFrame([(*r, 7, None, 1) for r in rows], "trip_id long, variant_id long, flagged boolean, note string, headsign string, departure long, route_id long, direction string, service_id long")
+    references = spark.createDataFrame([(1,)], "variant_id long")
+    same = spark.createDataFrame([(1, 1, None, "")], "variant_id long, reference_id long, condition string, detail string")
+    labelled = conditions.trip_conditions(trips, same, conditions.common_notes(trips, references)).cache()
+    assert {r.trip_id: r.label for r in labelled.collect()} == {1: "", 2: "", 3: "Hafta-sonu", 4: "hafta sonu", 5: "headsign Otogar", 6: "headsign OTOGAR"}
+    ids = conditions.condition_ids(labelled).cache()
+    assert sorted((r.condition_id, r.label) for r in ids.collect()) == [(1, "hafta sonu"), (2, "headsign OTOGAR")]
+    placed = conditions.direction_timetable(labelled, ids).collect()
+    assert {r.trip_id: r.condition_id for r in placed} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2} and [r.trip_id for r in sorted(placed, key=lambda r: r.place)] == [4, 1, 2, 3, 6, 5]
+
+
 def plain_score(q, name):
     if q == name:
         return 1.0
@@ -146,3 +165,26 @@ def test_built_tables_are_kept_until_the_feed_changes(spark, tmp_path):
     assert feed_files.built(spark, str(feed), str(tmp_path / "store"), build)["t"].count() == 1
     (feed / "a.txt").write_text("x\n2\n")
     assert feed_files.built(spark, str(feed), str(tmp_path / "store"), build)["t"].count() == 2
+
+
+def plainly(text):
+    """The rule for whole texts, with Python's own decompositions."""
+    text = text.translate(str.maketrans({"I": "ı", "İ": "i"})).casefold().translate(str.maketrans("ığüşöç", "igusoc"))
+    return " ".join(re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))).split())
+
+
+def test_names_of_all_characters(spark):
+    """Every code point between two letters; marks that follow letters, expansions, ligatures and mixed texts."""
+    texts = [f"a{chr(c)}b" for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    r = random.Random(4)
+    pool = "aBIİıŞß½Ⅷﬁéͅΐŉ①㎏𝔄Ａ１ -.é😀ſKǆ⒇"
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["", "Straße", "Ⅷ. Cadde", "İSTASYON Iğdır"]
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        rows = spark.createDataFrame(pd.DataFrame({"k": range(len(texts)), "text": texts})).repartition(8)
+        got = dict(rows.select("k", normalised(F.col("text")).alias("n")).toPandas().itertuples(index=False, name=None))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    wrong = [(ascii(t), got[k], plainly(t)) for k, t in enumerate(texts) if got[k] != plainly(t)]
+    assert not wrong, wrong[:10]
+    assert spark.range(1).select(normalised(F.lit(None).cast("string")).alias("n")).first().n is None
