@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import geo
-from headway.functions.durable import durable
+from headway.functions.durable import durable, shared_folder
 from headway.jobs.catalogue import ACTIVE, ARRIVALS, PATTERNS, calls, query, raw_patterns, shape_of
 from headway.jobs.journey_jobs import fast
 from headway.operators import feed as build
-from headway.operators import grouped, rides, shapes, similar, timetable, validate, vehicles
+from headway.operators import grouped, lines, patterns, rides, shapes, similar, timetable, validate, vehicles
 from headway.operators.feed import DAYS
+from headway.sources import feed_files
 from headway.sources.demo_feed import DemoFeed
 
 _FLAGS = ", ".join(f"CASE WHEN (c_custkey * 5 + 3) & {1 << d} <> 0 THEN '1' ELSE CASE WHEN c_custkey % 3 = 0 THEN '0' ELSE '' END END AS {n}" for d, n in enumerate(DAYS))
@@ -163,3 +166,23 @@ def vehicles_for_rides(feed: DemoFeed) -> DataFrame:
     ends = on.groupBy("pattern_id").agg(F.max("position").alias("alight"))
     first = feed.arrival_requests().join(on.select("pattern_id", "stop_id", "position"), "stop_id").groupBy("request_id", "instant", "pattern_id").agg(F.min("position").alias("board"))
     return vehicles.vehicles_for_rides(first.join(ends, "pattern_id").where("board < alight"), on, feed.departures())
+
+
+@query(PATTERNS + " SELECT * FROM patterns")
+def patterns_from_files(feed: DemoFeed) -> DataFrame:
+    """Feed tables written as files, located, read and built into patterns, which are kept under the files' fingerprint."""
+    spark, place = feed.spark, f"{shared_folder(feed.spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    bit = lambda c: F.when(F.col(c), "1").otherwise("0").alias(c)
+    times = feed.stop_times()
+    ordinal = {f.name: f.dataType.simpleString() for f in times.schema["ordinal"].dataType}
+    flags = lines.cleaned_notes(feed.notes()).select("trip_id", bit("flagged"))
+    on_file = {"trips": feed.trips().join(flags, "trip_id"), "calendar": feed.calendars(), "stop_times": times.select("trip_id", "stop_id", "stop_sequence", bit("pickup"), bit("dropoff"), "ordinal.*")}
+    for name, table in on_file.items():
+        feed_files.write_table(table, f"{place}/files", name)
+
+    def build_all() -> dict[str, DataFrame]:
+        files = feed_files.feed_files(spark, f"{place}/files")
+        read = [feed_files.read_table(spark, feed_files.locate(files, name)) for name in on_file]
+        return {"patterns": patterns.patterns(*build.pattern_tables(*read, ordinal))}
+
+    return feed_files.built(spark, f"{place}/files", f"{place}/built", build_all)["patterns"]

@@ -55,6 +55,16 @@ for _mode in MODES:
     query(search_sql([_mode]) + " SELECT * FROM found")(_search)
 
 
+COUNTED = ", ".join(f"count(*) FILTER (rides = {n}) AS {c}" for n, c in enumerate(rounds.CHANGES, 1))
+
+
+@query(search_sql(["fewest_transfers"], k=5) + f" SELECT request_id, m.mode, {COUNTED} FROM named_requests CROSS JOIN modes m LEFT JOIN found USING (request_id) GROUP BY request_id, m.mode")
+def answer_counts(feed: DemoFeed) -> DataFrame:
+    """Of the five journeys with fewest changes of each request, how many have none to three."""
+    only = ("fewest_transfers",)
+    return rounds.answer_counts(feed.named_requests(), searched(feed, calls(feed), modes=only, k=5), only)
+
+
 @query(None)
 def sensible_journeys(feed: DemoFeed) -> DataFrame:
     """The fastest journeys of up to three rides, without round-about ones."""

@@ -68,3 +68,13 @@ def services_on(dates: DataFrame, found: DataFrame) -> DataFrame:
     each = found.withColumn("weekday", F.explode(F.expr("filter(sequence(0, 6), d -> (days & shiftleft(1, d)) <> 0)")))
     met = asked.join(each, "weekday").where("(start_date is null or day >= start_date) and (end_date is null or day <= end_date)")
     return met.select("day", "service_id")
+
+
+def pattern_tables(trips: DataFrame, calendars: DataFrame, stop_times: DataFrame, ordinal: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``patterns.patterns`` from tables of texts, as ``feed_files.read_table`` gives them. Flags: 1 or 0. ordinal:
+    columns of stop_times, and their types, that set rows of one stop_sequence apart. A text that is no number is an error."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    runs = trips.select(long("trip_id"), F.col("route_id").cast("int").alias("route_id"), "service_id", F.nullif(F.col("direction"), F.lit("")).alias("direction"), (F.col("flagged") == "1").alias("flagged"))
+    order = F.struct(*(F.col(c).cast(kind).alias(c) for c, kind in ordinal.items())).alias("ordinal")
+    calls = stop_times.select(long("trip_id"), long("stop_id"), long("stop_sequence"), order, *((F.col(c) == "1").alias(c) for c in ("pickup", "dropoff")))
+    return runs, calendars.select("service_id", F.col("days").cast("int").alias("days")), calls

@@ -174,6 +174,19 @@ def journeys(
     return requests.join(top, ["origins", "destinations"]).select("request_id", "mode", "rank", "rides", "lines", "days", "steps", "walk", "cost")
 
 
+#: The most changes that a journey may have, told by name.
+CHANGES = ["direct", "one_transfer", "two_transfers", "three_transfers"]
+
+
+def answer_counts(requests: DataFrame, found: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """request_id, mode, direct, one_transfer, two_transfers, three_transfers: how many of the answers ``found`` (see ``journeys``)
+    have one, two, three and four rides, for each row of ``requests`` and mode; walks alone aren't counted, requests without
+    answers have zeros. request_id is unique."""
+    counted = found.groupBy("request_id", "mode").agg(*(F.count_if(F.col("rides") == n).alias(c) for n, c in enumerate(CHANGES, 1)))
+    every = requests.select("request_id", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    return every.join(counted, ["request_id", "mode"], "left").select("request_id", "mode", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in CHANGES))
+
+
 def parsed_steps(ways: DataFrame, *keys: str) -> DataFrame:
     """keys, leg (from 0), kind (r or w), x, y, z: one row for each step of ``ways`` (keys, steps)."""
     each = ways.select(*keys, F.posexplode(F.split(F.rtrim("steps", F.lit(";")), ";")).alias("leg", "step")).where("step <> ''").withColumn("part", F.split("step", ":"))

@@ -5,6 +5,7 @@ Paths go through Spark's readers, so a feed may lie in any store that these can
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,35 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 #: Endings of a table's file, in the order in which they are tried; delimiters.
 ENDINGS, DELIMITERS = (".txt.gz", ".csv.gz", ".txt", ".csv"), (",", ";", "\t")
-#: The six letters in which Windows-1254, the encoding of feeds that aren't UTF-8, differs from ISO-8859-1.
-#: Spark's CSV reader knows the latter only; signs from 0x80 to 0x9F (quotes, dashes) stay control characters.
-LATIN, TURKISH = "ÐÝÞðýþ", "ĞİŞğış"
+#: Bytes that mean something else in Windows-1254, the encoding of feeds that aren't UTF-8, than in ISO-8859-1, which Spark's CSV
+#: reader knows, and what they mean: Turkish letters, quotes, dashes and other signs. The few bytes without a meaning stay.
+OTHER = {chr(b): sign for b in range(0x80, 0x100) if (sign := bytes([b]).decode("cp1254", "ignore")) not in ("", chr(b))}
+LATIN, TURKISH = "".join(OTHER), "".join(OTHER.values())
 #: Version of the built tables; a new one makes old ones stale.
 BUILD = "1"
 
 
+def own_name(folder: str) -> Column:
+    """Of a file's ``path`` its name in ``folder``; a file of a folder there has that folder's name."""
+    at = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/") + "/"
+    return F.substring_index(F.element_at(F.split("path", re.escape(at), 2), -1), "/", 1)
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
 def feed_files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Path by name of the files in ``folder``; only names are read. Files without a byte don't count."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path").collect()  # a dozen of files
-    return {r.path.rpartition("/")[2]: r.path for r in files}
+    """Path by name of the tables' files in ``folder``; only names are read. A table may also be a folder of part files, each with
+    the header. Files without a byte don't count."""
+    names = contents(spark, folder).select(own_name(folder).alias("name")).distinct().collect()  # a dozen of tables
+    return {r.name: f"{folder.rstrip('/')}/{r.name}" for r in names}
+
+
+def write_table(table: DataFrame, folder: str, name: str) -> None:
+    """``table`` as a folder ``name``.csv of part files, UTF-8, each with the header; null values are written as ''."""
+    blank = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in table.columns]
+    table.select(*blank).write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(f"{folder.rstrip('/')}/{name}.csv")
 
 
 def locate(files: dict[str, str], table: str, optional: bool = False, endings: tuple[str, ...] = ENDINGS) -> str | None:
@@ -60,10 +79,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def fingerprint(spark: SparkSession, folder: str) -> str:
     """SHA-256 of the names and contents of the folder's files and of BUILD; line ends count alike, but in packed files.
     Files are hashed where they are read; only their hashes meet."""
-    name = F.element_at(F.split("path", "/"), -1)
+    name = own_name(folder)
     plain = F.encode(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n"), "ISO-8859-1")
     content = F.when(name.endswith(".gz"), F.col("content")).otherwise(plain)
-    each = spark.read.format("binaryFile").load(folder).select(F.concat_ws(":", name, F.sha2(content, 256)).alias("file"))
+    each = contents(spark, folder).select(F.concat_ws(":", name, F.sha2(content, 256)).alias("file"))
     whole = F.concat_ws("\n", F.lit(BUILD), F.array_sort(F.collect_list("file")))
     return each.agg(F.sha2(whole, 256)).first()[0]
 

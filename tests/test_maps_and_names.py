@@ -135,6 +135,7 @@ def test_feed_files(spark, tmp_path):
     feed.mkdir()
     (feed / "stops.txt").write_bytes("﻿stop_id; stop_name \n1;Çarşı\n\n 2 ; Köprü ;\n;\n3".encode())
     (feed / "routes.csv").write_bytes("route_id,route_short_name\r\n1,Şehir\r\n".encode("windows-1254"))
+    (feed / "signs.csv").write_bytes(b"sign\n" + b"".join(b"x" + bytes([b]) + b"y\n" for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8E, 0x8F, 0x90, 0x9D, 0x9E)))
     (feed / "bad.txt").write_text("a,b\n1,2,3\n")
     (feed / "empty.txt").write_text("")
     files = feed_files.feed_files(spark, str(feed))
@@ -142,6 +143,12 @@ def test_feed_files(spark, tmp_path):
     assert stops.columns == ["stop_id", "stop_name"]
     assert sorted(tuple(r) for r in stops.collect()) == [("1", "Çarşı"), ("2", "Köprü"), ("3", "")]
     assert [tuple(r) for r in feed_files.read_table(spark, feed_files.locate(files, "routes")).collect()] == [("1", "Şehir")]
+    signs = [r.sign for r in feed_files.read_table(spark, feed_files.locate(files, "signs")).collect()]
+    assert signs == (b"".join(b"x" + bytes([b]) + b"y\n" for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8E, 0x8F, 0x90, 0x9D, 0x9E))).decode("cp1254").split("\n")[:-1]
+    feed_files.write_table(spark.createDataFrame([(k, f'a "{k}", b' if k % 2 else None) for k in range(20)], "k int, note string").repartition(4), str(feed), "parts")
+    parts = feed_files.feed_files(spark, f"file://{feed}")
+    assert set(parts) == {*files, "parts.csv"}
+    assert sorted((int(r.k), r.note) for r in feed_files.read_table(spark, feed_files.locate(parts, "parts")).collect()) == [(k, f'a "{k}", b' if k % 2 else "") for k in range(20)]
     assert feed_files.locate(files, "shapes", optional=True) is None
     with pytest.raises(FileNotFoundError):
         feed_files.locate(files, "trips")
