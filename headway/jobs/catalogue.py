@@ -586,4 +586,4 @@ def stop_suggestions(feed: DemoFeed) -> DataFrame:
     return resolve.suggestions(feed.stop_queries(), feed.stops(), feed.network())
 
 
-from headway.jobs import feed_jobs, journey_jobs  # noqa: E402, F401  (register their queries)
+from headway.jobs import feed_jobs, journey_jobs, line_jobs  # noqa: E402, F401  (register their queries)

@@ -29,16 +29,21 @@ def trip_paths(stop_times: DataFrame) -> DataFrame:
 def patterns(trips: DataFrame, calendars: DataFrame, stop_times: DataFrame) -> DataFrame:
     """pattern_id, route_id, direction, days, stops, pickups, dropoffs, n_trips, n_services, n_plain (trips without a flag).
 
-    Trips without stop times or days are dropped. Ids are dense, by route, direction (none first), stops (as numbers, in
-    order), permissions and days (Monday first). trips: trip_id, route_id, service_id, direction, flagged (optional)."""
+    Trips without stop times or days are dropped. Ids are dense, by route, direction (none first), shape (none first), stops (as
+    numbers, in order), permissions and days (Monday first). trips: trip_id, route_id, service_id, direction, flagged
+    (optional), shape_id and headsign (optional: with these, trips of different shapes are of different patterns, and
+    ``headsigns`` tells a pattern's distinct ones, sorted; a null or empty one counts as none)."""
     flagged = F.col("flagged") if "flagged" in trips.columns else F.lit(False)
     runs = trips.withColumn("flagged", flagged).join(calendars, "service_id").where("days > 0").join(trip_paths(stop_times), "trip_id")
-    keys = ["route_id", "direction", "days", "stops", "pickups", "dropoffs"]
-    grouped = runs.groupBy(*keys).agg(F.count("*").alias("n_trips"), F.countDistinct("service_id").alias("n_services"), F.count_if(~F.col("flagged")).alias("n_plain"))
+    shape = [c for c in ("shape_id",) if c in trips.columns]
+    keys = ["route_id", "direction", *shape, "days", "stops", "pickups", "dropoffs"]
+    told = [F.array_sort(F.collect_set(F.nullif("headsign", F.lit("")))).alias("headsigns")] if "headsign" in trips.columns else []
+    grouped = runs.groupBy(*keys).agg(F.count("*").alias("n_trips"), F.countDistinct("service_id").alias("n_services"), F.count_if(~F.col("flagged")).alias("n_plain"), *told)
     path = F.transform(F.split("stops", "-"), lambda x: x.cast("long"))
     days = F.expr("filter(sequence(0, 6), d -> (days & shiftleft(1, d)) <> 0)")
-    found = numbered(grouped, "pattern_id", "route_id", F.coalesce("direction", F.lit("")), path, "pickups", "dropoffs", days)
-    return found.select("pattern_id", *keys, "n_trips", "n_services", "n_plain")
+    drawn = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shape]
+    found = numbered(grouped, "pattern_id", "route_id", F.coalesce("direction", F.lit("")), *drawn, path, "pickups", "dropoffs", days)
+    return found.select("pattern_id", *keys, "n_trips", "n_services", "n_plain", *(["headsigns"] if told else []))
 
 
 def occurrences(found: DataFrame) -> DataFrame:

@@ -88,6 +88,29 @@ class DemoFeed:
         trips = self.trips().where("direction is not null").join(self.calendars(), "service_id").where("days > 0").drop("service_id").join(owner, "trip_id").join(services, "service_id")
         return trips.select((F.col("route_id") * 2 + F.col("direction").cast("int")).alias("pattern_id"), "days", "departure", "start_date", "end_date").distinct()
 
+    def line_trips(self) -> DataFrame:
+        """trip_id, route_id, direction, service_id (of the customer, with dates), departure, headsign (some missing), shape_id (none on odd
+        lines), missed (last stops of the line that the trip doesn't reach): trips on the network's lines."""
+        k, r = F.col("trip_id"), F.col("route_id")
+        owner = self.read("orders").select(F.col("o_orderkey").alias("trip_id"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("service_id"))
+        trips = self.trips().where("direction is not null").drop("service_id").join(owner, "trip_id")
+        sign = F.when(k % 9 == 0, F.concat(F.lit("Express "), r.cast("string"))).when(k % 4 > 0, F.concat(F.lit("Line "), r.cast("string")))
+        shape = F.when(r % 2 == 0, r * 4 + F.col("direction").cast("int") * 2 + F.when(k % 5 == 0, 1).otherwise(0)).cast("long")
+        return trips.withColumns({"headsign": sign, "shape_id": shape, "missed": F.when(k % 11 == 0, 2).otherwise(0)})
+
+    def line_stop_times(self) -> DataFrame:
+        """trip_id, stop_id, stop_sequence, ordinal, pickup, dropoff of the line trips: the stops of their line, but for those missed."""
+        size = F.count("*").over(Window.partitionBy("pattern_id"))
+        on = self.network().withColumn("size", size).select("route_id", "direction", "position", "stop_id", "pickup", "dropoff", "size")
+        met = self.line_trips().select("trip_id", "route_id", "direction", "missed").join(on, ["route_id", "direction"]).where("position < size - missed")
+        return met.select("trip_id", "stop_id", F.col("position").alias("stop_sequence"), F.struct("position").alias("ordinal"), "pickup", "dropoff")
+
+    def line_shapes(self) -> DataFrame:
+        """shape_id, sequence, lat, lon: two shapes for each pattern of an even line, which differ beside the middles of hops."""
+        two = F.explode(F.array(F.lit(0), F.lit(1))).alias("other")
+        beside = F.when((F.col("other") == 1) & (F.col("sequence") % 2 == 1), 0.0003).otherwise(0.0)
+        return self.shapes().select("*", two).select((F.col("shape_id") * 2 + F.col("other")).cast("long").alias("shape_id"), "sequence", "lat", (F.col("lon") + beside).alias("lon"))
+
     def journey_requests(self) -> DataFrame:
         """request_id, origin, destination."""
         k = F.col("c_custkey")
