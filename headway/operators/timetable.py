@@ -41,11 +41,13 @@ def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, withi
 
     The service day is that of the instant or the day before. A departure's speed depends on rush hour at departure, so a
     request asks for each speed in turn; departures meet it in bins of an hour, not in a product. Departures with start_date and end_date
-    (null: open) count on service days between these, both included; a vehicle after midnight belongs to the day before."""
+    (null: open) count on service days between these, both included; a vehicle after midnight belongs to the day before. Requests with
+    pattern_id and position ask for the vehicles of that pattern there alone."""
+    at = [c for c in ("pattern_id", "position") if c in requests.columns]
     ends = calls.groupBy("pattern_id").agg(F.max("position").alias("last"))
     stands = calls.join(ends, "pattern_id").where("position < last and pickup").join(line_kinds(calls), "pattern_id").select("pattern_id", "route_id", "stop_id", "position", "metres", "kind")
     now = F.hour("instant") * HOUR + F.minute("instant") * 60 + F.floor(F.second("instant"))
-    asked = requests.select("request_id", "stop_id", now.cast("long").alias("now"), F.weekday("instant").alias("weekday"), F.to_date("instant").alias("date")).join(stands, "stop_id")
+    asked = requests.select("request_id", "stop_id", *at, now.cast("long").alias("now"), F.weekday("instant").alias("weekday"), F.to_date("instant").alias("date")).join(stands, ["stop_id", *at])
     asked = asked.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rush", F.explode(F.array(F.lit(False), F.lit(True))))
     asked = asked.withColumn("weekday", (F.col("weekday") - F.col("back") + 7) % 7)
     offset = F.floor(F.col("metres") * 36 / (speed_kmh(F.col("kind"), F.col("rush")) * 10)).cast("long")
@@ -56,12 +58,12 @@ def arrivals(requests: DataFrame, calls: DataFrame, departures: DataFrame, withi
     if "start_date" in departures.columns:
         asked = asked.withColumn("day", F.expr("date_sub(date, back)")).withColumn("term", term(F.col("day")))
         dealt, keys = in_terms(dealt, requests.select(F.to_date("instant").alias("day"))), [*keys, "term"]
-    at = F.col("departure") % DAY
+    second = F.col("departure") % DAY
     day = (F.col("weekday") + F.floor(F.col("departure") / DAY)) % 7
     met = asked.join(dealt, keys).where(F.col("departure").between(F.col("low"), F.col("low") + within))
     if "start_date" in departures.columns:
         met = met.where(F.col("day").between(F.col("first_day"), F.col("last_day")))
-    met = met.where(F.expr("(days & shiftleft(1, cast(weekday as int))) <> 0") & (is_rush_hour(day, at) == F.col("rush")))
+    met = met.where(F.expr("(days & shiftleft(1, cast(weekday as int))) <> 0") & (is_rush_hour(day, second) == F.col("rush")))
     met = met.withColumn("speed", speed_kmh(F.col("kind"), F.col("rush"))).withColumn("elapsed", F.col("now") + DAY * F.col("back") - F.col("departure"))
     return met.select("request_id", "pattern_id", "route_id", "back", "departure", (F.col("departure") - F.col("low")).alias("wait"), *detail).distinct()
 
