@@ -21,8 +21,9 @@ SLOTS, HASHES = 1 << 20, 2
 FIT_ROWS = 10_000
 #: Languages whose bits share a 64-bit word of a slot, and slots that one row brings to the driver.
 WORD, RANGE = 63, 1 << 14
-#: An n-gram is a language's if it is there at least so often, and at least so frequent as a share of where it is most so.
-LEAST_COUNT, LEAST_SHARE = 3, 0.25
+#: An n-gram is a language's if it makes up at least this part of the language's n-grams (so all count where there are fewer than a
+#: million), and is at least so frequent as a share of where it is most so.
+LEAST_RATE, LEAST_SHARE = 1e-6, 0.25
 #: Bytes looked up at once.
 BUFFER = 1 << 20
 
@@ -143,13 +144,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
                     yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
 
     counted = some.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = written(counted.where(F.col("n") >= LEAST_COUNT), "grams")
+    counted = written(counted, "grams")
     totals = {r.lang: r.all for r in counted.groupBy("lang").agg(F.sum("n").alias("all")).collect()}
     languages = sorted(totals)
     if not languages:
         return LanguageFilters.of([], [])
     look = lambda of: F.create_map(*(F.lit(x) for k in languages for x in (k, of(k))))[F.col("lang")]
-    rated = counted.select("gram", look(languages.index).alias("number"), (F.col("n") / look(lambda k: float(totals[k]))).alias("rate"))
+    rated = counted.select("gram", look(languages.index).alias("number"), (F.col("n") / look(lambda k: float(totals[k]))).alias("rate")).where(F.col("rate") >= LEAST_RATE)
     best = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("number", "rate")).alias("all"))
     own = best.select("gram", F.transform(F.filter("all", lambda x: x.rate >= LEAST_SHARE * F.col("most")), lambda x: x.number).alias("numbers"))
 

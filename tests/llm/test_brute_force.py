@@ -244,3 +244,29 @@ def test_top_k_over_several_blocks(spark, monkeypatch):
         want = sorted((-int(rows[q] @ v), k) for k, v in enumerate(rows) if k != q)[:10] if q < 9000 else [(-11, 9001)]
         assert [(-x.score, x.vec_id) for x in got.sort_values("rank").itertuples()] == want
     assert out["query_id"].nunique() == 16
+
+
+def test_language_filters_against_plain_counts(spark):
+    """The bits of the filters from plain counts of all n-grams; a language of one short text is learned too."""
+    from collections import Counter
+
+    r = random.Random(12)
+    words = {"en": ["the", "of", "and", "house", "river"], "tr": ["ve", "bir", "için", "ağaç", "river"], "zolkur": ["qozz"]}
+    rows = [(k, " ".join(r.choice(words[lang]) for _ in range(r.randint(0, 12))), lang) for k, lang in enumerate(r.choice(["en", "tr"]) for _ in range(60))]
+    rows += [(100, "Qozz!", "zolkur"), (101, "nobody's", None), (102, None, "nought"), (103, "", "en"), (3, "the the", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = language_id.fit(docs)
+    counts = {}
+    for lang in words:
+        data = b"    " + b"    ".join(bytes(language_id.folded(t)) for _, t, of in rows if of == lang and t is not None) + b"    "
+        counts[lang] = Counter(data[k : k + 4] for k in range(len(data) - 3))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    assert got.languages == sorted(words)
+    want = np.zeros_like(got.slots)
+    for number, lang in enumerate(got.languages):
+        for g, rate in rates[lang].items():
+            if rate >= language_id.LEAST_RATE and rate >= language_id.LEAST_SHARE * max(x.get(g, 0) for x in rates.values()):
+                for s in language_id.slots(np.array([int.from_bytes(g, "little")], dtype=np.uint64)):
+                    want[0, int(s[0])] |= np.uint64(1 << number)
+    assert (got.slots == want).all()
+    assert got.predict(["a qozz here", "the house", "için ağaç", "12"])[0][0] == "zolkur"
