@@ -6,7 +6,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +97,21 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def binary_lengths(tokens: int, sequence: int = SEQUENCE) -> list[int]:
-    """Whole sequences first, then the powers of two of the rest, longest first."""
-    return [sequence] * (tokens // sequence) + [1 << b for b in reversed(range(sequence.bit_length() - 1)) if tokens % sequence >> b & 1]
+def binary_pieces(tokens: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
+    """Document and length of each piece of documents of so many ``tokens``: whole sequences first, then the powers of two of the rest,
+    longest first."""
+    lengths = 1 << np.arange(sequence.bit_length())[::-1]
+    times = tokens[:, None] // lengths
+    times[:, 1:] &= 1
+    return np.repeat(np.arange(len(tokens)), times.sum(1)), np.repeat(np.tile(lengths, len(tokens)), times.ravel())
+
+
+def numbered(groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each element's place among those before it in its group, and the sizes of groups 0 .. n-1."""
+    sizes = np.bincount(groups, minlength=n)
+    out = np.empty(len(groups), dtype=np.int64)
+    out[np.argsort(groups, kind="stable")] = np.arange(len(groups)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return out, sizes
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
@@ -114,24 +126,28 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
     path = path or tokenizer_path()
 
     def cut(batches):
-        encode, task, filled = encoder(path).encode, TaskContext.get().partitionId(), [0] * (sequence.bit_length() + 1)
+        encode, task, buckets = encoder(path).encode, TaskContext.get().partitionId(), sequence.bit_length()
+        filled, end = np.zeros(buckets, dtype=np.int64), END_ID.to_bytes(4, "little")
         for whole in batches:
-            for low in range(0, len(whole), TOGETHER):
-                pdf = whole.iloc[low : low + TOGETHER]
-                bodies = encode([t or "" for t in pdf["text"]])
-                out = []
-                for doc, body in zip(pdf["doc_id"].tolist(), bodies, strict=True):
-                    body += END_ID.to_bytes(4, "little")
-                    at, tokens = 0, len(body) // 4
-                    for n in binary_lengths(tokens, sequence):
-                        ids, bucket = body[4 * at : 4 * (at + n)], n.bit_length() - 1
-                        place = filled[bucket]
-                        filled[bucket] += 1
-                        out.append((None if doc != doc else doc, at, n, zlib.crc32(ids), tokens, bucket << BUCKET_BIT | task << TASK_BIT | place, 0, bucket, place, np.frombuffer(ids, dtype="<i4")))
-                        at += n
-                yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64", "bucket": "int32"})
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+            for low in range(0, whole.num_rows, TOGETHER):
+                doc_id, text = whole.slice(low, TOGETHER).columns
+                bodies = encode([t or "" for t in text.to_pylist()])
+                flat = end.join([*bodies, b""])
+                tokens = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4 + 1
+                of, length = binary_pieces(tokens, sequence)
+                ends = np.cumsum(length)
+                start = ends - length - (np.cumsum(tokens) - tokens)[of]
+                view, crc = memoryview(flat), zlib.crc32
+                crcs = [crc(view[s:e]) for s, e in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist(), strict=True)]
+                bucket = np.frexp(length)[1].astype(np.int64) - 1
+                place, sizes = numbered(bucket, buckets)
+                place += filled[bucket]
+                filled += sizes
+                ids = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(np.frombuffer(flat, dtype="<i4")))
+                out = [doc_id.take(pa.array(of)), start, length, crcs, tokens[of], bucket << BUCKET_BIT | task << TASK_BIT | place, np.zeros(len(of), dtype=np.int64), bucket.astype(np.int32), place, ids]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=COLUMNS)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 COLUMNS = [c.split()[0] for c in PIECES.split(", ")]

@@ -257,3 +257,23 @@ def test_clashing_columns(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert len(got) == n and {(r.rules, r.id, r.spans, r.row) for r in got} <= {(x, 1, 2, 3) for x in "abcd"}
+
+
+def test_pieces_are_made_over_arrow(spark):
+    """Pieces and ids of many lengths, against plain cuts; no Python row for each piece."""
+    from headway.llm import packing
+
+    rows = [(None if k == 7 else k, None if k == 5 else "word " * (k * 37 % 190)) for k in range(90)] + [(3, "word")]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), sequence=64)
+    assert "InArrow" in found._jdf.queryExecution().analyzed().toString()
+    pieces = found.collect()
+    want, at, filled = [], 0, collections.Counter()
+    for doc_id, text in rows:
+        total, start = len((text or "").split()) + 1, 0
+        while start < total:
+            n = min(64, 1 << (total - start).bit_length() - 1)
+            p = pieces[at]
+            want.append((doc_id, start, n, zlib.crc32(np.array(p.ids, dtype="<u4").tobytes()), total, n.bit_length() - 1 << 58 | filled[n], 0, n.bit_length() - 1, filled[n]))
+            assert len(p.ids) == n and (p.ids[-1] == packing.END_ID) == (start + n == total)
+            at, start, filled[n] = at + 1, start + n, filled[n] + 1
+    assert [tuple(p)[:9] for p in pieces] == want
