@@ -126,5 +126,7 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
         marks = written(marks, "marks", keep=True)
     there = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     once = there.join(marks.select("key"), "key", "left_anti")
-    again = there.join(marks.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return once.union(again).select("row.*")
+    again = marks.where("stays").select("key")
+    if not again.isEmpty():  # else the texts aren't shuffled for them a second time
+        once = once.union(there.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select("row.*")

@@ -259,6 +259,17 @@ def test_clashing_columns(spark):
         assert len(got) == n and {(r.rules, r.id, r.spans, r.row) for r in got} <= {(x, 1, 2, 3) for x in "abcd"}
 
 
+def test_texts_are_shuffled_once_where_no_row_repeats(spark):
+    """What goes is left out in one join; the second one, for repeated rows, is made only if there are any."""
+    near = prose(1, 80).rsplit(" ", 1)[0] + " end"
+    rows = [(1, prose(1, 80)), (2, near), (3, prose(2, 80)), (4, prose(2, 80)), (5, None)]
+    joins = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join Left")
+    once = simhash_dedup.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    again = simhash_dedup.keep_one_of_each_group(spark.createDataFrame([*rows, rows[2]], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in once.collect()) == sorted(r.doc_id for r in again.collect()) == [1, 3, 5]
+    assert (joins(once), joins(again)) == (1, 2)
+
+
 def test_pieces_are_made_over_arrow(spark):
     """Pieces and ids of many lengths, against plain cuts; no Python row for each piece."""
     from headway.llm import packing
