@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.shared import connected_components, hot_keys, partitions, spread_join, written
+from headway.llm.shared import connected_components, partitions, written
 
 SEED = 42
 #: Documents of a band, or partners of a document, that meet in one task.
 BLOCK = 500
 #: Rounds with one partner a document, before all pairs.
 EARLY_ROUNDS = 2
+#: A round with one partner looks at one in so many of the keys.
+SHARE = 4
 #: Keys of so many rows give their pairs; the rows of larger ones meet in cells. Sets of more shingles than LONG are held as arrays.
 FEW, LONG = 16, 2000
 #: Shingles placed at once.
@@ -174,21 +176,28 @@ def labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
     return nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """``shared`` (key, node, size) with the component of ``labels`` (node, component), of keys in several components; n: rows
+def meeting(spots: DataFrame, keys: DataFrame) -> DataFrame:
+    """``spots`` (node, keys, ...) exploded to the rows of ``keys`` (unique by key). A key of many rows makes a skewed partition, which Spark
+    splits (adaptive execution); each row is made once."""
+    return spots.withColumn("key", F.explode("keys")).drop("keys").join(keys, "key")
+
+
+def across(spots: DataFrame) -> DataFrame:
+    """(key, node, size, component) of ``spots`` (node, size, keys, component), of keys in several components; n: rows
     of the key, main: its most frequent component, n_main: rows of that."""
-    rows = written(shared.join(labels, "node"), "labelled")
-    held = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    held = spots.select("component", F.explode("keys").alias("key")).groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = held.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
     keys = written(keys.select("key", "n", F.col("main.component").alias("main"), F.col("main.n").alias("n_main")), "keys")
-    return written(spread_join(rows, keys, "key", hot_keys(keys, "key", rows.count())), "across")
+    return written(meeting(spots, keys), "across")
 
 
-def one_partner(rows: DataFrame, turn: int, rule: Rule) -> DataFrame:
-    """(a, b) for every node of ``rows`` (see ``across``): b with the end of a key, in another component, that most of its keys share."""
+def one_partner(spots: DataFrame, turn: int, rule: Rule) -> DataFrame:
+    """(a, b) for every node of ``spots`` (node, size, keys, component): b with the end of a key, in another component, that most of its
+    keys share. Only the keys of a SHARE count, another one each turn: copies share most of their keys."""
+    some = spots.withColumn("keys", F.filter("keys", lambda k: F.pmod(k, F.lit(SHARE)) == turn % SHARE))
     end = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "component")
-    ends = written(rows.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count("*").alias("n")), "ends")
-    met = spread_join(rows.drop("n", "main", "n_main"), ends.drop("n"), "key", hot_keys(ends, "key", rows.count()))
+    ends = some.withColumn("key", F.explode("keys")).groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min("component").alias("first"), F.max("component").alias("last"))
+    met = meeting(some, written(ends.where("first < last").select("key", "low", "high"), "ends"))
     fits = lambda e: (F.col(f"{e}.component") != F.col("component")) & sizes_fit(F.col("size"), F.col(f"{e}.size"), rule)
     met = met.select(F.col("node").alias("b"), F.when(fits("low"), F.col("low.node")).when(fits("high"), F.col("high.node")).alias("a")).where("a is not null")
     votes = met.groupBy("b", "a").agg(F.count("*").alias("n"))
@@ -281,12 +290,11 @@ def similar_links(nodes: DataFrame, texts, rule: Rule, first: DataFrame | None =
     (long, unique), size, bands; ``texts``: function of a table (node) that gives (node, text) of these; ``first``: pairs (a, b), about as
     many as nodes, that are compared before all others. An empty set links to nothing. Within ``scratch``, intermediate
     tables are deleted."""
-    shared = nodes.select("node", "size", F.explode("bands").alias("key"))
-    keys = written(shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    shared = written(spread_join(shared, keys.drop("n"), "key", hot_keys(keys, "key", total)), "shared")
-    near = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "size", "bands")
-    near = written(near, "near")
+    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    keys = written(shared.where("n > 1").select("key"), "shared-keys")
+    spots = meeting(nodes.select("node", "size", F.col("bands").alias("keys")), keys)
+    spots = written(spots.groupBy("node", "size").agg(F.collect_list("key").alias("keys")), "spots")
+    near = written(nodes.select("node", "size", "bands").join(spots.select("node"), "node", "left_semi"), "near")
     own, links = written(texts(near.select("node")), "texts"), None
     if first is not None:
         for end in ("a", "b"):
@@ -294,13 +302,12 @@ def similar_links(nodes: DataFrame, texts, rule: Rule, first: DataFrame | None =
         first = first.where((F.col("a") != F.col("b")) & sizes_fit(F.col("a_size"), F.col("b_size"), rule)).select("a", "b").distinct()
         links = written(verified(written(first, "first"), own, rule), "links")
     for turn in range(EARLY_ROUNDS + 1):
-        labels = written(labelled(near.select("node"), links), "labels")
-        shared = across(shared.select("key", "node", "size"), labels)
-        if shared.isEmpty():
-            break
-        pairs = one_partner(shared, turn, rule) if turn < EARLY_ROUNDS else few_pairs(shared.where(F.col("n") <= FEW), near, rule)
-        found = verified(written(pairs, "pairs"), own, rule)
-        if turn == EARLY_ROUNDS:
+        placed = written(spots.join(labelled(near.select("node"), links), "node"), "placed")
+        if turn < EARLY_ROUNDS:
+            found = verified(written(one_partner(placed, turn, rule), "pairs"), own, rule)
+        else:
+            shared = across(placed)
+            found = verified(written(few_pairs(shared.where(F.col("n") <= FEW), near, rule), "pairs"), own, rule)
             found = found.union(many_links(shared.where(F.col("n") > FEW), near, own, rule))
         links = written(found if links is None else links.union(found), "links")
     return links
