@@ -92,6 +92,23 @@ def spread_join(rows: DataFrame, found: DataFrame, key: str, hot: DataFrame, how
     return rows.join(often, key).unionByName(rare)
 
 
+#: Words of a filter of ``flagged`` at most (16 MB); beyond 4 * WORDS keys more rows pass that aren't among them.
+WORDS = 1 << 20
+
+
+def flagged(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``maybe``: true for all whose ``key`` is in ``keys``, and for about one in a hundred others. Only these need be shuffled
+    to meet ``keys``.
+
+    A blocked Bloom filter is broadcast: a key sets three bits in one of the words of 64, of which there is one for about four keys."""
+    words = min(WORDS, 1 << (keys.count() // 4).bit_length())
+    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key_hash, {at}) & 63 as int))" for at in (40, 46, 52)))
+    hashed = lambda df: df.withColumn("key_hash", F.xxhash64(key)).withColumn("word", F.col("key_hash").bitwiseAND(F.lit(words - 1).cast("long"))).withColumn("mask", mask)
+    bits = hashed(keys.select(key)).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    found = hashed(rows).join(F.broadcast(bits), "word", "left")
+    return found.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)).alias("maybe"))
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the other columns as ``row``: so these can't clash with an operator's own."""
     return docs.select("doc_id", "text", F.struct("doc_id", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))

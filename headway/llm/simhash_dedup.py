@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 from headway.llm import hamming_links
 from headway.llm.set_links import FIVE_WORDS_80, labelled, normal_words, similar_links, sketch_of
-from headway.llm.shared import NULL_ID, connected_components, hot_keys, scratch, spread_join, table, written
+from headway.llm.shared import NULL_ID, connected_components, flagged, hot_keys, scratch, spread_join, table, written
 
 SEED = 42
 #: The link rule of the query: differing bits, words of a shingle, groups of bits (fewer for very many fingerprints).
@@ -95,12 +95,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct((F.col("id") == NULL_ID).alias("none"), "id")
     alike = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).select("digest", "first", F.col("first.id").alias("id"), "n")
     alike = written(alike.withColumn("node", F.monotonically_increasing_id()), "alike")  # numbers stay as they are written
-    nodes = prints.where("size > 0").join(alike.select("digest", "id", "node"), ["digest", "id"]).dropDuplicates(["node"])
+    nodes = prints.where("size > 0").dropDuplicates(["digest", "id"]).join(alike.select("digest", "id", "node"), ["digest", "id"])
     nodes = written(nodes.select("node", "size", "bands", "fp"), "nodes")
 
     def texts(some: DataFrame) -> DataFrame:
-        ends = written(some.join(alike.select("node", "id", "digest"), "node"), "ends")
-        return base.join(ends, ["id", "digest"]).dropDuplicates(["node"]).select("node", "text")
+        ends = written(some.join(alike.select("node", F.struct("id", "digest").alias("key")), "node"), "ends")
+        there = flagged(base.select(F.struct("id", "digest").alias("key"), "text"), ends, "key").where("maybe").drop("maybe")
+        return there.join(ends, "key").dropDuplicates(["node"]).select("node", "text")
 
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "representatives")
     same = spread_join(nodes.select("node", "fp"), reps.select("fp", F.col("node").alias("a")), "fp", hot_keys(reps, "fp", nodes.count()))
@@ -118,15 +119,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest doc_id stays, see ``near_duplicates``;
-    of rows that repeat it with its doc_id and text any one. What goes is written first: with its size known, Spark
-    broadcasts it if it is small and only else shuffles the texts."""
+    of rows that repeat it with its doc_id and text any one. Rows that can't be among what goes stay where they are; only the others are
+    shuffled to meet it."""
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     with scratch(docs.sparkSession):
         marks = near_duplicates(docs.select("doc_id", "text")).where("not stays or rows > 1").select(F.struct("id", "digest").alias("key"), "stays")
         marks = written(marks, "marks", keep=True)
-    there = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    once = there.join(marks.select("key"), "key", "left_anti")
+    there = flagged(docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), marks, "key")
+    perhaps = there.where("maybe").drop("maybe")
+    once = there.where("not maybe").drop("maybe").union(perhaps.join(marks.select("key"), "key", "left_anti"))
     again = marks.where("stays").select("key")
-    if not again.isEmpty():  # else the texts aren't shuffled for them a second time
-        once = once.union(there.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    if not again.isEmpty():  # else these rows aren't shuffled a second time
+        once = once.union(perhaps.join(again, "key", "left_semi").dropDuplicates(["key"]))
     return once.select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from headway.llm.shared import NULL_ID, boxed, partitions, table, unboxed, written
+from headway.llm.shared import NULL_ID, boxed, flagged, partitions, table, unboxed, written
 
 WINDOW = 100
 GRAM = 32
@@ -427,12 +427,14 @@ def spans_of(stretches: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with text cut by the whole characters that repeat an earlier string of ``window`` bytes, and n_chars with
-    it. Every row stays, one that repeats as a whole with an empty text; null texts stay null."""
+    it. Every row stays, one that repeats as a whole with an empty text; null texts stay null. Rows that can't have spans stay where
+    they are; only the others are shuffled to meet theirs."""
     keys = keyed(boxed(docs))
-    spans = spans_of(repeated_stretches(keys.select("id", "version", "body"), window))
-    found = keys.drop("body").join(spans, ["id", "version"], "left")
+    spans = written(spans_of(repeated_stretches(keys.select("id", "version", "body"), window)).select(F.struct("id", "version").alias("key"), "spans"), "spans")
+    there = flagged(keys.select("doc_id", "text", "row", F.struct("id", "version").alias("key")), spans, "key")
+    met = there.where("maybe").join(spans, "key", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut_text(F.coalesce("text", F.lit("")), "spans"))
-    return unboxed(found, docs.columns, text)
+    return unboxed(there.where("not maybe"), docs.columns, F.col("text")).union(unboxed(met, docs.columns, text))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

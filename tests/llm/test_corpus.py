@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from headway.llm import hamming_links, language_id, packing, piece_codec, quality_classifier, quality_rules, quote_threads, secret_scan, simhash_dedup, suffix_dedup, topk_search
+from headway.llm import hamming_links, language_id, packing, piece_codec, quality_classifier, quality_rules, quote_threads, secret_scan, shared, simhash_dedup, suffix_dedup, topk_search
 from headway.llm.queries import QUERIES
 from headway.llm.shared import connected_components
 
@@ -288,3 +288,48 @@ def test_pieces_are_made_over_arrow(spark):
             assert len(p.ids) == n and (p.ids[-1] == packing.END_ID) == (start + n == total)
             at, start, filled[n] = at + 1, start + n, filled[n] + 1
     assert [tuple(p)[:9] for p in pieces] == want
+
+
+def shuffled(spark, run) -> tuple[list, int]:
+    """The rows of ``run()``, and the bytes that it shuffles without broadcast joins, as on large tables."""
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    joined, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return sorted(tuple(r) for r in run().collect()), written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+
+
+def random_words(rng, n):
+    return " ".join(f"{rng.getrandbits(64):x}" for _ in range(n))
+
+
+def test_near_dedup_shuffles_few_texts(spark):
+    """Only texts that have candidates, or may go, are shuffled."""
+    rng = random.Random(3)
+    texts = [random_words(rng, 3000) for _ in range(100)]
+    rows = [(k, t) for k, t in enumerate([*texts, f"{texts[0]} more", texts[1]])]
+    docs = spark.createDataFrame([*rows, rows[50]], "doc_id long, text string")
+    got, moved = shuffled(spark, lambda: simhash_dedup.keep_one_of_each_group(docs))
+    assert got == rows[:100]
+    assert 0 < moved < sum(len(t) for _, t in rows)
+
+
+def test_suffix_dedup_shuffles_rows_with_spans_alone(spark):
+    """The other columns of a row show it: those of rows without spans stay where they are."""
+    rng = random.Random(4)
+    rows = [(k, random_words(rng, 40), random_words(rng, 3000)) for k in range(100)]
+    rows += [(100, f"{rows[0][1]} end", rows[0][2]), (None, None, rows[1][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got, moved = shuffled(spark, lambda: suffix_dedup.remove_repeats(docs).selectExpr("coalesce(doc_id, -1)", "text", "other"))
+    assert got == [(-1, None, rows[1][2]), *rows[:100], (100, " end", rows[0][2])]
+    assert 0 < moved < sum(len(x) for _, _, x in rows) / 2
+
+
+def test_flagged_rows_are_all_that_meet(spark):
+    rows, keys = spark.range(20_000).selectExpr("id key", "id % 7 other"), spark.range(0, 20_000, 10).selectExpr("id key")
+    found = shared.flagged(rows, keys, "key").where("maybe").select("key")
+    assert keys.exceptAll(found).isEmpty()
+    assert 2_000 <= found.count() < 2_900
+    assert shared.flagged(rows, keys.limit(0), "key").where("maybe").isEmpty()
