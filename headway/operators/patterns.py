@@ -33,11 +33,20 @@ def patterns(trips: DataFrame, calendars: DataFrame, stop_times: DataFrame) -> D
     numbers, in order), permissions and days (Monday first). trips: trip_id, route_id, service_id, direction, flagged
     (optional), shape_id and headsign (optional: with these, trips of different shapes are of different patterns, and
     ``headsigns`` tells a pattern's distinct ones, sorted; a null or empty one counts as none)."""
+    return patterns_of(running_trips(trips, calendars, stop_times))
+
+
+def running_trips(trips: DataFrame, calendars: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """``trips`` that have stop times and days, with flagged, days and their path (see ``trip_paths``)."""
     flagged = F.col("flagged") if "flagged" in trips.columns else F.lit(False)
-    runs = trips.withColumn("flagged", flagged).join(calendars, "service_id").where("days > 0").join(trip_paths(stop_times), "trip_id")
-    shape = [c for c in ("shape_id",) if c in trips.columns]
+    return trips.withColumn("flagged", flagged).join(calendars, "service_id").where("days > 0").join(trip_paths(stop_times), "trip_id")
+
+
+def patterns_of(runs: DataFrame) -> DataFrame:
+    """The ``patterns`` of trips that are joined with their days and paths (see ``running_trips``)."""
+    shape = [c for c in ("shape_id",) if c in runs.columns]
     keys = ["route_id", "direction", *shape, "days", "stops", "pickups", "dropoffs"]
-    told = [F.array_sort(F.collect_set(F.nullif("headsign", F.lit("")))).alias("headsigns")] if "headsign" in trips.columns else []
+    told = [F.array_sort(F.collect_set(F.nullif("headsign", F.lit("")))).alias("headsigns")] if "headsign" in runs.columns else []
     grouped = runs.groupBy(*keys).agg(F.count("*").alias("n_trips"), F.countDistinct("service_id").alias("n_services"), F.count_if(~F.col("flagged")).alias("n_plain"), *told)
     path = F.transform(F.split("stops", "-"), lambda x: x.cast("long"))
     days = F.expr("filter(sequence(0, 6), d -> (days & shiftleft(1, d)) <> 0)")
